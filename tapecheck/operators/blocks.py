@@ -99,16 +99,24 @@ _RUNNING = {
 
 
 def running(
-    rows: DataFrame, keys: Sequence[str], values: dict[str, Column], how: str
+    rows: DataFrame,
+    keys: Sequence[str],
+    values: dict[str, Column],
+    how: str,
+    order: Sequence[str | Column] = ("blk", "ts"),
 ) -> DataFrame:
     """Add the inclusive running sum, product or maximum over whole series.
 
-    ``rows`` must carry ``chunk`` and ``blk``. Chunks are scanned in parallel;
-    only their totals are combined per series.
+    ``rows`` must carry ``chunk``, which is monotone in ``order``. Chunks are
+    scanned in parallel; only their totals are combined per series.
     """
     keys = list(keys)
     total, merge = _RUNNING[how]
-    inside = chunk_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    inside = (
+        Window.partitionBy(*keys, "chunk")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     totals = rows.groupBy(*keys, "chunk").agg(*[total(v).alias(n) for n, v in values.items()])
     carries = totals.select(
         *keys, "chunk", *[total(n).over(before_chunk(keys)).alias(f"__{n}") for n in values]

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapecheck.constants import COST_SCENARIOS, INITIAL_CASH, QUANTITY_TOLERANCE
-from tapecheck.operators.blocks import DAILY, Layout, chunk_window, running, with_blocks
-from tapecheck.operators.signals import Cell, bit, positions
+from tapecheck.operators.blocks import DAILY, Layout, before_chunk, running, with_blocks
+from tapecheck.operators.signals import Cell, positions
 
 RUN_KEYS = ("fast", "slow", "scenario")
 
@@ -49,21 +49,6 @@ class Run:
             if not 0 <= getattr(self, name) < 1:
                 raise ValueError(f"{name} must satisfy 0 <= {name} < 1")
 
-    def fills(self) -> Column:
-        return bit(F.col("tgt").bitwiseXOR(F.col("ptgt")), self.index)
-
-    def long(self) -> Column:
-        return bit("tgt", self.index)
-
-    def price(self) -> Column:
-        buy = F.col("open") * F.lit(1.0 + self.slippage)
-        return F.when(self.long(), buy).otherwise(F.col("open") * F.lit(1.0 - self.slippage))
-
-    def factor(self) -> Column:
-        buy = F.lit(1.0) / (self.price() * F.lit(1.0 + self.commission))
-        sell = self.price() * F.lit(1.0 - self.commission)
-        return F.when(~self.fills(), F.lit(1.0)).when(self.long(), buy).otherwise(sell)
-
 
 def runs(
     grid: Sequence[Cell],
@@ -79,56 +64,101 @@ def runs(
     ]
 
 
-def _amounts(panel: DataFrame, book: Sequence[Run], keys: Sequence[str]) -> DataFrame:
-    """Add ``amt_<i>`` (after the bar's fill) and ``was_<i>`` (before it)."""
-    names = [f"amt_{i}" for i in range(len(book))]
-    rows = running(panel, keys, {n: r.factor() for n, r in zip(names, book)}, "product")
-    rows = rows.withColumns({n: F.col(n) * F.lit(r.cash) for n, r in zip(names, book)})
-    return rows.withColumns(
-        {f"was_{i}": F.col(n) / r.factor() for i, (n, r) in enumerate(zip(names, book))}
+def book_rows(book: Sequence[Run]) -> Column:
+    """The runs as a literal array, to be exploded next to each row."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("run"),
+                F.lit(r.index).alias("index"),
+                F.lit(r.fast).alias("fast"),
+                F.lit(r.slow).alias("slow"),
+                F.lit(r.scenario).alias("scenario"),
+                F.lit(float(r.commission)).alias("commission_rate"),
+                F.lit(float(r.slippage)).alias("slippage_rate"),
+                F.lit(float(r.cash)).alias("start_cash"),
+            )
+            for n, r in enumerate(book)
+        ]
     )
 
 
-def _per_run(rows: DataFrame, keys: Sequence[str], extra: Sequence[str], book, fields) -> DataFrame:
-    items = [
-        F.struct(
-            F.lit(r.fast).alias("fast"),
-            F.lit(r.slow).alias("slow"),
-            F.lit(r.scenario).alias("scenario"),
-            *fields(i, r),
+def _long(mask: str) -> Column:
+    return F.getbit(F.col(mask), F.col("index")) == 1
+
+
+def _with_factor(rows: DataFrame) -> DataFrame:
+    """Add ``held`` (before), ``long`` (now), the fill ``price`` and ``factor``."""
+    price = F.when(F.col("long"), F.col("open") * (1.0 + F.col("slippage_rate"))).otherwise(
+        F.col("open") * (1.0 - F.col("slippage_rate"))
+    )
+    buy = 1.0 / (F.col("price") * (1.0 + F.col("commission_rate")))
+    sell = F.col("price") * (1.0 - F.col("commission_rate"))
+    return (
+        rows.withColumn("long", _long("tgt"))
+        .withColumn("held", _long("ptgt"))
+        .withColumn("price", price)
+        .withColumn(
+            "factor",
+            F.when(F.col("long") == F.col("held"), 1.0).when(F.col("long"), buy).otherwise(sell),
         )
-        for i, r in enumerate(book)
-    ]
-    return rows.select(*keys, *extra, F.explode(F.array(*items)).alias("r")).select(
-        *keys, *extra, "r.*"
     )
 
 
-def fill_ledger(
-    panel: DataFrame, book: Sequence[Run], keys: Sequence[str] = ("symbol",)
-) -> DataFrame:
-    """One row per executed fill: the position changed, at this bar's open.
+def fills(panel: DataFrame, book: Sequence[Run], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Bars and runs on which the position changes, with the state's ``factor``.
 
-    Bars on which no cell trades are dropped before anything is scanned.
+    Bars on which no run trades are dropped before runs are laid out, so the
+    work grows with the number of fills and not with bars times runs.
     """
-    keys = list(keys)
-    rows = _amounts(panel.where("tgt != ptgt"), book, keys)
+    rows = panel.where("tgt != ptgt").select(
+        *keys, "chunk", "blk", "ts", "open", "tgt", "ptgt", F.inline(book_rows(book))
+    )
+    return _with_factor(rows.where(_long("tgt") != _long("ptgt"))).drop("tgt", "ptgt", "held")
 
-    def fields(i: int, r: Run) -> list[Column]:
-        buy, after, before = r.long(), F.col(f"amt_{i}"), F.col(f"was_{i}")
-        quantity = F.when(buy, after).otherwise(before)
-        return [
-            r.fills().alias("filled"),
+
+def fill_ledger(
+    panel: DataFrame, book: Sequence[Run], keys: Sequence[str] = ("symbol",)
+) -> DataFrame:
+    """One row per executed fill: the position changed, at this bar's open."""
+    rows = running(
+        fills(panel, book, keys), [*keys, "run"], {"growth": F.col("factor")}, "product"
+    )
+    after = F.col("growth") * F.col("start_cash")
+    buy = F.col("long")
+    return (
+        rows.withColumn("after", after)
+        .withColumn("quantity", F.when(buy, F.col("after")).otherwise(F.col("after") / F.col("factor")))
+        .select(
+            *keys,
+            *RUN_KEYS,
+            "chunk",
+            "blk",
+            "ts",
             F.when(buy, "buy").otherwise("sell").alias("side"),
-            r.price().alias("price"),
-            quantity.alias("quantity"),
-            (quantity * r.price() * F.lit(r.commission)).alias("commission"),
-            F.when(buy, 0.0).otherwise(after).alias("cash_after"),
-            F.when(buy, after).otherwise(0.0).alias("units_after"),
-        ]
+            "price",
+            "quantity",
+            (F.col("quantity") * F.col("price") * F.col("commission_rate")).alias("commission"),
+            F.when(buy, 0.0).otherwise(F.col("after")).alias("cash_after"),
+            F.when(buy, F.col("after")).otherwise(0.0).alias("units_after"),
+        )
+    )
+
 
-    out = _per_run(rows, keys, ["chunk", "blk", "ts"], book, fields)
-    return out.where("filled").drop("filled")
+def _carried(panel: DataFrame, book: Sequence[Run], keys: Sequence[str]) -> DataFrame:
+    """Per chunk, the runs with the growth they bring in from earlier chunks."""
+    of_run = [*keys, "run"]
+    totals = fills(panel, book, keys).groupBy(*of_run, "chunk").agg(F.product("factor").alias("p"))
+    chunks = panel.select(*keys, "chunk").distinct()
+    grown = F.coalesce(F.product("p").over(before_chunk(of_run)), F.lit(1.0))
+    laid_out = chunks.select("*", F.inline(book_rows(book)))
+    run_columns = [c for c in laid_out.columns if c not in (*keys, "chunk")]
+    return (
+        laid_out.join(totals, [*of_run, "chunk"], "left")
+        .withColumn("carry", grown)
+        .groupBy(*keys, "chunk")
+        .agg(F.collect_list(F.struct(*run_columns, "carry")).alias("book"))
+    )
 
 
 def equity_curve(
@@ -137,27 +167,38 @@ def equity_curve(
     """Cash, units, position value and equity at every close, per run.
 
     ``prev_equity`` is the equity at the previous close, NULL on the first bar.
+    The carried growth joins on the panel's own partitioning, before runs are
+    laid out, so the (large) curve itself is never shuffled.
     """
     keys = list(keys)
-    rows = _amounts(panel, book, keys)
-
-    def fields(i: int, r: Run) -> list[Column]:
-        long, held, amount = r.long(), bit("ptgt", r.index), F.col(f"amt_{i}")
-        before = F.col(f"was_{i}")
-        value = F.when(long, amount * F.col("close")).otherwise(0.0)
-        cash = F.when(long, 0.0).otherwise(amount)
-        return [
-            cash.alias("cash"),
-            F.when(long, amount).otherwise(0.0).alias("units"),
-            value.alias("position_value"),
-            (cash + value).alias("equity"),
+    rows = panel.join(_carried(panel, book, keys), [*keys, "chunk"]).select(
+        *keys, "chunk", "blk", "ts", "open", "close", "prev_close", "tgt", "ptgt", F.inline("book")
+    )
+    inside = (
+        Window.partitionBy(*keys, "chunk", "run")
+        .orderBy("blk", "ts")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    amount, before = F.col("amount"), F.col("amount") / F.col("factor")
+    return (
+        _with_factor(rows)
+        .withColumn("amount", F.product("factor").over(inside) * F.col("carry") * F.col("start_cash"))
+        .withColumn("cash", F.when(F.col("long"), 0.0).otherwise(amount))
+        .withColumn("units", F.when(F.col("long"), amount).otherwise(0.0))
+        .withColumn("position_value", F.col("units") * F.col("close"))
+        .withColumn("equity", F.col("cash") + F.col("position_value"))
+        .withColumn(
+            "prev_equity",
             F.when(
                 F.col("prev_close").isNotNull(),
-                F.when(held, before * F.col("prev_close")).otherwise(before),
-            ).alias("prev_equity"),
-        ]
-
-    return _per_run(rows, keys, ["chunk", "blk", "ts"], book, fields)
+                F.when(F.col("held"), before * F.col("prev_close")).otherwise(before),
+            ),
+        )
+        .select(
+            *keys, *RUN_KEYS, "chunk", "blk", "ts",
+            "cash", "units", "position_value", "equity", "prev_equity",
+        )
+    )
 
 
 def run_signal(
