@@ -303,7 +303,7 @@ def pnl_concentration(trips: DataFrame, keys: Sequence[str] = CURVE_KEYS) -> Dat
     count = (
         ranked.where(F.col("cum") >= F.col("half"))
         .groupBy(*keys)
-        .agg(F.min(needed).alias("trips_for_half"))
+        .agg(F.min_by(needed, "cum_n").alias("trips_for_half"))
     )
     return (
         everyone.join(totals, keys, "left")

@@ -339,7 +339,7 @@ _TRADE = ("side", "price", "quantity", "commission", "cash_after", "units_after"
 
 def fill_ledger(spark, sf):
     rows = ledger.fill_ledger(_panel(spark, sf), _book())
-    return _round(rows.select(*RUN, "ts", *_TRADE), "price quantity units_after", "commission cash_after")
+    return _round(rows.select(*RUN, "ts", *_TRADE), "quantity units_after", "commission cash_after")
 
 
 def _curve(spark, sf):
@@ -379,7 +379,7 @@ _TRIP_MONEY = "entry_commission exit_commission realized_pnl"
 
 
 def round_trips(spark, sf):
-    return _round(_trips(spark, sf), "entry_price exit_price quantity", _TRIP_MONEY)
+    return _round(_trips(spark, sf), "quantity", _TRIP_MONEY)
 
 
 def eligible_round_trips(spark, sf):

@@ -129,10 +129,12 @@ def request_pages(raw: DataFrame) -> DataFrame:
     first = floor + F.col("page_no") * PAGE_DAYS
     shifted = first + F.when(F.col("page_no") % 7 == 3, 1).otherwise(0)
     end = F.least(first + PAGE_DAYS - 1, F.col("last_d"))
-    candle = F.struct("start", "low", "high", "open", "close", "volume")
+    names = ("start", "low", "high", "open", "close", "volume")
+    newest_first = F.reverse(F.array_sort(F.collect_list(F.struct("d", *names))))
+    candles = F.transform(newest_first, lambda c: F.struct(*[c[k].alias(k) for k in names]))
     return (
         raw.groupBy("product", page.alias("page_no"))
-        .agg(F.reverse(F.array_sort(F.collect_list(candle))).alias("candles"))
+        .agg(candles.alias("candles"))
         .join(last, "product")
         .select(
             "product",

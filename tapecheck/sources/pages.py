@@ -115,6 +115,19 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def _whole_document(text: Column) -> Column:
+    """The document as a variant, NULL unless the text is exactly one document.
+
+    The parser stops after the first value, so text that follows it is only
+    noticed when the document is parsed as the sole member of an array and of
+    an object.
+    """
+    inside_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    inside_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = (F.size(_list(inside_list, "$")) == 1) & (F.size(F.map_keys(_object(inside_object))) == 1)
+    return F.when(alone, F.try_variant_get(inside_object, "$.v", "variant"))
+
+
 def page_schema_violations(
     documents: DataFrame,
     keys: Sequence[str],
@@ -124,7 +137,7 @@ def page_schema_violations(
 ) -> DataFrame:
     """``keys, rule`` for each part of the closed schema a document breaks."""
     v = F.col("v")
-    rows = documents.select(*keys, F.try_parse_json(body).alias("v"))
+    rows = documents.select(*keys, _whole_document(F.col(body)).alias("v"))
     pages = _list(v, "$.pages")
     utc = lambda f: F.coalesce(
         _text(v, f"$.retrieval.{f}").rlike(r"(Z|\+00:00)\z")
