@@ -8,8 +8,6 @@ be used gets the first reason that applies.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,31 +24,36 @@ LAST_EPOCH = 253_402_300_799
 
 def epoch(start: Column) -> Column:
     """Epoch seconds of an all-digits text, NULL if it is not one or too large."""
-    digits = F.when(start.rlike(r"\A[0-9]+\z"), start).try_cast("decimal(38,0)")
-    return F.when(digits <= LAST_EPOCH, digits.cast("bigint"))
+    number = F.when(start.rlike(r"\A[0-9]+\z"), start).try_cast("bigint")
+    return F.when(number.between(0, LAST_EPOCH), number)
 
 
-def bucket(start: Column) -> Column:
-    """Start of the UTC day an epoch text names."""
-    return F.date_from_unix_date((epoch(start) / DAY_SECONDS).cast("int")).cast("timestamp_ntz")
+def bucket(seconds: Column) -> Column:
+    """Start of the UTC day that an epoch second lies in."""
+    return F.date_from_unix_date((seconds / DAY_SECONDS).cast("int")).cast("timestamp_ntz")
 
 
-def malformed(row_prefix: str = "") -> Column:
-    """Why a candle cannot be decoded, or NULL."""
-    c = lambda f: F.col(row_prefix + f)
-    start = c("start")
-    absent = reduce(lambda a, b: a | b, [c(f).isNull() for f in CANDLE_KEYS])
-    reason = (
-        F.when(absent, "missing_or_not_text")
+def malformed() -> Column:
+    """Why a candle (with its ``epoch``) cannot be decoded, or NULL."""
+    start = F.col("start")
+    numbers = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in CANDLE_NUMERIC]
+    )
+    unusable = F.filter(numbers, lambda n: ~is_finite_decimal(n["text"]))
+    why = F.transform(
+        unusable,
+        lambda n: F.concat(
+            n["field"],
+            F.when(is_non_finite_decimal(n["text"]), "_not_finite").otherwise("_not_decimal"),
+        ),
+    )
+    return (
+        F.when(F.exists(F.array(*CANDLE_KEYS), lambda x: x.isNull()), "missing_or_not_text")
         .when(~start.rlike(r"\A[0-9]+\z"), "start_not_digits")
-        .when(epoch(start).isNull(), "start_out_of_range")
-        .when(F.pmod(epoch(start), F.lit(DAY_SECONDS)) != 0, "start_not_midnight")
+        .when(F.col("epoch").isNull(), "start_out_of_range")
+        .when(F.col("epoch") % DAY_SECONDS != 0, "start_not_midnight")
+        .otherwise(F.get(why, F.lit(0)))
     )
-    for f in CANDLE_NUMERIC:
-        reason = reason.when(is_non_finite_decimal(c(f)), f"{f}_not_finite").when(
-            ~is_finite_decimal(c(f)), f"{f}_not_decimal"
-        )
-    return reason
 
 
 def decode_candles(raw: DataFrame) -> DataFrame:
@@ -59,15 +62,14 @@ def decode_candles(raw: DataFrame) -> DataFrame:
     Duplicated buckets are found with a pre-aggregated count and only those few
     meet the rows again, so the rows themselves are not shuffled for it.
     """
-    rows = raw.withColumn("malformed", malformed())
-    ts = F.when(F.col("malformed").isNull(), bucket(F.col("start")))
-    day = F.col("ts").cast("date")
-    rows = rows.withColumn("ts", ts).withColumn(
-        "outside", ~day.between(F.col("first_day"), F.col("last_day"))
-    )
-    place = F.struct("page_no", "pos")
+    rows = raw.withColumn("epoch", epoch(F.col("start"))).withColumn("malformed", malformed())
+    ts = F.when(F.col("malformed").isNull(), bucket(F.col("epoch")))
+    rows = rows.withColumn("ts", ts)
+    inside = F.col("ts").cast("date").between(F.col("first_day"), F.col("last_day"))
+    # One number instead of a struct keeps the aggregation hash-based.
+    place = F.col("page_no").cast("bigint") * (1 << 32) + F.col("pos")
     repeated = (
-        rows.where("malformed is null and not outside")
+        rows.where(inside)
         .groupBy("product", "ts")
         .agg(F.count("*").alias("copies"), F.min(place).alias("kept"))
         .where("copies > 1")
@@ -79,11 +81,11 @@ def decode_candles(raw: DataFrame) -> DataFrame:
         .withColumn(
             "reject",
             F.when(F.col("malformed").isNotNull(), F.concat(F.lit("malformed:"), "malformed"))
-            .when(F.col("outside"), "outside_window")
+            .when(~inside, "outside_window")
             .when(F.col("kept").isNotNull() & (place != F.col("kept")), "duplicate_bucket")
             .when(incomplete, "incomplete_bucket"),
         )
-        .drop("malformed", "outside", "kept")
+        .drop("malformed", "epoch", "kept")
     )
 
 

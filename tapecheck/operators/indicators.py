@@ -13,16 +13,20 @@ another, and the carried distance is added back to each row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapecheck.operators.blocks import DAILY, Layout, block_window, chunk_window, with_blocks
+from tapecheck.operators.blocks import DAILY, Layout, with_blocks
 
 # Longest run for which q^-n stays finite at the shortest smoothing period (2).
 MAX_BLOCK_ROWS = 600
 
+# State between two runs: bars so far, and distance and price of the last
+# (``d1``, ``x1``) and the last but one bar (``d2``, ``x2``).
+_STATE = "struct<off:bigint,d1:array<double>,x1:double,d2:array<double>,x2:double>"
+
 
 def check_period(period: object) -> int:
     if isinstance(period, bool) or not isinstance(period, int):
@@ -32,72 +36,43 @@ def check_period(period: object) -> int:
     return period
 
 
-def _decay(period: int) -> float:
-    return (period - 1) / (period + 1)
-
-
-def _power(base: float, exponent: Column) -> Column:
-    return F.lit(0.0) if base == 0.0 else F.pow(F.lit(base), exponent)
-
-
-_STATE_TYPE = "struct<off:bigint,d1:array<double>,x1:double,d2:array<double>,x2:double>"
+def _power(period: int, exponent: str) -> str:
+    """``q^exponent`` in SQL; a period of one keeps nothing of the past."""
+    return "0.0D" if period == 1 else f"pow({(period - 1) / (period + 1)!r}D, {exponent})"
 
 
-def _empty_state(n: int) -> Column:
-    zeros = F.array(*[F.lit(0.0) for _ in range(n)])
-    return F.struct(
-        F.lit(0).cast("bigint").alias("off"),
-        zeros.alias("d1"),
-        F.lit(0.0).alias("x1"),
-        zeros.alias("d2"),
-        F.lit(0.0).alias("x2"),
-    )
-
+def _empty_state(periods: Sequence[int]) -> str:
+    zeros = "array(" + ", ".join("0.0D" for _ in periods) + ")"
+    return f"named_struct('off', 0L, 'd1', {zeros}, 'x1', 0.0D, 'd2', {zeros}, 'x2', 0.0D)"
 
-def _entry(state: Column, run: Column, i: int) -> Column:
-    """Distance with which a run starts, corrected for the jump into it."""
-    return F.when(state["off"] == 0, F.lit(0.0)).otherwise(
-        state["d1"][i] + run["first_x"] - state["x1"]
-    )
 
+def _advance(periods: Sequence[int], state: str) -> str:
+    """State after ``run``, in SQL.
 
-def _advance(state: Column, run: Column, decays: Sequence[float]) -> Column:
-    """State after ``run``; ``d2``/``x2`` belong to the last but one bar."""
-    single = run["n"] < 2
-    d1 = [
-        _power(q, run["n"]) * _entry(state, run, i) + run["b1"][i] for i, q in enumerate(decays)
-    ]
-    d2 = [
-        F.when(single, state["d1"][i]).otherwise(
-            _power(q, run["n"] - 1) * _entry(state, run, i) + run["b2"][i]
-        )
-        for i, q in enumerate(decays)
-    ]
-    return F.struct(
-        (state["off"] + run["n"]).cast("bigint").alias("off"),
-        F.array(*d1).alias("d1"),
-        run["last_x"].alias("x1"),
-        F.array(*d2).alias("d2"),
-        F.when(single, state["x1"]).otherwise(run["prev_x"]).alias("x2"),
+    A run starts with the carried distance corrected for the price jump into it.
+    """
+    d1, d2 = [], []
+    for i, p in enumerate(periods):
+        start = f"if({state}.off = 0, 0.0D, {state}.d1[{i}] + run.first_x - {state}.x1)"
+        d1.append(f"{_power(p, 'run.n')} * {start} + run.b1[{i}]")
+        d2.append(f"if(run.n < 2, {state}.d1[{i}], {_power(p, 'run.n - 1')} * {start} + run.b2[{i}])")
+    return (
+        f"named_struct('off', {state}.off + run.n, 'd1', array({', '.join(d1)}), 'x1', run.last_x, "
+        f"'d2', array({', '.join(d2)}), 'x2', if(run.n < 2, {state}.x1, run.prev_x))"
     )
 
 
-def _final_state(runs: Column, start: Column, decays: Sequence[float]) -> Column:
-    return F.aggregate(runs, start, lambda acc, run: _advance(acc, run, decays))
+def _final_state(runs: str, periods: Sequence[int]) -> Column:
+    return F.expr(f"aggregate({runs}, {_empty_state(periods)}, (acc, run) -> {_advance(periods, 'acc')})")
 
 
-def _states_before(runs: Column, start: Column, decays: Sequence[float]) -> Column:
+def _states_before(runs: str, start: str, periods: Sequence[int]) -> Column:
     """For every run of an ordered array, the state it starts from."""
-    empty = F.expr(f"cast(array() as array<{_STATE_TYPE}>)")
-    walked = F.aggregate(
-        runs,
-        F.struct(empty.alias("seen"), start.alias("now")),
-        lambda acc, run: F.struct(
-            F.concat(acc["seen"], F.array(acc["now"])).alias("seen"),
-            _advance(acc["now"], run, decays).alias("now"),
-        ),
+    return F.expr(
+        f"aggregate({runs}, named_struct('seen', cast(array() as array<{_STATE}>), 'now', {start}), "
+        f"(acc, run) -> named_struct('seen', concat(acc.seen, array(acc.now)), "
+        f"'now', {_advance(periods, 'acc.now')}), acc -> acc.seen)"
     )
-    return walked["seen"]
 
 
 def ema_panel(
@@ -105,123 +80,109 @@ def ema_panel(
     periods: Sequence[int],
     keys: Sequence[str] = ("symbol",),
     layout: Layout = DAILY,
+    on_entry: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Rows with the distances of every period and the two bars before a chunk.
+    """Rows with ``idx`` (position in the series), ``gap`` (array of ``close - ema``
+    per period) and ``prev_close``.
 
-    Adds ``idx`` (position in the series), ``gap`` (array of ``close - ema``),
-    ``prev_close`` and ``head`` (state carried into the chunk, on its first two rows).
+    ``on_entry`` maps column names to SQL over ``entry``, the state a chunk starts
+    from; they are evaluated once per chunk and attached to its rows, together
+    with ``r``, the row's place in its chunk.
     """
     keys = list(keys)
-    decays = [_decay(check_period(p)) for p in periods]
-    series, run_of = chunk_window(keys), block_window(keys)
-
+    for p in periods:
+        check_period(p)
+    part = ", ".join(f"`{k}`" for k in [*keys, "chunk"])
+    series = f"OVER (PARTITION BY {part} ORDER BY blk, ts)"
+    by_block = f"OVER (PARTITION BY {part} ORDER BY blk)"
+    run_of = f"OVER (PARTITION BY {part}, blk ORDER BY ts)"
+    to_here = f"OVER (PARTITION BY {part}, blk ORDER BY ts ROWS UNBOUNDED PRECEDING)"
     carried = [c for c in bars.columns if c not in keys]
-    rows = with_blocks(bars, layout).repartition(*keys, "chunk")
-    rows = (
-        rows.withColumn("k", F.row_number().over(run_of) - 1)
-        .withColumn("step", F.col("close") - F.lag("close").over(run_of))
-        .withColumn("first_x", F.first("close").over(run_of))
-        .withColumn("r", F.row_number().over(series))
-        .withColumn("pos", F.dense_rank().over(_by_block(keys)))
-        .withColumn("last_in_run", F.lead("ts").over(run_of).isNull())
-    )
+
     local = [
-        F.lit(0.0)
-        if q == 0.0
-        else _power(q, F.col("k"))
-        * F.coalesce(
-            F.sum(F.lit(q) * F.col("step") * _power(q, -F.col("k"))).over(run_of), F.lit(0.0)
-        )
-        for q in decays
+        "0.0D"
+        if p == 1
+        else f"{_power(p, 'k')} * coalesce(sum({_power(p, '1 - k')} * step) {to_here}, 0.0D)"
+        for p in periods
     ]
-    rows = rows.withColumn("b", F.array(*local))
+    # The joins below would drop rows without a key or a time anyway. Saying so
+    # first gives every branch the same filter, so that they share one exchange.
+    present = " and ".join(f"`{k}` is not null" for k in [*keys, "chunk"])
+    rows = (
+        with_blocks(bars, layout)
+        .where(present)
+        .repartition(*keys, "chunk")
+        .withColumns(
+            {
+                "k": F.expr(f"row_number() {run_of} - 1"),
+                "r": F.expr(f"row_number() {series}"),
+                "pos": F.expr(f"dense_rank() {by_block}"),
+                "step": F.expr(f"close - lag(close) {run_of}"),
+                "first_x": F.expr(f"first(close) {run_of}"),
+                "run_end": F.expr(f"lead(ts) {run_of} is null"),
+                "lag_close": F.expr(f"lag(close) {series}"),
+            }
+        )
+        .withColumn("b", F.expr(f"array({', '.join(local)})"))
+    )
 
+    # The row struct is not used by the fold: with it both branches of the join
+    # below read the same columns, so the planner shuffles the bars once and
+    # reuses the exchange.
+    item = (
+        f"struct(blk, n, first_x, close AS last_x, x_prev AS prev_x, b AS b1, b_prev AS b2, "
+        f"struct({', '.join(f'`{c}`' for c in carried)}) AS row)"
+    )
+    too_long = "raise_error('more bars in a block than the layout allows; lower bar_seconds')"
     runs = (
-        rows.withColumn("b_prev", F.lag("b").over(run_of))
-        .withColumn("x_prev", F.lag("close").over(run_of))
-        .where("last_in_run")
-        .withColumn("n", _bounded(F.col("k") + 1))
-        .groupBy(*keys, "chunk")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "blk",
-                        "n",
-                        "first_x",
-                        F.col("close").alias("last_x"),
-                        F.col("x_prev").alias("prev_x"),
-                        F.col("b").alias("b1"),
-                        F.col("b_prev").alias("b2"),
-                        # Not used by the fold: with it both branches of the
-                        # join below read the same columns, so the planner
-                        # shuffles the bars once and reuses the exchange.
-                        F.struct(*carried).alias("row"),
-                    )
-                )
-            ).alias("runs")
+        rows.withColumns(
+            {"b_prev": F.expr(f"lag(b) {run_of}"), "x_prev": F.expr(f"lag(close) {run_of}")}
         )
+        .where("run_end")
+        .withColumn("n", F.expr(f"if(k < {MAX_BLOCK_ROWS}, k + 1, cast({too_long} as int))"))
+        .groupBy(*keys, "chunk")
+        .agg(F.expr(f"array_sort(collect_list({item})) AS runs"))
     )
-    # One summary row per chunk, composed as if the chunk started the series.
-    done = _final_state(F.col("runs"), _empty_state(len(decays)), decays)
-    chunks = runs.withColumn("done", done).select(
+    # One summary per chunk, composed as if the chunk started the series.
+    chunks = runs.withColumn("done", _final_state("runs", periods)).select(
         *keys,
-        F.struct(
-            "chunk",
-            F.col("done.off").alias("n"),
-            F.col("runs")[0]["first_x"].alias("first_x"),
-            F.col("done.x1").alias("last_x"),
-            F.col("done.x2").alias("prev_x"),
-            F.col("done.d1").alias("b1"),
-            F.col("done.d2").alias("b2"),
-        ).alias("item"),
+        F.expr(
+            "struct(chunk, done.off AS n, runs[0].first_x AS first_x, done.x1 AS last_x, "
+            "done.x2 AS prev_x, done.d1 AS b1, done.d2 AS b2) AS item"
+        ),
     )
     starts = (
         chunks.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-        .withColumn(
-            "start", _states_before(F.col("items"), _empty_state(len(decays)), decays)
-        )
-        .select(*keys, F.explode(F.arrays_zip(F.col("items.chunk").alias("chunk"), "start")).alias("z"))
-        .select(*keys, F.col("z.chunk").alias("chunk"), F.col("z.start").alias("start"))
+        .agg(F.expr("array_sort(collect_list(item)) AS items"))
+        .withColumn("start", _states_before("items", _empty_state(periods), periods))
+        .selectExpr(*[f"`{k}`" for k in keys], "inline(arrays_zip(items.chunk, start)) AS (chunk, entry)")
     )
+    on_entry = dict(on_entry or {})
     carries = runs.join(starts, [*keys, "chunk"]).select(
-        *keys, "chunk", _states_before(F.col("runs"), F.col("start"), decays).alias("states")
+        *keys,
+        "chunk",
+        _states_before("runs", "entry", periods).alias("states"),
+        *[F.expr(f"{sql} AS {name}") for name, sql in on_entry.items()],
     )
 
-    joined = rows.join(carries, [*keys, "chunk"]).withColumn(
-        "state", F.element_at("states", F.col("pos"))
-    )
     gaps = [
-        _power(q, F.col("k") + 1)
-        * F.when(F.col("state.off") == 0, F.lit(0.0)).otherwise(
-            F.col("state.d1")[i] + F.col("first_x") - F.col("state.x1")
-        )
-        + F.col("b")[i]
-        for i, q in enumerate(decays)
+        f"{_power(p, 'k + 1')} * if(state.off = 0, 0.0D, state.d1[{i}] + first_x - state.x1) + b[{i}]"
+        for i, p in enumerate(periods)
     ]
     return (
-        joined.withColumn("idx", F.col("state.off") + F.col("k"))
-        .withColumn("gap", F.array(*gaps))
-        .withColumn("head", F.when(F.col("r") <= 2, F.col("states")[0]))
-        .withColumn(
-            "prev_close",
-            F.coalesce(
-                F.lag("close").over(series),
-                F.when(F.col("idx") > 0, F.col("state.x1")),
-            ),
+        rows.join(carries, [*keys, "chunk"])
+        .withColumn("state", F.expr("element_at(states, pos)"))
+        .select(
+            *keys,
+            "chunk",
+            "blk",
+            *carried,
+            "r",
+            F.expr("state.off + k AS idx"),
+            F.expr(f"array({', '.join(gaps)}) AS gap"),
+            F.expr("coalesce(lag_close, if(state.off > 0, state.x1, NULL)) AS prev_close"),
+            *on_entry,
         )
-        .drop("k", "r", "step", "first_x", "pos", "last_in_run", "b", "states", "state")
-    )
-
-
-def _by_block(keys: Sequence[str]):
-    return Window.partitionBy(*keys, "chunk").orderBy("blk")
-
-
-def _bounded(n: Column) -> Column:
-    return F.when(n <= MAX_BLOCK_ROWS, n).otherwise(
-        F.raise_error(F.lit("more bars in a block than the layout allows; lower bar_seconds")).cast("int")
     )
 
 

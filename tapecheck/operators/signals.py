@@ -9,7 +9,6 @@ close) and of the bar before that (``ptgt``). A fill happens where they differ.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,12 +51,15 @@ def _periods(grid: Sequence[Cell]) -> list[int]:
     return sorted({p for cell in grid for p in cell})
 
 
-def _mask(grid: Sequence[Cell], is_long) -> Column:
+def _mask(grid: Sequence[Cell], price: str, gap: str, idx: str) -> str:
+    """Bits of the cells that are long at one bar, in SQL."""
+    periods = _periods(grid)
     bits = [
-        F.when(is_long(fast, slow), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+        f"if({idx} >= {slow - 1} and {price} - {gap}[{periods.index(fast)}] > "
+        f"{price} - {gap}[{periods.index(slow)}], {1 << i}L, 0L)"
         for i, (fast, slow) in enumerate(grid)
     ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return " | ".join(bits)
 
 
 def signal_panel(
@@ -76,27 +78,19 @@ def signal_panel(
     if len(grid) > MAX_CELLS:
         raise ValueError(f"{len(grid)} cells exceed the cap {MAX_CELLS}")
     keys = list(keys)
-    periods = _periods(grid)
-    rows = ema_panel(bars.select(*keys, "ts", "open", "close"), periods, keys, layout)
-
-    def at(price: Column, gaps: Column, idx: Column) -> Column:
-        def is_long(fast: int, slow: int) -> Column:
-            f = price - gaps[periods.index(fast)]
-            s = price - gaps[periods.index(slow)]
-            return (idx >= slow - 1) & (f > s)
-
-        return _mask(grid, is_long)
-
-    head = F.col("head")
-    one_back = at(head["x1"], head["d1"], head["off"] - 1)
-    two_back = at(head["x2"], head["d2"], head["off"] - 2)
+    before = {
+        "one_back": _mask(grid, "entry.x1", "entry.d1", "entry.off - 1"),
+        "two_back": _mask(grid, "entry.x2", "entry.d2", "entry.off - 2"),
+    }
+    rows = ema_panel(bars.select(*keys, "ts", "open", "close"), _periods(grid), keys, layout, before)
     series = chunk_window(keys)
-    rows = (
-        rows.withColumn("sig", at(F.col("close"), F.col("gap"), F.col("idx")))
-        .withColumn("lag1", F.lag("sig", 1).over(series))
-        .withColumn("lag2", F.lag("sig", 2).over(series))
-        .withColumn("tgt", F.coalesce("lag1", one_back))
-        .withColumn("ptgt", F.coalesce("lag2", F.when(F.col("lag1").isNull(), two_back).otherwise(one_back)))
+    rows = rows.withColumn("sig", F.expr(_mask(grid, "close", "gap", "idx"))).withColumns(
+        {
+            "tgt": F.coalesce(F.lag("sig", 1).over(series), "one_back"),
+            "ptgt": F.coalesce(
+                F.lag("sig", 2).over(series), F.expr("if(r = 1, two_back, one_back)")
+            ),
+        }
     )
     return rows.select(
         *keys, "chunk", "blk", "ts", "open", "close", "prev_close", "idx", "sig", "tgt", "ptgt"
