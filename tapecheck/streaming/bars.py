@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapecheck.constants import DAY_SECONDS
+from tapecheck.operators.blocks import epoch_seconds
+
+
+def ohlcv() -> list[Column]:
+    return [
+        F.min_by("px", "seq").alias("open"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max_by("px", "seq").alias("close"),
+        F.sum("qty").alias("volume"),
+    ]
+
 
 def bars_from_ticks(ticks: DataFrame, bucket: str = "DAY") -> DataFrame:
     """OHLCV bars from ``symbol, ts, px, qty, seq``.
@@ -14,33 +27,23 @@ def bars_from_ticks(ticks: DataFrame, bucket: str = "DAY") -> DataFrame:
     partial form, so ticks are reduced before anything is shuffled and a symbol
     that holds most of the ticks costs no more than any other.
     """
-    return (
-        ticks.groupBy("symbol", F.date_trunc(bucket, "ts").cast("timestamp_ntz").alias("ts"))
-        .agg(
-            F.min_by("px", "seq").alias("open"),
-            F.max("px").alias("high"),
-            F.min("px").alias("low"),
-            F.max_by("px", "seq").alias("close"),
-            F.sum("qty").alias("volume"),
-        )
-    )
+    start = F.date_trunc(bucket, "ts").cast("timestamp_ntz").alias("ts")
+    return ticks.groupBy("symbol", start).agg(*ohlcv())
 
 
 def closed_bars_stream(ticks: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     """Streaming form: a bar comes out once its day is over.
 
     In append mode a day is emitted when the watermark (newest tick time minus
-    ``lateness``) has passed its end, and it is never revised afterwards.
+    ``lateness``) has passed its end, and it is never revised afterwards. The
+    watermark needs an instant; it is taken from the zone-free time as if in
+    UTC, and turned back the same way, so the session's zone plays no part.
     """
+    day = F.date_from_unix_date((F.unix_seconds("bucket.start") / DAY_SECONDS).cast("int"))
     return (
-        ticks.withWatermark("ts", lateness)
-        .groupBy("symbol", F.window("ts", "1 day").alias("bucket"))
-        .agg(
-            F.min_by("px", "seq").alias("open"),
-            F.max("px").alias("high"),
-            F.min("px").alias("low"),
-            F.max_by("px", "seq").alias("close"),
-            F.sum("qty").alias("volume"),
-        )
-        .select("symbol", F.col("bucket.start").alias("ts"), "open", "high", "low", "close", "volume")
+        ticks.withColumn("instant", F.timestamp_seconds(epoch_seconds(F.col("ts"))))
+        .withWatermark("instant", lateness)
+        .groupBy("symbol", F.window("instant", "1 day").alias("bucket"))
+        .agg(*ohlcv())
+        .select("symbol", day.cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
     )
