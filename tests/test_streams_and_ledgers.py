@@ -10,7 +10,7 @@ TICKS = "symbol string, ts timestamp_ntz, px double, qty double, seq struct<t:ti
 def _ticks(spark):
     rows = spark.range(400).select(
         F.when(F.col("id") % 3 == 0, "B").otherwise("A").alias("symbol"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_interval(0,0,0,0,0,id * 900)")).alias("ts"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_interval(0,0,0,0,0,id * 15)")).alias("ts"),
         (100 + F.col("id") % 17 * 1.5).alias("px"), F.lit(2.0).alias("qty"), F.col("id").cast("int").alias("i"),
     )
     return rows.select("symbol", "ts", "px", "qty", F.struct(F.col("ts").alias("t"), "i").alias("seq"))
