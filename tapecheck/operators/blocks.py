@@ -22,11 +22,14 @@ from tapecheck.constants import DAY_SECONDS
 
 @dataclass(frozen=True)
 class Layout:
-    """Bar spacing and the number of bar slots per block and per chunk."""
+    """Bar spacing and the number of bar slots per block and per chunk.
+
+    The default chunk has 4096 slots, which window operators buffer in memory.
+    """
 
     bar_seconds: int = DAY_SECONDS
-    block_bars: int = 64
-    chunk_blocks: int = 128
+    block_bars: int = 256
+    chunk_blocks: int = 16
 
     @property
     def block_seconds(self) -> int:

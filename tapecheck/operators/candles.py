@@ -64,20 +64,24 @@ def decode_candles(raw: DataFrame) -> DataFrame:
     """
     rows = raw.withColumn("epoch", epoch(F.col("start"))).withColumn("malformed", malformed())
     ts = F.when(F.col("malformed").isNull(), bucket(F.col("epoch")))
-    rows = rows.withColumn("ts", ts)
-    inside = F.col("ts").cast("date").between(F.col("first_day"), F.col("last_day"))
-    # One number instead of a struct keeps the aggregation hash-based.
+    # Rows without a bucket match nothing; they get keys of their own so that
+    # many of them do not meet in one partition of the join.
     place = F.col("page_no").cast("bigint") * (1 << 32) + F.col("pos")
+    apart = -1 - F.pmod(F.xxhash64("page_no", "pos"), F.lit(1 << 20))
+    rows = rows.withColumn("ts", ts).withColumn(
+        "slot", F.when(F.col("ts").isNotNull(), F.col("epoch")).otherwise(apart)
+    )
+    inside = F.col("ts").cast("date").between(F.col("first_day"), F.col("last_day"))
     repeated = (
         rows.where(inside)
-        .groupBy("product", "ts")
+        .groupBy("product", "slot")
         .agg(F.count("*").alias("copies"), F.min(place).alias("kept"))
         .where("copies > 1")
-        .select("product", "ts", "kept")
+        .select("product", "slot", "kept")
     )
     incomplete = F.col("ts") + F.expr("INTERVAL 1 DAY") > F.col("now")
     return (
-        rows.join(repeated, ["product", "ts"], "left")
+        rows.join(repeated, ["product", "slot"], "left")
         .withColumn(
             "reject",
             F.when(F.col("malformed").isNotNull(), F.concat(F.lit("malformed:"), "malformed"))
@@ -85,7 +89,7 @@ def decode_candles(raw: DataFrame) -> DataFrame:
             .when(F.col("kept").isNotNull() & (place != F.col("kept")), "duplicate_bucket")
             .when(incomplete, "incomplete_bucket"),
         )
-        .drop("malformed", "epoch", "kept")
+        .drop("malformed", "epoch", "kept", "slot")
     )
 
 

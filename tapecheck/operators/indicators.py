@@ -142,6 +142,9 @@ def ema_panel(
         .withColumn("n", F.expr(f"if(k < {MAX_BLOCK_ROWS}, k + 1, cast({too_long} as int))"))
         .groupBy(*keys, "chunk")
         .agg(F.expr(f"array_sort(collect_list({item})) AS runs"))
+        # These few rows are used twice; an exchange of their own lets both uses
+        # share one scan, and the modulus spreads the chunks of a long series.
+        .repartition(*keys, F.pmod("chunk", F.lit(64)))
     )
     # One summary per chunk, composed as if the chunk started the series.
     chunks = runs.withColumn("done", _final_state("runs", periods)).select(

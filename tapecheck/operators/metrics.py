@@ -170,12 +170,19 @@ def window_metrics(
     value and ``empty_window`` where it has no bars; such rows are kept.
     """
     keys = list(keys)
-    rows = curve.withColumn("window", window_name(windows)).where("window is not null")
-    stats = _summaries(rows, [*keys, "window"])
-    wanted = curve.select(*keys).distinct().select("*", F.inline(window_array(windows)))
+    # Rows outside all windows are kept as one more group, so that every run is
+    # present and the (large) curve is read once.
+    stats = _summaries(curve.withColumn("window", window_name(windows)), [*keys, "window"])
+    fields = [c for c in stats.columns if c not in (*keys, "window")]
+    found = stats.groupBy(*keys).agg(F.collect_list(F.struct("window", *fields)).alias("found"))
+    placed = found.select(*keys, "found", F.inline(window_array(windows))).select(
+        *keys,
+        "window",
+        F.get(F.filter("found", lambda s: s["window"] == F.col("window")), F.lit(0)).alias("s"),
+    )
     counts = trip_counts(trips, windows, keys)
     return (
-        wanted.join(stats, [*keys, "window"], "left")
+        placed.select(*keys, "window", *[F.col("s")[c].alias(c) for c in fields])
         .join(counts, [*keys, "window"], "left")
         .select(
             *keys,
@@ -244,17 +251,20 @@ def aggregate_metrics(
     """
     keys = list(keys)
     start, end, years = windows[0].start, windows[-1].end, len(windows)
-    stats = _summaries(curve.where(within(F.col("ts"), start, end)), keys)
+    # As in window_metrics: rows outside the range only keep their run present.
+    stats = _summaries(curve.withColumn("inside", within(F.col("ts"), start, end)), [*keys, "inside"])
+    fields = [c for c in stats.columns if c not in (*keys, "inside")]
+    stats = stats.groupBy(*keys).agg(
+        F.max(F.when(F.col("inside"), F.struct(*fields))).alias("s")
+    ).select(*keys, *[F.col("s")[c].alias(c) for c in fields])
     eligible = eligible_round_trips(trips, start, end)
-    zero_trips = curve.select(*keys).distinct()
     quality = trip_quality(eligible, keys)
     burn_in = burn_in_round_trips(trips, start).groupBy(*keys).agg(F.count("*").alias("burn_in"))
     still_open = open_positions.select(*keys).distinct().withColumn("still_open", F.lit(True))
     growth = F.col("end_equity") / F.col("start_equity")
     few = F.lit("insufficient_sample")
     return (
-        zero_trips.join(stats, keys, "left")
-        .join(quality, keys, "left")
+        stats.join(quality, keys, "left")
         .join(burn_in, keys, "left")
         .join(still_open, keys, "left")
         .select(
