@@ -14,7 +14,7 @@ import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapecheck.constants import DAY_SECONDS
@@ -75,22 +75,27 @@ def before_chunk(keys: Sequence[str]):
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediates that ``spark.checkpoint.dir`` names.
+
+    Only a local session (tests) may do without and gets a private one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read, and cut its lineage.
 
-    Uses a reliable checkpoint in the folder named by ``spark.checkpoint.dir``,
-    so a lost executor costs a re-read and not a recomputation. Only when the
-    session names no folder (local tests) a private one is set.
+    A reliable checkpoint: a lost executor costs a re-read and not a recomputation.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

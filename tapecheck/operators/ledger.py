@@ -167,8 +167,8 @@ def equity_curve(
     """Cash, units, position value and equity at every close, per run.
 
     ``prev_equity`` is the equity at the previous close, NULL on the first bar.
-    The carried growth joins on the panel's own partitioning, before runs are
-    laid out, so the (large) curve itself is never shuffled.
+    The carried growth is joined by chunk before runs are laid out: what may be
+    exchanged is the narrow panel, never the curve with its row per bar and run.
     """
     keys = list(keys)
     rows = panel.join(_carried(panel, book, keys), [*keys, "chunk"]).select(

@@ -204,7 +204,7 @@ def equity_before(
 
 def completed_buckets(bars: DataFrame, now: Column) -> DataFrame:
     """Daily buckets that have ended by ``now``; starts must be midnights."""
-    midnight = F.date_trunc("DAY", "ts").cast("timestamp_ntz") == F.col("ts")
+    midnight = F.col("ts").cast("date").cast("timestamp_ntz") == F.col("ts")
     checked = F.when(midnight, F.col("ts")).otherwise(
         F.raise_error(F.lit("bucket start is not a midnight")).cast("timestamp_ntz")
     )
@@ -212,7 +212,7 @@ def completed_buckets(bars: DataFrame, now: Column) -> DataFrame:
 
 
 def last_completed_bucket(now: Column) -> Column:
-    return F.date_trunc("DAY", now).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
+    return now.cast("date").cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
 
 
 def plan_windows(

@@ -6,7 +6,6 @@ places, money to 4) so that results can be compared by value.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +32,7 @@ from tapecheck.operators import (
     signals,
     timeline,
 )
-from tapecheck.operators.blocks import materialize
+from tapecheck.operators.blocks import materialize, shared_folder
 from tapecheck.plans import workload as w
 from tapecheck.sources import bars as bar_tables
 from tapecheck.sources import catalog as catalogs
@@ -53,11 +52,8 @@ def _round(df: DataFrame, ratios: str = "", money: str = "") -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a table that a query writes and reads back."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _bars(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,16 +19,16 @@ def ohlcv() -> list[Column]:
     ]
 
 
-def bars_from_ticks(ticks: DataFrame, bucket: str = "DAY") -> DataFrame:
-    """OHLCV bars from ``symbol, ts, px, qty, seq``.
+def bars_from_ticks(ticks: DataFrame) -> DataFrame:
+    """Daily OHLCV bars from ``symbol, ts, px, qty, seq``.
 
-    ``seq`` is any orderable value that is unique within a symbol and bucket;
+    ``seq`` is any orderable value that is unique within a symbol and day;
     it decides which tick opens and which closes the bar. Every aggregate has a
     partial form, so ticks are reduced before anything is shuffled and a symbol
     that holds most of the ticks costs no more than any other.
     """
-    start = F.date_trunc(bucket, "ts").cast("timestamp_ntz").alias("ts")
-    return ticks.groupBy("symbol", start).agg(*ohlcv())
+    day = F.col("ts").cast("date").cast("timestamp_ntz").alias("ts")
+    return ticks.groupBy("symbol", day).agg(*ohlcv())
 
 
 def closed_bars_stream(ticks: DataFrame, lateness: str = "0 seconds") -> DataFrame:
