@@ -66,15 +66,6 @@ def block_window(keys: Sequence[str]):
     return Window.partitionBy(*keys, "chunk", "blk").orderBy("ts")
 
 
-def before_chunk(keys: Sequence[str]):
-    """All earlier chunks of the same series, on a chunk summary table."""
-    return (
-        Window.partitionBy(*keys)
-        .orderBy("chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediates that ``spark.checkpoint.dir`` names.
 
@@ -99,13 +90,56 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Chunks per span: summaries of a series are combined span by span, and only the
+# spans of a series (one per some four million bars) meet in one place.
+SPAN_CHUNKS = 1024
+
+
+def span() -> Column:
+    return F.floor(F.col("chunk") / F.lit(SPAN_CHUNKS))
+
+
 _RUNNING = {
-    "sum": (F.sum, lambda inside, carry: inside + F.coalesce(carry, F.lit(0))),
-    "product": (F.product, lambda inside, carry: inside * F.coalesce(carry, F.lit(1.0))),
-    "max": (F.max, lambda inside, carry: F.greatest(inside, carry)),
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "product": (F.product, lambda a, b: F.coalesce(a, F.lit(1.0)) * F.coalesce(b, F.lit(1.0))),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
 }
 
 
+def with_earlier(
+    totals: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, Column]]
+) -> DataFrame:
+    """Add, per chunk summary, the total of all earlier chunks of its series.
+
+    ``wanted`` maps names to ``(sum | product | max, value)``. Without earlier
+    chunks a sum is 0, a product is 1 and a maximum is NULL.
+    """
+    keys = list(keys)
+    rows = totals.withColumns({"__span": span(), **{f"__{n}": v for n, (_, v) in wanted.items()}})
+
+    def earlier(parts: Sequence[str], order: str):
+        return Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    fn = {n: _RUNNING[how][0] for n, (how, _) in wanted.items()}
+    in_span = rows.withColumns(
+        {f"__in_{n}": f(F.col(f"__{n}")).over(earlier([*keys, "__span"], "chunk")) for n, f in fn.items()}
+    )
+    spans = (
+        rows.groupBy(*keys, "__span")
+        .agg(*[f(F.col(f"__{n}")).alias(f"__{n}") for n, f in fn.items()])
+        .select(
+            *keys,
+            "__span",
+            *[f(F.col(f"__{n}")).over(earlier(keys, "__span")).alias(f"__out_{n}") for n, f in fn.items()],
+        )
+    )
+    merged = {
+        n: _RUNNING[how][1](F.col(f"__in_{n}"), F.col(f"__out_{n}")) for n, (how, _) in wanted.items()
+    }
+    scratch = ["__span", *[f"__{k}{n}" for n in wanted for k in ("", "in_", "out_")]]
+    return in_span.join(spans, [*keys, "__span"]).withColumns(merged).drop(*scratch)
+
+
 def running(
     rows: DataFrame,
     keys: Sequence[str],
@@ -125,12 +159,11 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    totals = rows.groupBy(*keys, "chunk").agg(*[total(v).alias(n) for n, v in values.items()])
-    carries = totals.select(
-        *keys, "chunk", *[total(n).over(before_chunk(keys)).alias(f"__{n}") for n in values]
-    )
+    totals = rows.groupBy(*keys, "chunk").agg(*[total(v).alias(f"t_{n}") for n, v in values.items()])
+    carries = with_earlier(totals, keys, {f"c_{n}": (how, F.col(f"t_{n}")) for n in values})
+    carries = carries.select(*keys, "chunk", *[f"c_{n}" for n in values])
     scanned = rows.withColumns({n: total(v).over(inside) for n, v in values.items()})
     joined = scanned.join(carries, [*keys, "chunk"])
-    return joined.withColumns({n: merge(F.col(n), F.col(f"__{n}")) for n in values}).drop(
-        *[f"__{n}" for n in values]
+    return joined.withColumns({n: merge(F.col(n), F.col(f"c_{n}")) for n in values}).drop(
+        *[f"c_{n}" for n in values]
     )

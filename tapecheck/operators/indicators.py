@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapecheck.operators.blocks import DAILY, Layout, with_blocks
+from tapecheck.operators.blocks import DAILY, Layout, span, with_blocks
 
 # Longest run for which q^-n stays finite at the shortest smoothing period (2).
 MAX_BLOCK_ROWS = 600
@@ -146,19 +146,30 @@ def ema_panel(
         # share one scan, and the modulus spreads the chunks of a long series.
         .repartition(*keys, F.pmod("chunk", F.lit(64)))
     )
-    # One summary per chunk, composed as if the chunk started the series.
+    # Chunks are composed as if each started the series, then spans of chunks;
+    # walking the spans of a series and the chunks of a span gives every chunk
+    # the state it really starts from.
+    composed = (
+        "struct({order}, done.off AS n, {runs}[0].first_x AS first_x, done.x1 AS last_x, "
+        "done.x2 AS prev_x, done.d1 AS b1, done.d2 AS b2) AS item"
+    )
     chunks = runs.withColumn("done", _final_state("runs", periods)).select(
-        *keys,
-        F.expr(
-            "struct(chunk, done.off AS n, runs[0].first_x AS first_x, done.x1 AS last_x, "
-            "done.x2 AS prev_x, done.d1 AS b1, done.d2 AS b2) AS item"
-        ),
+        *keys, span().alias("span"), F.expr(composed.format(order="chunk", runs="runs"))
     )
-    starts = (
-        chunks.groupBy(*keys)
+    spans = chunks.groupBy(*keys, "span").agg(F.expr("array_sort(collect_list(item)) AS items"))
+    quoted = [f"`{k}`" for k in keys]
+    span_starts = (
+        spans.withColumn("done", _final_state("items", periods))
+        .select(*keys, F.expr(composed.format(order="span", runs="items")))
+        .groupBy(*keys)
         .agg(F.expr("array_sort(collect_list(item)) AS items"))
         .withColumn("start", _states_before("items", _empty_state(periods), periods))
-        .selectExpr(*[f"`{k}`" for k in keys], "inline(arrays_zip(items.chunk, start)) AS (chunk, entry)")
+        .selectExpr(*quoted, "inline(arrays_zip(items.span, start)) AS (span, start)")
+    )
+    starts = (
+        spans.join(span_starts, [*keys, "span"])
+        .withColumn("entry", _states_before("items", "start", periods))
+        .selectExpr(*quoted, "inline(arrays_zip(items.chunk, entry)) AS (chunk, entry)")
     )
     on_entry = dict(on_entry or {})
     carries = runs.join(starts, [*keys, "chunk"]).select(

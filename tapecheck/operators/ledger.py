@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapecheck.constants import COST_SCENARIOS, INITIAL_CASH, QUANTITY_TOLERANCE
-from tapecheck.operators.blocks import DAILY, Layout, before_chunk, running, with_blocks
+from tapecheck.operators.blocks import DAILY, Layout, running, with_blocks, with_earlier
 from tapecheck.operators.signals import Cell, positions
 
 RUN_KEYS = ("fast", "slow", "scenario")
@@ -150,13 +150,13 @@ def _carried(panel: DataFrame, book: Sequence[Run], keys: Sequence[str]) -> Data
     of_run = [*keys, "run"]
     totals = fills(panel, book, keys).groupBy(*of_run, "chunk").agg(F.product("factor").alias("p"))
     chunks = panel.select(*keys, "chunk").distinct()
-    grown = F.coalesce(F.product("p").over(before_chunk(of_run)), F.lit(1.0))
     laid_out = chunks.select("*", F.inline(book_rows(book)))
     run_columns = [c for c in laid_out.columns if c not in (*keys, "chunk")]
+    grown = with_earlier(
+        laid_out.join(totals, [*of_run, "chunk"], "left"), of_run, {"carry": ("product", F.col("p"))}
+    )
     return (
-        laid_out.join(totals, [*of_run, "chunk"], "left")
-        .withColumn("carry", grown)
-        .groupBy(*keys, "chunk")
+        grown.groupBy(*keys, "chunk")
         .agg(F.collect_list(F.struct(*run_columns, "carry")).alias("book"))
     )
 

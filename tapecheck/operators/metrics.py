@@ -14,7 +14,7 @@ from tapecheck.constants import (
     PERIODS_PER_YEAR,
 )
 from tapecheck.functions.gates import gated
-from tapecheck.operators.blocks import before_chunk, epoch_seconds, running
+from tapecheck.operators.blocks import epoch_seconds, running, span
 from tapecheck.operators.ledger import RUN_KEYS
 from tapecheck.operators.timeline import Period, stamp, window_array, window_name, within
 
@@ -36,12 +36,43 @@ def drawdown_curve(curve: DataFrame, keys: Sequence[str] = CURVE_KEYS) -> DataFr
     )
 
 
+def _merged(parts: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """Merge consecutive summaries of a group into one of the same form.
+
+    Moments are merged around the common mean; a drawdown that spans parts is
+    the lowest equity of a part against the highest equity before it.
+    """
+    everything = Window.partitionBy(*group)
+    earlier = everything.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    mean = F.coalesce("mean", F.lit(0.0))
+    rows = parts.withColumns(
+        {
+            "common": F.sum(F.col("n") * mean).over(everything) / F.sum("n").over(everything),
+            "high_before": F.max("high").over(earlier),
+        }
+    )
+    spread = F.col("m2") + F.col("n") * F.pow(mean - F.coalesce("common", F.lit(0.0)), F.lit(2.0))
+    return rows.groupBy(*group).agg(
+        F.sum("bars").alias("bars"),
+        F.sum("n").alias("n"),
+        F.first("common").alias("mean"),
+        F.sum(spread).alias("m2"),
+        F.min("ret_min").alias("ret_min"),
+        F.max("ret_max").alias("ret_max"),
+        F.sum("long_bars").alias("long_bars"),
+        F.min_by("first_prev", order).alias("first_prev"),
+        F.min_by("first_equity", order).alias("first_equity"),
+        F.max_by("last_equity", order).alias("last_equity"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.min(F.least("dd", F.col("low") / F.col("high_before") - 1)).alias("dd"),
+    )
+
+
 def _summaries(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """One mergeable summary per group: returns, exposure, ends and drawdown.
+    """One summary per group: returns, exposure, ends and drawdowns.
 
-    Each chunk is summarised on its own. Moments are merged with the usual
-    pairwise formula; a drawdown that spans chunks is the lowest equity of a
-    chunk against the highest equity before it.
+    Rows are summarised chunk by chunk, chunks span by span, spans per group.
     """
     group = list(group)
     inside = (
@@ -49,16 +80,15 @@ def _summaries(rows: DataFrame, group: Sequence[str]) -> DataFrame:
         .orderBy("blk", "ts")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    ret = F.col("equity") / F.col("prev_equity") - 1
     parts = (
         rows.withColumn("dd", F.col("equity") / F.max("equity").over(inside) - 1)
-        .withColumn("ret", ret)
+        .withColumn("ret", F.col("equity") / F.col("prev_equity") - 1)
         .groupBy(*group, "chunk")
         .agg(
             F.count("*").alias("bars"),
             F.count("ret").alias("n"),
             F.avg("ret").alias("mean"),
-            F.coalesce(F.var_pop("ret"), F.lit(0.0)).alias("var"),
+            (F.coalesce(F.var_pop("ret"), F.lit(0.0)) * F.count("ret")).alias("m2"),
             F.min("ret").alias("ret_min"),
             F.max("ret").alias("ret_max"),
             F.count_if(F.col("units") != 0).alias("long_bars"),
@@ -70,34 +100,22 @@ def _summaries(rows: DataFrame, group: Sequence[str]) -> DataFrame:
             F.min("dd").alias("dd"),
         )
     )
-    all_parts = Window.partitionBy(*group)
-    parts = (
-        parts.withColumn(
-            "grand_mean",
-            F.sum(F.col("n") * F.coalesce("mean", F.lit(0.0))).over(all_parts)
-            / F.sum("n").over(all_parts),
-        )
-        .withColumn("start_equity", F.min_by("first_prev", "chunk").over(all_parts))
-        .withColumn("high_before", F.max("high").over(before_chunk(group)))
-    )
-    spread = F.col("n") * (
-        F.col("var") + F.pow(F.coalesce("mean", F.lit(0.0)) - F.col("grand_mean"), F.lit(2.0))
-    )
-    vs_before = F.col("low") / F.col("high_before") - 1
-    vs_start = F.col("low") / F.col("start_equity") - 1
-    return parts.groupBy(*group).agg(
-        F.sum("bars").alias("bars"),
-        F.sum("n").alias("n"),
-        F.first("grand_mean").alias("mean"),
-        F.sqrt(F.sum(spread) / F.when(F.sum("n") > 1, F.sum("n") - 1)).alias("stdev"),
-        F.min("ret_min").alias("ret_min"),
-        F.max("ret_max").alias("ret_max"),
-        F.sum("long_bars").alias("long_bars"),
-        F.first("start_equity").alias("start_equity"),
-        F.min_by("first_equity", "chunk").alias("first_equity"),
-        F.max_by("last_equity", "chunk").alias("end_equity"),
-        F.min(F.least("dd", vs_before)).alias("drawdown_from_peak"),
-        F.least(F.lit(0.0), F.min(F.least("dd", vs_before, vs_start))).alias("drawdown_from_start"),
+    spans = _merged(parts.withColumn("span", span()), [*group, "span"], "chunk")
+    vs_start = F.col("low") / F.col("first_prev") - 1
+    return _merged(spans, group, "span").select(
+        *group,
+        "bars",
+        "n",
+        "mean",
+        F.sqrt(F.col("m2") / F.when(F.col("n") > 1, F.col("n") - 1)).alias("stdev"),
+        "ret_min",
+        "ret_max",
+        "long_bars",
+        F.col("first_prev").alias("start_equity"),
+        "first_equity",
+        F.col("last_equity").alias("end_equity"),
+        F.col("dd").alias("drawdown_from_peak"),
+        F.least(F.lit(0.0), "dd", vs_start).alias("drawdown_from_start"),
     )
 
 

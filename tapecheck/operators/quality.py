@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from tapecheck.constants import (
     REGISTRY_REQUIRED,
 )
 from tapecheck.functions.numbers import is_infinite, missing, nan_to_null
-from tapecheck.operators.blocks import before_chunk
+from tapecheck.operators.blocks import with_earlier
 from tapecheck.operators.timeline import within
 
 # Bars per slice when arrival order is checked.
@@ -107,8 +107,6 @@ def ohlcv_violations(
 
 def _unordered_arrivals(bars: DataFrame, arrival: str) -> DataFrame:
     """Rows older than one that arrived before them, slice by slice."""
-    from pyspark.sql import Window
-
     rows = bars.select("symbol", "ts", arrival).withColumn(
         "chunk", F.floor(F.col(arrival) / ARRIVAL_SLICE)
     )
@@ -119,8 +117,8 @@ def _unordered_arrivals(bars: DataFrame, arrival: str) -> DataFrame:
         rows.withColumn("late", F.coalesce(F.col("ts") < F.max("ts").over(earlier), F.lit(False)))
         .groupBy("symbol", "chunk")
         .agg(F.max("ts").alias("newest"), F.min("ts").alias("oldest"), F.count_if("late").alias("late"))
-        .withColumn("newest_before", F.max("newest").over(before_chunk(["symbol"])))
     )
+    slices = with_earlier(slices, ["symbol"], {"newest_before": ("max", F.col("newest"))})
     overlap = F.coalesce(F.col("oldest") < F.col("newest_before"), F.lit(False))
     return slices.groupBy("symbol").agg(
         F.max((F.col("late") > 0) | overlap).alias("bad")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapecheck.constants import FAST_PERIODS, MAX_CELLS, SLOW_PERIODS
-from tapecheck.operators.blocks import DAILY, Layout, before_chunk, chunk_window, with_blocks
+from tapecheck.operators.blocks import DAILY, Layout, chunk_window, with_blocks, with_earlier
 from tapecheck.operators.indicators import check_period, ema_column, ema_panel
 
 Cell = tuple[int, int]
@@ -122,7 +122,7 @@ def positions(
 ) -> DataFrame:
     """The same panel for a given 0/1 ``signal`` column (a one-cell grid)."""
     keys = list(keys)
-    series, earlier = chunk_window(keys), before_chunk(keys)
+    series = chunk_window(keys)
     valid = F.when(F.col(signal).isin(0, 1), F.col(signal).cast("bigint")).otherwise(
         F.raise_error(F.lit("signal must contain only 0 (flat) or 1 (long)")).cast("bigint")
     )
@@ -140,20 +140,18 @@ def positions(
     ends = rows.where("last_in_chunk").select(
         *keys, "chunk", F.col("r").alias("n"), "sig", "lag1", "close"
     )
-    newest = F.max(F.struct("chunk", "sig", "close")).over(earlier)
-    ends = (
-        ends.withColumn("before", newest)
-        .withColumn("second", F.coalesce("lag1", "before.sig", F.lit(0).cast("bigint")))
-        .withColumn("before2", F.max(F.struct("chunk", "second")).over(earlier))
-        .withColumn("off", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("bigint"))
-        .select(
-            *keys,
-            "chunk",
-            "off",
-            F.coalesce("before.sig", F.lit(0).cast("bigint")).alias("one_back"),
-            F.coalesce("before2.second", F.lit(0).cast("bigint")).alias("two_back"),
-            F.col("before.close").alias("close_back"),
-        )
+    ends = with_earlier(
+        ends,
+        keys,
+        {"before": ("max", F.struct("chunk", "sig", "close")), "off": ("sum", F.col("n").cast("bigint"))},
+    ).withColumn("second", F.coalesce("lag1", "before.sig", F.lit(0).cast("bigint")))
+    ends = with_earlier(ends, keys, {"before2": ("max", F.struct("chunk", "second"))}).select(
+        *keys,
+        "chunk",
+        "off",
+        F.coalesce("before.sig", F.lit(0).cast("bigint")).alias("one_back"),
+        F.coalesce("before2.second", F.lit(0).cast("bigint")).alias("two_back"),
+        F.col("before.close").alias("close_back"),
     )
     first = F.col("r") == 1
     return (
