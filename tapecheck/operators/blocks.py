@@ -10,7 +10,9 @@ is a prefix over the (few) chunk summaries of each series.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,16 +71,41 @@ def block_window(keys: Sequence[str]):
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediates that ``spark.checkpoint.dir`` names.
 
-    Only a local session (tests) may do without and gets a private one.
+    Only a local session (tests) may do without; it gets one beside the warehouse, which is
+    removed when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        folder = f"{warehouse}/intermediate-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(folder)
+        _remove_at_exit(spark, folder)
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared one, for a table that is written and read back.
+
+    Removed when the process ends, since a result that reads it may be consumed until then.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _remove_at_exit(spark, folder)
+    return folder
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            files.delete(path, True)
+
+    atexit.register(remove)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read, and cut its lineage.
 
