@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapecheck.llm import chat, exact, licences, packing, shards
+from tapecheck.llm import chat, exact, licences, near, packing, shards
 from tapecheck.operators.blocks import new_folder
 
 
@@ -28,6 +28,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"), near.Sketching(words=4))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, sf_dir, "documents"), store=new_folder(spark))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_license_scans": op10_license_scans,
 }
