@@ -47,26 +47,16 @@ class Sketching:
         return int((1 - (self.percent / 100 - self.slack)) * (1 - 0.5**self.bits) * self.minima)
 
 
-class _WordHashes(dict):
-    """Hashes of words seen lately; emptied when full, so memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def split_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_set(words: list[bytes], size: int, cache: dict[bytes, int]) -> np.ndarray:
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``size`` words, or of the whole shorter text."""
     if not words:
         return np.empty(0, np.uint64)
-    each = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     size = min(size, len(words))
     many = len(words) - size + 1
     run = np.full(many, size, np.uint64)
@@ -76,7 +66,8 @@ def shingle_set(words: list[bytes], size: int, cache: dict[bytes, int]) -> np.nd
         run ^= run >> np.uint64(29)
     run *= np.uint64(0xBF58476D1CE4E5B9)
     run ^= run >> np.uint64(32)
-    return np.unique(run)
+    run.sort()
+    return run[np.concatenate([[True], run[1:] != run[:-1]])]
 
 
 def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -115,12 +106,12 @@ def sketch(docs: DataFrame, how: Sketching) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, factors = _WordHashes(), multipliers(how.minima)
+        factors = multipliers(how.minima)
         salt = np.arange(1, how.bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             sizes, names, mins = [], [], np.zeros((batch.num_rows, how.minima), np.uint64)
             for i, text in enumerate(batch.column("text")):
-                found = shingle_set(split_words(text.as_py()), how.words, cache)
+                found = shingle_set(split_words(text.as_py()), how.words)
                 sizes.append(len(found))
                 names.append(xxhash.xxh128_digest(found.tobytes()) if len(found) else None)
                 if len(found):
@@ -150,11 +141,10 @@ def shingle_sets(docs: DataFrame, how: Sketching) -> DataFrame:
     """``node, same, shingles``: the full sets, for exact comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounded output batches
                 part = batch.slice(at, 256)
-                sets = [shingle_set(split_words(t.as_py()), how.words, cache) for t in part.column("text")]
+                sets = [shingle_set(split_words(t.as_py()), how.words) for t in part.column("text")]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
