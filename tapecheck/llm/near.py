@@ -52,13 +52,9 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_set(words: list[bytes], size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of ``size`` words, or of the whole shorter text."""
-    if not words:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    size = min(size, len(words))
-    many = len(words) - size + 1
+def run_hashes(each: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``size`` hashed words, in order."""
+    many = len(each) - size + 1
     run = np.full(many, size, np.uint64)
     for i in range(size):
         run ^= each[i : i + many]
@@ -66,6 +62,14 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
         run ^= run >> np.uint64(29)
     run *= np.uint64(0xBF58476D1CE4E5B9)
     run ^= run >> np.uint64(32)
+    return run
+
+
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all runs of ``size`` words, or of the whole shorter text."""
+    if not words:
+        return np.empty(0, np.uint64)
+    run = run_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), min(size, len(words)))
     run.sort()
     return run[np.concatenate([[True], run[1:] != run[:-1]])]
 
