@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -198,48 +197,65 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
     )
 
 
-#: Members of one bucket that are compared in one call.
-SLICE = 1024
+#: Members, and shingles of members, of one bucket that one call holds twice at most.
+SLICE_NODES, SLICE_SHINGLES = 1024, 1 << 19
 
 
-def _untried(members: DataFrame, how: Sketching) -> DataFrame:
-    """Pairs of a bucket that lie in different components, were not compared and may match.
+def _remaining_links(members: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
+    """Links ``(a, b)`` between members of a bucket that lie in different components so far.
 
-    A bucket is cut into slices, and every two slices meet in a group of their own, so
-    no bucket is ever in one task; pairs are weighed inside by their packed
-    signatures, and only those that may match leave.
+    A bucket is cut into slices by number and size of its sets, and every two slices meet in a
+    group of their own, so no bucket is ever in one task. Inside, each member outside
+    the commonest component is held against all members of others: packed signatures
+    discard, full sets decide. Of the links found only those that join two components leave,
+    fewer than there are members.
     """
     words, most = -(-how.minima // 64), how.most_differing
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = rows.sort_values("node", ignore_index=True)
-        node, label, n = (rows[c].to_numpy() for c in ("node", "label", "n_shingles"))
-        tried = rows["pivot"].to_numpy()
-        sig = np.stack(rows["sig"].to_numpy()).view(np.uint64).reshape(len(rows), how.bits, words)
-        one, two = rows["slice"].to_numpy() == i, rows["slice"].to_numpy() == j
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node").combine_chunks()
+        node, label, n, part = (rows.column(c).to_numpy() for c in ("node", "label", "n_shingles", "slice"))
+        sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), how.bits, words)
+        lists = rows.column("shingles").combine_chunks()
+        starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(node)), np.diff(starts))
+        group = np.unique(label, return_inverse=True)[1]
+        across = key[1].as_py() != key[2].as_py()
         found: list[tuple[int, int]] = []
-        for at in np.flatnonzero(one):
-            other = two & (label != label[at]) & (node != node[at])
-            if i == j:
-                other &= node > node[at]
-            other &= (tried != node[at]) & (node != tried[at])
-            other &= np.minimum(n, n[at]) * 100 >= np.maximum(n, n[at]) * how.percent
+        for y in np.flatnonzero(group != np.argmax(np.bincount(group))):
+            other = (group != group[y]) & (np.minimum(n, n[y]) * 100 >= np.maximum(n, n[y]) * how.percent)
+            if across:
+                other &= part != part[y]
             to = np.flatnonzero(other)
-            if len(to):
-                apart = np.bitwise_or.reduce(sig[to] ^ sig[at], axis=1)
-                to = to[np.bitwise_count(apart).sum(axis=1) <= most]
-                found += [(min(node[at], node[x]), max(node[at], node[x])) for x in to]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    counts = members.groupBy("band").agg(F.ceil(F.count("*") / F.lit(SLICE)).alias("slices"))
+            apart = np.bitwise_or.reduce(sig[to] ^ sig[y], axis=1)
+            to = to[np.bitwise_count(apart).sum(axis=1) <= most]
+            if not len(to):
+                continue
+            mine = np.zeros(int(codes.max()) + 1, bool)
+            mine[codes[starts[y] : starts[y + 1]]] = True
+            both = np.bincount(owner, mine[codes], len(node))[to]
+            for x in to[both * 100 >= (n[to] + n[y] - both) * how.percent]:
+                if group[x] != group[y]:
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+                    group[group == group[x]] = group[y]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    counts = members.groupBy("band").agg(
+        F.greatest(
+            F.ceil(F.count("*") / F.lit(SLICE_NODES)), F.ceil(F.sum("n_shingles") / F.lit(SLICE_SHINGLES))
+        ).alias("slices")
+    )
     own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("long")
     dealt = members.join(counts, "band").withColumn("slice", own)
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     return (
         met.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")})
+        .select("band", "i", "j", "slice", "node", "label", "same", "n_shingles", "sig")
+        .join(sets, ["node", "same"])
         .groupBy("band", "i", "j")
-        .applyInPandas(run, "a long, b long")
+        .applyInArrow(run, "a long, b long")
         .distinct()
     )
 
@@ -252,10 +268,11 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     links; ``kept`` marks that document.
 
     1. Rows with equal shingle sets become one node, aggregated before the shuffle.
-    2. Nodes that share a band are candidates. Within a bucket all are compared to its least
-       node only, so that a bucket of n nodes costs n comparisons.
-    3. Whatever these links leave apart in a bucket is compared pair by pair, if signatures
-       allow (:func:`_untried`); thus no link between components is missed by step 2.
+    2. Nodes that share a band are candidates. Within a bucket all are compared to one pivot
+       only, the node with the most partners over all its buckets (of copies edited at random
+       the least edited), so that a bucket of n nodes costs n comparisons.
+    3. Members of a bucket that these links leave in different components are compared with each
+       other (:func:`_remaining_links`), so no link between components is missed by step 2.
     4. Estimates only discard; links are confirmed on full sets.
 
     Texts without words (NULL, empty) are linked with nothing and stay. Rows without
@@ -276,15 +293,18 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     )
     named = nodes.filter("node IS NOT NULL")
     banded = named.select("node", F.explode("bands").alias("band"))
-    buckets = (
-        banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(banded.join(buckets, "band"))
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    central = (
+        shared.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", F.col("node").alias("pivot"))).alias("best"))
     )
-    members = materialize(banded.join(buckets.select("band", "pivot"), "band"))
+    members = materialize(shared.join(central.select("band", "best.pivot"), "band").select("band", "node", "pivot"))
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), how))
     if not sets.groupBy("node", "same").count().filter("count > 1").isEmpty():
         sets = materialize(sets.dropDuplicates(["node", "same"]))
-    facts = named.select("node", "n_shingles", "sig")
+    facts = named.select("node", "same", "n_shingles", "sig")
     star = (
         members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         .join(facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sig").alias("x")), "a")
@@ -308,7 +328,7 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
         .select("band")
     )
     apart = labelled.join(mixed, "band", "left_semi").join(facts, "node")
-    late = materialize(_confirmed(_untried(apart, how), sets, how))
+    late = materialize(_remaining_links(apart, sets, how))
     final = first
     if not late.isEmpty():  # else the first components are complete
         final = components(links.unionByName(late))
