@@ -100,7 +100,9 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"https://", "http://"),
     (r"&", " and "),
 )
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|©|\(c\))[^\n]*$"
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t]*(?:copyright[ \t,:]*(?:\(c\)|©|[0-9]{4})[^\n]*|(?:©|\(c\))[ \t]*[0-9]{4}[^\n]*|all rights reserved\.?)[ \t]*$"
+)
 PUNCTUATION = r"[!-/:-@\[-`{-~\s“”‘’–—©]+"
 
 
