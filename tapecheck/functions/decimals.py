@@ -16,8 +16,8 @@ NON_FINITE = r"(?i)\A[+-]?(inf|infinity|s?nan[0-9]*)\z"
 
 
 def decimal_text(raw: Column) -> Column:
-    """Outer blanks and digit-group underscores carry no value."""
-    return F.regexp_replace(F.trim(raw), "_", "")
+    """Outer white space and digit-group underscores carry no value."""
+    return F.regexp_replace(raw, r"\A\s+|\s+\z|_", "")
 
 
 def is_finite_decimal(raw: Column) -> Column:
@@ -29,7 +29,7 @@ def is_non_finite_decimal(raw: Column) -> Column:
 
 
 def normal_form(raw: Column) -> Column:
-    """``[-]<digits>E<power>``; equal exactly when the decimals are equal."""
+    """``[-]<digits>E<power>``; equal exactly when the decimals are equal. NULL for other text."""
     text = decimal_text(raw)
     mantissa = F.regexp_extract(text, r"\A[+-]?([0-9.]+)", 1)
     power_text = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)\z", 1)
@@ -39,7 +39,8 @@ def normal_form(raw: Column) -> Column:
     kept = F.regexp_replace(digits, r"0+\z", "")
     scale = power - F.length(fraction) + (F.length(digits) - F.length(kept))
     sign = F.when(text.startswith("-"), "-").otherwise("")
-    return F.when(kept == "", "0").otherwise(F.concat(sign, kept, F.lit("E"), scale.cast("string")))
+    form = F.when(kept == "", "0").otherwise(F.concat(sign, kept, F.lit("E"), scale.cast("string")))
+    return F.when(is_finite_decimal(raw), form)
 
 
 def to_double(raw: Column) -> Column:

@@ -32,17 +32,3 @@ def gated(
         F.when(status == OK, value).alias(name),
         status.alias(f"{name}_status"),
     ]
-
-
-def gated_detail(
-    metric: str, value: Column, actual: Column, required: int, undefined: Column | None = None
-) -> Column:
-    """One struct ``metric, value, status, required, actual``."""
-    status = gate_status(actual, required, undefined)
-    return F.struct(
-        F.lit(metric).alias("metric"),
-        F.when(status == OK, value).alias("value"),
-        status.alias("status"),
-        F.lit(required).cast("int").alias("required"),
-        actual.cast("bigint").alias("actual"),
-    )

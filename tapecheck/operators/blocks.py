@@ -41,6 +41,13 @@ class Layout:
 DAILY = Layout()
 
 
+def observed_layout(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> Layout:
+    """Bar spacing as on the densest day of any series: one number is read from one aggregation."""
+    per_day = bars.groupBy(*keys, F.col("ts").cast("date")).count()
+    most = per_day.agg(F.max("count")).first()[0] or 1
+    return Layout(bar_seconds=max(1, DAY_SECONDS // most))
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a zone-free timestamp; no zone conversion."""
     return (
@@ -118,8 +125,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 # Chunks per span: summaries of a series are combined span by span, and only the
-# spans of a series (one per some four million bars) meet in one place.
-SPAN_CHUNKS = 1024
+# spans of a series (one per half a million bars) meet in one place.
+SPAN_CHUNKS = 128
 
 
 def span() -> Column:

@@ -18,10 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapecheck.operators.blocks import DAILY, Layout, span, with_blocks
-
-# Longest run for which q^-n stays finite at the shortest smoothing period (2).
-MAX_BLOCK_ROWS = 600
+from tapecheck.operators.blocks import DAILY, Layout, observed_layout, span, with_blocks
 
 # State between two runs: bars so far, and distance and price of the last
 # (``d1``, ``x1``) and the last but one bar (``d2``, ``x2``).
@@ -79,7 +76,7 @@ def ema_panel(
     bars: DataFrame,
     periods: Sequence[int],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout = DAILY,
+    layout: Layout | None = DAILY,
     on_entry: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Rows with ``idx`` (position in the series), ``gap`` (array of ``close - ema``
@@ -88,13 +85,18 @@ def ema_panel(
     ``on_entry`` maps column names to SQL over ``entry``, the state a chunk starts
     from; they are evaluated once per chunk and attached to its rows, together
     with ``r``, the row's place in its chunk.
+
+    Chunks are spans of time; without a ``layout`` their length follows from the
+    densest day (:func:`observed_layout`). Blocks are runs of ``layout.block_bars`` rows
+    inside a chunk, whatever their spacing. Rows without a key or a time have no place in a
+    series and are left out here; :func:`ema` returns them, and the quality rules list them.
     """
+    layout = layout or observed_layout(bars, keys)
     keys = list(keys)
     for p in periods:
         check_period(p)
     part = ", ".join(f"`{k}`" for k in [*keys, "chunk"])
-    series = f"OVER (PARTITION BY {part} ORDER BY blk, ts)"
-    by_block = f"OVER (PARTITION BY {part} ORDER BY blk)"
+    series = f"OVER (PARTITION BY {part} ORDER BY ts)"
     run_of = f"OVER (PARTITION BY {part}, blk ORDER BY ts)"
     to_here = f"OVER (PARTITION BY {part}, blk ORDER BY ts ROWS UNBOUNDED PRECEDING)"
     carried = [c for c in bars.columns if c not in keys]
@@ -112,15 +114,15 @@ def ema_panel(
         with_blocks(bars, layout)
         .where(present)
         .repartition(*keys, "chunk")
+        .withColumns({"r": F.expr(f"row_number() {series}"), "lag_close": F.expr(f"lag(close) {series}")})
+        .withColumn("blk", F.expr(f"(r - 1) div {layout.block_bars}"))
         .withColumns(
             {
-                "k": F.expr(f"row_number() {run_of} - 1"),
-                "r": F.expr(f"row_number() {series}"),
-                "pos": F.expr(f"dense_rank() {by_block}"),
+                "k": F.expr(f"(r - 1) % {layout.block_bars}"),
+                "pos": F.expr("cast(blk + 1 as int)"),
                 "step": F.expr(f"close - lag(close) {run_of}"),
                 "first_x": F.expr(f"first(close) {run_of}"),
                 "run_end": F.expr(f"lead(ts) {run_of} is null"),
-                "lag_close": F.expr(f"lag(close) {series}"),
             }
         )
         .withColumn("b", F.expr(f"array({', '.join(local)})"))
@@ -133,13 +135,12 @@ def ema_panel(
         f"struct(blk, n, first_x, close AS last_x, x_prev AS prev_x, b AS b1, b_prev AS b2, "
         f"struct({', '.join(f'`{c}`' for c in carried)}) AS row)"
     )
-    too_long = "raise_error('more bars in a block than the layout allows; lower bar_seconds')"
     runs = (
         rows.withColumns(
             {"b_prev": F.expr(f"lag(b) {run_of}"), "x_prev": F.expr(f"lag(close) {run_of}")}
         )
         .where("run_end")
-        .withColumn("n", F.expr(f"if(k < {MAX_BLOCK_ROWS}, k + 1, cast({too_long} as int))"))
+        .withColumn("n", F.expr("k + 1"))
         .groupBy(*keys, "chunk")
         .agg(F.expr(f"array_sort(collect_list({item})) AS runs"))
         # These few rows are used twice; an exchange of their own lets both uses
@@ -210,10 +211,18 @@ def ema(
     bars: DataFrame,
     periods: Sequence[int],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout = DAILY,
+    layout: Layout | None = DAILY,
 ) -> DataFrame:
-    """``keys, ts, close`` and one ``ema_<period>`` column per period."""
+    """``keys, ts, close`` and one ``ema_<period>`` column per period.
+
+    Rows without a key or a time are kept, with NULL averages.
+    """
     rows = ema_panel(bars, periods, keys, layout)
-    return rows.select(
+    placed = rows.select(
         *keys, "ts", "close", *[ema_column(periods, p).alias(f"ema_{p}") for p in periods]
     )
+    unplaced = bars.where(" or ".join(f"`{c}` is null" for c in [*keys, "ts"]))
+    none = F.lit(None).cast("double")
+    return placed.unionByName(
+        unplaced.select(*keys, "ts", "close", *[none.alias(f"ema_{p}") for p in periods])
+    )

@@ -47,7 +47,7 @@ def _merged(parts: DataFrame, group: Sequence[str], order: str) -> DataFrame:
     mean = F.coalesce("mean", F.lit(0.0))
     rows = parts.withColumns(
         {
-            "common": F.sum(F.col("n") * mean).over(everything) / F.sum("n").over(everything),
+            "common": F.sum(F.col("n") * mean).over(everything) / F.nullif(F.sum("n").over(everything), F.lit(0)),
             "high_before": F.max("high").over(earlier),
         }
     )
@@ -290,6 +290,7 @@ def aggregate_metrics(
             "start_equity",
             "end_equity",
             (F.pow(growth, F.lit(1.0 / years)) - 1).alias("cagr"),
+            F.when(F.col("start_equity").isNull(), "no_equity_before_start").otherwise("ok").alias("cagr_status"),
             *_volatility(periods),
             F.col("drawdown_from_start").alias("max_drawdown"),
             (F.col("long_bars") / F.col("bars")).alias("exposure"),
@@ -323,9 +324,12 @@ def pnl_concentration(trips: DataFrame, keys: Sequence[str] = CURVE_KEYS) -> Dat
     totals = amounts.groupBy(*keys).agg(
         F.sum("won").alias("total_positive_pnl"), F.max("pnl").alias("largest")
     )
+    # The total comes with the sum over slices, so no row meets it by its bare key.
+    slices = amounts.groupBy(*keys, "chunk").agg(F.sum("won").alias("in_slice"))
+    half = (F.sum("in_slice").over(Window.partitionBy(*keys)) * 0.5).alias("half")
     ranked = running(
         amounts, keys, {"cum": F.col("won"), "cum_n": F.col("n")}, "sum", order=[F.desc("pnl")]
-    ).join(totals.select(*keys, (F.col("total_positive_pnl") * 0.5).alias("half")), keys)
+    ).join(slices.select(*keys, "chunk", half), [*keys, "chunk"])
     before = F.col("cum") - F.col("won")
     needed = F.col("cum_n") - F.col("n") + F.ceil((F.col("half") - before) / F.col("pnl"))
     count = (

@@ -17,6 +17,7 @@ from tapecheck.constants import (
     PROVIDER_COLUMNS,
     REGISTRY_REQUIRED,
 )
+from tapecheck.functions.documents import whole_document
 from tapecheck.functions.numbers import is_infinite, missing, nan_to_null
 from tapecheck.operators.blocks import with_earlier
 from tapecheck.operators.timeline import within
@@ -190,8 +191,8 @@ def registry_violations(records: DataFrame) -> DataFrame:
     final = F.col("record_status") == "finalized"
     versions = F.col("dependency_versions_json")
     filled = ~blank("dependency_versions_json")
-    parsed = F.try_parse_json(versions)
-    keys = F.json_object_keys(versions)
+    parsed = whole_document(versions)
+    keys = F.when(parsed.isNotNull(), F.json_object_keys(versions))
     rules = {
         "unknown_status": ~F.coalesce(F.col("record_status").isin("finalized", "dev"), F.lit(False)),
         **{f"missing_{c}": final & blank(c) for c in REGISTRY_REQUIRED},

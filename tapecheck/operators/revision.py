@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapecheck.constants import CANDLE_KEYS, CANDLE_NUMERIC
-from tapecheck.functions.decimals import normal_form
+from tapecheck.functions.decimals import is_finite_decimal, normal_form
+from tapecheck.operators.blocks import materialize
 
 BUCKETS = ("1", "2-7", "8-30", ">30")
 
@@ -49,7 +50,8 @@ def _differences() -> Column:
         old, new = F.col("old")[f], F.col("new")[f]
         kind = F.lit("format_only")
         if f in CANDLE_NUMERIC:
-            kind = F.when(normal_form(old) != normal_form(new), "value").otherwise("format_only")
+            # Text that is no decimal has no normal form, and so never counts as format.
+            kind = F.when(normal_form(old) == normal_form(new), "format_only").otherwise("value")
         one.append(F.when(old != new, field(kind, F.lit(f), old, new)))
     whole = lambda kind, old, new: F.array(field(F.lit(kind), none, old, new))
     return (
@@ -102,9 +104,12 @@ def revision_counts(baseline: DataFrame, audit: DataFrame, reference: DataFrame)
     it is absent on both sides. Calendar days are added as rows of the same
     aggregation instead of being joined.
     """
-    facts = _day_facts(baseline, audit, reference)
-    first = facts.groupBy("product").agg(F.min("day").alias("first_day"))
-    span = first.join(reference.select("product", "reference_day"), "product")
+    facts = materialize(_day_facts(baseline, audit, reference))
+    # The reference day follows from any row, so the snapshots are not read again for it.
+    span = facts.groupBy("product").agg(
+        F.min("day").alias("first_day"),
+        F.min_by(F.date_add("day", F.col("age_days")), "day").alias("reference_day"),
+    )
     calendar = (
         span.select(
             "product",
@@ -158,7 +163,11 @@ def revision_verdict(baseline: DataFrame, audit: DataFrame, reference: DataFrame
 def snapshot_pair_violations(
     baseline: DataFrame, audit: DataFrame, reference: DataFrame
 ) -> DataFrame:
-    """Preconditions: same products, no repeated day, baseline ends the day before."""
+    """Preconditions of a comparison, one row per product and broken rule.
+
+    Same products and, where the snapshots have an ``interval``, the same one; no repeated
+    day; the baseline ends the day before the reference day; all fields are what the strict decoder takes.
+    """
     sides = baseline.select("product", "day", F.lit("baseline").alias("side")).unionByName(
         audit.select("product", "day", F.lit("audit").alias("side"))
     )
@@ -177,4 +186,28 @@ def snapshot_pair_violations(
         audit.select("product").distinct().join(known, "product", "left_anti")
         .select("product", F.lit("product_mismatch").alias("rule"))
     )
-    return repeated.unionByName(late.where("rule is not null")).unionByName(strangers).distinct()
+    found = repeated.unionByName(late.where("rule is not null")).unionByName(strangers)
+    for side, rows in (("baseline", baseline), ("audit", audit)):
+        bad = ~F.coalesce(F.col("start").rlike(r"\A[0-9]+\z"), F.lit(False))
+        for c in CANDLE_NUMERIC:
+            bad = bad | ~is_finite_decimal(F.col(c))
+        found = found.unionByName(rows.where(bad).select("product", F.lit(f"{side}_undecodable").alias("rule")))
+    if "interval" in baseline.columns and "interval" in audit.columns:
+        kinds = baseline.select("product", "interval").unionByName(audit.select("product", "interval"))
+        mixed = kinds.groupBy("product").agg(F.min("interval").alias("lo"), F.max("interval").alias("hi"))
+        found = found.unionByName(mixed.where("lo <> hi").select("product", F.lit("interval_mismatch").alias("rule")))
+    return found.distinct()
+
+
+def revision_audit(baseline: DataFrame, audit: DataFrame, reference: DataFrame) -> DataFrame:
+    """The verdict for every product that may be compared; ``REJECTED`` with its broken rules for the others."""
+    broken = (
+        snapshot_pair_violations(baseline, audit, reference)
+        .groupBy("product")
+        .agg(F.array_join(F.sort_array(F.collect_set("rule")), ",").alias("broken_rules"))
+    )
+    broken = materialize(broken)
+    sound = [df.join(broken, "product", "left_anti") for df in (baseline, audit, reference)]
+    rejected = broken.select("product", F.lit("REJECTED").alias("verdict"), "broken_rules")
+    judged = revision_verdict(*sound).withColumn("broken_rules", F.lit(""))
+    return judged.unionByName(rejected, allowMissingColumns=True)

@@ -25,6 +25,8 @@ def boundary_equity(
 ) -> DataFrame:
     """Equity of every run just before each boundary, without building curves.
 
+    NULL where a series has no earlier bar.
+
     Only two reductions of the panel are needed: the last close and position
     bits before a boundary, and the product of fill factors before it. Both
     combine map-side to one row per key, run and segment.
@@ -40,7 +42,7 @@ def boundary_equity(
         .agg(F.product("p").alias("growth"))
     )
     price = F.when(F.getbit(F.col("tgt"), F.col("index")) == 1, F.col("close")).otherwise(1.0)
-    equity = F.col("start_cash") * F.coalesce("growth", F.lit(1.0)) * price
+    equity = F.when(F.col("ts").isNotNull(), F.col("start_cash") * F.coalesce("growth", F.lit(1.0)) * price)
     return (
         latest.select("*", F.inline(book_rows(book)))
         .join(growth, [*keys, "run", "b"], "left")
@@ -51,7 +53,10 @@ def boundary_equity(
 def window_returns(
     at_bounds: DataFrame, windows: Sequence[Period], keys: Sequence[str]
 ) -> DataFrame:
-    """``equity before end / equity before start - 1`` per window, no reset."""
+    """``equity before end / equity before start - 1`` per window, no reset.
+
+    A window whose start or end has no earlier equity is kept, with NULL and a ``status``.
+    """
     roles = F.array(
         *[
             F.struct(F.lit(w.name).alias("window"), stamp(at).alias("at"), F.lit(role).alias("role"))
@@ -63,7 +68,12 @@ def window_returns(
     pick = lambda role: F.max(F.when(F.col("role") == role, F.col("equity")))
     return rows.groupBy(*keys, "window").agg(
         pick("start").alias("start_equity"), pick("end").alias("end_equity")
-    ).withColumn("window_return", F.col("end_equity") / F.col("start_equity") - 1)
+    ).withColumns(
+        {
+            "window_return": F.col("end_equity") / F.col("start_equity") - 1,
+            "status": F.when(F.col("start_equity").isNull(), "no_equity_before_start").otherwise("ok"),
+        }
+    )
 
 
 def grid_returns(
@@ -72,12 +82,25 @@ def grid_returns(
     windows: Sequence[Period],
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
-    """Window returns of every run and their compounded aggregate."""
+    """Window returns of every run and their compounded aggregate.
+
+    Every series has a row for every run and window. A run of which a window has no
+    return has no aggregate either, and ``aggregate_status`` says so.
+    """
     of_run = [*keys, *RUN_KEYS]
     at_bounds = boundary_equity(panel, book, boundaries(windows), keys)
     rows = window_returns(at_bounds, windows, of_run)
-    compounded = F.product(1 + F.col("window_return")).over(Window.partitionBy(*of_run)) - 1
-    return rows.select(*of_run, "window", "window_return", compounded.alias("aggregate_return"))
+    whole = Window.partitionBy(*of_run)
+    complete = F.count("window_return").over(whole) == len(windows)
+    compounded = F.product(1 + F.col("window_return")).over(whole) - 1
+    return rows.select(
+        *of_run,
+        "window",
+        "window_return",
+        "status",
+        F.when(complete, compounded).alias("aggregate_return"),
+        F.when(complete, "ok").otherwise("missing_window").alias("aggregate_status"),
+    )
 
 
 def cost_stress(
@@ -106,20 +129,25 @@ def cost_stress(
 def leave_one_out(returns: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Compounded return without each window, sign flips and the largest change.
 
-    A series has few windows, so they are gathered per key.
+    A series has few windows, so they are gathered per key. Where a window has no return, all
+    results are NULL and ``status`` says so.
     """
     product = lambda xs: F.aggregate(xs, F.lit(1.0), lambda a, x: a * (1 + x["window_return"]))
     rows = (
         returns.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("window", "window_return"))).alias("all"))
-        .withColumn("full_aggregate", product(F.col("all")) - 1)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("window", "window_return"))).alias("all"),
+            (F.count("*") == F.count("window_return")).alias("complete"),
+        )
+        .withColumn("complete", F.when(F.col("complete"), F.lit(1.0)))
+        .withColumn("full_aggregate", (product(F.col("all")) - 1) * F.col("complete"))
         .withColumn(
             "out",
             F.transform(
                 "all",
                 lambda w: F.struct(
                     w["window"].alias("window"),
-                    (product(F.filter("all", lambda x: x["window"] != w["window"])) - 1).alias("without"),
+                    ((product(F.filter("all", lambda x: x["window"] != w["window"])) - 1) * F.col("complete")).alias("without"),
                 ),
             ),
         )
@@ -127,7 +155,13 @@ def leave_one_out(returns: DataFrame, keys: Sequence[str]) -> DataFrame:
     change = F.array_max(F.transform("out", lambda o: F.abs(o["without"] - F.col("full_aggregate"))))
     return (
         rows.withColumn("largest_change", change)
-        .select(*keys, "full_aggregate", "largest_change", F.inline("out"))
+        .select(
+            *keys,
+            "full_aggregate",
+            "largest_change",
+            F.when(F.col("complete").isNull(), "missing_window").otherwise("ok").alias("status"),
+            F.inline("out"),
+        )
         .withColumn("sign_flip", sign_positive(F.col("without")) != sign_positive(F.col("full_aggregate")))
     )
 
@@ -185,18 +219,23 @@ def sign_flip_pairs(neighbors: DataFrame, keys: Sequence[str] = ("symbol",)) ->
 def sign_consistency(
     results: DataFrame, neighbors: DataFrame, keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
-    """Share of adjacent pairs with equal sign; 1.0 where there are no pairs."""
+    """Share of adjacent pairs with equal sign; 1.0 where there are no pairs.
+
+    NULL for a series with a cell that has no aggregate return.
+    """
     keys = list(keys)
     pairs = _unordered(neighbors).groupBy(*keys).agg(
         F.count("*").alias("pairs"), F.count_if(_same_sign()).alias("matching")
     )
     return (
-        results.select(*keys).distinct().join(pairs, keys, "left")
+        results.groupBy(*keys)
+        .agg(F.bool_and(F.col("aggregate_return").isNotNull()).alias("complete"))
+        .join(pairs, keys, "left")
         .select(
             *keys,
             F.coalesce("pairs", F.lit(0)).alias("pairs"),
             F.coalesce("matching", F.lit(0)).alias("matching"),
-            F.coalesce(F.col("matching") / F.col("pairs"), F.lit(1.0)).alias("sign_consistency"),
+            F.when(F.col("complete"), F.coalesce(F.col("matching") / F.col("pairs"), F.lit(1.0))).alias("sign_consistency"),
         )
     )
 

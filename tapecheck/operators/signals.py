@@ -66,12 +66,14 @@ def signal_panel(
     bars: DataFrame,
     grid: Sequence[Cell],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout = DAILY,
+    layout: Layout | None = DAILY,
 ) -> DataFrame:
     """Signals of every cell of ``grid`` on every bar, from one pass over bars.
 
     Each distinct period is averaged once, however many cells use it. Columns:
-    ``keys, chunk, blk, ts, open, close, prev_close, idx, sig, tgt, ptgt``.
+    ``keys, chunk, blk, ts, open, close, prev_close, idx, sig, tgt, ptgt``. Rows without a
+    key or a time are left out; ``quality.ohlcv_violations`` lists them. The cap on cells is a
+    rule of the study, not of the implementation.
     """
     for fast, slow in grid:
         check_cell(fast, slow)
@@ -102,7 +104,7 @@ def crossover_signal(
     fast: int,
     slow: int,
     keys: Sequence[str] = ("symbol",),
-    layout: Layout = DAILY,
+    layout: Layout | None = DAILY,
 ) -> DataFrame:
     """``fast_ema``, ``slow_ema`` (NULL in warm-up) and ``signal`` 0/1."""
     check_cell(fast, slow)

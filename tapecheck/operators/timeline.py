@@ -30,18 +30,21 @@ def within(ts: Column, start, end) -> Column:
 
 
 def check_splits(splits: Sequence[Split]) -> None:
-    """Fail on an empty, reversed, overlapping or gapped list of splits."""
-    if not splits:
-        raise ValueError("no splits to validate")
-    bounds = [(n, datetime.fromisoformat(a), datetime.fromisoformat(b)) for n, a, b in splits]
-    for name, start, end in bounds:
-        if not start < end:
-            raise ValueError(f"split {name!r}: start is not before end")
-    for (a, _, end), (b, start, _) in zip(bounds, bounds[1:]):
-        if end > start:
-            raise ValueError(f"splits {a!r} and {b!r} overlap or are out of order")
-        if end < start:
-            raise ValueError(f"gap between splits {a!r} and {b!r}")
+    """Fail with the first broken rule of a list of splits; the rules are those of :func:`split_violations`."""
+    spans = [(datetime.fromisoformat(a), datetime.fromisoformat(b)) for _, a, b in splits]
+    _refuse(
+        ("empty", [] if spans else ["the list"]),
+        ("start_not_before_end", [n for (n, *_), (a, b) in zip(splits, spans) if a >= b]),
+        ("overlap_or_disorder", [s[0] for s, (_, end), (begin, _) in zip(splits[1:], spans, spans[1:]) if begin < end]),
+        ("gap", [s[0] for s, (_, end), (begin, _) in zip(splits[1:], spans, spans[1:]) if begin > end]),
+    )
+
+
+def _refuse(*rules: tuple[str, list]) -> None:
+    """Raise for the first rule that names an offender."""
+    for rule, offenders in rules:
+        if offenders:
+            raise ValueError(f"{rule}: {offenders[0]}")
 
 
 def split_violations(splits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -71,8 +74,12 @@ def split_label(bars: DataFrame, splits: Sequence[Split]) -> DataFrame:
 
 
 def split_rows(bars: DataFrame, splits: Sequence[Split]) -> DataFrame:
-    """Rows inside some split, labelled; rows outside all splits are dropped."""
-    return split_label(bars, splits).where("split is not null")
+    """Rows inside some split, labelled; rows outside all splits are dropped.
+
+    Splits are contiguous, so their outer bounds say the same in a form that reaches the scan.
+    """
+    check_splits(splits)
+    return split_label(bars.where(within(F.col("ts"), splits[0][1], splits[-1][2])), splits).where("split is not null")
 
 
 def research_filter(
@@ -103,17 +110,14 @@ class Period:
 
 
 def build_windows(burn_in_year: int, years: Sequence[int]) -> tuple[Period, list[Period]]:
-    """The burn-in year and the evaluation years after it, validated."""
-    if not years:
-        raise ValueError("evaluation years must not be empty")
-    if list(years) != sorted(years):
-        raise ValueError("evaluation years must be sorted ascending")
-    if any(b != a + 1 for a, b in zip(years, years[1:])):
-        raise ValueError("evaluation years must be consecutive")
-    if burn_in_year != years[0] - 1:
-        raise ValueError(f"burn-in year must be {years[0] - 1}, got {burn_in_year}")
-    of = lambda y: Period(y, f"{y}-01-01", f"{y + 1}-01-01")
-    return of(burn_in_year), [of(y) for y in years]
+    """Calendar years as windows: the one before the first, and ``years``, which must follow one another."""
+    wanted = [*range(burn_in_year + 1, burn_in_year + 1 + len(years))]
+    _refuse(
+        ("no_years", [] if years else ["the list"]),
+        ("year_not_after_the_one_before", [y for y, w in zip(years, wanted) if y != w]),
+    )
+    first, *rest = [Period(y, f"{y}-01-01", f"{y + 1}-01-01") for y in (burn_in_year, *wanted)]
+    return first, rest
 
 
 def windows_of_history(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -140,6 +144,7 @@ def window_name(windows: Sequence[Period], ts: str = "ts") -> Column:
 
 def window_rows(rows: DataFrame, windows: Sequence[Period]) -> DataFrame:
     """Rows that lie in some window, labelled with it."""
+    rows = rows.where(within(F.col("ts"), min(w.start for w in windows), max(w.end for w in windows)))
     return rows.withColumn("window", window_name(windows)).where("window is not null")
 
 
@@ -173,42 +178,50 @@ def as_of_boundaries(
     keys: Sequence[str],
     values: Sequence[str],
 ) -> DataFrame:
-    """Latest values strictly before each boundary; no row where there is none.
+    """Latest values strictly before each boundary, for every key of ``rows``.
 
-    Rows are first reduced to one per key and segment, so only a handful of
-    rows per key meet the boundaries.
+    A boundary without an earlier row has NULL ``ts`` and values. Rows are first reduced to
+    one per key and segment, so only a handful of rows per key meet the boundaries.
     """
     bounds = sorted(bounds)
-    latest = [F.max_by(v, "ts").alias(v) for v in values] + [F.max("ts").alias("ts")]
-    newest = (
-        rows.where(F.col("ts") < stamp(bounds[-1]))
-        .groupBy(*keys, segment(bounds).alias("seg"))
-        .agg(*latest)
-        .withColumn("b", F.explode(F.sequence(F.col("seg"), F.lit(len(bounds) - 1))))
-        .groupBy(*keys, "b")
-        .agg(*latest)
+    latest = (
+        rows.groupBy(*keys, segment(bounds).alias("seg"))
+        .agg(F.max("ts").alias("ts"), *[F.max_by(v, "ts").alias(v) for v in values])
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("seg", "ts", *values)).alias("latest"))
+        .select(*keys, "latest", F.posexplode(F.array(*[stamp(b) for b in bounds])).alias("b", "boundary"))
+        .withColumn("at", F.array_max(F.filter("latest", lambda x: x["seg"] <= F.col("b"))))
     )
-    stamps = F.array(*[stamp(b) for b in bounds])
-    return newest.select(*keys, "b", stamps[F.col("b")].alias("boundary"), "ts", *values)
+    return latest.select(*keys, "b", "boundary", "at.ts", *[f"at.{v}" for v in values])
 
 
 def equity_before(
     curve: DataFrame, bounds: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
-    """Last equity strictly before each boundary."""
-    return as_of_boundaries(curve, bounds, keys, ["equity"]).drop("b")
+    """Last equity strictly before each boundary, and a ``status`` where there is none."""
+    status = F.when(F.col("ts").isNull(), "no_earlier_row").otherwise("ok")
+    return as_of_boundaries(curve, bounds, keys, ["equity"]).drop("b").withColumn("status", status)
 
 
 # --- buckets, plans, gaps ---------------------------------------------------
 
 
 def completed_buckets(bars: DataFrame, now: Column) -> DataFrame:
-    """Daily buckets that have ended by ``now``; starts must be midnights."""
-    midnight = F.col("ts").cast("date").cast("timestamp_ntz") == F.col("ts")
-    checked = F.when(midnight, F.col("ts")).otherwise(
-        F.raise_error(F.lit("bucket start is not a midnight")).cast("timestamp_ntz")
-    )
-    return bars.where(checked + F.expr("INTERVAL 1 DAY") <= now)
+    """Daily buckets that have ended by ``now``.
+
+    Rows that do not start at midnight are no daily buckets; :func:`bucket_violations` lists them.
+    """
+    return bars.where((F.col("ts") <= now - F.expr("INTERVAL 1 DAY")) & _at_midnight())
+
+
+def bucket_violations(bars: DataFrame) -> DataFrame:
+    """Rows that cannot be daily buckets, with the ``rule`` they break."""
+    rule = F.when(F.col("ts").isNull(), "missing_start").when(~_at_midnight(), "start_not_midnight")
+    return bars.withColumn("rule", rule).where("rule is not null")
+
+
+def _at_midnight() -> Column:
+    return F.col("ts").cast("date").cast("timestamp_ntz") == F.col("ts")
 
 
 def last_completed_bucket(now: Column) -> Column:
@@ -224,15 +237,16 @@ def plan_windows(
 ) -> DataFrame:
     """Contiguous inclusive request windows, oldest first, up to yesterday.
 
-    A series whose ``now`` is too early for the floor gets no window.
+    A series whose ``now`` is too early for the floor gets one row without a window and the
+    ``status`` ``too_early``. The limit on ``days`` is the provider's.
     """
     if not 1 <= days <= MAX_REQUEST_DAYS:
         raise ValueError(f"days must be between 1 and {MAX_REQUEST_DAYS} inclusive")
     first, last = F.lit(floor).cast("date"), last_completed_bucket(now).cast("date")
     step = F.expr(f"INTERVAL {days} DAYS")
     starts = F.when(last >= first, F.sequence(first, last, step))
-    planned = requests.select(*keys, last.alias("last"), F.posexplode(starts).alias("page_no", "first_day"))
-    end = F.least(F.date_add("first_day", days - 1), "last")
+    planned = requests.select(*keys, last.alias("last"), F.posexplode_outer(starts).alias("page_no", "first_day"))
+    end = F.when(F.col("first_day").isNotNull(), F.least(F.date_add("first_day", days - 1), "last"))
     return planned.select(
         *keys,
         "page_no",
@@ -241,6 +255,7 @@ def plan_windows(
         (F.datediff(end, "first_day") + 1).alias("day_count"),
         (F.unix_date("first_day").cast("bigint") * DAY_SECONDS).cast("string").alias("request_start"),
         (F.unix_date(end).cast("bigint") * DAY_SECONDS).cast("string").alias("request_end"),
+        F.when(F.col("first_day").isNull(), "too_early").otherwise("ok").alias("status"),
     )
 
 

@@ -124,7 +124,10 @@ RETURNS = f"""edge AS (
          arg_max(equity, ts) FILTER (ts < "end") AS end_equity
   FROM curve CROSS JOIN wins GROUP BY ALL),
 ret AS (SELECT *, end_equity / start_equity - 1 AS r FROM edge),
-agg AS (SELECT {RUN}, product(1 + r) - 1 AS a FROM ret GROUP BY ALL)"""
+agg AS (SELECT {RUN}, CASE WHEN count(r) = 5 THEN product(1 + r) - 1 END AS a FROM ret GROUP BY ALL)"""
+WINDOW_COLUMNS = """"window", round(r, 8) AS window_return, round(a, 8) AS aggregate_return,
+        CASE WHEN start_equity IS NULL THEN 'no_equity_before_start' ELSE 'ok' END AS status,
+        CASE WHEN a IS NULL THEN 'missing_window' ELSE 'ok' END AS aggregate_status"""
 NEIGHBORS = f"""cell AS (
   SELECT symbol, fast, slow, a, list_position({list(FAST_PERIODS)}, fast) - 1 AS fi,
          list_position({list(SLOW_PERIODS)}, slow) - 1 AS si FROM agg),
@@ -209,7 +212,8 @@ kinds AS (
 
 CATALOG = """base AS (
   SELECT o_orderkey, o_orderkey::VARCHAR AS key, 'C' || o_custkey::VARCHAR AS symbol,
-         CASE WHEN o_orderkey % 211 <> 0 THEN o_orderdate END AS created_at,
+         CASE WHEN o_orderkey % 211 <> 0 THEN o_orderdate + CASE WHEN o_orderkey % 4 = 1 THEN INTERVAL 18 HOUR ELSE INTERVAL 0 HOUR END END AS created_at,
+         CASE WHEN o_orderkey % 211 <> 0 THEN o_orderdate END AS written_at,
          sha256('raw-' || o_orderkey::VARCHAR) AS raw_sha FROM orders),
 raw AS (SELECT *, 'raw/' || symbol || '/1d/' || key || '.parquet' AS path FROM base),
 proc AS (
@@ -224,7 +228,8 @@ REGISTRY = """rec AS (
          CASE WHEN o_orderkey % 19 = 0 THEN 'draft' WHEN o_orderkey % 2 = 0 THEN 'dev' ELSE 'finalized' END AS record_status,
          'says "stable", ' || o_orderpriority AS hypothesis,
          '{"fast":' || (o_orderkey % 12 + 1)::VARCHAR || '}' AS params_json,
-         CASE WHEN o_orderkey % 13 = 0 THEN '[1, 2]' WHEN o_orderkey % 11 = 0 THEN 'not json'
+         CASE WHEN o_orderkey % 17 = 0 THEN '{"python":"3","pandas":"2","pyarrow":"1","vectorbt":"0"} and more'
+              WHEN o_orderkey % 13 = 0 THEN '[1, 2]' WHEN o_orderkey % 11 = 0 THEN 'not json'
               WHEN o_orderkey % 7 = 0 THEN '{"python":"3","pandas":"2"}'
               ELSE '{"python":"3","pandas":"2","pyarrow":"1","vectorbt":"0"}' END AS dependency_versions_json,
          'false' AS test_evaluated, o_orderstatus
@@ -333,7 +338,7 @@ fb AS (
   FROM src)"""
 
 ORACLES = {
-    "scan_bars": f"{BARS} SELECT symbol, ts, open, high, low, close, volume FROM bars",
+    "scan_bars": f"""WITH {bars("lpad(l_linenumber::VARCHAR, 5, '0')")} SELECT symbol, ts, open, high, low, close, volume FROM bars""",
     "research_rows": """SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem
         WHERE l_shipdate < TIMESTAMP '2001-01-01'""",
     "research_lineage": f"""{BARS} SELECT symbol, 'research_snapshot' AS kind, 1 AS schema_version,
@@ -360,17 +365,19 @@ ORACLES = {
     "latest_artifact": f"""WITH {CATALOG} SELECT symbol, '1d' AS "interval",
         CASE WHEN bad = 0 THEN path END AS path, CASE WHEN bad = 0 THEN created_at END AS created_at,
         artifacts, CASE WHEN bad = 0 THEN 'ok' ELSE 'invalid_metadata' END AS status
-        FROM (SELECT symbol, path, created_at, count(*) OVER g AS artifacts,
+        FROM (SELECT recorded AS symbol, path, created_at, count(*) OVER g AS artifacts,
                      count(*) FILTER (created_at IS NULL) OVER g AS bad,
-                     row_number() OVER (PARTITION BY symbol ORDER BY created_at DESC NULLS LAST, path) AS rn
-              FROM raw WINDOW g AS (PARTITION BY symbol)) WHERE rn = 1""",
-    "lineage_join": f"""WITH {CATALOG} SELECT p.source_raw_sha256, p.path, p.recorded AS symbol, r.path AS raw_path
-        FROM proc p LEFT JOIN raw r ON r.raw_sha = p.source_raw_sha256""",
+                     row_number() OVER (PARTITION BY recorded ORDER BY created_at DESC NULLS LAST, path) AS rn
+              FROM proc WINDOW g AS (PARTITION BY recorded)) WHERE rn = 1""",
+    "lineage_join": f"""WITH {CATALOG} SELECT p.source_raw_sha256, p.path, p.recorded AS symbol,
+               CASE WHEN r.raw_sha = p.source_raw_sha256 THEN r.path END AS raw_path,
+               CASE WHEN r.path IS NULL THEN 'raw_missing' WHEN r.raw_sha = p.source_raw_sha256 THEN 'ok' ELSE 'hash_differs' END AS status
+        FROM proc p LEFT JOIN raw r ON r.path = 'raw/' || CASE WHEN p.o_orderkey % 31 = 0 THEN 'moved' ELSE p.symbol END || '/1d/' || p.key || '.parquet'""",
     "identity_violations": f"""WITH {CATALOG} SELECT path,
         CASE WHEN o_orderkey % 23 = 0 THEN 'identity_differs_from_path' ELSE 'file_differs_from_path' END AS rule
         FROM proc WHERE o_orderkey % 23 = 0 OR o_orderkey % 29 = 0""",
-    "new_artifacts": f"""WITH {CATALOG}, everything AS (SELECT path, created_at FROM raw UNION ALL SELECT path, created_at FROM proc)
-        SELECT path FROM everything WHERE created_at IS NULL OR created_at >= TIMESTAMP '2000-01-01'""",
+    "new_artifacts": f"""WITH {CATALOG}, everything AS (SELECT path, written_at FROM raw UNION ALL SELECT path, written_at FROM proc)
+        SELECT path FROM everything WHERE written_at IS NULL OR written_at >= TIMESTAMP '2000-01-01'""",
     "registry_violations": f"WITH {REGISTRY}, {JUDGED} SELECT experiment_id, rule FROM broken",
     "registry_migrate": f"WITH {REGISTRY} SELECT {migrated_columns()} FROM rec",
     "canonical_bars": """SELECT l_returnflag AS symbol, l_shipdate AS ts, l_extendedprice AS open,
@@ -438,7 +445,7 @@ ORACLES = {
     "plan_windows": f"""{SUPPLIER_BARS}, {PLAN} SELECT symbol, page_no, first_day, last_day,
         (last_day - first_day + 1)::INTEGER AS day_count,
         ((first_day - DATE '1970-01-01')::BIGINT * 86400)::VARCHAR AS request_start,
-        ((last_day - DATE '1970-01-01')::BIGINT * 86400)::VARCHAR AS request_end FROM planned""",
+        ((last_day - DATE '1970-01-01')::BIGINT * 86400)::VARCHAR AS request_end, 'ok' AS status FROM planned""",
     "calendar_gaps": f"""{SUPPLIER_BARS}, {GAPS} SELECT symbol, "day" FROM gaps""",
     "history_summary": f"""{SUPPLIER_BARS}, {GAPS},
         g AS (SELECT symbol, string_agg("day"::VARCHAR, ',' ORDER BY "day") AS days, count(*) AS n FROM gaps GROUP BY symbol)
@@ -527,7 +534,7 @@ ORACLES = {
     "daily_returns": f"""{ONE} SELECT {RUN}, ts, round(equity / prev_equity - 1, 8) AS ret FROM curve
         WHERE prev_equity IS NOT NULL""",
     "equity_before": f"""{ONE}, bounds AS (SELECT start AS boundary FROM wins UNION SELECT "end" FROM wins)
-        SELECT {RUN}, boundary, max(ts) AS ts, round(arg_max(equity, ts), 4) AS equity
+        SELECT {RUN}, boundary, max(ts) AS ts, round(arg_max(equity, ts), 4) AS equity, 'ok' AS status
         FROM curve JOIN bounds ON ts < boundary GROUP BY {RUN}, boundary""",
     "round_trips": f"""{ONE} SELECT {RUN}, trip, entry_ts, exit_ts, entry_price, exit_price, {rounded('quantity', 'entry_commission exit_commission realized_pnl')}
         FROM trips WHERE exit_ts IS NOT NULL""",
@@ -557,7 +564,7 @@ ORACLES = {
         'ok' AS status FROM wstat LEFT JOIN wtrip USING ({RUN}, "window")""",
     "aggregate_metrics": f"""{ONE}, {TOTAL} SELECT {RUN}, round(start_equity, 4) AS start_equity, round(end_equity, 4) AS end_equity,
         round(pow(end_equity / start_equity, 1.0 / 5) - 1, 8) AS cagr, round(sd * sqrt(252), 8) AS volatility, 'ok' AS volatility_status,
-        round(mdd, 8) AS max_drawdown, round(ex, 8) AS exposure, coalesce(trips, 0) AS eligible_trips,
+        'ok' AS cagr_status, round(mdd, 8) AS max_drawdown, round(ex, 8) AS exposure, coalesce(trips, 0) AS eligible_trips,
         round(CASE WHEN trips >= 20 THEN wins_ / trips END, 8) AS hit_rate,
         CASE WHEN trips >= 20 THEN 'ok' ELSE 'insufficient_sample' END AS hit_rate_status,
         round(CASE WHEN trips >= 20 AND gl > 0 THEN gp / gl END, 8) AS profit_factor,
@@ -582,18 +589,18 @@ ORACLES = {
     "largest_move": f"""{SUPPLIER_BARS}, c AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS change FROM bars),
         r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(change) DESC, ts) AS rn FROM c WHERE change IS NOT NULL)
         SELECT symbol, ts, round(change, 8) AS change FROM r WHERE rn = 1""",
-    "grid_returns": f"""{GRID_STUDY} SELECT {RUN}, "window", round(r, 8) AS window_return, round(a, 8) AS aggregate_return
+    "grid_returns_by_part": f"""{study(SPOT_CHECKS, symbol='l_partkey')}, {RETURNS} SELECT {RUN}, {WINDOW_COLUMNS} FROM ret JOIN agg USING ({RUN})""",
+    "grid_returns": f"""{GRID_STUDY} SELECT {RUN}, {WINDOW_COLUMNS}
         FROM ret JOIN agg USING ({RUN})""",
     "window_returns": f"""{ONE}, {RETURNS} SELECT {RUN}, "window", round(r, 8) AS window_return,
-        round(start_equity, 4) AS start_equity, round(end_equity, 4) AS end_equity FROM ret""",
-    "cost_stress": f"""{study(costs=COST_SCENARIOS)}, {RETURNS} SELECT {RUN}, "window", round(r, 8) AS window_return,
-        round(a, 8) AS aggregate_return FROM ret JOIN agg USING ({RUN})""",
+        round(start_equity, 4) AS start_equity, round(end_equity, 4) AS end_equity, 'ok' AS status FROM ret""",
+    "cost_stress": f"""{study(costs=COST_SCENARIOS)}, {RETURNS} SELECT {RUN}, {WINDOW_COLUMNS} FROM ret JOIN agg USING ({RUN})""",
     "leave_one_out": f"""{GRID_STUDY},
         loo AS (SELECT x.symbol, x.fast, x.slow, x.scenario, x."window", product(1 + y.r) - 1 AS without
                 FROM ret x JOIN ret y ON x.symbol = y.symbol AND x.fast = y.fast AND x.slow = y.slow
                  AND x.scenario = y.scenario AND x."window" <> y."window" GROUP BY ALL)
         SELECT {RUN}, round(a, 8) AS full_aggregate, round(max(abs(without - a)) OVER (PARTITION BY {RUN}), 8) AS largest_change,
-               "window", round(without, 8) AS without, (without >= 0) <> (a >= 0) AS sign_flip
+               "window", round(without, 8) AS without, (without >= 0) <> (a >= 0) AS sign_flip, 'ok' AS status
         FROM loo JOIN agg USING ({RUN})""",
     "window_dispersion": f"""{GRID_STUDY} SELECT symbol, "window", round(min(r), 8) AS min_return, round(median(r), 8) AS median_return,
         round(max(r), 8) AS max_return FROM ret GROUP BY symbol, "window" """,
@@ -621,3 +628,100 @@ ORACLES = {
 }
 
 assert w.RESEARCH_CUTOFF == "2001-01-01"
+
+
+def _again(name: str, symbol: str, base: str = "l_returnflag", old: str = "", new: str = "") -> str:
+    """The check of another query over another choice of symbols."""
+    sql = ORACLES[name]
+    assert base in sql
+    return sql.replace(f"{base}::VARCHAR AS symbol", f"{symbol}::VARCHAR AS symbol").replace(old or "\0", new)
+
+
+ORACLES |= {
+    f"{name}_by_supplier": _again(name, "l_suppkey")
+    for name in ("fill_ledger", "drawdown_curve", "round_trips", "window_metrics")
+}
+ORACLES["ema_intraday"] = f"""WITH RECURSIVE ticks AS (SELECT event_type AS symbol, ts, value AS close FROM events),
+  {averages([10, 30], 'ticks')} SELECT symbol, ts, close, round(CASE WHEN idx >= 9 THEN e10 END, 8) AS ema_10,
+  round(CASE WHEN idx >= 29 THEN e30 END, 8) AS ema_30 FROM num JOIN ema USING (symbol, idx)"""
+ORACLES["leave_one_out_by_part"] = f"""{study(symbol='l_partkey')}, {RETURNS},
+  loo AS (SELECT {RUN}, x."window", product(1 + y.r) - 1 AS w FROM ret x JOIN ret y USING ({RUN})
+          WHERE x."window" <> y."window" GROUP BY ALL)
+  SELECT {RUN}, "window", round(a, 8) AS full_aggregate, round(CASE WHEN a IS NOT NULL THEN w END, 8) AS without,
+         round(max(CASE WHEN a IS NOT NULL THEN abs(w - a) END) OVER (PARTITION BY {RUN}), 8) AS largest_change,
+         CASE WHEN a IS NULL THEN 'missing_window' ELSE 'ok' END AS status,
+         CASE WHEN a IS NOT NULL THEN (w >= 0) <> (a >= 0) END AS sign_flip
+  FROM loo JOIN agg USING ({RUN})"""
+_TOTAL_OF_ANY = TOTAL.replace("arg_min(prev_equity, ts) AS se", "arg_min_null(prev_equity, ts) AS se")
+ORACLES["aggregate_metrics_by_part"] = f"""{study(symbol='l_partkey')}, {_TOTAL_OF_ANY}
+  SELECT {RUN}, round(start_equity, 4) AS start_equity, round(end_equity, 4) AS end_equity,
+         round(pow(end_equity / start_equity, 1.0 / 5) - 1, 8) AS cagr,
+         CASE WHEN start_equity IS NULL THEN 'no_equity_before_start' ELSE 'ok' END AS cagr_status,
+         round(CASE WHEN n >= 2 THEN sd * sqrt(252) END, 8) AS volatility,
+         CASE WHEN n >= 2 THEN 'ok' ELSE 'insufficient_sample' END AS volatility_status,
+         round(mdd, 8) AS max_drawdown, round(ex, 8) AS exposure, coalesce(trips, 0) AS eligible_trips,
+         NULL::DOUBLE AS hit_rate, 'insufficient_sample' AS hit_rate_status, NULL::DOUBLE AS profit_factor,
+         'insufficient_sample' AS profit_factor_status, NULL::DOUBLE AS sharpe_like,
+         'insufficient_sample' AS sharpe_like_status, coalesce(burn, 0) AS burn_in_trips, coalesce(open_, 0) > 0 AS still_open_at_end
+  FROM (SELECT DISTINCT {RUN} FROM curve) LEFT JOIN tot USING ({RUN}) LEFT JOIN q USING ({RUN}) LEFT JOIN bi USING ({RUN}) LEFT JOIN op USING ({RUN})"""
+ORACLES["artifact_audit"] = """WITH f AS (
+    SELECT page_id::VARCHAR AS path, strlen(html)::BIGINT AS length, sha256(html) AS sha256 FROM pages WHERE page_id % 17 <> 0),
+  r AS (SELECT page_id::VARCHAR AS path, sha256(CASE WHEN page_id % 10 = 0 THEN html || ' ' ELSE html END) AS recorded
+        FROM pages WHERE page_id % 19 <> 0)
+  SELECT path, length, sha256, recorded, CASE WHEN sha256 IS NULL THEN 'file_missing' WHEN recorded IS NULL THEN 'not_in_catalog'
+         WHEN sha256 <> recorded THEN 'hash_mismatch' ELSE 'ok' END AS status FROM f FULL OUTER JOIN r USING (path)"""
+ORACLES["publishable"] = f"""WITH {bars('l_partkey')}, {FAULTY} SELECT product FROM judged GROUP BY product
+  HAVING count(*) FILTER (reject IS NOT NULL AND reject <> 'incomplete_bucket') = 0"""
+_BROKEN = f"""{SUPPLIER_BARS}, {SNAPSHOTS},
+  cut AS (SELECT b.* FROM base b JOIN refs USING (product) WHERE product::INTEGER % 7 <> 1 OR "day" + 1 < ref),
+  found AS (
+    SELECT product, 'baseline_last_day' AS rule FROM cut JOIN refs USING (product) GROUP BY product, ref HAVING max("day") <> ref - 1
+    UNION SELECT product, 'audit_duplicate_day' FROM aud WHERE product::INTEGER % 7 = 3 AND d % 3 = 0
+    UNION SELECT product, 'audit_undecodable' FROM aud WHERE product::INTEGER % 7 = 2 AND d % 5 = 0
+    UNION SELECT product, 'interval_mismatch' FROM aud WHERE product::INTEGER % 7 = 4
+    UNION SELECT '9' || product, 'product_mismatch' FROM aud WHERE product::INTEGER % 7 = 5)"""
+ORACLES["snapshot_pair_violations"] = f"{_BROKEN} SELECT product, rule FROM found"
+ORACLES["revision_audit"] = f"""WITH good AS ({_again('revision_verdict', 'l_suppkey')}),
+  bad AS ({_BROKEN} SELECT product, string_agg(rule, ',' ORDER BY rule) AS broken_rules FROM found GROUP BY product)
+  SELECT product, verdict, raw_representation_stable, audit_days_after_baseline, '' AS broken_rules
+  FROM good WHERE product NOT IN (SELECT product FROM bad)
+  UNION ALL SELECT product, 'REJECTED', NULL, NULL, broken_rules FROM bad"""
+_UNEQUAL = {"baseline": COST_SCENARIOS["baseline"], "moderately_worse": COST_SCENARIOS["moderately_worse"]}
+ORACLES["ledger_reconcile_unequal"] = f"""{study((BASELINE_CELL, (12, 35)), _UNEQUAL, 'l_suppkey')},
+  chosen AS (SELECT *, CASE WHEN fast = 10 AND scenario = 'baseline' THEN 'l' WHEN fast = 12 AND scenario <> 'baseline' THEN 'r' END AS who FROM curve),
+  numbered AS (
+    SELECT symbol, who, ts, price, target, row_number() OVER (PARTITION BY symbol, who, target ORDER BY ts) AS k
+    FROM chosen WHERE who IS NOT NULL AND target <> prev_target),
+  both_ AS (
+    SELECT symbol, target, a.ts AS lt, b.ts AS rt, a.price AS lp, b.price AS rp
+    FROM (SELECT * FROM numbered WHERE who = 'l') a FULL OUTER JOIN (SELECT * FROM numbered WHERE who = 'r') b USING (symbol, target, k)),
+  n AS (
+    SELECT symbol, count(lt) FILTER (target = 0) AS left_trades, count(rt) FILTER (target = 0) AS right_trades,
+           count(*) FILTER (lt IS DISTINCT FROM rt) AS date_mismatches,
+           count(*) FILTER (abs(lp - rp) / greatest(abs(lp), abs(rp), 1e-12) > 1e-9) AS price_mismatches FROM both_ GROUP BY symbol),
+  e AS (
+    SELECT symbol, arg_max(equity, ts) FILTER (who = 'l') AS le, arg_max(equity, ts) FILTER (who = 'r') AS re FROM chosen GROUP BY symbol)
+  SELECT symbol, 10 AS fast, 30 AS slow, 'baseline' AS scenario, coalesce(left_trades, 0) AS left_trades,
+         coalesce(right_trades, 0) AS right_trades, coalesce(date_mismatches, 0) AS date_mismatches,
+         coalesce(price_mismatches, 0) AS price_mismatches, round(le, 4) AS left_final_equity, round(re, 4) AS right_final_equity,
+         round(le / {INITIAL_CASH} - 1, 8) AS left_total_return, round(re / {INITIAL_CASH} - 1, 8) AS right_total_return,
+         abs(le - re) / greatest(abs(le), abs(re), 1e-12) <= 1e-9 AS equity_agrees,
+         abs(le - re) / {INITIAL_CASH} <= 1e-9 AS return_agrees
+  FROM e LEFT JOIN n USING (symbol)"""
+
+
+def _part(name: str, columns: str, group: bool = False, where: str = "true") -> str:
+    tail = " GROUP BY symbol" if group else ""
+    return f"(SELECT symbol, {columns} FROM ({ORACLES[name]}) WHERE {where}{tail})"
+
+
+ORACLES["flagship"] = f"""SELECT a.* EXCLUDE (fast, slow, scenario), s.* EXCLUDE (symbol), 'ok' AS corporate_actions,
+         0::BIGINT AS data_violations, i.isolated_cells, l.* EXCLUDE (symbol), p.* EXCLUDE (symbol),
+         c.worst_stress_return, h.buy_and_hold_return, k.spot_checks_passed
+  FROM ({ORACLES["aggregate_metrics"]}) a JOIN ({ORACLES["sign_consistency"]}) s USING (symbol)
+  JOIN {_part("isolated_cells", "count(*) FILTER (isolated) AS isolated_cells", True)} i USING (symbol)
+  JOIN {_part("leave_one_out", "max(largest_change) AS largest_change, count(*) FILTER (sign_flip) AS sign_flips", True, "fast = 10 AND slow = 30")} l USING (symbol)
+  JOIN {_part("pnl_concentration", "largest_positive_fraction, trips_for_half", where="fast = 10 AND slow = 30")} p USING (symbol)
+  JOIN {_part("cost_stress", "min(aggregate_return) AS worst_stress_return", True)} c USING (symbol)
+  JOIN (SELECT symbol, total_return AS buy_and_hold_return FROM ({_again("buy_and_hold", "l_returnflag", "l_suppkey")})) h USING (symbol)
+  JOIN {_part("spot_checks", "count(*) FILTER (equity_agrees AND return_agrees) AS spot_checks_passed", True)} k USING (symbol)"""

@@ -6,8 +6,6 @@ places, money to 4) so that results can be compared by value.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ from tapecheck.operators import (
     signals,
     timeline,
 )
-from tapecheck.operators.blocks import materialize, shared_folder
+from tapecheck.operators.blocks import DAILY, Layout, materialize, new_folder
 from tapecheck.plans import workload as w
 from tapecheck.sources import bars as bar_tables
 from tapecheck.sources import catalog as catalogs
@@ -51,11 +49,6 @@ def _round(df: DataFrame, ratios: str = "", money: str = "") -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), n) for c, n in places.items()})
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table that a query writes and reads back."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _bars(spark: SparkSession, sf: str) -> DataFrame:
     return w.bars(spark, sf)
 
@@ -64,9 +57,13 @@ def _research(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.research_filter(_bars(spark, sf), w.SPLITS)
 
 
-def _panel(spark: SparkSession, sf: str, grid=(BASELINE_CELL,), research: bool = True) -> DataFrame:
-    source = _research(spark, sf) if research else _bars(spark, sf)
-    return materialize(signals.signal_panel(source, list(grid)))
+def _panel(spark: SparkSession, sf: str, grid=(BASELINE_CELL,), symbol="l_returnflag", layout=DAILY) -> DataFrame:
+    source = timeline.research_filter(w.bars(spark, sf, symbol), w.SPLITS)
+    return materialize(signals.signal_panel(source, list(grid), layout=layout))
+
+
+#: Chunks of 64 days: a series of the given tables spans some forty of them.
+SMALL = Layout(block_bars=16, chunk_blocks=4)
 
 
 def _book(grid=(BASELINE_CELL,), costs=None):
@@ -81,8 +78,9 @@ def _supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_bars(spark, sf):
-    path = scratch(spark, "bars")
-    bar_tables.write_bars(_bars(spark, sf), path, "acme")
+    path = new_folder(spark) + "/bars"
+    padded = F.lpad(F.col("l_linenumber").cast("string"), 5, "0")
+    bar_tables.write_bars(w.bars(spark, sf, padded), path, "acme")
     return bar_tables.scan_bars(spark, path)
 
 
@@ -92,7 +90,7 @@ def research_rows(spark, sf):
 
 
 def research_lineage(spark, sf):
-    parent, target = scratch(spark, "parent"), scratch(spark, "research")
+    parent, target = (f"{new_folder(spark)}/{name}" for name in ("parent", "research"))
     _bars(spark, sf).write.parquet(parent)
     return bar_tables.derive_research(spark, parent, target, w.RESEARCH_CUTOFF, "parent")
 
@@ -106,7 +104,7 @@ def _pages(spark, sf):
 
 
 def flatten_pages(spark, sf):
-    path = scratch(spark, "pages")
+    path = new_folder(spark) + "/pages"
     w.artifacts(_pages(spark, sf)).write.json(path)
     flat = page_tables.flatten_pages(page_tables.read_artifacts(spark, path))
     return flat.drop("started_at_utc")
@@ -123,7 +121,7 @@ def page_schema_violations(spark, sf):
 
 
 def registry_scan(spark, sf):
-    path = scratch(spark, "registry")
+    path = new_folder(spark) + "/registry"
     records = w.registry_records(spark, sf)
     bad = quality.registry_violations(records).select("experiment_id").distinct()
     registries.append_records(records.join(bad, "experiment_id", "left_anti"), path)
@@ -131,16 +129,17 @@ def registry_scan(spark, sf):
 
 
 def artifact_audit(spark, sf):
-    files = catalogs.hash_files(spark, sf)
-    name = F.element_at(F.split("path", "/"), -1)
-    recorded = files.select(
-        "path", F.when(name.startswith("l"), F.lit("stale")).otherwise(F.col("sha256")).alias("sha256")
+    pages = w.table(spark, sf, "pages")
+    found = catalogs.hash_rows(pages.where("page_id % 17 != 0"), F.col("page_id").cast("string"), F.col("html"))
+    recorded = pages.where("page_id % 19 != 0").select(
+        F.col("page_id").cast("string").alias("path"),
+        F.sha2(F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256).alias("sha256"),
     )
-    return catalogs.artifact_audit(files, recorded)
+    return catalogs.artifact_audit(found, recorded)
 
 
 def latest_artifact(spark, sf):
-    return catalogs.latest_artifact(w.catalog(spark, sf).where("kind = 'raw'"))
+    return catalogs.latest_artifact(w.catalog(spark, sf))
 
 
 def lineage_join(spark, sf):
@@ -265,6 +264,13 @@ def decode_rejects(spark, sf):
     return candles.decode_rejects(_decoded(spark, sf), products)
 
 
+def publishable(spark, sf):
+    """Parts of which every candle is accepted, judged two days later than the pages were fetched."""
+    raw = w.raw_candles(w.bars(spark, sf, "l_partkey"))
+    later = w.faulty_candles(raw).withColumn("now", F.col("now") + F.expr("INTERVAL 2 DAYS"))
+    return candles.publishable(candles.decode_candles(later), raw.select("product").distinct())
+
+
 def canonical_from_pages(spark, sf):
     return candles.to_bars(_decoded(spark, sf))
 
@@ -302,6 +308,18 @@ def revision_verdict(spark, sf):
     return revision.revision_verdict(*_snapshots(spark, sf))
 
 
+def _faulty_snapshots(spark, sf):
+    return w.faulty_snapshots(w.raw_candles(_supplier_bars(spark, sf)))
+
+
+def snapshot_pair_violations(spark, sf):
+    return revision.snapshot_pair_violations(*_faulty_snapshots(spark, sf))
+
+
+def revision_audit(spark, sf):
+    return revision.revision_audit(*_faulty_snapshots(spark, sf))
+
+
 # --- indicators, signals, ledgers ---------------------------------------------------
 
 
@@ -313,6 +331,14 @@ def ema(spark, sf):
     return _round(indicators.ema(_bars(spark, sf), [10, 30]), "ema_10 ema_30")
 
 
+def ema_intraday(spark, sf):
+    """Averages over ticks as they come, with a layout derived from their density."""
+    ticks = w.table(spark, sf, "events").select(
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close")
+    )
+    return _round(indicators.ema(ticks, [10, 30], layout=None), "ema_10 ema_30")
+
+
 def crossover_signal(spark, sf):
     return _round(signals.crossover_signal(_bars(spark, sf), *BASELINE_CELL), "fast_ema slow_ema")
 
@@ -366,6 +392,21 @@ def equity_before(spark, sf):
     return _round(timeline.equity_before(curve, timeline.boundaries(WINDOWS), RUN), "", "equity")
 
 
+def fill_ledger_by_supplier(spark, sf):
+    rows = ledger.fill_ledger(_panel(spark, sf, symbol="l_suppkey", layout=SMALL), _book())
+    return _round(rows.select(*RUN, "ts", *_TRADE), "quantity units_after", "commission cash_after")
+
+
+def drawdown_curve_by_supplier(spark, sf):
+    curve = ledger.equity_curve(_panel(spark, sf, symbol="l_suppkey", layout=SMALL), _book())
+    return _round(metrics.drawdown_curve(curve), "drawdown", "equity peak")
+
+
+def round_trips_by_supplier(spark, sf):
+    panel = _panel(spark, sf, symbol="l_suppkey", layout=SMALL)
+    return _round(ledger.round_trips(ledger.fill_ledger(panel, _book())), "quantity", _TRIP_MONEY)
+
+
 def _trips(spark, sf, grid=(BASELINE_CELL,)):
     panel = _panel(spark, sf, grid)
     return ledger.round_trips(ledger.fill_ledger(panel, _book(grid)))
@@ -415,8 +456,26 @@ def window_metrics(spark, sf):
     )
 
 
+def window_metrics_by_supplier(spark, sf):
+    panel = _panel(spark, sf, symbol="l_suppkey", layout=SMALL)
+    trips = ledger.round_trips(ledger.fill_ledger(panel, _book()))
+    out = metrics.window_metrics(ledger.equity_curve(panel, _book()), trips, WINDOWS)
+    return _round(
+        out, "total_return volatility local_max_drawdown exposure", "start_equity end_equity"
+    )
+
+
 def aggregate_metrics(spark, sf):
-    panel, curve = _curve(spark, sf)
+    return _aggregates(_panel(spark, sf))
+
+
+def aggregate_metrics_by_part(spark, sf):
+    """Parts, of which some start after the first window and some end before the last."""
+    return _aggregates(_panel(spark, sf, symbol="l_partkey"))
+
+
+def _aggregates(panel):
+    curve = ledger.equity_curve(panel, _book())
     pairs = materialize(ledger.paired_trades(ledger.fill_ledger(panel, _book())))
     out = metrics.aggregate_metrics(
         curve, pairs.where("exit_ts is not null"), pairs.where("exit_ts is null"), WINDOWS
@@ -460,6 +519,17 @@ def grid_returns(spark, sf):
     return _round(_grid(spark, sf)[1], "window_return aggregate_return")
 
 
+def grid_returns_by_part(spark, sf):
+    panel = _panel(spark, sf, SPOT_CHECKS, "l_partkey")
+    return _round(robustness.grid_returns(panel, _book(SPOT_CHECKS), WINDOWS), "window_return aggregate_return")
+
+
+def leave_one_out_by_part(spark, sf):
+    panel = _panel(spark, sf, symbol="l_partkey")
+    out = robustness.leave_one_out(robustness.grid_returns(panel, _book(), WINDOWS), RUN)
+    return _round(out, "full_aggregate largest_change without")
+
+
 def window_returns(spark, sf):
     panel = _panel(spark, sf)
     at = robustness.boundary_equity(panel, _book(), timeline.boundaries(WINDOWS))
@@ -537,6 +607,24 @@ def ledger_reconcile(spark, sf):
     return _reconciled(spark, sf, GRID)
 
 
+def ledger_reconcile_unequal(spark, sf):
+    """Two ledgers that must disagree: another cell and other costs under the same name."""
+    grid = [BASELINE_CELL, (12, 35)]
+    panel = _panel(spark, sf, grid, "l_suppkey")
+    cash = INITIAL_CASH
+    fast, slow = BASELINE_CELL
+    one = [ledger.Run(0, fast, slow, "baseline", *COST_SCENARIOS["baseline"], cash)]
+    two = [ledger.Run(1, fast, slow, "baseline", *COST_SCENARIOS["moderately_worse"], cash)]
+    amount = F.when(F.col("side") == "buy", F.col("units_after")).otherwise(F.col("cash_after"))
+    left, right = (materialize(ledger.fill_ledger(panel, b)) for b in (one, two))
+    ends = [reconcile.final_equity(panel, t, b, amount, ["symbol"]) for t, b in ((left, one), (right, two))]
+    return _round(
+        reconcile.ledger_reconcile(left, right, *ends),
+        "left_total_return right_total_return",
+        "left_final_equity right_final_equity",
+    )
+
+
 def spot_checks(spark, sf):
     return _reconciled(spark, sf, SPOT_CHECKS)
 
@@ -558,31 +646,55 @@ def partition_report(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole study per symbol: guard, filter, curve, windows, grid, benchmark."""
-    panel = _panel(spark, sf, GRID)
-    index = GRID.index(BASELINE_CELL)
+    """The whole study per symbol, in the order of its stages; rows of the sealed split are never read.
+
+    Guard against splits, data rules, curve and aggregate metrics, grid and its neighbours,
+    windows left out, concentration, cost stress, benchmark, and spot checks by a second ledger.
+    """
+    rows = materialize(_research(spark, sf))
+    panel = materialize(signals.signal_panel(rows, GRID))
     fast, slow = BASELINE_CELL
-    book = [ledger.Run(index, fast, slow, "baseline", *COST_SCENARIOS["baseline"], INITIAL_CASH)]
-    curve = ledger.equity_curve(panel, book)
+    book = [ledger.Run(GRID.index(BASELINE_CELL), fast, slow, "baseline", *COST_SCENARIOS["baseline"], INITIAL_CASH)]
     pairs = materialize(ledger.paired_trades(ledger.fill_ledger(panel, book)))
+    closed = pairs.where("exit_ts is not null")
     study = metrics.aggregate_metrics(
-        curve, pairs.where("exit_ts is not null"), pairs.where("exit_ts is null"), WINDOWS
-    )
-    returns = robustness.grid_returns(panel, _book(GRID), WINDOWS)
+        ledger.equity_curve(panel, book), closed, pairs.where("exit_ts is null"), WINDOWS
+    ).drop("fast", "slow", "scenario")
+    returns = materialize(robustness.grid_returns(panel, _book(GRID), WINDOWS))
+    baseline = returns.where((F.col("fast") == fast) & (F.col("slow") == slow))
     cells = materialize(returns.select("symbol", "fast", "slow", "aggregate_return").distinct())
     neighbors = robustness.grid_neighbors(cells, FAST_PERIODS, SLOW_PERIODS)
-    hold = ledger.buy_and_hold(_research(spark, sf), START, END)
-    checks = quality.ohlcv_violations(_bars(spark, sf)).groupBy("symbol").agg(F.sum("rows").alias("bad"))
-    return (
-        study.drop("fast", "slow", "scenario")
-        .join(robustness.sign_consistency(cells, neighbors), "symbol")
-        .join(hold.select("symbol", F.col("total_return").alias("buy_and_hold_return")), "symbol")
-        .join(checks, "symbol", "left")
-        .withColumn("data_violations", F.coalesce("bad", F.lit(0)))
-        .drop("bad")
+    stress = robustness.cost_stress(panel, GRID, returns, COST_SCENARIOS, WINDOWS)
+    checked = reconcile.ledger_reconcile(*_two_ledgers(panel, _spot_book()))
+    per = lambda df, *cols: df.groupBy("symbol").agg(*cols)
+    stages = [
+        w.actions(rows).transform(quality.corporate_actions, START, END).select("symbol", F.col("status").alias("corporate_actions")),
+        per(quality.ohlcv_violations(rows), F.sum("rows").alias("data_violations")),
+        robustness.sign_consistency(cells, neighbors),
+        per(robustness.isolated_cells(neighbors), F.count_if("isolated").alias("isolated_cells")),
+        per(robustness.leave_one_out(baseline, RUN), F.max("largest_change").alias("largest_change"), F.count_if("sign_flip").alias("sign_flips")),
+        metrics.pnl_concentration(metrics.eligible_round_trips(closed, START, END)).select("symbol", "largest_positive_fraction", "trips_for_half"),
+        per(stress, F.min("aggregate_return").alias("worst_stress_return")),
+        ledger.buy_and_hold(rows, START, END).select("symbol", F.col("total_return").alias("buy_and_hold_return")),
+        per(checked, F.count_if(F.col("equity_agrees") & F.col("return_agrees")).alias("spot_checks_passed")),
+    ]
+    for stage in stages:
+        study = study.join(stage, "symbol", "left")
+    study = study.withColumn("data_violations", F.coalesce("data_violations", F.lit(0)))
+    return _round(
+        study,
+        "cagr volatility max_drawdown exposure hit_rate profit_factor sharpe_like sign_consistency largest_change "
+        "largest_positive_fraction worst_stress_return buy_and_hold_return",
+        "start_equity end_equity",
     )
 
 
+def _spot_book():
+    return [
+        ledger.Run(GRID.index(cell), *cell, "baseline", *COST_SCENARIOS["baseline"], INITIAL_CASH) for cell in SPOT_CHECKS
+    ]
+
+
 REGISTERED = {
     f.__name__: f
     for f in (
@@ -599,6 +711,9 @@ REGISTERED = {
         curve_metrics, window_metrics, aggregate_metrics, trip_quality, pnl_concentration,
         largest_move, grid_returns, window_returns, cost_stress, leave_one_out, window_dispersion,
         grid_neighbors, sign_consistency, sign_flip_pairs, baseline_neighbors, isolated_cells,
-        ledger_reconcile, spot_checks, partition_report,
+        ledger_reconcile, spot_checks, partition_report, snapshot_pair_violations, revision_audit, publishable,
+        ema_intraday, fill_ledger_by_supplier, drawdown_curve_by_supplier, round_trips_by_supplier,
+        window_metrics_by_supplier, aggregate_metrics_by_part, grid_returns_by_part, leave_one_out_by_part,
+        ledger_reconcile_unequal, flagship,
     )
 } | {"bars_from_ticks": bars_from_ticks_query}

@@ -28,11 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+def ticks(spark: SparkSession, sf_dir: str, symbol: str | Column = "l_returnflag") -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     px = 100 + (F.col("l_extendedprice") / F.col("l_quantity")) / 1000
     return items.select(
-        F.col(symbol).cast("string").alias("symbol"),
+        (F.col(symbol) if isinstance(symbol, str) else symbol).cast("string").alias("symbol"),
         F.col("l_shipdate").alias("ts"),
         px.alias("px"),
         F.col("l_quantity").alias("qty"),
@@ -40,7 +40,7 @@ def ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> Dat
     )
 
 
-def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, symbol: str | Column = "l_returnflag") -> DataFrame:
     return bars_from_ticks(ticks(spark, sf_dir, symbol))
 
 
@@ -83,6 +83,24 @@ def audit_copy(raw: DataFrame) -> DataFrame:
     return raw.where("d % 97 != 0").withColumn("close", close)
 
 
+def faulty_snapshots(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies of numbered products, of which some break a rule of the comparison; with reference days."""
+    p = F.col("product").cast("int")
+    reference = reference_days(baseline_copy(raw))
+    baseline = baseline_copy(raw).withColumn("interval", F.lit("1d")).join(reference, "product")
+    baseline = baseline.where((p % 7 != 1) | (F.date_add("day", 1) < F.col("reference_day"))).drop("reference_day")
+    repeated = F.when((p % 7 == 3) & (F.col("d") % 3 == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    audit = (
+        audit_copy(raw)
+        .withColumn("low", F.when((p % 7 == 2) & (F.col("d") % 5 == 0), "garbage").otherwise(F.col("low")))
+        .withColumn("interval", F.when(p % 7 == 4, "1h").otherwise("1d"))
+        .withColumn("copy", F.explode(repeated))
+        .drop("copy")
+    )
+    strangers = audit.where(p % 7 == 5).withColumn("product", F.concat(F.lit("9"), "product"))
+    return baseline, audit.unionByName(strangers), reference
+
+
 def reference_days(baseline: DataFrame) -> DataFrame:
     return baseline.groupBy("product").agg(F.date_add(F.max("day"), 1).alias("reference_day"))
 
@@ -186,6 +204,10 @@ def artifacts(pages: DataFrame) -> DataFrame:
 # --- catalog and registry, one row per order ----------------------------------
 
 
+#: How creation times are written; all but the second are UTC.
+OFFSETS = ("+00:00", "-18:00", "Z", "")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw and a processed artifact per order; a few records are deficient."""
     o = table(spark, sf_dir, "orders")
@@ -193,7 +215,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbol = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
     created = F.when(
         F.col("o_orderkey") % 211 == 0, F.lit(None).cast("string")
-    ).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    ).otherwise(
+        F.concat(
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"),
+            F.element_at(F.array(*[F.lit(x) for x in OFFSETS]), (F.col("o_orderkey") % len(OFFSETS) + 1).cast("int")),
+        )
+    )
     raw_sha = F.sha2(F.concat(F.lit("raw-"), key), 256)
     base = o.select("o_orderkey", key.alias("key"), symbol.alias("symbol"), created.alias("created_at_utc"), raw_sha.alias("raw_sha"))
     raw = base.select(
@@ -205,7 +232,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         "created_at_utc",
         F.col("raw_sha").alias("sha256"),
         F.lit(None).cast("string").alias("source_raw_sha256"),
+        F.lit(None).cast("string").alias("source_raw_file"),
     ).withColumn("file", F.col("path"))
+    parent = F.concat(F.lit("raw/"), F.when(F.col("o_orderkey") % 31 == 0, "moved").otherwise(F.col("symbol")), F.lit("/1d/"), "key", F.lit(".parquet"))
     lost = F.when(F.col("o_orderkey") % 17 == 0, F.sha2(F.concat(F.lit("lost-"), "key"), 256)).otherwise(F.col("raw_sha"))
     recorded = F.when(F.col("o_orderkey") % 23 == 0, F.concat("symbol", F.lit("x"))).otherwise(F.col("symbol"))
     path = F.concat(F.lit("processed/acme/"), "symbol", F.lit("/1d/"), "key", F.lit(".canonical.parquet"))
@@ -218,6 +247,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         "created_at_utc",
         F.sha2(F.concat(F.lit("proc-"), "key"), 256).alias("sha256"),
         lost.alias("source_raw_sha256"),
+        parent.alias("source_raw_file"),
         F.when(F.col("o_orderkey") % 29 == 0, F.lit("elsewhere")).otherwise(path).alias("file"),
     )
     return raw.unionByName(processed)
@@ -228,7 +258,8 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     versions = (
-        F.when(k % 13 == 0, "[1, 2]")
+        F.when(k % 17 == 0, '{"python":"3","pandas":"2","pyarrow":"1","vectorbt":"0"} and more')
+        .when(k % 13 == 0, "[1, 2]")
         .when(k % 11 == 0, "not json")
         .when(k % 7 == 0, '{"python":"3","pandas":"2"}')
         .otherwise('{"python":"3","pandas":"2","pyarrow":"1","vectorbt":"0"}')
@@ -306,7 +337,7 @@ def last_days(bars: DataFrame) -> DataFrame:
 def faulty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars per supplier; by day and supplier number some break a rule."""
     b = bars(spark, sf_dir, "l_suppkey")
-    d, n = F.unix_date(F.col("ts").cast("date")), F.col("symbol").cast("int")
+    d, n = F.unix_date(F.col("ts").cast("date")), F.col("symbol").try_cast("int")
     copies = F.when((d % 101 == 0) & (n % 3 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     change = lambda c, test, value: F.when(test, value).otherwise(F.col(c)).alias(c)
     return b.select(
@@ -325,7 +356,7 @@ def faulty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def actions(bars: DataFrame) -> DataFrame:
     """Corporate actions per supplier; some suppliers have a split or a missing value."""
-    d, n = F.unix_date(F.col("ts").cast("date")), F.col("symbol").cast("int")
+    d, n = F.unix_date(F.col("ts").cast("date")), F.col("symbol").try_cast("int")
     return bars.select(
         "symbol",
         "ts",

@@ -12,8 +12,13 @@ from tapecheck.operators.timeline import stamp
 
 
 def scan_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical columns of a Parquet table of bars."""
-    return spark.read.parquet(path).select(*BAR_COLUMNS)
+    """Canonical columns of a Parquet table of bars.
+
+    The schema is stated, so symbols that look like numbers in folder names stay text.
+    """
+    kinds = {"symbol": "string", "ts": "timestamp_ntz"}
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in BAR_COLUMNS)
+    return spark.read.schema(schema).parquet(path).select(*BAR_COLUMNS)
 
 
 def before_cutoff(bars: DataFrame, cutoff: str, column: str = "ts") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def hash_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> Da
     )
 
 
+def hash_rows(rows: DataFrame, path: Column, content: Column) -> DataFrame:
+    """The same for content held in rows, which has no limit on the size of a file."""
+    return rows.select(path.alias("path"), F.octet_length(content).cast("bigint").alias("length"), F.sha2(content, 256).alias("sha256"))
+
+
 def artifact_audit(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Recorded against actual hashes, and artifacts or records without the other."""
     recorded = catalog.select("path", F.col("sha256").alias("recorded"))
@@ -30,13 +35,29 @@ def artifact_audit(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
+def _utc(text: Column) -> Column:
+    """A time with or without offset as zone-free UTC, whatever the session's zone."""
+    offset = F.regexp_extract(text, r"([+-])([0-9]{2}):?([0-9]{2})\z", 0)
+    timed = text.contains("T") | text.contains(" ")
+    has_offset = timed & (offset != "") & text.rlike(r":[0-9]{2}(\.[0-9]+)?[+-][0-9]{2}:?[0-9]{2}\z")
+    minutes = F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, -2, 2).cast("int")
+    local = F.regexp_replace(text, r"(Z|[+-][0-9]{2}:?[0-9]{2})\z", "")
+    shift = F.when(offset.startswith("-"), minutes).otherwise(-minutes)
+    return F.when(
+        has_offset, local.try_cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), shift)
+    ).otherwise(F.regexp_replace(text, r"Z\z", "").try_cast("timestamp_ntz"))
+
+
 def latest_artifact(catalog: DataFrame) -> DataFrame:
-    """Newest artifact by recorded creation time per ``symbol, interval``.
+    """Newest processed artifact by recorded creation time per ``symbol, interval``.
+
+    Creation times are instants: an offset counts, and a time without one is UTC. They are
+    returned as UTC.
 
     Among equal times the first path in order is taken. A group with an artifact
     that has no valid creation time is reported as such and yields no path.
     """
-    stamped = catalog.withColumn("created_at", F.col("created_at_utc").try_cast("timestamp_ntz"))
+    stamped = catalog.where("kind = 'processed'").withColumn("created_at", _utc(F.col("created_at_utc")))
     per_time = stamped.groupBy("symbol", "interval", "created_at").agg(
         F.min("path").alias("path"), F.count("*").alias("artifacts")
     )
@@ -58,15 +79,25 @@ def latest_artifact(catalog: DataFrame) -> DataFrame:
 
 
 def lineage_join(catalog: DataFrame) -> DataFrame:
-    """Processed artifacts with the raw artifact they were made from, by hash.
+    """Processed artifacts with the raw artifact they were made from.
 
-    A processed artifact whose raw parent is not in the catalog keeps a NULL.
+    The recorded path leads to the parent and the recorded hash must be its own; ``status`` is
+    ``raw_missing`` or ``hash_differs`` otherwise, and ``raw_path`` NULL.
     """
-    raw = catalog.where("kind = 'raw'").select(
-        F.col("path").alias("raw_path"), F.col("sha256").alias("source_raw_sha256")
+    raw = catalog.where("kind = 'raw'").select(F.col("path").alias("source_raw_file"), F.col("sha256").alias("actual"))
+    processed = catalog.where("kind = 'processed'").select("path", "symbol", "source_raw_file", "source_raw_sha256")
+    status = (
+        F.when(F.col("actual").isNull(), "raw_missing")
+        .when(~F.col("actual").eqNullSafe(F.col("source_raw_sha256")), "hash_differs")
+        .otherwise("ok")
+    )
+    return processed.join(raw, "source_raw_file", "left").select(
+        "source_raw_sha256",
+        "path",
+        "symbol",
+        F.when(status == "ok", F.col("source_raw_file")).alias("raw_path"),
+        status.alias("status"),
     )
-    processed = catalog.where("kind = 'processed'").select("path", "symbol", "source_raw_sha256")
-    return processed.join(raw, "source_raw_sha256", "left")
 
 
 def identity_violations(catalog: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from tapecheck.constants import (
     REQUEST_KEYS,
     RETRIEVAL_KEYS,
 )
+from tapecheck.functions.documents import as_list, as_object, whole_document
 
 CANDLE = "struct<" + ",".join(f"{k}:string" for k in CANDLE_KEYS) + ">"
 PAGE = (
@@ -96,14 +97,6 @@ def _keys_differ(found: Column, wanted: Sequence[str]) -> Column:
     )
 
 
-def _object(v: Column, path: str = "$") -> Column:
-    return F.try_variant_get(v, path, "map<string,variant>")
-
-
-def _list(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "array<variant>")
-
-
 def _all_text(m: Column, keys: Sequence[str] | None = None) -> Column:
     values = F.map_values(m) if keys is None else F.array(*[m[k] for k in keys])
     return F.coalesce(
@@ -115,19 +108,6 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def _whole_document(text: Column) -> Column:
-    """The document as a variant, NULL unless the text is exactly one document.
-
-    The parser stops after the first value, so text that follows it is only
-    noticed when the document is parsed as the sole member of an array and of
-    an object.
-    """
-    inside_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    inside_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    alone = (F.size(_list(inside_list, "$")) == 1) & (F.size(F.map_keys(_object(inside_object))) == 1)
-    return F.when(alone, F.try_variant_get(inside_object, "$.v", "variant"))
-
-
 def page_schema_violations(
     documents: DataFrame,
     keys: Sequence[str],
@@ -137,19 +117,19 @@ def page_schema_violations(
 ) -> DataFrame:
     """``keys, rule`` for each part of the closed schema a document breaks."""
     v = F.col("v")
-    rows = documents.select(*keys, _whole_document(F.col(body)).alias("v"))
-    pages = _list(v, "$.pages")
+    rows = documents.select(*keys, whole_document(F.col(body)).alias("v"))
+    pages = as_list(v, "$.pages")
     utc = lambda f: F.coalesce(
         _text(v, f"$.retrieval.{f}").rlike(r"(Z|\+00:00)\z")
         & F.try_to_timestamp(_text(v, f"$.retrieval.{f}")).isNotNull(),
         F.lit(False),
     )
     some = lambda test: F.exists(pages, test)
-    candles = lambda p: _list(p, "$.candles")
+    candles = lambda p: as_list(p, "$.candles")
     flag = lambda c: F.coalesce(c, F.lit(False))
     version = F.try_variant_get(v, "$.schema_version", "variant")
     rules = {
-        "artifact_keys": _keys_differ(F.map_keys(_object(v)), ARTIFACT_KEYS),
+        "artifact_keys": _keys_differ(F.map_keys(as_object(v)), ARTIFACT_KEYS),
         "schema_version": ~flag(
             (F.schema_of_variant(version) == "BIGINT")
             & (F.try_variant_get(v, "$.schema_version", "int") == RAW_SCHEMA_VERSION)
@@ -157,31 +137,31 @@ def page_schema_violations(
         "provider": ~flag(_text(v, "$.provider") == provider),
         "product": ~flag(_text(v, "$.product").isin(*products) if products else _text(v, "$.product").isNotNull()),
         "interval": ~flag(_text(v, "$.interval") == RAW_INTERVAL),
-        "retrieval_keys": _keys_differ(F.map_keys(_object(v, "$.retrieval")), RETRIEVAL_KEYS),
-        "retrieval_text": ~_all_text(_object(v, "$.retrieval")),
+        "retrieval_keys": _keys_differ(F.map_keys(as_object(v, "$.retrieval")), RETRIEVAL_KEYS),
+        "retrieval_text": ~_all_text(as_object(v, "$.retrieval")),
         "retrieval_time": ~(utc("started_at_utc") & utc("completed_at_utc")),
         "pages_not_list": pages.isNull(),
         "pages_empty": F.size(pages) == 0,
-        "page_keys": some(lambda p: _keys_differ(F.map_keys(_object(p)), PAGE_KEYS)),
-        "request_keys": some(lambda p: _keys_differ(F.map_keys(_object(p, "$.request")), REQUEST_KEYS)),
-        "request_text": some(lambda p: ~_all_text(_object(p, "$.request"))),
+        "page_keys": some(lambda p: _keys_differ(F.map_keys(as_object(p)), PAGE_KEYS)),
+        "request_keys": some(lambda p: _keys_differ(F.map_keys(as_object(p, "$.request")), REQUEST_KEYS)),
+        "request_text": some(lambda p: ~_all_text(as_object(p, "$.request"))),
         "granularity": some(lambda p: ~flag(_text(p, "$.request.granularity") == RAW_GRANULARITY)),
         "request_product": some(lambda p: ~flag(_text(p, "$.request.product_id") == _text(v, "$.product"))),
         "rate_limit_headers": some(
             lambda p: ~flag(F.is_variant_null(F.try_variant_get(p, "$.rate_limit_headers", "variant")))
             & ~flag(
                 (F.size(F.array_except(
-                    F.map_keys(_object(p, "$.rate_limit_headers")),
+                    F.map_keys(as_object(p, "$.rate_limit_headers")),
                     F.array(*[F.lit(k) for k in RATE_LIMIT_KEYS]),
                 )) == 0)
-                & _all_text(_object(p, "$.rate_limit_headers"))
+                & _all_text(as_object(p, "$.rate_limit_headers"))
             )
         ),
         "candles_not_list": some(lambda p: candles(p).isNull()),
         "candle_keys": some(
-            lambda p: F.exists(candles(p), lambda c: _keys_differ(F.map_keys(_object(c)), CANDLE_KEYS))
+            lambda p: F.exists(candles(p), lambda c: _keys_differ(F.map_keys(as_object(c)), CANDLE_KEYS))
         ),
-        "candle_text": some(lambda p: F.exists(candles(p), lambda c: ~_all_text(_object(c)))),
+        "candle_text": some(lambda p: F.exists(candles(p), lambda c: ~_all_text(as_object(c)))),
     }
     broken = F.filter(
         F.array(*[F.when(flag(c), F.lit(n)) for n, c in rules.items()]), lambda r: r.isNotNull()

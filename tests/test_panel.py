@@ -100,15 +100,35 @@ def test_events_and_transitions(make_bars):
     assert signals.signal_transitions(panel).first().transitions == 3
 
 
-def test_too_many_bars_in_a_block_fail_loudly(spark):
+def test_dense_bars_need_no_layout(spark):
     many = spark.range(2000).select(
         F.lit("X").alias("symbol"),
         (F.lit("2020-01-01").cast("timestamp_ntz") + F.expr("make_interval(0,0,0,0,0,id)")).alias("ts"),
+        F.lit(1.0).alias("open"), (F.col("id") % 7 * 1.0).alias("close"),
+    )
+    value, want = 0.0, []
+    for i in range(2000):
+        value = value + (i % 7 - value) * 2 / 11 if i else 0.0
+        want.append(value)
+    for layout in (Layout(), Layout(bar_seconds=1), Layout(bar_seconds=1, block_bars=16, chunk_blocks=4), None):
+        got = [r.ema_10 for r in indicators.ema(many, [10], layout=layout).orderBy("ts").collect()]
+        assert got[:9] == [None] * 9
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[9:], want[9:]))
+
+
+def test_small_layouts_cut_a_series_into_chunks(spark):
+    bars = spark.range(300).select(
+        F.lit("X").alias("symbol"), F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(id as int))").alias("ts"),
         F.lit(1.0).alias("open"), F.lit(1.0).alias("close"),
     )
-    with pytest.raises(Exception, match="bar_seconds"):
-        indicators.ema(many, [2]).collect()
-    assert indicators.ema(many, [2], layout=Layout(bar_seconds=1)).count() == 2000
+    chunks = signals.signal_panel(bars, [(2, 3)], layout=Layout(block_bars=16, chunk_blocks=4)).agg(F.min("chunk"), F.max("chunk")).first()
+    assert chunks[1] - chunks[0] >= 4
+
+
+def test_rows_without_time_or_key_are_kept(spark):
+    rows = [("X", "2024-01-01", 1.0), ("X", None, 2.0), (None, "2024-01-02", 3.0), ("X", "2024-01-02", 4.0)]
+    bars = spark.createDataFrame(rows, "symbol string, d string, close double").select("symbol", F.col("d").cast("timestamp_ntz").alias("ts"), "close")
+    assert sorted((r.close, r.ema_1) for r in indicators.ema(bars, [1]).collect()) == [(1.0, 1.0), (2.0, None), (3.0, None), (4.0, 4.0)]
 
 
 @pytest.mark.parametrize("period", [0, -1, 2.0, True, "3"])

@@ -163,7 +163,7 @@ def test_catalog(spark, tmp_path):
         "a.parquet": "ok", "b.parquet": "hash_mismatch", "c.parquet": "not_in_catalog", "gone": "file_missing"}
     rows = [("X", "1d", "z", "2024-01-01T00:00:00"), ("X", "1d", "a", "2023-01-01T00:00:00"), ("X", "1d", "m", "2024-01-01T00:00:00"),
             ("Y", "1d", "q", None), ("Y", "1d", "r", "2024-01-01T00:00:00"), ("Z", "1d", "s", "soon")]
-    df = spark.createDataFrame(rows, "symbol string, interval string, path string, created_at_utc string")
+    df = spark.createDataFrame(rows, "symbol string, interval string, path string, created_at_utc string").withColumn("kind", F.lit("processed"))
     out = {r.symbol: (r.path, r.status) for r in catalog.latest_artifact(df).collect()}
     assert out == {"X": ("m", "ok"), "Y": (None, "invalid_metadata"), "Z": (None, "invalid_metadata")}
     good = "processed/acme/X/1d/1.canonical.parquet"
@@ -175,3 +175,10 @@ def test_catalog(spark, tmp_path):
     assert sorted(r.rule for r in catalog.identity_violations(ident).collect()) == sorted([
         "identity_differs_from_path", "identity_incomplete", "not_a_processed_location", "file_differs_from_path", "not_a_canonical_file"])
     assert [r.path for r in catalog.new_artifacts(df.where("symbol = 'X'"), df).orderBy("path").collect()] == ["q", "r", "s"]
+
+
+def test_creation_times_are_instants(spark):
+    rows = [("a", "2024-01-01T10:00:00+02:00"), ("b", "2024-01-01T09:00:00+00:00"), ("c", "2024-01-01T08:59:59Z"), ("d", "2023-12-31T20:00:00-05:00")]
+    df = spark.createDataFrame([("X", "1d", p, t, "processed") for p, t in rows], "symbol string, interval string, path string, created_at_utc string, kind string")
+    r = catalog.latest_artifact(df).first()
+    assert (r.path, str(r.created_at)) == ("b", "2024-01-01 09:00:00")

@@ -53,3 +53,14 @@ def test_every_check_has_a_query():
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 3
+
+
+def test_flagship_never_reads_sealed_rows(spark, tmp_path):
+    """Other prices in the sealed split, and bad ones, change nothing."""
+    from pyspark.sql import functions as F
+
+    items = spark.read.parquet(f"{SF}/lineitem.parquet")
+    sealed = F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz")
+    items.withColumn("l_extendedprice", F.when(sealed, -1e9).otherwise(F.col("l_extendedprice"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda sf: sorted(map(tuple, entry_points.queries()["flagship"](spark, sf).collect()))
+    assert run(str(tmp_path)) == run(SF)

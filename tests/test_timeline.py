@@ -29,8 +29,8 @@ def test_research_filter_reaches_the_scan(spark, tmp_path):
 @pytest.mark.parametrize(
     "splits, words",
     [
-        ([], "no splits"),
-        ([("a", "2020-01-02", "2020-01-02")], "not before"),
+        ([], "empty"),
+        ([("a", "2020-01-02", "2020-01-02")], "not_before"),
         ([("a", "2020-01-01", "2020-01-03"), ("b", "2020-01-02", "2020-01-04")], "overlap"),
         ([("a", "2020-01-01", "2020-01-02"), ("b", "2020-01-03", "2020-01-04")], "gap"),
     ],
@@ -49,16 +49,17 @@ def test_bad_windows(burn, years):
 def test_as_of_is_strict(spark):
     df = _stamps(spark, "2020-01-01", "2020-06-01", "2021-01-01").withColumns(
         {"k": F.lit("X"), "equity": F.year("ts") * 1.0 + F.month("ts")})
-    out = {str(r.boundary)[:10]: r.equity for r in t.equity_before(df, ["2020-01-01", "2021-01-01", "2022-01-01"], ["k"]).collect()}
-    assert out == {"2021-01-01": 2026.0, "2022-01-01": 2022.0}
+    out = {str(r.boundary)[:10]: (r.equity, r.status) for r in t.equity_before(df, ["2020-01-01", "2021-01-01", "2022-01-01"], ["k"]).collect()}
+    assert out == {"2020-01-01": (None, "no_earlier_row"), "2021-01-01": (2026.0, "ok"), "2022-01-01": (2022.0, "ok")}
 
 
 def test_completed_buckets(spark):
     df = _stamps(spark, "2024-01-01", "2024-01-02", "2024-01-03")
     assert t.completed_buckets(df, t.stamp("2024-01-03 00:00:00")).count() == 2
     assert t.completed_buckets(df, t.stamp("2024-01-02 23:59:59")).count() == 1
-    with pytest.raises(Exception, match="midnight"):
-        t.completed_buckets(_stamps(spark, "2024-01-01 01:00:00"), t.stamp("2025-01-01")).collect()
+    odd = _stamps(spark, "2024-01-01 01:00:00", "2024-01-01")
+    assert t.completed_buckets(odd, t.stamp("2025-01-01")).count() == 1
+    assert [r.rule for r in t.bucket_violations(odd).collect()] == ["start_not_midnight"]
     now = spark.range(1).select(t.last_completed_bucket(t.stamp("2024-01-03 00:00:00")).alias("b"))
     assert str(now.first().b) == "2024-01-02 00:00:00"
 
@@ -69,7 +70,8 @@ def test_plan(spark):
     assert [(str(r.first_day), str(r.last_day), r.day_count) for r in rows] == [
         ("2015-01-01", "2015-10-27", 300), ("2015-10-28", "2015-11-01", 5)]
     assert rows[0].request_start == "1420070400"
-    assert t.plan_windows(one, t.stamp("2015-01-01 12:00:00")).count() == 0
+    early = t.plan_windows(one, t.stamp("2015-01-01 12:00:00")).collect()
+    assert [(r.status, r.page_no, r.first_day, r.last_day) for r in early] == [("too_early", None, None, None)]
     for days in (0, 351):
         with pytest.raises(ValueError):
             t.plan_windows(one, t.stamp("2016-01-01"), days=days)
@@ -81,3 +83,17 @@ def test_gaps_start_at_the_first_bucket(spark):
     assert [str(r.day) for r in t.calendar_gaps(df, last).orderBy("day").collect()] == ["2024-01-04", "2024-01-06", "2024-01-07"]
     r = t.history_summary(df, last).first()
     assert (r.candle_count, r.missing_day_count, r.missing_days[0]) == (2, 3, "2024-01-04")
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    _stamps(spark, "2020-01-01", "2020-06-01", "2021-01-01").write.parquet(path)
+    rows = spark.read.parquet(path)
+    _, windows = t.build_windows(2019, [2020])
+    for df in (
+        t.split_rows(rows, [("a", "2020-01-01", "2020-07-01")]),
+        t.window_rows(rows, windows),
+        t.completed_buckets(rows, t.stamp("2020-07-01 12:00:00")),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "LessThan" in plan.split("PushedFilters")[1].split("]")[0]
