@@ -58,3 +58,18 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == {i for i, t in kept.items() if t.split()}
     assert sum(r.length for r in packed) == sum(len(t.encode().split()) for t in kept.values())
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark):
+    from helpers import documents, odd_rows
+
+    for rows in (odd_rows(), []):
+        docs = documents(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            df = stage(spark, docs, SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert df.columns == docs.columns
+            left = df.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                docs = spark.createDataFrame(left, docs.schema)
+        assert bool(left) == bool(rows)
