@@ -275,11 +275,13 @@ def open_positions(trades: DataFrame, keys: Sequence[str] = ("symbol", *RUN_KEYS
 def trade_violations(
     trades: DataFrame, keys: Sequence[str] = ("symbol", *RUN_KEYS)
 ) -> DataFrame:
-    """Trades that cannot be paired: bad side, two buys, orphan sell, quantity gap."""
+    """Trades that cannot be paired: bad side, two buys, orphan sell, quantity gap.
+
+    Sells before any buy share trip 0, which may be large; quantities therefore meet in a
+    join, which Spark may split, and not in a window.
+    """
     keys = list(keys)
     known = F.col("side").isin("buy", "sell")
-    of_trip = Window.partitionBy(*keys, "trip")
-    bought = F.max(F.when(F.col("side") == "buy", F.col("quantity"))).over(of_trip)
     gap = F.abs(F.col("quantity") - F.col("bought")) > QUANTITY_TOLERANCE
     reason = (
         F.when(~known, "unknown_side")
@@ -287,9 +289,10 @@ def trade_violations(
         .when((F.col("side") == "sell") & (F.col("open_before") < 1), "orphan_sell")
         .when((F.col("side") == "sell") & gap, "quantity_mismatch")
     )
+    ordered = _ordered(trades, keys)
+    bought = ordered.where("side = 'buy'").groupBy(*keys, "trip").agg(F.max("quantity").alias("bought"))
     return (
-        _ordered(trades, keys)
-        .withColumn("bought", bought)
+        ordered.join(bought, [*keys, "trip"], "left")
         .withColumn("reason", reason)
         .where("reason is not null")
         .select(*keys, "ts", "side", "reason")

@@ -709,6 +709,20 @@ ORACLES["ledger_reconcile_unequal"] = f"""{study((BASELINE_CELL, (12, 35)), _UNE
          abs(le - re) / {INITIAL_CASH} <= 1e-9 AS return_agrees
   FROM e LEFT JOIN n USING (symbol)"""
 
+ORACLES["trade_violations"] = f"""{study(symbol='l_suppkey')},
+  bad AS (SELECT symbol, fast, slow, scenario, ts, CASE WHEN {DAY} % 13 = 0 THEN 'hold' ELSE side END AS side,
+                 CASE WHEN side = 'sell' AND {DAY} % 11 = 0 THEN quantity * 1.5 ELSE quantity END AS quantity
+          FROM fills WHERE side <> 'buy' OR {DAY} % 7 <> 0),
+  seen AS (SELECT *, count(*) FILTER (side = 'buy') OVER w AS trip,
+                  count(*) FILTER (side = 'buy') OVER w - count(*) FILTER (side = 'sell') OVER w
+                  - CASE side WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 ELSE 0 END AS open_before
+           FROM bad WINDOW w AS (PARTITION BY {RUN} ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+  held AS (SELECT *, max(quantity) FILTER (side = 'buy') OVER (PARTITION BY {RUN}, trip) AS bought FROM seen),
+  named AS (SELECT *, CASE WHEN side = 'hold' THEN 'unknown_side' WHEN side = 'buy' AND open_before > 0 THEN 'consecutive_buys'
+                           WHEN side = 'sell' AND open_before < 1 THEN 'orphan_sell'
+                           WHEN side = 'sell' AND abs(quantity - bought) > 1e-9 THEN 'quantity_mismatch' END AS reason FROM held)
+  SELECT {RUN}, ts, side, reason FROM named WHERE reason IS NOT NULL"""
+
 
 def _part(name: str, columns: str, group: bool = False, where: str = "true") -> str:
     tail = " GROUP BY symbol" if group else ""

@@ -407,6 +407,11 @@ def round_trips_by_supplier(spark, sf):
     return _round(ledger.round_trips(ledger.fill_ledger(panel, _book())), "quantity", _TRIP_MONEY)
 
 
+def trade_violations(spark, sf):
+    trades = ledger.fill_ledger(_panel(spark, sf, symbol="l_suppkey", layout=SMALL), _book())
+    return ledger.trade_violations(w.faulty_trades(trades))
+
+
 def _trips(spark, sf, grid=(BASELINE_CELL,)):
     panel = _panel(spark, sf, grid)
     return ledger.round_trips(ledger.fill_ledger(panel, _book(grid)))
@@ -714,6 +719,6 @@ REGISTERED = {
         ledger_reconcile, spot_checks, partition_report, snapshot_pair_violations, revision_audit, publishable,
         ema_intraday, fill_ledger_by_supplier, drawdown_curve_by_supplier, round_trips_by_supplier,
         window_metrics_by_supplier, aggregate_metrics_by_part, grid_returns_by_part, leave_one_out_by_part,
-        ledger_reconcile_unequal, flagship,
+        ledger_reconcile_unequal, trade_violations, flagship,
     )
 } | {"bars_from_ticks": bars_from_ticks_query}

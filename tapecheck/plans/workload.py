@@ -412,3 +412,15 @@ def page_documents(pages: DataFrame) -> DataFrame:
         F.lit("}]}"), F.when((n == 0) & (F.col("product") == "A"), "}").otherwise(""),
     )
     return pages.select("product", "page_no", body.alias("body"))
+
+
+def faulty_trades(trades: DataFrame) -> DataFrame:
+    """A ledger with buys missing, sides unknown and quantities that do not match."""
+    d = F.unix_date(F.col("ts").cast("date"))
+    buy = F.col("side") == "buy"
+    return trades.where(~(buy & (d % 7 == 0))).withColumns(
+        {
+            "quantity": F.when(~buy & (d % 11 == 0), F.col("quantity") * 1.5).otherwise(F.col("quantity")),
+            "side": F.when(d % 13 == 0, "hold").otherwise(F.col("side")),
+        }
+    )
