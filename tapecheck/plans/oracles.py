@@ -268,7 +268,7 @@ def migrated_columns() -> str:
 
 def rounded(ratios: str = "", money: str = "") -> str:
     return ", ".join(
-        [f"round({c}, 8) AS {c}" for c in ratios.split()] + [f"round({c}, 4) AS {c}" for c in money.split()]
+        [f"round({c}, 8) + 0.0 AS {c}" for c in ratios.split()] + [f"round({c}, 4) + 0.0 AS {c}" for c in money.split()]
     )
 
 
@@ -530,8 +530,8 @@ ORACLES = {
         FROM fills""",
     "equity_curve": f"{ONE} SELECT {RUN}, ts, {rounded('units', 'cash position_value equity')} FROM curve",
     "drawdown_curve": f"""{ONE}, pk AS (SELECT *, max(equity) OVER (PARTITION BY {RUN} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM curve)
-        SELECT {RUN}, ts, round(equity / peak - 1, 8) AS drawdown, {rounded('', 'equity peak')} FROM pk""",
-    "daily_returns": f"""{ONE} SELECT {RUN}, ts, round(equity / prev_equity - 1, 8) AS ret FROM curve
+        SELECT {RUN}, ts, round(equity / peak - 1, 8) + 0.0 AS drawdown, {rounded('', 'equity peak')} FROM pk""",
+    "daily_returns": f"""{ONE} SELECT {RUN}, ts, round(equity / prev_equity - 1, 8) + 0.0 AS ret FROM curve
         WHERE prev_equity IS NOT NULL""",
     "equity_before": f"""{ONE}, bounds AS (SELECT start AS boundary FROM wins UNION SELECT "end" FROM wins)
         SELECT {RUN}, boundary, max(ts) AS ts, round(arg_max(equity, ts), 4) AS equity, 'ok' AS status
@@ -679,7 +679,7 @@ _BROKEN = f"""{SUPPLIER_BARS}, {SNAPSHOTS},
     UNION SELECT product, 'audit_duplicate_day' FROM aud WHERE product::INTEGER % 7 = 3 AND d % 3 = 0
     UNION SELECT product, 'audit_undecodable' FROM aud WHERE product::INTEGER % 7 = 2 AND d % 5 = 0
     UNION SELECT product, 'interval_mismatch' FROM aud WHERE product::INTEGER % 7 = 4
-    UNION SELECT '9' || product, 'product_mismatch' FROM aud WHERE product::INTEGER % 7 = 5)"""
+    UNION SELECT 'x' || product, 'product_mismatch' FROM aud WHERE product::INTEGER % 7 = 5)"""
 ORACLES["snapshot_pair_violations"] = f"{_BROKEN} SELECT product, rule FROM found"
 ORACLES["revision_audit"] = f"""WITH good AS ({_again('revision_verdict', 'l_suppkey')}),
   bad AS ({_BROKEN} SELECT product, string_agg(rule, ',' ORDER BY rule) AS broken_rules FROM found GROUP BY product)

@@ -46,7 +46,8 @@ GRID = signals.cells()
 
 def _round(df: DataFrame, ratios: str = "", money: str = "") -> DataFrame:
     places = {c: 8 for c in ratios.split()} | {c: 4 for c in money.split()}
-    return df.withColumns({c: F.round(F.col(c), n) for c, n in places.items()})
+    # Adding zero turns a negative zero into a plain one.
+    return df.withColumns({c: F.round(F.col(c), n) + 0.0 for c, n in places.items()})
 
 
 def _bars(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,7 +97,7 @@ def faulty_snapshots(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .withColumn("copy", F.explode(repeated))
         .drop("copy")
     )
-    strangers = audit.where(p % 7 == 5).withColumn("product", F.concat(F.lit("9"), "product"))
+    strangers = audit.where(p % 7 == 5).withColumn("product", F.concat(F.lit("x"), "product"))
     return baseline, audit.unionByName(strangers), reference
 
 
