@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,10 @@ from tapecheck.llm.near import run_hashes
 from tapecheck.llm.text import without
 from tapecheck.operators.blocks import materialize
 
-_WORD = re.compile(r"\w+")
+#: ASCII characters that are no letter, digit or underscore end a word.
+_BREAKS = bytes.maketrans(
+    bytes(c for c in range(128) if not (chr(c).isalnum() or c == 95)), b" " * sum(not (chr(c).isalnum() or c == 95) for c in range(128))
+)
 #: Seeds up to which their hashes travel to the tasks as a filter (8 bytes each).
 FILTER_SEEDS = 4_000_000
 
@@ -38,12 +40,16 @@ class Alignment:
     common: int = 4
 
 
+def raw_words(text: str | None) -> list[bytes]:
+    """Lower-cased words: runs of letters, digits, underscores and anything beyond ASCII."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split()
+
+
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, digits and underscores, lower-cased."""
-    return _WORD.findall((text or "").lower())
+    return [w.decode("utf-8", "replace") for w in raw_words(text)]
 
 
-def _hashes(words: list[str]) -> np.ndarray:
+def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
@@ -77,7 +83,7 @@ def seeds_of(benchmark: DataFrame, how: Alignment) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for key, item, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text"))):
-                words = words_of(text)
+                words = raw_words(text)
                 if words:
                     size = min(how.words, len(words))
                     found = run_hashes(_hashes(words), size).view(np.int64)
@@ -107,7 +113,7 @@ def passages(docs: DataFrame, seeds: DataFrame, how: Alignment) -> DataFrame:
         wanted = np.sort(seeds.select("seed").distinct().toArrow().column("seed").to_numpy().view(np.uint64))
     reach = longest + longest // 4 + how.words
 
-    def hits(words: list[str], quick: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def hits(words: list[bytes], quick: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         each, places, found = _hashes(words), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for size in sizes:
             if len(each) >= size:
@@ -130,14 +136,14 @@ def passages(docs: DataFrame, seeds: DataFrame, how: Alignment) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                words = words_of(text.as_py())
+                words = raw_words(text.as_py())
                 at, seed = hits(words, quick) if sizes else (np.empty(0, np.int64), None)
                 if not len(at):
                     continue
                 cuts = np.flatnonzero(np.diff(at) > reach) + 1
                 for number, (one, two) in enumerate(zip([0, *cuts], [*cuts, len(at)])):
                     first = max(0, int(at[one]) - reach)
-                    part = words[first : int(at[two - 1]) + reach]
+                    part = [w.decode("utf-8", "replace") for w in words[first : int(at[two - 1]) + reach]]
                     out.append((doc, number, part, seed[one:two].view(np.int64), at[one:two] - first))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = list(zip(*out)) or [()] * len(kinds)
