@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapecheck.llm.samples import Adam, feature_counts, feature_id, labelled_sample, sigmoid, telling_features
+from tapecheck.operators.blocks import materialize
 
 SAMPLE_ROWS = 6_000
 WORDS = 512
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, word
 
     Without labelled rows every text scores 0.5.
     """
-    sample = labelled_sample(docs, labels, "quality", sample_rows, ~held_out())
+    sample = materialize(labelled_sample(docs, labels, "quality", sample_rows, ~held_out()))
     chosen = telling_features(feature_counts(sample, word_features), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

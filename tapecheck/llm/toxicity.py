@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapecheck.llm.samples import Adam, feature_counts, feature_id, labelled_sample, sigmoid, telling_features
+from tapecheck.operators.blocks import materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features besides the word itself.
@@ -120,7 +121,7 @@ def fit(
     often as in others; from :data:`GRADES_FROM` hits on a text has grade 2, or 3. Larger values of ``toxic`` are
     taken as given grades. Without labelled rows every text gets grade 0.
     """
-    sample = labelled_sample(docs, labels, "toxic", sample_rows, fits)
+    sample = materialize(labelled_sample(docs, labels, "toxic", sample_rows, fits))
     counts = feature_counts(sample, text_features)
     chosen = telling_features(counts, features)
     if not len(chosen):
