@@ -121,7 +121,8 @@ def passages(docs: DataFrame, seeds: DataFrame, how: Alignment) -> DataFrame:
                 at = np.arange(len(runs))
                 if wanted is not None:
                     at = np.flatnonzero(quick[runs & np.uint64(len(quick) - 1)])
-                    at = at[np.isin(runs[at], wanted)]
+                    near = np.searchsorted(wanted, runs[at])
+                    at = at[wanted[np.minimum(near, len(wanted) - 1)] == runs[at]]
                 places.append(at)
                 found.append(runs[at])
         at, seed = np.concatenate(places), np.concatenate(found)
