@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,18 @@ class Alignment:
     least: float = 0.6
     common: int = 4
 
+    def most_inserted(self, n_words: int) -> int:
+        """Words that may be inserted into a copy of so many words before its score falls below ``least``.
+
+        An alignment that counts lies at most so far before the place where any of its matches
+        puts the item, and at most so far beyond its end.
+        """
+        return math.ceil(n_words * self.inserted_share)
+
+    @property
+    def inserted_share(self) -> float:
+        return self.match * (1 - self.least) / -self.gap
+
 
 def raw_words(text: str | None) -> list[bytes]:
     """Lower-cased words: runs of letters, digits, underscores and anything beyond ASCII."""
@@ -111,7 +124,7 @@ def passages(docs: DataFrame, seeds: DataFrame, how: Alignment) -> DataFrame:
     wanted = None
     if seeds.select("seed").distinct().count() <= FILTER_SEEDS:
         wanted = np.sort(seeds.select("seed").distinct().toArrow().column("seed").to_numpy().view(np.uint64))
-    reach = longest + longest // 4 + how.words
+    reach = longest + how.most_inserted(longest) + how.words
 
     def hits(words: list[bytes], quick: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         each, places, found = _hashes(words), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -178,9 +191,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignm
     """``doc_id, item_id, score``: documents that hold a copy of a benchmark item, one row per pair.
 
     Every document is searched whole for the items' runs of words. A passage and an item are
-    aligned if they share a rare seed, over the stretch where the seed puts the item; ``score`` is
-    the best alignment as a share of a verbatim copy's, and at least ``how.least``. So edited
-    copies count while enough of their words are there in order.
+    aligned if they share a rare seed, over the stretch where the seed puts the item and as far
+    beyond as insertions can carry an alignment that counts: the window around any one seed holds every
+    such alignment through it. ``score`` is the best alignment as a share of a verbatim copy's, and at
+    least ``how.least``. So edited copies count while enough of their words are there in order.
 
     Each passage meets an item once per stretch, however many seeds they share; no group of
     rows is gathered anywhere. NULL and empty texts match nothing; NULL ids are kept, equal pairs
@@ -202,7 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignm
         .groupBy("doc_id", "passage", "item", "item_id", "n_words", "stretch")
         .agg(F.min("start").alias("low"), F.max("start").alias("high"))
     )
-    slack = F.floor(F.col("n_words") / 4) + how.words
+    slack = F.ceil(F.col("n_words") * how.inserted_share)
     first = F.greatest(F.col("low") - slack, F.lit(0))
     last = F.col("high") + F.col("n_words") + slack
     texts = benchmark.select(F.col("item_id").cast("long"), "text").distinct()

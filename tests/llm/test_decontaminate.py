@@ -68,6 +68,15 @@ def test_frequent_seeds_do_not_hide_a_copy(spark):
     assert len(got) == 300 and all(r.contaminated and r.best_item == 1 for r in got)
 
 
+def test_a_large_insertion_is_bridged_at_every_place(spark):
+    rng = random.Random(4)
+    item = prose(rng, 100).split()
+    rows = [(i, " ".join(prose(rng, 90 + 5 * i).split() + item[:50] + prose(rng, 60).split() + item[50:] + prose(rng, 90).split())) for i in range(24)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in d.contamination(documents(spark, rows), bench).collect()}
+    assert set(got) == set(range(24)) and all(score >= 0.7 for score in got.values())
+
+
 def test_odd_rows(spark):
     docs = documents(spark, odd_rows())
     bench = spark.createDataFrame([(1, "call 1 743 555 3824"), (2, "alone"), (None, "two words")], "item_id long, text string")
