@@ -112,3 +112,16 @@ def test_personal_data(spark, given):
         assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
         assert set(joined) <= set(r.spans.split(",")) | {""}
     assert pii.find_personal_data(documents(spark, []), pii.fit(documents(spark, []))).count() == 0
+
+
+def test_common_loose_spans_are_not_learned_as_wrong(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        phone = f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        mail = (f"user{i}@mail.example", f"user{i} (at) mail (dot) example")[i % 2]
+        fake = f"{rng.randint(10**19, 10**20 - 1)}"
+        rows.append((i, f"call {'+1 ' * (i % 2)}{phone} or write to {mail} about {fake} today"))
+    model = pii.fit(documents(spark, rows))
+    base, every = pii.spans_of("call (415) 555-2671 or write to jane (at) mail (dot) example soon", model)
+    assert not base and [pii.KINDS[k] for k, _, _ in every] == ["email", "phone"]
