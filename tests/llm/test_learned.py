@@ -125,3 +125,35 @@ def test_common_loose_spans_are_not_learned_as_wrong(spark):
     model = pii.fit(documents(spark, rows))
     base, every = pii.spans_of("call (415) 555-2671 or write to jane (at) mail (dot) example soon", model)
     assert not base and [pii.KINDS[k] for k, _, _ in every] == ["email", "phone"]
+
+
+def test_valid_spans_inside_longer_matches_are_proposed():
+    for text, kind, inner in (
+        ("on 2024-05-01 4111111111111111 was", "card", "4111111111111111"),
+        ("row 7 4111111111111111 x", "card", "4111111111111111"),
+        ("2024 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("7536784127813051 4845168114407329", "card", "4845168114407329"),
+        ("v 10.999.10.20.30.40 x", "ip", "10.20.30.40"),
+        ("+1 (826) 555-4081 190.137.223.204", "phone", "+1 (826) 555-4081"),
+        ("415 555 2671 415 555 2672", "phone", "415 555 2672"),
+    ):
+        start = text.index(inner)
+        assert ((pii.KINDS.index(kind), start, start + len(inner)), False) in pii.proposals(text)
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123456789012345678901234567 -") for _ in range(rng.randint(13, 40))).strip(" -")
+        got = {(s, e) for (k, s, e), _ in pii.proposals(text) if k == 2}
+        failing = [(s, e) for k, s, e, ok in pii.base_matches(text) if k == 2 and not ok]
+        for s in range(len(text)):
+            for e in range(s + 13, len(text) + 1):
+                part = text[s:e].replace(" ", "").replace("-", "")
+                whole = (text[s - 1 : s] + text[e : e + 1]).strip(" -") == "" and text[s].isdigit() and text[e - 1].isdigit()
+                if whole and any(a <= s and e <= b for a, b in failing) and 13 <= len(part) <= 19 and pii.luhn(part):
+                    assert (s, e) in got
+
+
+def test_a_card_beside_another_number_is_selected(given):
+    docs, _ = given
+    model = pii.fit(docs, sample_rows=4000)
+    for text in ("2024-05-01 4111111111111111", "7 4111111111111111 paid", "2024 4111 1111 1111 1111"):
+        assert text.index("4111") in {s for k, s, _ in pii.spans_of(text, model)[1] if k == 2}
