@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tapecheck.operators.blocks import materialize
 
 #: Turn numbers per piece of a conversation; a piece is the unit of ordering and rendering.
 PIECE_TURNS = 1024
+#: Rows and characters from which a piece of a longer conversation is cut into slices, each rendered by itself.
+SLICE_ROWS = 1024
+SLICE_CHARS = 1 << 26
 
 
 def _piece() -> Column:
@@ -47,6 +50,8 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     A prefix is known by the exclusive-or of its turns' 128-bit hashes, each of which covers
     the turn number, so running prefixes can be computed piece by piece and completed
     with the totals of earlier pieces: a conversation of any length spreads over many tasks.
+    Rows that share a turn number are one total before they are ordered, so a piece holds
+    at most as many rows as turn numbers, however often those repeat.
     Prefixes and whole conversations are both made distinct before they meet in the
     anti-join, so a very common first turn is one row there.
 
@@ -72,13 +77,17 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
         )
     )
     run = Window.partitionBy("conv_id", "piece").orderBy("turn")
-    inside = turns.select(
-        "conv_id",
-        "piece",
-        F.bit_xor("h1").over(run).alias("r1"),
-        F.bit_xor("h2").over(run).alias("r2"),
-        F.count("*").over(run).alias("rn"),
-    ).distinct()
+    inside = (
+        turns.groupBy("conv_id", "piece", "turn")
+        .agg(*_total())
+        .select(
+            "conv_id",
+            "piece",
+            F.bit_xor("x1").over(run).alias("r1"),
+            F.bit_xor("x2").over(run).alias("r2"),
+            F.sum("n").over(run).alias("rn"),
+        )
+    )
     totals = whole.select(F.col("conv_id").alias("w_conv"), F.col("n").alias("wn"))
     prefixes = (
         inside.join(
@@ -107,45 +116,99 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def _rendered(pieces: GroupedData) -> DataFrame:
+    """One text for each group of turns, in order; repeated turns count once."""
+    turns = F.sort_array(F.collect_set(F.struct("turn", "role", "text")))
+    return pieces.agg(
+        F.array_join(
+            F.transform(
+                turns,
+                lambda t: F.concat(
+                    F.lit("<|"), _escaped(t["role"]), F.lit("|>\n"), _escaped(t["text"]), F.lit("<|end|>\n")
+                ),
+            ),
+            "",
+        ).alias("text")
+    )
+
+
+def _sliced(turns: DataFrame) -> DataFrame:
+    """Distinct ``turns`` with the ``slice`` and ``block`` of their piece, which follow its order.
+
+    Rows are dealt by range over their whole order, so that one piece may spread over many
+    tasks; places within a range are completed with the counts of the ranges before it.
+    """
+    ranged = materialize(
+        turns.repartitionByRange("conv_id", "turn", "role", "text")
+        .withColumn("run", F.spark_partition_id())
+        .distinct()
+        .withColumn("chars", F.length("text").cast("long") + F.length("role"))
+    )
+    earlier = Window.partitionBy("conv_id", "piece").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ranged.groupBy("conv_id", "piece", "run")
+        .agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+        .select(
+            F.col("conv_id").alias("c_conv"),
+            F.col("piece").alias("c_piece"),
+            F.col("run").alias("c_run"),
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("cn"),
+            F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("cc"),
+        )
+    )
+    here = Window.partitionBy("conv_id", "piece", "run").orderBy("turn", "role", "text")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.withColumn("rn", F.row_number().over(here) - 1)
+        .withColumn("rc", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+        .join(
+            carried,
+            F.col("conv_id").eqNullSafe(F.col("c_conv"))
+            & (F.col("piece") == F.col("c_piece"))
+            & (F.col("run") == F.col("c_run")),
+        )
+        .withColumn("slice", F.floor((F.col("rn") + F.col("cn")) / SLICE_ROWS))
+        .withColumn("block", F.floor((F.col("rc") + F.col("cc")) / SLICE_CHARS))
+    )
+
+
 def render_chats(conversations: DataFrame) -> DataFrame:
     """Render every conversation of :func:`maximal_conversations`.
 
     Returns ``conv_id, part, n_turns, copies, text``. A conversation is one row with ``part``
-    0, unless its turn numbers leave the range of one piece: then each piece is a row, in
-    order of ``part``, whose texts follow one another. A turn reads ``<|role|>``, a line
+    0, unless its turn numbers leave the range of one piece or it has more than ``SLICE_ROWS`` turns:
+    then each piece is a row, or each slice of a piece of more than ``SLICE_ROWS`` turns
+    or ``SLICE_CHARS`` characters, in order of ``part``, whose texts follow one another. So no task gathers a
+    long conversation, also without turn numbers or ``conv_id``. A turn reads ``<|role|>``, a line
     break, its text and ``<|end|>`` with a line break; ``<|`` inside a text becomes ``< |``.
     Turns with one number are ordered by role, then text, NULL first.
     """
-    kept = maximal_conversations(conversations).withColumnRenamed("conv_id", "k_conv")
-    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    pieces = (
+    kept = materialize(maximal_conversations(conversations)).withColumnRenamed("conv_id", "k_conv")
+    turns = conversations.select(
+        "conv_id",
+        F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    turns = (
         turns.withColumn("piece", _piece())
         .join(kept, F.col("conv_id").eqNullSafe(F.col("k_conv")))
-        .groupBy("conv_id", "piece", "n_turns", "copies")
-        .agg(
-            F.sort_array(
-                F.collect_set(
-                    F.struct(
-                        "turn",
-                        F.coalesce("role", F.lit("")).alias("role"),
-                        F.coalesce("text", F.lit("")).alias("text"),
-                    )
-                )
-            ).alias("turns")
-        )
+        .drop("k_conv")
     )
-    return pieces.select(
-        "conv_id",
-        (F.row_number().over(Window.partitionBy("conv_id").orderBy("piece")) - 1).alias("part"),
-        "n_turns",
-        "copies",
-        F.array_join(
-            F.transform(
-                "turns",
-                lambda t: F.concat(
-                    F.lit("<|"), _escaped(t["role"]), F.lit("|>\n"), _escaped(t["text"]), F.lit("<|end|>\n")
-                ),
-            ),
-            "",
-        ).alias("text"),
+    short = _rendered(
+        turns.filter(F.col("n_turns") <= SLICE_ROWS)
+        .repartition("conv_id", "piece")  # by itself, so that a skewed join before it can be split
+        .groupBy("conv_id", "piece", "n_turns", "copies")
+    ).withColumn("part", F.row_number().over(Window.partitionBy("conv_id").orderBy("piece")) - 1)
+    key = ["conv_id", "piece", "slice", "block"]
+    long = materialize(
+        _rendered(_sliced(turns.filter(F.col("n_turns") > SLICE_ROWS)).groupBy(*key, "n_turns", "copies"))
     )
+    # Parts are numbered without their texts, which stay spread.
+    order = Window.partitionBy("conv_id").orderBy(*key[1:])
+    numbers = long.select(*(F.col(k).alias(f"p_{k}") for k in key), (F.row_number().over(order) - 1).alias("part"))
+    same = F.col("conv_id").eqNullSafe(F.col("p_conv_id"))
+    for k in key[1:]:
+        same &= F.col(k) == F.col(f"p_{k}")
+    out = ["conv_id", "part", "n_turns", "copies", "text"]
+    return short.select(*out).unionByName(long.join(numbers, same).select(*out))

@@ -109,6 +109,24 @@ def test_chats(spark):
     assert chat.render_chats(df.limit(0)).count() == 0
 
 
+def test_a_piece_of_any_size_is_rendered_in_slices(spark, monkeypatch):
+    rows = [(None, None, "user", f"line {i:05d}") for i in range(3000)] * 2
+    rows += [(5, 7, "user" if i % 2 else None, f"text {i:05d}") for i in range(2500)] + [(5, 7000, "user", "end")]
+    rows += [(6, 1, "user", "short"), (6, 1, "user", "other")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for chars in (chat.SLICE_CHARS, 5000):
+        monkeypatch.setattr(chat, "SLICE_CHARS", chars)
+        got = chat.render_chats(df).collect()
+        for conv in (None, 5, 6):
+            turns = sorted({(t or 0, r or "", x) for c, t, r, x in rows if c == conv})
+            parts = sorted((r.part, r.text) for r in got if r.conv_id == conv)
+            assert [p for p, _ in parts] == list(range(len(parts)))
+            assert "".join(t for _, t in parts) == "".join(f"<|{r}|>\n{x}<|end|>\n" for _, r, x in turns)
+            assert max(t.count("<|end|>") for _, t in parts) <= 1024
+            assert all(r.n_turns == len(turns) and r.copies == 1 for r in got if r.conv_id == conv)
+
+
+
 def test_licences(spark):
     mit = licences.KNOWN[0][1]
     messy = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.replace("sublicense", "sub-licence").upper().replace(" ", "\n ")
