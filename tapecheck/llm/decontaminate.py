@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: pairs of words that must be left find stretches, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,43 +15,44 @@ from pyspark.sql import functions as F
 
 from tapecheck.llm.near import run_hashes
 from tapecheck.llm.text import without
-from tapecheck.operators.blocks import materialize
 
 #: ASCII characters that are no letter, digit or underscore end a word.
 _BREAKS = bytes.maketrans(
     bytes(c for c in range(128) if not (chr(c).isalnum() or c == 95)), b" " * sum(not (chr(c).isalnum() or c == 95) for c in range(128))
 )
-#: Seeds up to which their hashes travel to the tasks as a filter (8 bytes each).
+#: Words of the items that documents are searched for at once.
 FILTER_SEEDS = 4_000_000
 
 
 @dataclass(frozen=True)
 class Alignment:
-    """Seed length in words, scores of the alignment, and the share of an item's own score that counts.
+    """Scores of the alignment, and the share of an item's own score that counts."""
 
-    A seed is rare for its item if it is in at most ``common`` times as many passages as the
-    median seed of that item; so at least half of an item's seeds are always used, and a text of
-    which every seed is frequent (a passage in a third of all documents) is found like others.
-    """
-
-    words: int = 4
     match: int = 2
     mismatch: int = -1
     gap: int = -1
     least: float = 0.6
-    common: int = 4
 
-    def most_inserted(self, n_words: int) -> int:
+    def most_inserted(self, n_words: int, matches: int | None = None) -> int:
         """Words that may be inserted into a copy of so many words before its score falls below ``least``.
 
         An alignment that counts lies at most so far before the place where any of its matches
         puts the item, and at most so far beyond its end.
         """
-        return math.ceil(n_words * self.inserted_share)
+        spare = self.match * (n_words if matches is None else matches) - self.least * self.match * n_words
+        return max(0, math.floor(spare / -self.gap + 1e-9))
+
+    def least_matches(self, n_words: int) -> int:
+        """Words of the item that an alignment that counts matches at least."""
+        return max(1, math.ceil(self.least * n_words - 1e-9))
 
-    @property
-    def inserted_share(self) -> float:
-        return self.match * (1 - self.least) / -self.gap
+    def least_pairs(self, n_words: int) -> int:
+        """Neighbours in the item that are matched and neighbours in such an alignment, at least.
+
+        A word without a match parts two pairs, an inserted word one.
+        """
+        matches = range(self.least_matches(n_words), n_words + 1)
+        return min(2 * m - n_words - 1 - self.most_inserted(n_words, m) for m in matches)
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -86,153 +88,122 @@ def smith_waterman(item: list[str], window: list[str], how: Alignment) -> float:
     return best / (how.match * len(item))
 
 
-def seeds_of(benchmark: DataFrame, how: Alignment) -> DataFrame:
-    """``item_id, item, size, seed, at, words``: every run of words of every distinct item, with its place.
-
-    Items with fewer words than a seed are one seed of their own length; items without words have none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for key, item, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text"))):
-                words = raw_words(text)
-                if words:
-                    size = min(how.words, len(words))
-                    found = run_hashes(_hashes(words), size).view(np.int64)
-                    out += [(item, key, len(words), size, int(s), i) for i, s in enumerate(found)]
-            names = ["item_id", "item", "n_words", "size", "seed", "at"]
-            columns = list(zip(*out)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
-    return items.withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(
-        run, "item_id long, item long, n_words long, size long, seed long, at long"
-    )
-
-
-def passages(docs: DataFrame, seeds: DataFrame, how: Alignment) -> DataFrame:
-    """``doc_id, passage, words, seeds, places``: stretches of documents around seeds.
-
-    Seeds that lie closer than the longest item belong to one passage, which reaches that far
-    beyond them. The hashes of the seeds are sent to the tasks while they are at most
-    :data:`FILTER_SEEDS` (checked); beyond, every run of words of a document counts as a
-    seed here and the join sorts them out.
-    """
-    facts = seeds.agg(F.max("n_words").alias("longest"), F.collect_set("size").alias("sizes")).first()
-    longest, sizes = int(facts["longest"] or 0), sorted(facts["sizes"])
-    wanted = None
-    if seeds.select("seed").distinct().count() <= FILTER_SEEDS:
-        wanted = np.sort(seeds.select("seed").distinct().toArrow().column("seed").to_numpy().view(np.uint64))
-    reach = longest + how.most_inserted(longest) + how.words
-
-    def hits(words: list[bytes], quick: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        each, places, found = _hashes(words), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for size in sizes:
-            if len(each) >= size:
-                runs = run_hashes(each, size)
-                at = np.arange(len(runs))
-                if wanted is not None:
-                    at = np.flatnonzero(quick[runs & np.uint64(len(quick) - 1)])
-                    near = np.searchsorted(wanted, runs[at])
-                    at = at[wanted[np.minimum(near, len(wanted) - 1)] == runs[at]]
-                places.append(at)
-                found.append(runs[at])
-        at, seed = np.concatenate(places), np.concatenate(found)
-        order = np.argsort(at, kind="stable")
-        return at[order], seed[order]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quick = None
-        if wanted is not None:  # a table of low bits rules out nearly all runs at once
-            quick = np.zeros(1 << max(20, min(27, int(len(wanted) * 64).bit_length())), bool)
-            quick[wanted & np.uint64(len(quick) - 1)] = True
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                words = raw_words(text.as_py())
-                at, seed = hits(words, quick) if sizes else (np.empty(0, np.int64), None)
-                if not len(at):
-                    continue
-                cuts = np.flatnonzero(np.diff(at) > reach) + 1
-                for number, (one, two) in enumerate(zip([0, *cuts], [*cuts, len(at)])):
-                    first = max(0, int(at[one]) - reach)
-                    part = [w.decode("utf-8", "replace") for w in words[first : int(at[two - 1]) + reach]]
-                    out.append((doc, number, part, seed[one:two].view(np.int64), at[one:two] - first))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = list(zip(*out)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "passage", "words", "seeds", "places"]
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, passage long, words array<string>, seeds array<long>, places array<long>"
-    )
-
-
-def _aligned(pairs: DataFrame, how: Alignment) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = [
-                smith_waterman(words_of(item), window, how)
-                for item, window in zip(batch.column("text").to_pylist(), batch.column("window").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64())],
-                ["doc_id", "item_id", "score"],
-            )
-
-    return pairs.select("doc_id", "item_id", "text", "window").mapInArrow(
-        run, "doc_id long, item_id long, score double"
-    )
+class _Index:
+    """Some items, with the runs of one or two words by which documents are searched for them."""
+
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], how: Alignment):
+        self.items, self.how = items, how
+        self.hashes = [_hashes(words) for _, words in items]
+        self.matches = np.array([how.least_matches(len(words)) for _, words in items], np.int64)
+        self.reach = np.array([len(words) + how.most_inserted(len(words)) for _, words in items], np.int64)
+        pairs = np.array([how.least_pairs(len(words)) for _, words in items], np.int64)
+        self.need = np.where(pairs > 0, pairs, self.matches)
+        self.size = np.where(pairs > 0, 2, 1)
+        self.runs = {}
+        for size in (1, 2):
+            mine = np.flatnonzero(self.size == size)
+            found = [np.unique(run_hashes(self.hashes[m], size)) for m in mine]
+            if found:
+                run, item = np.concatenate(found), np.repeat(mine, [len(f) for f in found])
+                order = np.argsort(run, kind="stable")
+                wanted, first, many = np.unique(run[order], return_index=True, return_counts=True)
+                # a table of low bits rules out nearly all runs at once
+                quick = np.zeros(1 << max(20, min(27, int(len(wanted) * 64).bit_length())), bool)
+                quick[wanted & np.uint64(len(quick) - 1)] = True
+                self.runs[size] = wanted, first, many, item[order], quick
+
+    def hits(self, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of an item and a place of the text where one of its runs stands, by item, then place."""
+        items, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size, (wanted, first, many, item, quick) in self.runs.items():
+            if len(each) < size:
+                continue
+            runs = run_hashes(each, size)
+            at = np.flatnonzero(quick[runs & np.uint64(len(quick) - 1)])
+            near = np.minimum(np.searchsorted(wanted, runs[at]), len(wanted) - 1)
+            same = wanted[near] == runs[at]
+            at, near = at[same], near[same]
+            times = many[near]
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            items.append(item[np.repeat(first[near], times) + inner])
+            places.append(np.repeat(at, times))
+        item, place = np.concatenate(items), np.concatenate(places)
+        order = np.lexsort((place, item))
+        return item[order], place[order]
+
+    def scores(self, text: str | None) -> Iterator[tuple[int | None, float]]:
+        """Items of which the text holds a copy, with the score of each stretch that does."""
+        words = raw_words(text)
+        each = _hashes(words)
+        item, place = self.hits(each)
+        last = np.arange(len(item)) + self.need[item] - 1
+        at = np.flatnonzero(last < len(item))
+        at = at[(item[last[at]] == item[at]) & (place[last[at]] - place[at] <= self.reach[item[at]])]
+        if not len(at):
+            return
+        item, low, high = item[at], place[at], place[last[at]]
+        # an alignment that holds these runs lies within the reach of them; stretches that overlap are one
+        cut = np.flatnonzero((item[1:] != item[:-1]) | (low[1:] - high[:-1] > 2 * self.reach[item[1:]])) + 1
+        for one, two in zip([0, *cut], [*cut, len(item)]):
+            k = item[one]
+            first = max(0, int(low[one] - self.reach[k]))
+            end = int(high[two - 1] + self.reach[k]) + 2
+            known = np.cumsum(np.concatenate([[0], np.isin(each[first:end], self.hashes[k])]))
+            width = min(int(self.reach[k]), len(known) - 1)
+            if (known[width:] - known[: len(known) - width]).max() >= self.matches[k]:
+                score = smith_waterman(self.items[k][1], words[first:end], self.how)
+                if score >= self.how.least:
+                    yield self.items[k][0], score
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignment()) -> DataFrame:
     """``doc_id, item_id, score``: documents that hold a copy of a benchmark item, one row per pair.
 
-    Every document is searched whole for the items' runs of words. A passage and an item are
-    aligned if they share a rare seed, over the stretch where the seed puts the item and as far
-    beyond as insertions can carry an alignment that counts: the window around any one seed holds every
-    such alignment through it. ``score`` is the best alignment as a share of a verbatim copy's, and at
-    least ``how.least``. So edited copies count while enough of their words are there in order.
-
-    Each passage meets an item once per stretch, however many seeds they share; no group of
-    rows is gathered anywhere. NULL and empty texts match nothing; NULL ids are kept, equal pairs
-    are merged, with the best score. An empty benchmark or table gives an empty result.
+    ``score`` is the best alignment as a share of a verbatim copy's, and at least ``how.least``;
+    the candidates leave none out. An alignment that counts has so many matches and so few
+    edits that a number of pairs of neighbouring words must be left in it
+    (:meth:`Alignment.least_pairs`), however frequent those are elsewhere; of items too short for that
+    it has a number of single words. A document and an item are aligned where that many lie within
+    the longest such alignment, and enough words of the item too, over all that it can reach.
+
+    Items travel to the tasks in groups of :data:`FILTER_SEEDS` words, and the documents are read
+    once for each group; only pairs that count leave the scan. NULL and empty texts match
+    nothing; NULL ids are kept, equal pairs are merged, with the best score. An empty benchmark or
+    table gives an empty result.
     """
-    seeds = materialize(seeds_of(benchmark, how))
-    found = materialize(passages(docs, seeds, how))
-    hits = found.select("doc_id", "passage", F.inline(F.arrays_zip("seeds", "places"))).withColumnsRenamed(
-        {"seeds": "seed", "places": "place"}
-    )
-    frequency = hits.groupBy("seed").agg(F.count("*").alias("passages"))
-    known = seeds.join(frequency, "seed")
-    usual = known.groupBy("item").agg(F.percentile("passages", 0.5).alias("usual"))
-    rare = known.join(usual, "item").filter(F.col("passages") <= how.common * F.col("usual"))
-    starts = (
-        hits.join(rare.select("seed", "item", "item_id", "n_words", "at"), "seed")
-        .withColumn("start", F.col("place") - F.col("at"))
-        .withColumn("stretch", F.floor(F.col("start") / F.col("n_words")))
-        .groupBy("doc_id", "passage", "item", "item_id", "n_words", "stretch")
-        .agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    )
-    slack = F.ceil(F.col("n_words") * how.inserted_share)
-    first = F.greatest(F.col("low") - slack, F.lit(0))
-    last = F.col("high") + F.col("n_words") + slack
-    texts = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
-    texts = texts.select(F.xxhash64("item_id", "text").alias("item"), "text")
-    body = found.select(F.col("doc_id").alias("p_doc"), F.col("passage").alias("p_passage"), "words")
-    pairs = (
-        starts.join(body, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("passage") == F.col("p_passage")))
-        .withColumn("window", F.slice("words", (first + 1).cast("int"), (last - first).cast("int")))
-        .join(texts, "item")
-    )
-    return (
-        _aligned(pairs, how)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("score").alias("score"))
-        .filter(F.col("score") >= how.least)
-    )
+    items = benchmark.select(F.col("item_id").cast("long"), "text").distinct().toLocalIterator()
+    groups: list[list[tuple[int | None, list[bytes]]]] = [[]]
+    size = 0
+    for row in items:
+        words = raw_words(row["text"])
+        if words:
+            if size + len(words) > FILTER_SEEDS and groups[-1]:
+                groups.append([])
+                size = 0
+            groups[-1].append((row["item_id"], words))
+            size += len(words)
+
+    def scan(group: list[tuple[int | None, list[bytes]]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _Index(group, how)
+            for batch in batches:
+                out = [
+                    (doc, item, score)
+                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
+                    for item, score in (index.scores(text.as_py()) if group else ())
+                ]
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                columns = list(zip(*out)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score"]
+                )
+
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+            run, "doc_id long, item_id long, score double"
+        )
+
+    found = reduce(DataFrame.unionByName, map(scan, groups))
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignment()) -> DataFrame:

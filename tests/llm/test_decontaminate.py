@@ -77,6 +77,23 @@ def test_a_large_insertion_is_bridged_at_every_place(spark):
     assert set(got) == set(range(24)) and all(score >= 0.7 for score in got.values())
 
 
+def test_sparse_and_frequent_seeds_leave_no_copy_out(spark):
+    rng = random.Random(7)
+    item, quoted = prose(rng, 60).split(), prose(rng, 28).split()
+    rare = prose(rng, 32).split()
+    inserted = [x for i, w in enumerate(item) for x in ([w, "extra"] if i % 3 == 2 else [w])]
+    replaced = ["extra" if i % 4 == 3 else w for i, w in enumerate(item)]
+    tail = ["extra" if i % 4 == 3 else w for i, w in enumerate(rare)]
+    texts = [inserted, replaced, quoted + tail] + [quoted + rare] * 3 + [quoted] * 60
+    rows = [(i, " ".join(prose(rng, 40).split() + t + prose(rng, 40).split())) for i, t in enumerate(texts)]
+    rows += [(200 + i, prose(rng, 100)) for i in range(60)]
+    items = [(1, " ".join(item)), (2, " ".join(quoted + rare)), (3, "aa bb cc dd ee"), (4, "ff")]
+    rows += [(300, "aa x bb y cc z dd w ee"), (301, "aa x bb"), (302, "only ff here")]
+    want = {(i, k) for i, t in rows for k, b in items if plain_score(d.words_of(b), d.words_of(t)) >= 0.6}
+    got = d.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want >= {(0, 1), (1, 1), (2, 2), (300, 3), (302, 4)}
+
+
 def test_odd_rows(spark):
     docs = documents(spark, odd_rows())
     bench = spark.createDataFrame([(1, "call 1 743 555 3824"), (2, "alone"), (None, "two words")], "item_id long, text string")
