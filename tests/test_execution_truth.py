@@ -1,7 +1,7 @@
 """Hand-specified cases with literal expected fills."""
 
 import pytest
-from conftest import series
+from walks import series
 from tapecheck.operators import ledger, signals
 
 CASES = {

@@ -4,7 +4,7 @@ import math
 import statistics
 
 import pytest
-from conftest import random_walk
+from walks import random_walk
 from pyspark.sql import functions as F
 from tapecheck.operators import ledger, metrics, robustness, signals, timeline
 from tapecheck.operators.blocks import Layout

@@ -2,7 +2,7 @@
 
 import pandas as pd
 import pytest
-from conftest import random_walk, simulate
+from walks import random_walk, simulate
 from pyspark.sql import functions as F
 from tapecheck.operators import indicators, ledger, signals
 from tapecheck.operators.blocks import Layout

@@ -1,5 +1,5 @@
 import pytest
-from conftest import random_walk
+from walks import random_walk
 from pyspark.sql import functions as F
 from tapecheck.operators import ledger, reconcile, signals
 from tapecheck.streaming.bars import bars_from_ticks, closed_bars_stream
