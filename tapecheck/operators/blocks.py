@@ -1,7 +1,8 @@
 """How a long series is cut into bounded pieces that Spark can spread out.
 
 A series (one symbol) may hold a large share of all bars, so no operator may
-order a whole series inside one task. Rows are cut by *time* instead: a
+order a whole series inside one task. Rows are cut by *time* instead, or by their
+place in the series where the spacing is not known: a
 ``chunk`` holds a bounded number of bar slots and is the unit of shuffling, and
 a ``blk`` is a smaller slice of a chunk used where numerics need short runs.
 Running quantities are computed inside chunks and completed with a carry that
@@ -41,11 +42,39 @@ class Layout:
 DAILY = Layout()
 
 
-def observed_layout(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> Layout:
-    """Bar spacing as on the densest day of any series: one number is read from one aggregation."""
-    per_day = bars.groupBy(*keys, F.col("ts").cast("date")).count()
-    most = per_day.agg(F.max("count")).first()[0] or 1
-    return Layout(bar_seconds=max(1, DAY_SECONDS // most))
+@dataclass(frozen=True)
+class Positions:
+    """Chunks by place in the series: at most ``chunk_rows`` rows each, at any density.
+
+    Costs one exchange by range and a checkpoint more than a :class:`Layout`, which suits bars of known spacing.
+    """
+
+    chunk_rows: int = 4096
+    block_bars: int = 256
+
+
+BY_POSITION = Positions()
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ("ts",), name: str = "idx") -> DataFrame:
+    """Add each row's place in its series, from 0; rows with a NULL key are left out.
+
+    No series is ordered in one task: rows are partitioned by range of ``keys`` and ``order``, numbered inside their
+    partition, and the rows of a series in earlier partitions are counted (one count per series and partition).
+    """
+    keys = list(keys)
+    rows = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
+    # Ranges come from a sample, so a partition is written before its numbers are used.
+    ranged = materialize(
+        rows.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("__at", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__at", 33))
+    parts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    place = F.col("__before") + F.col("__at") - F.col("__first")
+    return ranged.join(starts, [*keys, "__part"]).withColumn(name, place).drop("__at", "__part", "__first", "__before")
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -58,8 +87,12 @@ def epoch_seconds(ts: Column) -> Column:
     )
 
 
-def with_blocks(bars: DataFrame, layout: Layout = DAILY) -> DataFrame:
+def with_blocks(bars: DataFrame, layout: Layout | Positions = DAILY, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Add ``chunk`` and ``blk``; both are monotone in ``ts``."""
+    if isinstance(layout, Positions):
+        placed = numbered(bars.where("ts is not null"), keys, name="__idx")
+        chunk, blk = (F.floor(F.col("__idx") / F.lit(n)) for n in (layout.chunk_rows, layout.block_bars))
+        return placed.withColumns({"blk": blk, "chunk": chunk}).drop("__idx")
     blk = F.floor(epoch_seconds(F.col("ts")) / F.lit(layout.block_seconds))
     return bars.withColumn("blk", blk).withColumn(
         "chunk", F.floor(F.col("blk") / F.lit(layout.chunk_blocks))

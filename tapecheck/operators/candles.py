@@ -17,6 +17,8 @@ from tapecheck.functions.decimals import (
     is_non_finite_decimal,
     to_double,
 )
+from tapecheck.operators.quality import ohlcv_violations
+from tapecheck.sources.publish import append_batches
 
 # Last second a calendar date can name (end of year 9999).
 LAST_EPOCH = 253_402_300_799
@@ -114,8 +116,7 @@ def publishable(decoded: DataFrame, products: DataFrame) -> DataFrame:
     return products.join(bad, "product", "left_anti")
 
 
-def to_bars(decoded: DataFrame) -> DataFrame:
-    """Canonical bars of accepted candles."""
+def _cast(decoded: DataFrame) -> DataFrame:
     return accepted(decoded).select(
         F.col("product").alias("symbol"),
         "ts",
@@ -123,6 +124,36 @@ def to_bars(decoded: DataFrame) -> DataFrame:
     )
 
 
+def bar_violations(decoded: DataFrame) -> DataFrame:
+    """What the accepted candles break as bars, once their exact decimals are doubles: ``symbol, rule, rows``.
+
+    A decimal too large for a double is infinite then, one too small is zero.
+    """
+    return ohlcv_violations(_cast(decoded))
+
+
+def to_bars(decoded: DataFrame) -> DataFrame:
+    """Canonical bars of the accepted candles of products whose bars break no rule (:func:`bar_violations`)."""
+    bad = bar_violations(decoded).select("symbol").distinct()
+    return _cast(decoded).join(bad, "symbol", "left_anti")
+
+
+def publish_sound(decoded: DataFrame, root: str) -> DataFrame:
+    """Publish the bars of every product without a reject or a broken rule, each as one batch of a commit.
+
+    A product with one of either is refused whole, and one that is in already is not written again: ``batch_id, rows,
+    status`` as :func:`tapecheck.sources.publish.append_batches` returns them.
+    """
+    rejected = decoded.where("reject is not null").select(F.col("product").alias("symbol")).distinct()
+    bars = _cast(decoded).withColumn("batch_id", F.col("symbol"))
+
+    def bad(rows: DataFrame) -> DataFrame:
+        broken = ohlcv_violations(rows.drop("batch_id")).select("symbol")
+        return broken.unionByName(rejected.join(rows.select("symbol").distinct(), "symbol")).distinct().withColumnRenamed("symbol", "batch_id")
+
+    return append_batches(bars, root, bad)
+
+
 def page_profile(pages: DataFrame, run_day: Column) -> DataFrame:
     """What a page shows: counts, order of its starts, days missing from its grid.
 

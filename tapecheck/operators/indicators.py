@@ -6,9 +6,9 @@ the price, ``d = x - y``, which obeys ``d[t] = q*(d[t-1] + x[t] - x[t-1])`` with
 both averages equal the price, with no rounding noise to fake a crossover.
 
 The recurrence is linear, so a run of bars acts on the distance it starts with
-as ``d_out = q^n * u + b``. Short blocks compute ``b`` with a window sum, the
-blocks of a chunk are composed with one fold, the chunks of a series with
-another, and the carried distance is added back to each row.
+as ``d_out = q^n * u + b``. Short blocks compute ``b`` with a window sum; runs of blocks,
+chunks and spans are composed by scans in doubling steps (composition is associative), and the
+carried distance is added back to each row.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapecheck.operators.blocks import DAILY, Layout, observed_layout, span, with_blocks
+from tapecheck.operators.blocks import BY_POSITION, Layout, Positions, span, with_blocks
 
 # State between two runs: bars so far, and distance and price of the last
 # (``d1``, ``x1``) and the last but one bar (``d2``, ``x2``).
@@ -43,40 +43,68 @@ def _empty_state(periods: Sequence[int]) -> str:
     return f"named_struct('off', 0L, 'd1', {zeros}, 'x1', 0.0D, 'd2', {zeros}, 'x2', 0.0D)"
 
 
-def _advance(periods: Sequence[int], state: str) -> str:
-    """State after ``run``, in SQL.
+def _advance(periods: Sequence[int], state: str, run: str) -> str:
+    """State after a run, in SQL.
 
     A run starts with the carried distance corrected for the price jump into it.
     """
     d1, d2 = [], []
     for i, p in enumerate(periods):
-        start = f"if({state}.off = 0, 0.0D, {state}.d1[{i}] + run.first_x - {state}.x1)"
-        d1.append(f"{_power(p, 'run.n')} * {start} + run.b1[{i}]")
-        d2.append(f"if(run.n < 2, {state}.d1[{i}], {_power(p, 'run.n - 1')} * {start} + run.b2[{i}])")
+        start = f"if({state}.off = 0, 0.0D, {state}.d1[{i}] + {run}.first_x - {state}.x1)"
+        d1.append(f"{_power(p, f'{run}.n')} * {start} + {run}.b1[{i}]")
+        d2.append(f"if({run}.n < 2, {state}.d1[{i}], {_power(p, f'{run}.n - 1')} * {start} + {run}.b2[{i}])")
     return (
-        f"named_struct('off', {state}.off + run.n, 'd1', array({', '.join(d1)}), 'x1', run.last_x, "
-        f"'d2', array({', '.join(d2)}), 'x2', if(run.n < 2, {state}.x1, run.prev_x))"
+        f"named_struct('off', {state}.off + {run}.n, 'd1', array({', '.join(d1)}), 'x1', {run}.last_x, "
+        f"'d2', array({', '.join(d2)}), 'x2', if({run}.n < 2, {state}.x1, {run}.prev_x))"
     )
 
 
-def _final_state(runs: str, periods: Sequence[int]) -> Column:
-    return F.expr(f"aggregate({runs}, {_empty_state(periods)}, (acc, run) -> {_advance(periods, 'acc')})")
+_RUN_FIELDS = ("n", "first_x", "last_x", "prev_x", "b1", "b2")
 
 
-def _states_before(runs: str, start: str, periods: Sequence[int]) -> Column:
-    """For every run of an ordered array, the state it starts from."""
-    return F.expr(
-        f"aggregate({runs}, named_struct('seen', cast(array() as array<{_STATE}>), 'now', {start}), "
-        f"(acc, run) -> named_struct('seen', concat(acc.seen, array(acc.now)), "
-        f"'now', {_advance(periods, 'acc.now')}), acc -> acc.seen)"
+def _joined(periods: Sequence[int], left: str, right: str) -> str:
+    """Two adjacent runs as one, in SQL: how the first leaves the distance is how the second starts.
+
+    The operation is associative, so runs may be combined in any order of brackets.
+    """
+    b1, b2 = [], []
+    for i, p in enumerate(periods):
+        start = f"({left}.b1[{i}] + {right}.first_x - {left}.last_x)"
+        b1.append(f"{_power(p, f'{right}.n')} * {start} + {right}.b1[{i}]")
+        b2.append(f"if({right}.n < 2, {left}.b1[{i}], {_power(p, f'{right}.n - 1')} * {start} + {right}.b2[{i}])")
+    return (
+        f"named_struct('n', {left}.n + {right}.n, 'first_x', {left}.first_x, 'last_x', {right}.last_x, "
+        f"'prev_x', if({right}.n < 2, {left}.last_x, {right}.prev_x), "
+        f"'b1', array({', '.join(b1)}), 'b2', array({', '.join(b2)}))"
     )
 
 
+def _scanned(runs: str, periods: Sequence[int]) -> str:
+    """For every run of an ordered array, all up to it as one, in SQL.
+
+    Distances double from step to step: after the step at distance d each run has taken in the 2d - 1 before it.
+    """
+    plain = f"transform({runs}, x -> struct({', '.join(f'x.{f}' for f in _RUN_FIELDS)}))"
+    steps = f"transform(sequence(0, cast(ceil(log2(greatest(size({runs}), 2))) as int) - 1), e -> shiftleft(1, e))"
+    step = f"transform(acc, (x, i) -> if(i < d, x, {_joined(periods, 'acc[i - d]', 'x')}))"
+    return f"aggregate({steps}, {plain}, (acc, d) -> {step})"
+
+
+def _with_totals(df: DataFrame, runs: str, periods: Sequence[int]) -> DataFrame:
+    """Add ``scan``, the runs up to each, and ``done``, all of them as one."""
+    return df.withColumn("scan", F.expr(_scanned(runs, periods))).withColumn("done", F.expr("element_at(scan, -1)"))
+
+
+def _states_before(start: str, periods: Sequence[int]) -> Column:
+    """For every run of ``scan``, the state it starts from, given that of the first."""
+    return F.expr(f"transform(scan, (x, i) -> if(i = 0, {start}, {_advance(periods, start, 'scan[i - 1]')}))")
+
+
 def ema_panel(
     bars: DataFrame,
     periods: Sequence[int],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | None = DAILY,
+    layout: Layout | Positions = BY_POSITION,
     on_entry: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Rows with ``idx`` (position in the series), ``gap`` (array of ``close - ema``
@@ -86,12 +114,11 @@ def ema_panel(
     from; they are evaluated once per chunk and attached to its rows, together
     with ``r``, the row's place in its chunk.
 
-    Chunks are spans of time; without a ``layout`` their length follows from the
-    densest day (:func:`observed_layout`). Blocks are runs of ``layout.block_bars`` rows
-    inside a chunk, whatever their spacing. Rows without a key or a time have no place in a
+    Chunks are runs of ``layout.chunk_rows`` rows of a series, so that none grows with the density of bars; a
+    :class:`~tapecheck.operators.blocks.Layout` cuts bars of known spacing by time instead and saves an exchange. Blocks are
+    runs of ``layout.block_bars`` rows inside a chunk. Times should be unique in a series. Rows without a key or a time have no place in a
     series and are left out here; :func:`ema` returns them, and the quality rules list them.
     """
-    layout = layout or observed_layout(bars, keys)
     keys = list(keys)
     for p in periods:
         check_period(p)
@@ -111,7 +138,7 @@ def ema_panel(
     # first gives every branch the same filter, so that they share one exchange.
     present = " and ".join(f"`{k}` is not null" for k in [*keys, "chunk"])
     rows = (
-        with_blocks(bars, layout)
+        with_blocks(bars, layout, keys)
         .where(present)
         .repartition(*keys, "chunk")
         .withColumns({"r": F.expr(f"row_number() {series}"), "lag_close": F.expr(f"lag(close) {series}")})
@@ -147,36 +174,36 @@ def ema_panel(
         # share one scan, and the modulus spreads the chunks of a long series.
         .repartition(*keys, F.pmod("chunk", F.lit(64)))
     )
-    # Chunks are composed as if each started the series, then spans of chunks;
-    # walking the spans of a series and the chunks of a span gives every chunk
-    # the state it really starts from.
-    composed = (
-        "struct({order}, done.off AS n, {runs}[0].first_x AS first_x, done.x1 AS last_x, "
-        "done.x2 AS prev_x, done.d1 AS b1, done.d2 AS b2) AS item"
-    )
-    chunks = runs.withColumn("done", _final_state("runs", periods)).select(
-        *keys, span().alias("span"), F.expr(composed.format(order="chunk", runs="runs"))
-    )
+    # Chunks are composed as if each started the series, then spans of chunks; the scans of
+    # the spans of a series and of the chunks of a span give every chunk the state it really
+    # starts from. A scan of n runs takes n log n steps.
+    composed = f"struct({{order}}, {', '.join(f'done.{f}' for f in _RUN_FIELDS)}) AS item"
+    runs = _with_totals(runs, "runs", periods)
+    chunks = runs.select(*keys, span().alias("span"), F.expr(composed.format(order="chunk")))
     spans = chunks.groupBy(*keys, "span").agg(F.expr("array_sort(collect_list(item)) AS items"))
+    spans = _with_totals(spans, "items", periods)
     quoted = [f"`{k}`" for k in keys]
     span_starts = (
-        spans.withColumn("done", _final_state("items", periods))
-        .select(*keys, F.expr(composed.format(order="span", runs="items")))
+        spans.select(*keys, F.expr(composed.format(order="span")))
         .groupBy(*keys)
         .agg(F.expr("array_sort(collect_list(item)) AS items"))
-        .withColumn("start", _states_before("items", _empty_state(periods), periods))
-        .selectExpr(*quoted, "inline(arrays_zip(items.span, start)) AS (span, start)")
+    )
+    span_starts = (
+        _with_totals(span_starts, "items", periods)
+        .withColumn("start", F.expr(_empty_state(periods)))
+        .withColumn("starts", _states_before("start", periods))
+        .selectExpr(*quoted, "inline(arrays_zip(items.span, starts)) AS (span, start)")
     )
     starts = (
         spans.join(span_starts, [*keys, "span"])
-        .withColumn("entry", _states_before("items", "start", periods))
+        .withColumn("entry", _states_before("start", periods))
         .selectExpr(*quoted, "inline(arrays_zip(items.chunk, entry)) AS (chunk, entry)")
     )
     on_entry = dict(on_entry or {})
     carries = runs.join(starts, [*keys, "chunk"]).select(
         *keys,
         "chunk",
-        _states_before("runs", "entry", periods).alias("states"),
+        _states_before("entry", periods).alias("states"),
         *[F.expr(f"{sql} AS {name}") for name, sql in on_entry.items()],
     )
 
@@ -211,7 +238,7 @@ def ema(
     bars: DataFrame,
     periods: Sequence[int],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | None = DAILY,
+    layout: Layout | Positions = BY_POSITION,
 ) -> DataFrame:
     """``keys, ts, close`` and one ``ema_<period>`` column per period.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapecheck.constants import COST_SCENARIOS, INITIAL_CASH, QUANTITY_TOLERANCE
-from tapecheck.operators.blocks import DAILY, Layout, running, with_blocks, with_earlier
+from tapecheck.operators.blocks import BY_POSITION, Layout, Positions, running, with_blocks, with_earlier
 from tapecheck.operators.signals import Cell, positions
 
 RUN_KEYS = ("fast", "slow", "scenario")
@@ -208,7 +208,7 @@ def run_signal(
     cash: float = INITIAL_CASH,
     keys: Sequence[str] = ("symbol",),
     signal: str = "signal",
-    layout: Layout = DAILY,
+    layout: Layout | Positions = BY_POSITION,
 ) -> tuple[DataFrame, DataFrame]:
     """Ledger and curve of an explicit 0/1 signal column."""
     panel = positions(bars, keys, signal, layout)
@@ -299,9 +299,11 @@ def trade_violations(
     )
 
 
-def with_chunks(trades: DataFrame, layout: Layout = DAILY) -> DataFrame:
+def with_chunks(
+    trades: DataFrame, layout: Layout | Positions = BY_POSITION, keys: Sequence[str] = ("symbol", *RUN_KEYS)
+) -> DataFrame:
     """Prepare a ledger read from storage for the pairing functions."""
-    return with_blocks(trades, layout)
+    return with_blocks(trades, layout, keys)
 
 
 def buy_and_hold(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapecheck.constants import FAST_PERIODS, MAX_CELLS, SLOW_PERIODS
-from tapecheck.operators.blocks import DAILY, Layout, chunk_window, with_blocks, with_earlier
+from tapecheck.operators.blocks import BY_POSITION, Layout, Positions, chunk_window, with_blocks, with_earlier
 from tapecheck.operators.indicators import check_period, ema_column, ema_panel
 
 Cell = tuple[int, int]
@@ -66,7 +66,7 @@ def signal_panel(
     bars: DataFrame,
     grid: Sequence[Cell],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | None = DAILY,
+    layout: Layout | Positions = BY_POSITION,
 ) -> DataFrame:
     """Signals of every cell of ``grid`` on every bar, from one pass over bars.
 
@@ -104,7 +104,7 @@ def crossover_signal(
     fast: int,
     slow: int,
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | None = DAILY,
+    layout: Layout | Positions = BY_POSITION,
 ) -> DataFrame:
     """``fast_ema``, ``slow_ema`` (NULL in warm-up) and ``signal`` 0/1."""
     check_cell(fast, slow)
@@ -120,7 +120,7 @@ def positions(
     bars: DataFrame,
     keys: Sequence[str] = ("symbol",),
     signal: str = "signal",
-    layout: Layout = DAILY,
+    layout: Layout | Positions = BY_POSITION,
 ) -> DataFrame:
     """The same panel for a given 0/1 ``signal`` column (a one-cell grid)."""
     keys = list(keys)
@@ -129,7 +129,7 @@ def positions(
         F.raise_error(F.lit("signal must contain only 0 (flat) or 1 (long)")).cast("bigint")
     )
     rows = (
-        with_blocks(bars.select(*keys, "ts", "open", "close", valid.alias("sig")), layout)
+        with_blocks(bars.select(*keys, "ts", "open", "close", valid.alias("sig")), layout, keys)
         .repartition(*keys, "chunk")
         .withColumn("r", F.row_number().over(series))
         .withColumn("lag1", F.lag("sig", 1).over(series))

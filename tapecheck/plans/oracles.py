@@ -644,6 +644,14 @@ ORACLES |= {
 ORACLES["ema_intraday"] = f"""WITH RECURSIVE ticks AS (SELECT event_type AS symbol, ts, value AS close FROM events),
   {averages([10, 30], 'ticks')} SELECT symbol, ts, close, round(CASE WHEN idx >= 9 THEN e10 END, 8) AS ema_10,
   round(CASE WHEN idx >= 29 THEN e30 END, 8) AS ema_30 FROM num JOIN ema USING (symbol, idx)"""
+DENSE = """ticks AS (
+  SELECT event_type AS symbol, TIMESTAMP '2024-01-01' + to_days(CASE WHEN event_id % 10 = 0 THEN event_id % 40 ELSE 0 END::INTEGER)
+         + to_milliseconds(event_id) AS ts, value AS open, value AS close FROM events)"""
+ORACLES["ema_dense_day"] = f"""WITH RECURSIVE {DENSE},
+  {averages([10, 30], 'ticks')} SELECT symbol, ts, close, round(CASE WHEN idx >= 9 THEN e10 END, 8) AS ema_10,
+  round(CASE WHEN idx >= 29 THEN e30 END, 8) AS ema_30 FROM num JOIN ema USING (symbol, idx)"""
+ORACLES["target_position_dense_day"] = f"""WITH RECURSIVE {DENSE}, {averages(list(BASELINE_CELL), 'ticks')}, {states([BASELINE_CELL])}
+  SELECT symbol, ts, fast, slow, signal, target::INTEGER AS target, prev_target::INTEGER AS prev_target FROM st"""
 ORACLES["leave_one_out_by_part"] = f"""{study(symbol='l_partkey')}, {RETURNS},
   loo AS (SELECT {RUN}, x."window", product(1 + y.r) - 1 AS w FROM ret x JOIN ret y USING ({RUN})
           WHERE x."window" <> y."window" GROUP BY ALL)
@@ -739,3 +747,82 @@ ORACLES["flagship"] = f"""SELECT a.* EXCLUDE (fast, slow, scenario), s.* EXCLUDE
   JOIN {_part("cost_stress", "min(aggregate_return) AS worst_stress_return", True)} c USING (symbol)
   JOIN (SELECT symbol, total_return AS buy_and_hold_return FROM ({_again("buy_and_hold", "l_returnflag", "l_suppkey")})) h USING (symbol)
   JOIN {_part("spot_checks", "count(*) FILTER (equity_agrees AND return_agrees) AS spot_checks_passed", True)} k USING (symbol)"""
+
+
+def _row_hash(columns: dict[str, str]) -> str:
+    """SHA-256 of a row, as text: name, length and value by column in order of name."""
+    one = [f"'{c}=' || CASE WHEN {e} IS NULL THEN '-' ELSE length({e}::VARCHAR)::VARCHAR || ':' || {e}::VARCHAR END || ';'" for c, e in sorted(columns.items())]
+    return f"sha256({' || '.join(one)})"
+
+
+def _digest(h: str = "h") -> str:
+    lanes = " || ',' || ".join(f"coalesce(sum(('0x' || substr({h}, {1 + 5 * i}, 5))::BIGINT), 0)::VARCHAR" for i in range(12))
+    return f"sha256(count(*)::VARCHAR || ',' || {lanes})"
+
+
+_ORDER = {c: c for c in ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")}
+_EVENT = {"symbol": "symbol", "ts": "ts", "o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderpriority": "o_orderpriority"}
+ORDER_WINDOWS = """ow AS (
+  SELECT (o_orderkey % 100)::VARCHAR AS symbol, o_orderkey AS "window", o_orderdate AS start,
+         o_orderdate + to_days(CASE WHEN o_orderkey % 100 = 0 THEN 1000 ELSE o_orderkey % 45 END::INTEGER) AS "end" FROM orders)"""
+OWN_SPLITS = """hist AS (SELECT symbol, symbol::INTEGER AS n, min(ts)::DATE AS a, max(ts)::DATE AS z FROM bars GROUP BY symbol),
+cuts AS (SELECT *, a + 700 + n % 7 * 50 AS one, a + 1400 + n % 11 * 40 AS two FROM hist),
+own AS (
+  SELECT symbol, 'train' AS split, a AS s, one AS e FROM cuts UNION ALL SELECT symbol, 'validation', one, two FROM cuts
+  UNION ALL SELECT symbol, 'test', two, z - 20 FROM cuts)"""
+ORACLES |= {
+    "table_digests": f"""SELECT o_orderstatus, count(*) AS "rows", {_digest()} AS digest
+        FROM (SELECT *, {_row_hash(_ORDER)} AS h FROM orders) GROUP BY o_orderstatus""",
+    "digest_violations": """WITH r AS (
+          SELECT o_custkey, CASE WHEN o_orderkey % 997 = 5 THEN 2 WHEN o_orderkey % 991 = 7 OR o_custkey % 50 = 3 THEN 0 ELSE 1 END AS n,
+                 o_orderkey % 983 = 11 AS changed FROM orders),
+        g AS (SELECT o_custkey, sum(n) AS n, bool_or(n <> 1 OR changed) AS differs FROM r GROUP BY o_custkey),
+        j AS (SELECT o_custkey, CASE WHEN o_custkey % 40 = 9 THEN CASE WHEN n > 0 THEN 'not_recorded' END
+                     WHEN n = 0 THEN 'rows_missing' WHEN differs THEN 'content_differs' END AS rule FROM g)
+        SELECT * FROM j WHERE rule IS NOT NULL""",
+    "research_verified": f"""WITH e AS (
+          SELECT o_orderstatus AS symbol, o_orderdate AS ts, o_orderkey, o_custkey, o_orderpriority FROM orders),
+        h AS (SELECT *, {_row_hash(_EVENT)} AS h FROM e)
+        SELECT symbol, 'research_snapshot' AS kind, 1 AS schema_version, (SELECT {_digest()} FROM h) AS source_processed_sha256,
+               'ts < 2001-01-01' AS derivation_predicate, '2001-01-01' AS research_half_open_end, count(*) AS row_count,
+               strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_timestamp, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_timestamp,
+               {_digest()} AS content_digest
+        FROM h WHERE ts < TIMESTAMP '2001-01-01' GROUP BY symbol""",
+    "lineage_closure": """WITH RECURSIVE a AS (
+          SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey - 1 WHEN o_orderkey // 10 % 37 = 5 THEN o_orderkey + 9 END AS p,
+                 o_orderkey // 10 % 41 = 7 AND o_orderkey % 10 = 4 AS gone, o_orderkey // 10 % 43 = 9 AND o_orderkey % 10 = 3 AS differs FROM orders),
+        w AS (
+          SELECT k AS k0, k, 0::BIGINT AS depth, false AS missing, false AS differs FROM a
+          UNION ALL
+          SELECT k0, p, depth + 1, w.missing OR gone, w.differs OR (a.differs AND NOT gone) FROM w JOIN a USING (k)
+          WHERE p IS NOT NULL AND NOT w.missing AND depth < 30),
+        f AS (SELECT k0, max(depth) AS depth, arg_max(k, depth) AS k, bool_or(missing) AS missing, bool_or(differs) AS differs FROM w GROUP BY k0)
+        SELECT 'artifact/' || k0::VARCHAR AS path, CASE WHEN depth < 30 AND NOT missing THEN 'artifact/' || k::VARCHAR END AS root,
+               CASE WHEN depth < 30 THEN depth END AS depth,
+               CASE WHEN depth >= 30 THEN 'cycle' WHEN missing THEN 'parent_missing' WHEN differs THEN 'hash_differs' ELSE 'ok' END AS status
+        FROM f""",
+    "registry_batches": """WITH b AS (
+          SELECT o_custkey AS c, count(*) AS n, bool_or(o_orderkey % 950 = 0) AS bad FROM orders GROUP BY o_custkey),
+        d AS (SELECT *, 0 AS delivery, false AS known FROM b WHERE c % 3 = 0
+              UNION ALL SELECT *, 1, c % 3 = 0 FROM b WHERE c % 2 = 0
+              UNION ALL SELECT *, 2, c % 3 = 0 OR c % 2 = 0 FROM b WHERE c % 5 <> 1)
+        SELECT 'b' || c::VARCHAR AS batch_id, n AS "rows",
+               CASE WHEN bad THEN 'refused' WHEN known THEN 'already_in' ELSE 'appended' END AS status, delivery,
+               CASE WHEN bad THEN 0 ELSE n END AS kept FROM d""",
+    "published_rows": f"""WITH {bars('l_partkey')}, {FAULTY} SELECT product AS symbol, count(*) AS bars,
+               min(make_timestamp(d * 86400000000)) AS first_ts, max(make_timestamp(d * 86400000000)) AS last_ts
+        FROM judged GROUP BY product HAVING count(*) FILTER (reject IS NOT NULL AND reject <> 'incomplete_bucket') = 0""",
+    "windows_by_order": f"""{SUPPLIER_BARS}, {ORDER_WINDOWS} SELECT symbol, "window", count(*) AS bars, min(ts) AS first_ts, max(ts) AS last_ts
+        FROM bars JOIN ow USING (symbol) WHERE ts >= start AND ts < "end" GROUP BY ALL""",
+    "split_labels_by_supplier": f"""{SUPPLIER_BARS}, {OWN_SPLITS} SELECT b.symbol, ts, close, split
+        FROM bars b LEFT JOIN own o ON b.symbol = o.symbol AND ts >= s AND ts < e""",
+    "research_rows_by_supplier": f"""{SUPPLIER_BARS}, {OWN_SPLITS} SELECT b.symbol, ts, close
+        FROM bars b JOIN own o ON b.symbol = o.symbol AND ts >= s AND ts < e WHERE split <> 'test'""",
+    "crossing_trips_by_supplier": f"""{study(symbol='l_suppkey')}, {ORDER_WINDOWS} SELECT symbol, "window", entry_ts, exit_ts
+        FROM trips JOIN ow USING (symbol)
+        WHERE exit_ts IS NOT NULL AND ((entry_ts < start AND start <= exit_ts) OR (entry_ts < "end" AND "end" <= exit_ts))""",
+}
+ORACLES["equity_before_trades"] = f"""{study(symbol='l_suppkey')} SELECT {', '.join('f.' + c.strip() for c in RUN.split(','))}, f.ts, side,
+    c.ts AS as_of_ts, round(c.equity, 4) AS equity, CASE WHEN c.ts IS NULL THEN 'no_earlier_row' ELSE 'ok' END AS status
+  FROM fills f ASOF LEFT JOIN (SELECT {RUN}, ts, equity FROM curve) c
+    ON {' AND '.join(f'f.{c.strip()} = c.{c.strip()}' for c in RUN.split(','))} AND f.ts > c.ts"""

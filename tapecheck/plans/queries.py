@@ -21,6 +21,7 @@ from tapecheck.functions.decimals import normal_form
 from tapecheck.operators import (
     candles,
     indicators,
+    intervals,
     ledger,
     metrics,
     quality,
@@ -30,11 +31,14 @@ from tapecheck.operators import (
     signals,
     timeline,
 )
-from tapecheck.operators.blocks import DAILY, Layout, materialize, new_folder
+from tapecheck.operators.blocks import DAILY, Layout, Positions, materialize, new_folder
 from tapecheck.plans import workload as w
 from tapecheck.sources import bars as bar_tables
 from tapecheck.sources import catalog as catalogs
+from tapecheck.sources import digest as digests
+from tapecheck.sources import lineage as lineages
 from tapecheck.sources import pages as page_tables
+from tapecheck.sources import publish as publishing
 from tapecheck.sources import registry as registries
 from tapecheck.streaming.bars import bars_from_ticks
 
@@ -93,7 +97,10 @@ def research_rows(spark, sf):
 def research_lineage(spark, sf):
     parent, target = (f"{new_folder(spark)}/{name}" for name in ("parent", "research"))
     _bars(spark, sf).write.parquet(parent)
-    return bar_tables.derive_research(spark, parent, target, w.RESEARCH_CUTOFF, "parent")
+    _, recorded = digests.digest_of(spark.read.parquet(parent))
+    lineage = bar_tables.derive_research(spark, parent, target, w.RESEARCH_CUTOFF, recorded)
+    # Digests of prices follow Spark's way to write a double; research_verified has them in full.
+    return lineage.drop("content_digest").withColumn("source_processed_sha256", F.lit("parent"))
 
 
 def snapshot_metadata(spark, sf):
@@ -164,6 +171,62 @@ def registry_migrate(spark, sf):
     return registries.registry_migrate(w.old_registry(spark, sf))
 
 
+def table_digests(spark, sf):
+    """Orders by status: digests over rows that arrive in another order than they lie in the file."""
+    orders = w.table(spark, sf, "orders").drop("o_totalprice").repartition(7, "o_custkey")
+    return digests.table_digest(orders, ["o_orderstatus"])
+
+
+def digest_violations(spark, sf):
+    """A copy in which some customers' orders changed, went missing or came twice."""
+    orders = w.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    copies = F.when(k % 997 == 5, F.array(F.lit(1), F.lit(2))).when((k % 991 == 7) | (c % 50 == 3), F.array().cast("array<int>"))
+    copy = orders.select(
+        "o_custkey", "o_orderkey",
+        F.when(k % 983 == 11, "changed").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.explode(copies.otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+    recorded = digests.table_digest(orders.where("o_custkey % 40 != 9"), ["o_custkey"])
+    return digests.digest_violations(copy, recorded, ["o_custkey"])
+
+
+def research_verified(spark, sf):
+    """A truncated copy of the orders, derived only because its parent still is what was recorded."""
+    parent, target = (f"{new_folder(spark)}/{name}" for name in ("parent", "research"))
+    w.order_events(spark, sf).write.parquet(parent)
+    _, recorded = digests.digest_of(spark.read.parquet(parent))
+    return bar_tables.derive_research(spark, parent, target, w.RESEARCH_CUTOFF, recorded)
+
+
+def lineage_closure(spark, sf):
+    return lineages.lineage_closure(w.derivations(spark, sf))
+
+
+def registry_batches(spark, sf):
+    """Three deliveries of records in batches; the later ones repeat earlier batches, some are bad."""
+    root = new_folder(spark)
+    records = w.batched_records(spark, sf)
+    number = F.col("number")
+    said = [
+        registries.append_batches(records.where(part).drop("number"), root).withColumn("delivery", F.lit(i))
+        for i, part in enumerate((number % 3 == 0, number % 2 == 0, number % 5 != 1))
+    ]
+    kept = publishing.visible(spark, root).groupBy("batch_id").agg(F.count("*").alias("kept"))
+    out = said[0].unionByName(said[1]).unionByName(said[2])
+    return out.join(kept, "batch_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+
+
+def published_rows(spark, sf):
+    """The visible version of a table of bars by product: sound products once, whatever was tried how often."""
+    root = new_folder(spark)
+    raw = w.faulty_candles(w.raw_candles(w.bars(spark, sf, "l_partkey")))
+    decoded = materialize(candles.decode_candles(raw.withColumn("now", F.col("now") + F.expr("INTERVAL 2 DAYS"))))
+    for _ in range(2):
+        candles.publish_sound(decoded, root)
+    return publishing.visible(spark, root).groupBy("symbol").agg(F.count("*").alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 # --- quality, timeline ----------------------------------------------------------
 
 
@@ -228,6 +291,24 @@ def window_rows(spark, sf):
     return timeline.window_rows(_bars(spark, sf), WINDOWS).select("symbol", "ts", "close", "window")
 
 
+def windows_by_order(spark, sf):
+    """One window per order: bars of its product in the days after it."""
+    windows = w.order_windows(spark, sf)
+    met = intervals.rows_in_windows(_supplier_bars(spark, sf).select("symbol", "ts"), windows)
+    return met.groupBy("symbol", "window").agg(F.count("*").alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def split_labels_by_supplier(spark, sf):
+    """Splits of every product's own history."""
+    bars = _supplier_bars(spark, sf)
+    return intervals.labels(bars.select("symbol", "ts", "close"), w.own_splits(bars))
+
+
+def research_rows_by_supplier(spark, sf):
+    bars = _supplier_bars(spark, sf)
+    return intervals.allowed_rows(bars.select("symbol", "ts", "close"), w.own_splits(bars), ("train", "validation"))
+
+
 def plan_windows(spark, sf):
     return timeline.plan_windows(
         w.last_days(_supplier_bars(spark, sf)),
@@ -329,19 +410,32 @@ def bars_from_ticks_query(spark, sf):
 
 
 def ema(spark, sf):
-    return _round(indicators.ema(_bars(spark, sf), [10, 30]), "ema_10 ema_30")
+    return _round(indicators.ema(_bars(spark, sf), [10, 30], layout=DAILY), "ema_10 ema_30")
 
 
 def ema_intraday(spark, sf):
-    """Averages over ticks as they come, with a layout derived from their density."""
+    """Averages over ticks as they come."""
     ticks = w.table(spark, sf, "events").select(
         F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close")
     )
-    return _round(indicators.ema(ticks, [10, 30], layout=None), "ema_10 ema_30")
+    return _round(indicators.ema(ticks, [10, 30], layout=Positions(256, 64)), "ema_10 ema_30")
+
+
+def ema_dense_day(spark, sf):
+    """Nine tenths of all ticks on one day, a millisecond apart; chunks hold a bounded number of them all the same."""
+    ticks = w.dense_ticks(spark, sf).select("symbol", "ts", F.col("px").alias("close"))
+    return _round(indicators.ema(ticks, [10, 30], layout=Positions(128, 32)), "ema_10 ema_30")
+
+
+def target_position_dense_day(spark, sf):
+    """Next-tick positions on the same ticks."""
+    ticks = w.dense_ticks(spark, sf).select("symbol", "ts", F.col("px").alias("open"), F.col("px").alias("close"))
+    panel = materialize(signals.signal_panel(ticks, [BASELINE_CELL], layout=Positions(128, 32)))
+    return signals.per_cell(panel, [BASELINE_CELL])
 
 
 def crossover_signal(spark, sf):
-    return _round(signals.crossover_signal(_bars(spark, sf), *BASELINE_CELL), "fast_ema slow_ema")
+    return _round(signals.crossover_signal(_bars(spark, sf), *BASELINE_CELL, layout=DAILY), "fast_ema slow_ema")
 
 
 def target_position(spark, sf):
@@ -353,7 +447,7 @@ def entry_exit_events(spark, sf):
 
 
 def signal_transitions(spark, sf):
-    panel = signals.signal_panel(_supplier_bars(spark, sf), [BASELINE_CELL])
+    panel = signals.signal_panel(_supplier_bars(spark, sf), [BASELINE_CELL], layout=DAILY)
     return signals.signal_transitions(panel)
 
 
@@ -393,6 +487,22 @@ def equity_before(spark, sf):
     return _round(timeline.equity_before(curve, timeline.boundaries(WINDOWS), RUN), "", "equity")
 
 
+def equity_before_trades(spark, sf):
+    """The equity before every fill of every supplier: as many boundaries as trades."""
+    panel = _panel(spark, sf, symbol="l_suppkey", layout=SMALL)
+    fills = ledger.fill_ledger(panel, _book()).select(*RUN, "ts", "side")
+    curve = ledger.equity_curve(panel, _book())
+    return _round(intervals.as_of(fills, curve, ["equity"], RUN, chunk_rows=256), "", "equity")
+
+
+def crossing_trips_by_supplier(spark, sf):
+    """Trips that hold a bound of one of the windows of :func:`windows_by_order`."""
+    panel = _panel(spark, sf, symbol="l_suppkey", layout=SMALL)
+    trips = ledger.round_trips(ledger.fill_ledger(panel, _book()))
+    crossed = intervals.crossing_trips(trips.select("symbol", "entry_ts", "exit_ts"), w.order_windows(spark, sf), ["symbol"])
+    return crossed.select("symbol", "window", "entry_ts", "exit_ts")
+
+
 def fill_ledger_by_supplier(spark, sf):
     rows = ledger.fill_ledger(_panel(spark, sf, symbol="l_suppkey", layout=SMALL), _book())
     return _round(rows.select(*RUN, "ts", *_TRADE), "quantity units_after", "commission cash_after")
@@ -504,7 +614,7 @@ def pnl_concentration(spark, sf):
 
 
 def largest_move(spark, sf):
-    panel = signals.signal_panel(_supplier_bars(spark, sf), [BASELINE_CELL])
+    panel = signals.signal_panel(_supplier_bars(spark, sf), [BASELINE_CELL], layout=DAILY)
     return _round(metrics.largest_move(panel), "change")
 
 
@@ -639,7 +749,7 @@ def partition_report(spark, sf):
     """Train and validation apart: averages and positions restart in each."""
     keys = ["symbol", "split"]
     rows = timeline.split_rows(_bars(spark, sf), w.SPLITS).where(F.col("split").isin("train", "validation"))
-    panel = materialize(signals.signal_panel(rows, [BASELINE_CELL], keys))
+    panel = materialize(signals.signal_panel(rows, [BASELINE_CELL], keys, DAILY))
     book = _book()
     trades = ledger.fill_ledger(panel, book, keys)
     amount = F.when(F.col("side") == "buy", F.col("units_after")).otherwise(F.col("cash_after"))
@@ -658,7 +768,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     windows left out, concentration, cost stress, benchmark, and spot checks by a second ledger.
     """
     rows = materialize(_research(spark, sf))
-    panel = materialize(signals.signal_panel(rows, GRID))
+    panel = materialize(signals.signal_panel(rows, GRID, layout=DAILY))
     fast, slow = BASELINE_CELL
     book = [ledger.Run(GRID.index(BASELINE_CELL), fast, slow, "baseline", *COST_SCENARIOS["baseline"], INITIAL_CASH)]
     pairs = materialize(ledger.paired_trades(ledger.fill_ledger(panel, book)))
@@ -718,8 +828,10 @@ REGISTERED = {
         largest_move, grid_returns, window_returns, cost_stress, leave_one_out, window_dispersion,
         grid_neighbors, sign_consistency, sign_flip_pairs, baseline_neighbors, isolated_cells,
         ledger_reconcile, spot_checks, partition_report, snapshot_pair_violations, revision_audit, publishable,
-        ema_intraday, fill_ledger_by_supplier, drawdown_curve_by_supplier, round_trips_by_supplier,
+        ema_intraday, ema_dense_day, target_position_dense_day, fill_ledger_by_supplier, drawdown_curve_by_supplier, round_trips_by_supplier,
         window_metrics_by_supplier, aggregate_metrics_by_part, grid_returns_by_part, leave_one_out_by_part,
-        ledger_reconcile_unequal, trade_violations, flagship,
+        ledger_reconcile_unequal, trade_violations, flagship, windows_by_order, split_labels_by_supplier,
+        research_rows_by_supplier, equity_before_trades, crossing_trips_by_supplier, table_digests, digest_violations,
+        research_verified, lineage_closure, registry_batches, published_rows,
     )
 } | {"bars_from_ticks": bars_from_ticks_query}

@@ -283,6 +283,51 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(*[given.get(c, F.lit("")).alias(c) for c in REGISTRY_COLUMNS])
 
 
+def batched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry records in one batch per customer, with the batch's ``number``; most records are mended, so most batches are sound."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("exp-"), F.col("o_orderkey").cast("string")).alias("experiment_id"), "o_orderkey", "o_custkey")
+    r = registry_records(spark, sf_dir).join(o, "experiment_id")
+    mend = lambda c, good: F.when(F.col("o_orderkey") % 50 == 0, F.col(c)).otherwise(F.lit(good)).alias(c)
+    good = {
+        "git_commit": "abc", "working_tree_clean": "true", "record_status": "finalized",
+        "dependency_versions_json": '{"python":"3","pandas":"2","pyarrow":"1","vectorbt":"0"}',
+    }
+    columns = [mend(c, good[c]) if c in good else F.col(c) for c in REGISTRY_COLUMNS]
+    return r.select(*columns, F.concat(F.lit("b"), F.col("o_custkey").cast("string")).alias("batch_id"), F.col("o_custkey").alias("number"))
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows with a symbol and a time."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").alias("ts"), "o_orderkey", "o_custkey", "o_orderpriority")
+
+
+def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts in chains of ten; some chains are rings, some lack a parent or record a wrong hash."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    chain, link = F.floor(F.col("k") / 10), F.col("k") % 10
+    parent = F.when(link > 0, F.col("k") - 1).when(chain % 37 == 5, F.col("k") + 9)
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    gone = (chain % 41 == 7) & (link == 4)
+    name = lambda c: F.concat(F.lit("artifact/"), c.cast("string"))
+    return o.select(
+        name(F.col("k")).alias("path"),
+        sha(F.col("k")).alias("sha256"),
+        F.when(gone, F.concat(name(parent), F.lit("-gone"))).otherwise(name(parent)).alias("parent_path"),
+        F.when((chain % 43 == 9) & (link == 3), "other").otherwise(sha(parent)).alias("parent_sha256"),
+    )
+
+
+def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window per order, of no day to three years, on one of a hundred suppliers."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        (k % 100).cast("string").alias("symbol"), k.alias("window"), F.col("o_orderdate").alias("start"),
+        (F.col("o_orderdate") + F.make_dt_interval(F.when(k % 100 == 0, 1000).otherwise(k % 45).cast("int"))).alias("end"),
+    )
+
+
 def old_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     given = {
@@ -329,6 +374,17 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dense_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events, of which all but every tenth fall on one day, a millisecond apart."""
+    e = table(spark, sf_dir, "events")
+    day = F.when(F.col("event_id") % 10 == 0, F.col("event_id") % 40).otherwise(0)
+    return e.select(
+        F.col("event_type").alias("symbol"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(day.cast("int"), F.lit(0), F.lit(0), F.col("event_id") / 1000)).alias("ts"),
+        F.col("value").alias("px"),
+    )
+
+
 def last_days(bars: DataFrame) -> DataFrame:
     """Last planned day per symbol: two days after its last bar."""
     return bars.groupBy("symbol").agg(F.date_add(F.max("ts").cast("date"), 2).alias("last_day"))
@@ -391,6 +447,19 @@ def split_tables(bars: DataFrame) -> DataFrame:
     )
 
 
+def own_splits(bars: DataFrame) -> DataFrame:
+    """Sound splits of each symbol's own history, cut at different days; rows after the last are in none."""
+    span = bars.groupBy("symbol").agg(F.min("ts").cast("date").alias("a"), F.max("ts").cast("date").alias("z"))
+    n = F.col("symbol").cast("int")
+    one, two = F.date_add("a", 700 + n % 7 * 50), F.date_add("a", 1400 + n % 11 * 40)
+    part = lambda i, name, x, y: F.struct(
+        F.lit(i).alias("position"), F.lit(name).alias("name"),
+        x.cast("timestamp_ntz").alias("start"), y.cast("timestamp_ntz").alias("end_exclusive"),
+    )
+    parts = (part(0, "train", F.col("a"), one), part(1, "validation", one, two), part(2, "test", two, F.date_add("z", -20)))
+    return span.select("symbol", F.inline(F.array(*parts)))
+
+
 def page_documents(pages: DataFrame) -> DataFrame:
     """One JSON text per page, in which some parts break the closed schema."""
     n = F.col("page_no")

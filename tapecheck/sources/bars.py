@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tapecheck.constants import BAR_COLUMNS
 from tapecheck.operators.blocks import DAILY, Layout, with_blocks
 from tapecheck.operators.timeline import stamp
+from tapecheck.sources.digest import digest_of, table_digest
 
 
 def scan_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -73,24 +74,35 @@ def snapshot_metadata(bars: DataFrame, interval: str = "1d") -> DataFrame:
     )
 
 
+class ParentChanged(ValueError):
+    """The parent table is not the one whose digest was recorded."""
+
+
 def derive_research(
-    spark: SparkSession, parent: str, target: str, cutoff: str, parent_sha256: str
+    spark: SparkSession, parent: str, target: str, cutoff: str, parent_digest: str
 ) -> DataFrame:
-    """Publish the rows before ``cutoff`` as their own table; returns its lineage.
+    """Publish the rows before ``cutoff`` as their own table; returns its lineage per symbol.
 
-    Later rows never leave the scan, and the published table does not contain
-    them physically.
+    The parent is read and its digest (:func:`tapecheck.sources.digest.table_digest`) compared with the recorded
+    one first, whatever its files are called or how its rows lie in them; if it changed, :class:`ParentChanged` is
+    raised and nothing is written. Later rows never leave the scan of the second reading, and the
+    published table does not contain them physically; its own digest is part of the lineage.
     """
+    rows, found = digest_of(spark.read.parquet(parent))
+    if found != parent_digest:
+        raise ParentChanged(f"{parent} has {rows} rows of digest {found}, recorded was {parent_digest}")
     research_rows(spark, parent, cutoff).write.mode("errorifexists").parquet(target)
     published = spark.read.parquet(target)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    return published.groupBy("symbol").agg(
+    facts = published.groupBy("symbol").agg(
         F.lit("research_snapshot").alias("kind"),
         F.lit(1).alias("schema_version"),
-        F.lit(parent_sha256).alias("source_processed_sha256"),
+        F.lit(parent_digest).alias("source_processed_sha256"),
         F.lit(f"ts < {cutoff}").alias("derivation_predicate"),
         F.lit(cutoff).alias("research_half_open_end"),
         F.count("*").alias("row_count"),
         iso(F.min("ts")).alias("first_timestamp"),
         iso(F.max("ts")).alias("last_timestamp"),
     )
+    own = table_digest(published, ["symbol"]).select("symbol", F.col("digest").alias("content_digest"))
+    return facts.join(own, "symbol")

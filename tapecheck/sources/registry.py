@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapecheck.constants import REGISTRY_COLUMNS, REGISTRY_OLD_COLUMNS
 from tapecheck.operators.quality import registry_violations, require_empty
+from tapecheck.sources import publish
 
 # Doubled quotes inside quoted fields; fields may hold commas and line breaks.
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": ""}
@@ -29,6 +30,16 @@ def append_records(records: DataFrame, path: str) -> None:
     records.select(*text).write.options(**{k: v for k, v in CSV.items() if k != "multiLine"}).mode("append").csv(path)
 
 
+def append_batches(records: DataFrame, root: str, batch: str = "batch_id") -> DataFrame:
+    """Records in batches, committed by :func:`tapecheck.sources.publish.append_batches`: a batch that is in is not
+    appended again, and one with a record that breaks the contract is refused whole."""
+
+    def bad(rows: DataFrame) -> DataFrame:
+        return registry_violations(rows).select("experiment_id").distinct().join(rows, "experiment_id").select(batch)
+
+    return publish.append_batches(records, root, bad, batch)
+
+
 def registry_migrate(old: DataFrame) -> DataFrame:
     """Old layout to new: ``params`` is renamed, new columns are blank, status dev."""
     if tuple(old.columns) != REGISTRY_OLD_COLUMNS:

@@ -5,9 +5,9 @@ import pytest
 from walks import random_walk, simulate
 from pyspark.sql import functions as F
 from tapecheck.operators import indicators, ledger, signals
-from tapecheck.operators.blocks import Layout
+from tapecheck.operators.blocks import BY_POSITION, Layout, Positions
 
-LAYOUTS = [Layout(), Layout(86400, 4, 3), Layout(86400, 1, 2), Layout(86400, 9, 1)]
+LAYOUTS = [Positions(7, 3), Positions(64, 64), Layout(), Layout(86400, 4, 3), Layout(86400, 1, 2), Layout(86400, 9, 1)]
 GRID = [(1, 3), (2, 5), (3, 9)]
 
 
@@ -110,7 +110,7 @@ def test_dense_bars_need_no_layout(spark):
     for i in range(2000):
         value = value + (i % 7 - value) * 2 / 11 if i else 0.0
         want.append(value)
-    for layout in (Layout(), Layout(bar_seconds=1), Layout(bar_seconds=1, block_bars=16, chunk_blocks=4), None):
+    for layout in (Layout(), Layout(bar_seconds=1), Layout(bar_seconds=1, block_bars=16, chunk_blocks=4), BY_POSITION, Positions(64, 16)):
         got = [r.ema_10 for r in indicators.ema(many, [10], layout=layout).orderBy("ts").collect()]
         assert got[:9] == [None] * 9
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[9:], want[9:]))
