@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapecheck.llm.text import bodies, byte_slices
 from tapecheck.operators.blocks import materialize
 
-#: Every ASCII byte that is no letter becomes a blank, A-Z become lower case, the rest stays.
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: Every ASCII byte that is no letter becomes zero, A-Z become lower case, the rest stays.
+_LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 0 for b in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
@@ -34,55 +34,71 @@ class Audit:
     terms: int = 1024
 
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
+def _terms(body: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All terms of a run of texts that lie one behind the other, and the text of each."""
+    letters = _LETTERS[body]
+    inside = letters != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = at[:-1][(at[:-1] < at[1:])]
+    begins[edges] |= inside[edges]  # a text that begins with a letter begins a term
+    starts = np.flatnonzero(begins)
+    kept = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int32)
+    words = pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters[inside].tobytes())]
+    )
+    return words.dictionary_encode(), np.searchsorted(at, starts, side="right") - 1
+
+
+#: Bytes of text whose terms are counted at once.
+SLICE_BYTES = 16 << 20
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences, and documents that hold the term; ``term`` is NULL
     in one more row for each group, with its documents.
 
-    Every task adds up what it reads and hands on its sums before they become many.
+    The texts of a batch are cut and counted as arrays, slice by slice. Rows are dealt by language and term, so what
+    is wanted of a term in all sources of its language needs no further exchange.
     """
-    most = 200_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, dict[bytes, int]] = {}
-        held: dict[tuple, dict[bytes, int]] = {}
-        rows: dict[tuple, int] = {}
-        many = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), terms in total.items():
-                seen = held[lang, source]
-                names = [None, *terms]
+        for batch in batches:
+            body, at = bodies(batch.column("text"))
+            named = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
+            for start, stop in byte_slices(at, SLICE_BYTES):
+                part = at[start : stop + 1]
+                groups: dict[tuple, int] = {}
+                group = np.array([groups.setdefault(g, len(groups)) for g in named[start:stop]], np.int64)
+                terms, text = _terms(body[part[0] : part[-1]], part - part[0])
+                code, size = terms.indices.to_numpy().astype(np.int64), max(1, len(terms.dictionary))
+                pair, n = _distinct(group[text] * size + code)
+                once, _ = _distinct(text * size + code)
+                _, held = _distinct(group[once // size] * size + once % size)
+                langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+                of = pa.array(np.concatenate([np.arange(len(groups)), pair // size]))
+                names = pa.concat_arrays([pa.nulls(len(groups), pa.binary()), terms.dictionary.take(pa.array(pair % size))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(names), pa.string()),
-                        pa.array([source] * len(names), pa.string()),
-                        pa.array(names, pa.binary()).cast(pa.string()),
-                        pa.array([0, *terms.values()], pa.int64()),
-                        pa.array([rows[lang, source], *(seen[t] for t in terms)], pa.int64()),
+                        langs.take(of), sources.take(of), names.cast(pa.string()),
+                        pa.array(np.concatenate([np.zeros(len(groups), np.int64), n])),
+                        pa.array(np.concatenate([np.bincount(group, minlength=len(groups)), held])),
                     ],
                     ["lang", "source", "term", "n", "docs"],
-                )
-            total.clear(), held.clear(), rows.clear()
-
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            for text, *group in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
-                group = tuple(group)
-                rows[group] = rows.get(group, 0) + 1
-                mine, seen = total.setdefault(group, {}), held.setdefault(group, {})
-                many -= len(mine)
-                for term, n in Counter(text.as_py().translate(_LETTERS).split()).items():
-                    mine[term] = mine.get(term, 0) + n
-                    seen[term] = seen.get(term, 0) + 1
-                many += len(mine)
-                if many > most:
-                    yield from flush()
-                    many = 0
-        yield from flush()
+                )
 
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return (
         texts.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+        .repartition("lang", "term")
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
@@ -145,7 +161,7 @@ def source_divergence(docs: DataFrame, how: Audit = Audit()) -> DataFrame:
     language, the sum over all kept terms of the differences of shares. Part ``term``: the terms
     that a group uses more than its language does, the ``how.top_terms`` with the largest difference.
 
-    1. Terms are counted by group before the shuffle.
+    1. Terms are counted by group in every task, dealt by term, and those that few documents hold are left out there.
     2. Sources and terms of a language are dealt into blocks by hash. The slice of one block of
        sources and one of terms is sent to every cell (sources, sources, terms) that needs it; a cell
        is one table of about ``how.most_sources`` rows a side at most and about ``how.terms`` columns.
@@ -157,15 +173,15 @@ def source_divergence(docs: DataFrame, how: Audit = Audit()) -> DataFrame:
     none). Repeated rows count each time; ties rank by name. Very long texts are counted whole. ``doc_id`` and extra
     columns are not read; an empty table gives an empty result.
     """
-    counts = materialize(term_counts(docs))
-    kept = (
-        counts.filter("term IS NOT NULL")
-        .groupBy("lang", "term")
-        .agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("held"))
-        .filter(F.col("held") >= how.least_documents)
-        .drop("held")
+    of_term = Window.partitionBy("lang", "term")  # one row for each source
+    counts = materialize(
+        term_counts(docs)
+        .withColumns({"held": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term)})
+        .filter(F.col("term").isNull() | (F.col("held") >= how.least_documents))
+        .select("lang", "source", "term", "n", "lang_n")
     )
-    kept = materialize(kept)
+    used = counts.filter("term IS NOT NULL")
+    kept = materialize(used.select("lang", "term", "lang_n").distinct())
     groups = counts.filter("term IS NULL").select("lang", "source")
     sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
@@ -180,7 +196,6 @@ def source_divergence(docs: DataFrame, how: Audit = Audit()) -> DataFrame:
         )
     )
     spread = lambda name, blocks: F.pmod(F.xxhash64(name), F.col(blocks))
-    used = materialize(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("used"))
     facts = (
         groups.join(totals, ["lang", "source"], "left")

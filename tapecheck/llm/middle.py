@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tapecheck.llm.text import bodies, byte_slices
+
 _ONES = np.uint64(0x0101010101010101)
 _HIGH = np.uint64(0x8080808080808080)
 _LOW7 = np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -81,28 +82,10 @@ def draws(seed: int, doc_id: int | None) -> tuple[int, int, int, int]:
     return tuple(int.from_bytes(digest[i : i + 4], "big") for i in (0, 4, 8, 12))
 
 
-def _bodies(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a column of texts, and where each text starts (and the last one ends)."""
-    filled = pc.fill_null(column.cast(pa.large_binary()), b"")
-    _, offsets, data = filled.buffers()
-    at = np.frombuffer(offsets, np.int64)[filled.offset : filled.offset + len(filled) + 1]
-    body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return body[at[0] : at[-1]], at - at[0]
-
-
 #: Bytes of output that are handed on at once.
 BATCH_BYTES = 8 << 20
 
 
-def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most ``BATCH_BYTES``, or one longer text."""
-    start = 0
-    while start < len(offsets) - 1:
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BATCH_BYTES, side="right")) - 1)
-        yield start, stop
-        start = stop
-
-
 def _cut(body: np.ndarray, at: np.ndarray, ids: list[int | None], how: Cutting) -> dict[str, list]:
     words = as_words(body)
     ends, inner = Marks(equal_bytes(words, 0x0A)), Marks(continuation_bytes(words))
@@ -163,9 +146,9 @@ def fill_in_middle(docs: DataFrame, how: Cutting = Cutting()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, at = _bodies(batch.column("text"))
+            body, at = bodies(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            for start, stop in _slices(at):
+            for start, stop in byte_slices(at, BATCH_BYTES):
                 part = at[start : stop + 1]
                 out = _cut(body[part[0] : part[-1]], part - part[0], ids[start:stop], how)
                 yield pa.RecordBatch.from_arrays(
@@ -203,8 +186,8 @@ def with_restored(cut: DataFrame, how: Cutting = Cutting()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, at = _bodies(batch.column("output"))
-            for start, stop in _slices(at):
+            _, at = bodies(batch.column("output"))
+            for start, stop in byte_slices(at, BATCH_BYTES):
                 part = batch.slice(start, stop - start)
                 outputs, forms = part.column("output").cast(pa.binary()).to_pylist(), part.column("form").to_pylist()
                 texts = [restored(o, f, how) for o, f in zip(outputs, forms)]

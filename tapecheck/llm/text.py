@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +21,21 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     """Rows of ``docs`` whose ``key`` is not among ``dropped`` (one column); NULL keys stay."""
     gone = dropped.select(F.col(key).alias("__gone")).filter(F.col("__gone").isNotNull()).distinct()
     return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+
+
+def bodies(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of texts, and where each text starts (and the last one ends); NULL is empty."""
+    filled = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, offsets, data = filled.buffers()
+    at = np.frombuffer(offsets, np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return body[at[0] : at[-1]], at - at[0]
+
+
+def byte_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``most`` bytes, or one longer text."""
+    start = 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        yield start, stop
+        start = stop
