@@ -26,9 +26,16 @@ def gate_status(actual: Column, required: int, undefined: Column | None = None)
 def gated(
     name: str, value: Column, actual: Column, required: int, undefined: Column | None = None
 ) -> list[Column]:
-    """``<name>`` and ``<name>_status`` columns."""
+    """``<name>``, ``<name>_status``, and where the sample is too small ``<name>_required`` and ``<name>_actual``.
+
+    No observations at all (NULL) count as none.
+    """
+    actual = F.coalesce(actual, F.lit(0)).cast("bigint")
     status = gate_status(actual, required, undefined)
+    short = status == INSUFFICIENT
     return [
         F.when(status == OK, value).alias(name),
         status.alias(f"{name}_status"),
+        F.when(short, F.lit(required)).alias(f"{name}_required"),
+        F.when(short, actual).alias(f"{name}_actual"),
     ]

@@ -13,7 +13,7 @@ from tapecheck.constants import (
     MIN_TRIPS,
     PERIODS_PER_YEAR,
 )
-from tapecheck.functions.gates import gated
+from tapecheck.functions.gates import INSUFFICIENT, gated
 from tapecheck.operators.blocks import epoch_seconds, running, span
 from tapecheck.operators.ledger import RUN_KEYS
 from tapecheck.operators.timeline import Period, stamp, window_array, window_name, within
@@ -280,7 +280,14 @@ def aggregate_metrics(
     burn_in = burn_in_round_trips(trips, start).groupBy(*keys).agg(F.count("*").alias("burn_in"))
     still_open = open_positions.select(*keys).distinct().withColumn("still_open", F.lit(True))
     growth = F.col("end_equity") / F.col("start_equity")
-    few = F.lit("insufficient_sample")
+
+    def gates_of_no_trips(name: str) -> list[Column]:
+        """The columns of a gated metric; a run without eligible trips has too few of them."""
+        none = F.col("trips").isNull()
+        of_none = {"status": F.lit(INSUFFICIENT), "required": F.lit(MIN_TRIPS), "actual": F.lit(0).cast("bigint")}
+        filled = [F.when(none, v).otherwise(F.col(f"{name}_{k}")).alias(f"{name}_{k}") for k, v in of_none.items()]
+        return [F.col(name), *filled]
+
     return (
         stats.join(quality, keys, "left")
         .join(burn_in, keys, "left")
@@ -295,10 +302,8 @@ def aggregate_metrics(
             F.col("drawdown_from_start").alias("max_drawdown"),
             (F.col("long_bars") / F.col("bars")).alias("exposure"),
             F.coalesce("trips", F.lit(0)).alias("eligible_trips"),
-            "hit_rate",
-            F.coalesce("hit_rate_status", few).alias("hit_rate_status"),
-            "profit_factor",
-            F.coalesce("profit_factor_status", few).alias("profit_factor_status"),
+            *gates_of_no_trips("hit_rate"),
+            *gates_of_no_trips("profit_factor"),
             *_sharpe(periods, risk_free),
             F.coalesce("burn_in", F.lit(0)).alias("burn_in_trips"),
             F.coalesce("still_open", F.lit(False)).alias("still_open_at_end"),

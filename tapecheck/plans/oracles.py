@@ -118,6 +118,17 @@ def study(grid=(BASELINE_CELL,), costs=BASELINE, symbol: str = "l_returnflag", r
 
 
 BARS, SUPPLIER_BARS = f"WITH {bars()}", f"WITH {bars('l_suppkey')}"
+
+
+def gate(name: str, n: str, required: int) -> str:
+    """Required and actual number of observations, where there are too few."""
+    few = f"coalesce({n}, 0) < {required}"
+    return (
+        f"CASE WHEN {few} THEN {required} END::INTEGER AS {name}_required, "
+        f"CASE WHEN {few} THEN coalesce({n}, 0) END::BIGINT AS {name}_actual"
+    )
+
+
 RETURNS = f"""edge AS (
   SELECT {RUN}, "window",
          arg_max(equity, ts) FILTER (ts < start) AS start_equity,
@@ -559,11 +570,12 @@ ORACLES = {
                count(*) FILTER (target <> prev_target AND target = 0) AS num_completed_trades FROM pk GROUP BY {RUN}""",
     "window_metrics": f"""{ONE}, {STATS} SELECT {RUN}, "window", round(se, 4) AS start_equity, round(ee, 4) AS end_equity,
         round(ee / se - 1, 8) AS total_return, round(CASE WHEN n >= 2 THEN sd * sqrt(252) END, 8) AS volatility,
-        CASE WHEN n >= 2 THEN 'ok' ELSE 'insufficient_sample' END AS volatility_status, round(mdd, 8) AS local_max_drawdown,
+        CASE WHEN n >= 2 THEN 'ok' ELSE 'insufficient_sample' END AS volatility_status, {gate('volatility', 'n', 2)}, round(mdd, 8) AS local_max_drawdown,
         round(exposure, 8) AS exposure, coalesce(completed, 0) AS completed_trips, coalesce(crossing, 0) AS cross_boundary_trips,
         'ok' AS status FROM wstat LEFT JOIN wtrip USING ({RUN}, "window")""",
     "aggregate_metrics": f"""{ONE}, {TOTAL} SELECT {RUN}, round(start_equity, 4) AS start_equity, round(end_equity, 4) AS end_equity,
         round(pow(end_equity / start_equity, 1.0 / 5) - 1, 8) AS cagr, round(sd * sqrt(252), 8) AS volatility, 'ok' AS volatility_status,
+        {gate('volatility', 'n', 2)}, {gate('hit_rate', 'trips', 20)}, {gate('profit_factor', 'trips', 20)}, {gate('sharpe_like', 'n', 60)},
         'ok' AS cagr_status, round(mdd, 8) AS max_drawdown, round(ex, 8) AS exposure, coalesce(trips, 0) AS eligible_trips,
         round(CASE WHEN trips >= 20 THEN wins_ / trips END, 8) AS hit_rate,
         CASE WHEN trips >= 20 THEN 'ok' ELSE 'insufficient_sample' END AS hit_rate_status,
@@ -573,7 +585,8 @@ ORACLES = {
         CASE WHEN n < 60 THEN 'insufficient_sample' WHEN sd = 0 THEN 'not_applicable' ELSE 'ok' END AS sharpe_like_status,
         coalesce(burn, 0) AS burn_in_trips, coalesce(open_, 0) > 0 AS still_open_at_end
         FROM tot LEFT JOIN q USING ({RUN}) LEFT JOIN bi USING ({RUN}) LEFT JOIN op USING ({RUN})""",
-    "trip_quality": f"""{study(GRID)}, {TOTAL} SELECT {RUN}, trips, round(CASE WHEN trips >= 20 THEN wins_ / trips END, 8) AS hit_rate,
+    "trip_quality": f"""{study(GRID)}, {TOTAL} SELECT {RUN}, trips, {gate('hit_rate', 'trips', 20)}, {gate('profit_factor', 'trips', 20)},
+        round(CASE WHEN trips >= 20 THEN wins_ / trips END, 8) AS hit_rate,
         CASE WHEN trips >= 20 THEN 'ok' ELSE 'insufficient_sample' END AS hit_rate_status,
         round(CASE WHEN trips >= 20 AND gl > 0 THEN gp / gl END, 8) AS profit_factor,
         CASE WHEN trips >= 20 THEN CASE WHEN gl = 0 THEN 'not_applicable' ELSE 'ok' END ELSE 'insufficient_sample' END AS profit_factor_status
@@ -667,6 +680,7 @@ ORACLES["aggregate_metrics_by_part"] = f"""{study(symbol='l_partkey')}, {_TOTAL_
          CASE WHEN start_equity IS NULL THEN 'no_equity_before_start' ELSE 'ok' END AS cagr_status,
          round(CASE WHEN n >= 2 THEN sd * sqrt(252) END, 8) AS volatility,
          CASE WHEN n >= 2 THEN 'ok' ELSE 'insufficient_sample' END AS volatility_status,
+         {gate('volatility', 'n', 2)}, {gate('hit_rate', 'trips', 20)}, {gate('profit_factor', 'trips', 20)}, {gate('sharpe_like', 'n', 60)},
          round(mdd, 8) AS max_drawdown, round(ex, 8) AS exposure, coalesce(trips, 0) AS eligible_trips,
          NULL::DOUBLE AS hit_rate, 'insufficient_sample' AS hit_rate_status, NULL::DOUBLE AS profit_factor,
          'insufficient_sample' AS profit_factor_status, NULL::DOUBLE AS sharpe_like,
@@ -695,20 +709,21 @@ ORACLES["revision_audit"] = f"""WITH good AS ({_again('revision_verdict', 'l_sup
   FROM good WHERE product NOT IN (SELECT product FROM bad)
   UNION ALL SELECT product, 'REJECTED', NULL, NULL, broken_rules FROM bad"""
 _UNEQUAL = {"baseline": COST_SCENARIOS["baseline"], "moderately_worse": COST_SCENARIOS["moderately_worse"]}
-ORACLES["ledger_reconcile_unequal"] = f"""{study((BASELINE_CELL, (12, 35)), _UNEQUAL, 'l_suppkey')},
+_TWO_LEDGERS = f"""{study((BASELINE_CELL, (12, 35)), _UNEQUAL, 'l_suppkey')},
   chosen AS (SELECT *, CASE WHEN fast = 10 AND scenario = 'baseline' THEN 'l' WHEN fast = 12 AND scenario <> 'baseline' THEN 'r' END AS who FROM curve),
   numbered AS (
     SELECT symbol, who, ts, price, target, row_number() OVER (PARTITION BY symbol, who, target ORDER BY ts) AS k
     FROM chosen WHERE who IS NOT NULL AND target <> prev_target),
   both_ AS (
-    SELECT symbol, target, a.ts AS lt, b.ts AS rt, a.price AS lp, b.price AS rp
+    SELECT symbol, target, k, a.ts AS lt, b.ts AS rt, a.price AS lp, b.price AS rp
     FROM (SELECT * FROM numbered WHERE who = 'l') a FULL OUTER JOIN (SELECT * FROM numbered WHERE who = 'r') b USING (symbol, target, k)),
   n AS (
     SELECT symbol, count(lt) FILTER (target = 0) AS left_trades, count(rt) FILTER (target = 0) AS right_trades,
            count(*) FILTER (lt IS DISTINCT FROM rt) AS date_mismatches,
            count(*) FILTER (abs(lp - rp) / greatest(abs(lp), abs(rp), 1e-12) > 1e-9) AS price_mismatches FROM both_ GROUP BY symbol),
   e AS (
-    SELECT symbol, arg_max(equity, ts) FILTER (who = 'l') AS le, arg_max(equity, ts) FILTER (who = 'r') AS re FROM chosen GROUP BY symbol)
+    SELECT symbol, arg_max(equity, ts) FILTER (who = 'l') AS le, arg_max(equity, ts) FILTER (who = 'r') AS re FROM chosen GROUP BY symbol)"""
+ORACLES["ledger_reconcile_unequal"] = f"""{_TWO_LEDGERS}
   SELECT symbol, 10 AS fast, 30 AS slow, 'baseline' AS scenario, coalesce(left_trades, 0) AS left_trades,
          coalesce(right_trades, 0) AS right_trades, coalesce(date_mismatches, 0) AS date_mismatches,
          coalesce(price_mismatches, 0) AS price_mismatches, round(le, 4) AS left_final_equity, round(re, 4) AS right_final_equity,
@@ -826,3 +841,16 @@ ORACLES["equity_before_trades"] = f"""{study(symbol='l_suppkey')} SELECT {', '.j
     c.ts AS as_of_ts, round(c.equity, 4) AS equity, CASE WHEN c.ts IS NULL THEN 'no_earlier_row' ELSE 'ok' END AS status
   FROM fills f ASOF LEFT JOIN (SELECT {RUN}, ts, equity FROM curve) c
     ON {' AND '.join(f'f.{c.strip()} = c.{c.strip()}' for c in RUN.split(','))} AND f.ts > c.ts"""
+ORACLES["cutoff_violations"] = """SELECT 'late' AS "case", 'row_after_cutoff' AS rule FROM (SELECT max(l_shipdate) AS m FROM lineitem) WHERE m >= TIMESTAMP '2000-01-01'
+  UNION ALL SELECT 'empty', 'no_rows' FROM (SELECT count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1900-01-01') WHERE n = 0"""
+ORACLES["divergences_unequal"] = f"""{_TWO_LEDGERS},
+  d AS (
+    SELECT symbol, CASE WHEN target = 1 THEN 'entry_dates' ELSE 'exit_dates' END AS field, k AS ordinal, 'dates differ exactly' AS explanation
+    FROM both_ WHERE lt IS DISTINCT FROM rt
+    UNION ALL SELECT symbol, 'execution_price', k, 'relative difference exceeds 1e-9' FROM both_
+    WHERE abs(lp - rp) / greatest(abs(lp), abs(rp), 1e-12) > 1e-9
+    UNION ALL SELECT symbol, 'num_trades', NULL, 'completed trade counts differ exactly' FROM n WHERE left_trades <> right_trades
+    UNION ALL SELECT symbol, 'execution_price_count', NULL, 'different number of trades' FROM both_ GROUP BY symbol HAVING count(lt) <> count(rt)
+    UNION ALL SELECT symbol, 'final_equity', NULL, 'relative difference exceeds 1e-9' FROM e WHERE abs(le - re) / greatest(abs(le), abs(re), 1e-12) > 1e-9
+    UNION ALL SELECT symbol, 'total_return', NULL, 'absolute difference exceeds 1e-9' FROM e WHERE abs(le - re) / {INITIAL_CASH} > 1e-9)
+  SELECT symbol, 10 AS fast, 30 AS slow, 'baseline' AS scenario, field, ordinal, explanation FROM d"""

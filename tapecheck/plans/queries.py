@@ -94,6 +94,17 @@ def research_rows(spark, sf):
     return items.select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
 
 
+def cutoff_violations(spark, sf):
+    """Three truncated tables against the same cutoff: sound, truncated later, and empty."""
+    read = lambda cutoff: bar_tables.research_rows(spark, f"{sf}/lineitem.parquet", cutoff, "l_shipdate")
+    cases = {"sound": "2000-01-01", "late": w.RESEARCH_CUTOFF, "empty": "1900-01-01"}
+    found = [
+        bar_tables.cutoff_violations(read(cutoff), "2000-01-01", "l_shipdate").select(F.lit(name).alias("case"), "rule")
+        for name, cutoff in cases.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def research_lineage(spark, sf):
     parent, target = (f"{new_folder(spark)}/{name}" for name in ("parent", "research"))
     _bars(spark, sf).write.parquet(parent)
@@ -723,7 +734,7 @@ def ledger_reconcile(spark, sf):
     return _reconciled(spark, sf, GRID)
 
 
-def ledger_reconcile_unequal(spark, sf):
+def _unequal_ledgers(spark, sf):
     """Two ledgers that must disagree: another cell and other costs under the same name."""
     grid = [BASELINE_CELL, (12, 35)]
     panel = _panel(spark, sf, grid, "l_suppkey")
@@ -734,13 +745,23 @@ def ledger_reconcile_unequal(spark, sf):
     amount = F.when(F.col("side") == "buy", F.col("units_after")).otherwise(F.col("cash_after"))
     left, right = (materialize(ledger.fill_ledger(panel, b)) for b in (one, two))
     ends = [reconcile.final_equity(panel, t, b, amount, ["symbol"]) for t, b in ((left, one), (right, two))]
+    return left, right, *ends
+
+
+def ledger_reconcile_unequal(spark, sf):
     return _round(
-        reconcile.ledger_reconcile(left, right, *ends),
+        reconcile.ledger_reconcile(*_unequal_ledgers(spark, sf)),
         "left_total_return right_total_return",
         "left_final_equity right_final_equity",
     )
 
 
+def divergences_unequal(spark, sf):
+    """A record for every disagreement of the same ledgers."""
+    found = reconcile.divergences(*_unequal_ledgers(spark, sf))
+    return found.select(*RUN, "field", "ordinal", "explanation")
+
+
 def spot_checks(spark, sf):
     return _reconciled(spark, sf, SPOT_CHECKS)
 
@@ -832,6 +853,6 @@ REGISTERED = {
         window_metrics_by_supplier, aggregate_metrics_by_part, grid_returns_by_part, leave_one_out_by_part,
         ledger_reconcile_unequal, trade_violations, flagship, windows_by_order, split_labels_by_supplier,
         research_rows_by_supplier, equity_before_trades, crossing_trips_by_supplier, table_digests, digest_violations,
-        research_verified, lineage_closure, registry_batches, published_rows,
+        research_verified, lineage_closure, cutoff_violations, divergences_unequal, registry_batches, published_rows,
     )
 } | {"bars_from_ticks": bars_from_ticks_query}
