@@ -1,27 +1,32 @@
-"""Benchmark decontamination: pairs of words that must be left find stretches, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare word pairs of the items are joined with the passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapecheck.llm.near import run_hashes
-from tapecheck.llm.text import without
+from tapecheck.llm.text import bodies, byte_slices, cut_words, text_digest, without_rows
+from tapecheck.operators.blocks import materialize
 
-#: ASCII characters that are no letter, digit or underscore end a word.
-_BREAKS = bytes.maketrans(
-    bytes(c for c in range(128) if not (chr(c).isalnum() or c == 95)), b" " * sum(not (chr(c).isalnum() or c == 95) for c in range(128))
-)
-#: Words of the items that documents are searched for at once.
-FILTER_SEEDS = 4_000_000
+#: ASCII characters that are no letter, digit or underscore end a word; the rest stays.
+_KEPT = np.array([c if c >= 128 or chr(c).isalnum() or c == 95 else 0 for c in range(256)], np.uint8)
+_BREAKS = bytes(c or 32 for c in _KEPT.tolist())
+#: Bits of the table that rules out word pairs of no item: 8 MB at any number of items.
+FILTER_BITS = 1 << 26
+#: Bytes of text that a task cuts into words at once.
+SLICE_BYTES = 4 << 20
+#: Parts into which the places of one word pair are dealt.
+PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -57,7 +62,7 @@ class Alignment:
 
 def raw_words(text: str | None) -> list[bytes]:
     """Lower-cased words: runs of letters, digits, underscores and anything beyond ASCII."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split()
+    return pc.utf8_lower(pa.scalar(text or "", pa.large_string())).as_py().encode().translate(_BREAKS).split()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -88,72 +93,221 @@ def smith_waterman(item: list[str], window: list[str], how: Alignment) -> float:
     return best / (how.match * len(item))
 
 
-class _Index:
-    """Some items, with the runs of one or two words by which documents are searched for them."""
-
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], how: Alignment):
-        self.items, self.how = items, how
-        self.hashes = [_hashes(words) for _, words in items]
-        self.matches = np.array([how.least_matches(len(words)) for _, words in items], np.int64)
-        self.reach = np.array([len(words) + how.most_inserted(len(words)) for _, words in items], np.int64)
-        pairs = np.array([how.least_pairs(len(words)) for _, words in items], np.int64)
-        self.need = np.where(pairs > 0, pairs, self.matches)
-        self.size = np.where(pairs > 0, 2, 1)
-        self.runs = {}
-        for size in (1, 2):
-            mine = np.flatnonzero(self.size == size)
-            found = [np.unique(run_hashes(self.hashes[m], size)) for m in mine]
-            if found:
-                run, item = np.concatenate(found), np.repeat(mine, [len(f) for f in found])
-                order = np.argsort(run, kind="stable")
-                wanted, first, many = np.unique(run[order], return_index=True, return_counts=True)
-                # a table of low bits rules out nearly all runs at once
-                quick = np.zeros(1 << max(20, min(27, int(len(wanted) * 64).bit_length())), bool)
-                quick[wanted & np.uint64(len(quick) - 1)] = True
-                self.runs[size] = wanted, first, many, item[order], quick
-
-    def hits(self, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of an item and a place of the text where one of its runs stands, by item, then place."""
-        items, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for size, (wanted, first, many, item, quick) in self.runs.items():
-            if len(each) < size:
-                continue
-            runs = run_hashes(each, size)
-            at = np.flatnonzero(quick[runs & np.uint64(len(quick) - 1)])
-            near = np.minimum(np.searchsorted(wanted, runs[at]), len(wanted) - 1)
-            same = wanted[near] == runs[at]
-            at, near = at[same], near[same]
-            times = many[near]
-            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            items.append(item[np.repeat(first[near], times) + inner])
-            places.append(np.repeat(at, times))
-        item, place = np.concatenate(items), np.concatenate(places)
-        order = np.lexsort((place, item))
-        return item[order], place[order]
-
-    def scores(self, text: str | None) -> Iterator[tuple[int | None, float]]:
-        """Items of which the text holds a copy, with the score of each stretch that does."""
-        words = raw_words(text)
-        each = _hashes(words)
-        item, place = self.hits(each)
-        last = np.arange(len(item)) + self.need[item] - 1
-        at = np.flatnonzero(last < len(item))
-        at = at[(item[last[at]] == item[at]) & (place[last[at]] - place[at] <= self.reach[item[at]])]
+class _Item:
+    """One item, with the runs of one or two words that a copy that counts must keep a number of."""
+
+    def __init__(self, words: list[bytes], how: Alignment):
+        self.words, self.how = words, how
+        self.hashes = _hashes(words)
+        self.matches = how.least_matches(len(words))
+        self.reach = len(words) + how.most_inserted(len(words))
+        pairs = how.least_pairs(len(words))
+        self.need, self.size = (pairs, 2) if pairs > 0 else (self.matches, 1)
+        self.runs = run_hashes(self.hashes, self.size)
+
+    def least_seeds(self) -> int:
+        """How many of its seeds a copy has at least: the rest of what it needs may be left to common runs."""
+        return min(2, self.need)
+
+    def seeds(self, docs: dict[int, int]) -> list[int]:
+        """The rarest runs by the number of texts that hold them, without the commonest that a copy may do with alone."""
+        runs, times = np.unique(self.runs, return_counts=True)
+        rank = sorted(zip(runs.tolist(), times.tolist()), key=lambda x: (-docs.get(x[0], 0), x[0]))
+        spare, kept = self.need - self.least_seeds(), []
+        for run, many in rank:
+            if many <= spare and not kept:
+                spare -= many
+            else:
+                kept.append(run)
+        return [run for run in kept if docs.get(run, 0)]
+
+    def score(self, words: list[bytes], each: np.ndarray) -> float:
+        """Best alignment with any stretch of a text that counts, 0 if none does; ``each`` is the hash of every word."""
+        if len(each) < self.size:
+            return 0.0
+        place = np.flatnonzero(np.isin(run_hashes(each, self.size), self.runs))
+        last = np.arange(len(place)) + self.need - 1
+        at = np.flatnonzero(last < len(place))
+        at = at[place[last[at]] - place[at] <= self.reach]
         if not len(at):
-            return
-        item, low, high = item[at], place[at], place[last[at]]
+            return 0.0
+        low, high = place[at], place[last[at]]
         # an alignment that holds these runs lies within the reach of them; stretches that overlap are one
-        cut = np.flatnonzero((item[1:] != item[:-1]) | (low[1:] - high[:-1] > 2 * self.reach[item[1:]])) + 1
-        for one, two in zip([0, *cut], [*cut, len(item)]):
-            k = item[one]
-            first = max(0, int(low[one] - self.reach[k]))
-            end = int(high[two - 1] + self.reach[k]) + 2
-            known = np.cumsum(np.concatenate([[0], np.isin(each[first:end], self.hashes[k])]))
-            width = min(int(self.reach[k]), len(known) - 1)
-            if (known[width:] - known[: len(known) - width]).max() >= self.matches[k]:
-                score = smith_waterman(self.items[k][1], words[first:end], self.how)
-                if score >= self.how.least:
-                    yield self.items[k][0], score
+        cut = np.flatnonzero(low[1:] - high[:-1] > 2 * self.reach) + 1
+        best = 0.0
+        for one, two in zip([0, *cut], [*cut, len(low)]):
+            first = max(0, int(low[one] - self.reach))
+            end = int(high[two - 1] + self.reach) + 2
+            known = np.cumsum(np.concatenate([[0], np.isin(each[first:end], self.hashes)]))
+            width = min(self.reach, len(known) - 1)
+            if (known[width:] - known[: len(known) - width]).max() >= self.matches:
+                best = max(best, smith_waterman(self.words, words[first:end], self.how))
+        return best if best >= self.how.least else 0.0
+
+
+def _hashed_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    words = raw_words(text)
+    return words, _hashes(words)
+
+
+def _items(benchmark: DataFrame, how: Alignment) -> DataFrame:
+    """``form, item_ids, text, size, runs``: items with equal words are one form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                words = raw_words(text)
+                if words:
+                    item = _Item(words, how)
+                    rows.append((xxhash.xxh128_digest(b" ".join(words)), item_id, text, item.size, np.unique(item.runs).view(np.int64)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["form", "item_id", "text", "size", "runs"])
+
+    cut = benchmark.select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(
+        run, "form binary, item_id long, text string, size int, runs array<long>"
+    )
+    named = F.collect_set(F.struct("item_id")).alias("item_ids")  # in a struct, so that NULL is kept
+    return cut.groupBy("form").agg(named, F.min("text").alias("text"), F.first("size").alias("size"), F.first("runs").alias("runs"))
+
+
+def _filter(runs: DataFrame) -> np.ndarray:
+    """A table of :data:`FILTER_BITS` bits in which those of ``runs (run)`` are set; never more, so it may travel."""
+    slot = F.pmod("run", F.lit(FILTER_BITS))
+    words = runs.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(run, 64) as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def _passing(table: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    slot = runs & np.uint64(FILTER_BITS - 1)
+    return np.flatnonzero(table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+
+
+def _places(column: pa.Array, sizes: list[int], table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices ``first, end`` of a column of texts: the text, place and hash of every run in the table."""
+    lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    body, at = bodies(lowered)
+    for start, stop in byte_slices(at, SLICE_BYTES):
+        part = at[start : stop + 1]
+        words, text = cut_words(body[part[0] : part[-1]], part - part[0], _KEPT)
+        known = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+        each = known[words.indices.to_numpy()]
+        first = np.searchsorted(text, np.arange(stop - start))
+        found = []
+        for size in sizes:
+            if len(each) >= size:
+                runs = run_hashes(each, size)
+                hit = _passing(table, runs)
+                hit = hit[text[hit] == text[hit + size - 1]]  # not across the end of a text
+                found.append((text[hit], hit - first[text[hit]], runs[hit]))
+        empty = np.empty(0, np.int64)
+        texts, places, runs = (np.concatenate(x) for x in zip(*found)) if found else (empty, empty, empty.view(np.uint64))
+        order = np.lexsort((places, texts))
+        yield start, stop, texts[order], places[order], runs[order]
+
+
+def _document_counts(docs: DataFrame, sizes: list[int], table: np.ndarray) -> DataFrame:
+    """``run, docs``: in how many texts each run of an item stands, added up in every task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, texts, _, runs in _places(batch.column("text"), sizes, table):
+                once = np.unique(np.stack([runs, texts.astype(np.uint64)]), axis=1)[0]
+                found, many = np.unique(once, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], ["run", "docs"])
+
+    return docs.select("text").mapInArrow(run, "run long, docs long").groupBy("run").agg(F.sum("docs").alias("docs"))
+
+
+def _seeds(items: DataFrame, counts: DataFrame, how: Alignment) -> DataFrame:
+    """``run, form, least, reach``: the seeds of every item, how many a copy has and how close together."""
+    runs = items.select("form", F.explode("runs").alias("run")).join(counts, "run")
+    counted = runs.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("run", "docs"))).alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for form, text, docs in zip(*(batch.column(c).to_pylist() for c in ("form", "text", "docs"))):
+                item = _Item(raw_words(text), how)
+                held = {r & 0xFFFFFFFFFFFFFFFF: n for r, n in docs}
+                rows += [(r - (r >> 63 << 64), form, item.least_seeds(), item.reach) for r in item.seeds(held)]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["run", "form", "least", "reach"])
+
+    return items.select("form", "text").join(counted, "form").mapInArrow(run, "run long, form binary, least int, reach long")
+
+
+def _key() -> Column:
+    """Names a row by its id, which may be NULL, and its text."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex("digest"))))
+
+
+def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> DataFrame:
+    """``doc_id, digest, item_id, score``: one row per text with its id, and item."""
+    items = materialize(_items(benchmark, how))
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 and 2 at most
+    texts = docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest"))
+    of_items = items.select(F.explode("runs").alias("run")).distinct()
+    counts = materialize(_document_counts(texts, sizes, _filter(of_items)))
+    seeds = materialize(_seeds(items, counts, how))
+    table = _filter(seeds.select("run").distinct())
+    fewest = seeds.agg(F.min("least")).first()[0] or 1
+
+    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, texts, places, runs in _places(batch.column("text"), sizes, table):
+                many = np.bincount(texts, minlength=stop - start)
+                rows = np.flatnonzero(many >= fewest)
+                mine = np.isin(texts, rows)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(many[rows])]).astype(np.int32))
+                part = batch.slice(start, stop - start).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.ListArray.from_arrays(cuts, pa.array(runs[mine].view(np.int64))),
+                     pa.ListArray.from_arrays(cuts, pa.array(places[mine].astype(np.int64)))],
+                    [*batch.schema.names, "runs", "places"],
+                )
+
+    touched = texts.mapInArrow(touch, "doc_id long, text string, digest binary, runs array<long>, places array<long>")
+    touched = materialize(touched.withColumn("key", _key()).dropDuplicates(["key"]))
+    hits = touched.select("key", F.inline(F.arrays_zip(F.col("runs").alias("run"), F.col("places").alias("place"))))
+    hits = hits.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    dealt = seeds.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
+    near = "least = 1 or exists(sequence(1, greatest(size(p) - 1, 1)), i -> i < size(p) and p[i] - p[i - 1] <= reach)"
+    candidates = (
+        hits.join(dealt, ["run", "part"])
+        .groupBy("key", "form", "least", "reach")
+        .agg(F.array_sort(F.collect_set("place")).alias("p"))
+        .where(near)
+        .select("key", "form")
+    )
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pairs of one passage, and of one item, come in runs.
+        item_of = lru_cache(1024)(lambda text: _Item(raw_words(text), how))
+        words_of_text = lru_cache(4)(lambda text: _hashed_words(text))
+        for batch in batches:
+            scores = [
+                item_of(item).score(*words_of_text(text))
+                for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())
+            ]
+            kept = [i for i, s in enumerate(scores) if s]
+            part = batch.select(["doc_id", "digest", "item_ids"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([scores[i] for i in kept], pa.float64())], ["doc_id", "digest", "item_ids", "score"]
+            )
+
+    both = (
+        candidates.join(touched.select("key", "doc_id", "digest", "text"), "key")
+        .join(items.select("form", "item_ids", F.col("text").alias("item")), "form")
+        .select("doc_id", "digest", "text", "item", "item_ids")
+    )
+    schema = "doc_id long, digest binary, item_ids array<struct<item_id: bigint>>, score double"
+    return both.mapInArrow(align, schema).select("doc_id", "digest", F.inline("item_ids"), "score")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignment()) -> DataFrame:
@@ -162,67 +316,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignm
     ``score`` is the best alignment as a share of a verbatim copy's, and at least ``how.least``;
     the candidates leave none out. An alignment that counts has so many matches and so few
     edits that a number of pairs of neighbouring words must be left in it
-    (:meth:`Alignment.least_pairs`), however frequent those are elsewhere; of items too short for that
-    it has a number of single words. A document and an item are aligned where that many lie within
-    the longest such alignment, and enough words of the item too, over all that it can reach.
-
-    Items travel to the tasks in groups of :data:`FILTER_SEEDS` words, and the documents are read
-    once for each group; only pairs that count leave the scan. NULL and empty texts match
-    nothing; NULL ids are kept, equal pairs are merged, with the best score. An empty benchmark or
-    table gives an empty result.
+    (:meth:`Alignment.least_pairs`; of items too short for that a number of single words).
+
+    1. It is counted how many passages hold each word pair of the items. The rarest pairs of an item are its
+       seeds; the commonest are left out, as many as a copy could still do without having two seeds.
+    2. Seeds and the places where they stand in passages meet in a join, dealt into parts so that a seed in very many
+       passages spreads out. A fixed table of bits keeps what is no seed from being sent.
+    3. A passage and an item of which enough seeds lie within the longest alignment that counts are aligned, where
+       enough of all its pairs and words stand.
+
+    Items are a table like the passages and never on the driver. NULL and empty texts match nothing; a text of any
+    length is read whole; NULL ids are kept, equal pairs are merged, with the best score. An empty benchmark or table
+    gives an empty result; extra columns are not read.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").distinct().toLocalIterator()
-    groups: list[list[tuple[int | None, list[bytes]]]] = [[]]
-    size = 0
-    for row in items:
-        words = raw_words(row["text"])
-        if words:
-            if size + len(words) > FILTER_SEEDS and groups[-1]:
-                groups.append([])
-                size = 0
-            groups[-1].append((row["item_id"], words))
-            size += len(words)
-
-    def scan(group: list[tuple[int | None, list[bytes]]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _Index(group, how)
-            for batch in batches:
-                out = [
-                    (doc, item, score)
-                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
-                    for item, score in (index.scores(text.as_py()) if group else ())
-                ]
-                kinds = (pa.int64(), pa.int64(), pa.float64())
-                columns = list(zip(*out)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score"]
-                )
-
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            run, "doc_id long, item_id long, score double"
-        )
-
-    found = reduce(DataFrame.unionByName, map(scan, groups))
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    return _copies(docs, benchmark, how).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignment()) -> DataFrame:
     """``doc_id, contaminated, n_items, best_item, score`` for every row of ``docs``.
 
     ``best_item`` is the item with the best score, of equal scores the smallest id; it and the
-    score are NULL for clean documents. Rows that repeat a ``doc_id`` get the same marks.
+    score are NULL for clean documents. Marks go by id and text, so of rows that share an id only those that hold a copy
+    are marked. An empty table gives an empty result.
     """
-    by_doc = (
-        contamination(docs, benchmark, how)
-        .groupBy(F.col("doc_id").alias("c_doc"))
+    by_row = (
+        _copies(docs, benchmark, how)
+        .groupBy(_key().alias("key"))
         .agg(
             F.count("*").alias("n_items"),
             F.min(F.struct((-F.col("score")).alias("minus"), "item_id")).alias("best"),
         )
     )
-    return docs.select(F.col("doc_id").cast("long")).join(
-        by_doc, F.col("doc_id").eqNullSafe(F.col("c_doc")), "left"
-    ).select(
+    rows = docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"))
+    return rows.withColumn("key", _key()).join(by_row, "key", "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -232,5 +358,9 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, how: Alignment = Al
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignment()) -> DataFrame:
-    """``docs`` without documents that hold a copy of a benchmark item, columns unchanged."""
-    return without(docs, contamination(docs, benchmark, how).select("doc_id"))
+    """``docs`` without the rows whose text holds a copy of a benchmark item, columns unchanged.
+
+    Decided by id and text: a clean row that shares its id with a copy stays, and a copy without id goes. NULL and empty
+    texts stay. An empty table gives an empty result; extra columns may have any name.
+    """
+    return without_rows(docs, _copies(docs, benchmark, how).select("doc_id", "digest"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapecheck.llm.text import bodies, byte_slices
+from tapecheck.llm.text import bodies, byte_slices, cut_words
 from tapecheck.operators.blocks import materialize
 
 #: Every ASCII byte that is no letter becomes zero, A-Z become lower case, the rest stays.
@@ -41,23 +41,6 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.diff(np.append(first, len(codes)))
 
 
-def _terms(body: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All terms of a run of texts that lie one behind the other, and the text of each."""
-    letters = _LETTERS[body]
-    inside = letters != 0
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = at[:-1][(at[:-1] < at[1:])]
-    begins[edges] |= inside[edges]  # a text that begins with a letter begins a term
-    starts = np.flatnonzero(begins)
-    kept = np.cumsum(inside, dtype=np.int32)
-    offsets = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int32)
-    words = pa.Array.from_buffers(
-        pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters[inside].tobytes())]
-    )
-    return words.dictionary_encode(), np.searchsorted(at, starts, side="right") - 1
-
-
 #: Bytes of text whose terms are counted at once.
 SLICE_BYTES = 16 << 20
 
@@ -78,7 +61,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 part = at[start : stop + 1]
                 groups: dict[tuple, int] = {}
                 group = np.array([groups.setdefault(g, len(groups)) for g in named[start:stop]], np.int64)
-                terms, text = _terms(body[part[0] : part[-1]], part - part[0])
+                terms, text = cut_words(body[part[0] : part[-1]], part - part[0], _LETTERS)
                 code, size = terms.indices.to_numpy().astype(np.int64), max(1, len(terms.dictionary))
                 pair, n = _distinct(group[text] * size + code)
                 once, _ = _distinct(text * size + code)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapecheck.llm.text import lower_ascii
@@ -66,36 +66,34 @@ def exact_duplicates(
             "digest", "norm", "group_size", "keep_id", F.sha2("norm", 256).alias("text_sha256")
         )
         marked = marked.unionByName(mixed.join(apart, ["digest", "norm"]).drop("norm"))
-    # Rows that may stay meet by group (one each, unless a row is repeated whole); the
-    # others are dealt out by id, so a large group is never in one place.
+    # Of rows that repeat id and text one stays: the first by a number given to every row once. Only that number is
+    # joined, so no group, however large, is in one place.
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    place = Window.partitionBy(
-        first, F.when(first, F.col("text_sha256")), F.when(~first, F.col("doc_id"))
-    ).orderBy("digest")
-    return marked.select(
+    placed = materialize(marked.withColumn("at", F.monotonically_increasing_id()))
+    stays = placed.filter(first).groupBy("digest", "text_sha256", "doc_id").agg(F.min("at").alias("at"))
+    return placed.join(stays.select("at", F.lit(True).alias("kept")), "at", "left").select(
         "doc_id",
         "keep_id",
         "group_size",
-        (first & (F.row_number().over(place) == 1)).alias("kept"),
+        F.coalesce("kept", F.lit(False)).alias("kept"),
         "text_sha256",
         "digest",
     )
 
 
 def without_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """``docs`` with one row for each group of :func:`exact_duplicates`, columns unchanged."""
-    marks = materialize(exact_duplicates(docs, keep))
-    dropped = marks.filter(~F.col("kept"))
-    repeated = dropped.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    gone = dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")
-    )
-    keyed = docs.withColumn("__own", content_digest(lower_ascii(F.col("text"))))
-    left = keyed.join(
-        gone.distinct(),
-        keyed["doc_id"].eqNullSafe(F.col("__gone")) & (keyed["__own"] == F.col("__digest")),
-        "left_anti",
-    )
-    if not repeated.isEmpty():
-        left = left.dropDuplicates(["doc_id", "__own"])
-    return left.drop("__own")
+    """``docs`` with one row for each group of :func:`exact_duplicates`, columns unchanged.
+
+    Decided by id and text: of rows that repeat both one stays, and a row that shares only its id with a copy stays.
+    Texts are compared whole at any length. An empty table gives an empty result; extra columns may have any name.
+    """
+    own = content_digest(lower_ascii(F.col("text")))
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), own.alias("__digest")))
+    marks = materialize(exact_duplicates(rows.select("__row.*"), keep))
+    stays = marks.filter("kept").select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__kept_digest")).distinct()
+    same = F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__kept_digest"))
+    left = rows.join(stays, same, "left_semi")
+    repeats = marks.filter("NOT kept").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if not repeats.isEmpty():
+        left = left.dropDuplicates(["__id", "__digest"])
+    return left.select("__row.*")

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapecheck.llm.graph import components
 from tapecheck.operators.blocks import materialize
 
 
@@ -54,13 +55,10 @@ def mixed_members(members: DataFrame, found: DataFrame) -> DataFrame:
 SLICE_NODES, SLICE_SHINGLES = 1024, 1 << 19
 
 
-def remaining_links(
-    members: DataFrame, sets: DataFrame, percent: int, estimate: tuple[int, int, int] | None = None
-) -> DataFrame:
+def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` between members of a bucket that lie in different components so far.
 
-    ``members`` has ``band, node, label, same, n_shingles``, and packed signatures ``sig`` if an ``estimate``
-    (bit planes, words a plane, most differing places) shall discard. A bucket is cut into slices by number and size of
+    ``members`` has ``band, node, label, same, n_shingles``. A bucket is cut into slices by number and size of
     its sets, and every two slices meet in a group of their own, so no bucket is ever in one task. Inside, each member
     outside the commonest component is held against all members of others whose size allows a link; full sets decide.
     Of the links found only those that join two components leave, fewer than there are members.
@@ -69,9 +67,6 @@ def remaining_links(
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node").combine_chunks()
         node, label, n, part = (rows.column(c).to_numpy() for c in ("node", "label", "n_shingles", "slice"))
-        if estimate:
-            planes, words, most = estimate
-            sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), planes, words)
         lists = rows.column("shingles").combine_chunks()
         starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
@@ -84,9 +79,6 @@ def remaining_links(
             if across:
                 other &= part != part[y]
             to = np.flatnonzero(other)
-            if estimate:
-                apart = np.bitwise_or.reduce(sig[to] ^ sig[y], axis=1)
-                to = to[np.bitwise_count(apart).sum(axis=1) <= most]
             if not len(to):
                 continue
             mine = np.zeros(int(codes.max()) + 1, bool)
@@ -107,10 +99,9 @@ def remaining_links(
     own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("long")
     dealt = members.join(counts, "band").withColumn("slice", own)
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    packed = ["sig"] if estimate else []
     return (
         met.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")})
-        .select("band", "i", "j", "slice", "node", "label", "same", "n_shingles", *packed)
+        .select("band", "i", "j", "slice", "node", "label", "same", "n_shingles")
         .join(sets, ["node", "same"])
         .groupBy("band", "i", "j")
         .applyInArrow(run, "a long, b long")
@@ -124,3 +115,31 @@ def one_set_each(sets: DataFrame) -> DataFrame:
     if not sets.groupBy("node", "same").count().filter("count > 1").isEmpty():
         sets = materialize(sets.dropDuplicates(["node", "same"]))
     return sets
+
+
+def completed(shared: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None = None) -> DataFrame:
+    """``node, component`` from buckets ``band, node, n`` in which every two similar sets meet.
+
+    All members of a bucket are verified against its pivot; where that and the ``links`` known before leave members in
+    different components, these are compared in slices. So no link between components is missed, and a
+    large group of copies costs as many pairs as it has members.
+    """
+    sets_of = sets.select("node", "same", F.size("shingles").cast("long").alias("n_shingles"))
+    members = materialize(with_pivots(shared))
+    sizes = sets_of.select("node", "n_shingles")
+    pairs = (
+        star(members)
+        .join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("m")), "a")
+        .join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n")), "b")
+        .filter(may_match(percent, "m", "n"))
+        .select("a", "b")
+        .distinct()
+    )
+    found = confirmed(pairs, sets, percent)
+    links = materialize(found if links is None else found.unionByName(links))
+    classes = materialize(components(links))
+    apart = mixed_members(members, classes).join(sets_of, "node")
+    late = materialize(remaining_links(apart, sets, percent))
+    if late.isEmpty():  # the first components are complete
+        return classes
+    return components(links.unionByName(late))

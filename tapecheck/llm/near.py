@@ -11,8 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapecheck.llm import linking
 from tapecheck.llm.graph import components
-from tapecheck.llm.text import without
+from tapecheck.llm.prefixes import Prefixes, signatures
+from tapecheck.llm.text import text_digest, without_rows
 from tapecheck.operators.blocks import materialize
 
 
@@ -103,7 +105,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, how: Sketching) -> DataFrame:
-    """``doc_id, n_shingles, same, sig, bands`` for every row; ``same`` names the shingle set.
+    """``doc_id, digest, n_shingles, same, sig, bands`` for every row; ``same`` names the shingle set.
 
     Texts without words have no shingles, and NULL for the rest.
     """
@@ -127,16 +129,17 @@ def sketch(docs: DataFrame, how: Sketching) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("digest"),
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.binary()),
                     _lists(pack_low_bits(mins, how.bits)),
                     _lists(bands),
                 ],
-                ["doc_id", "n_shingles", "same", "sig", "bands"],
+                ["doc_id", "digest", "n_shingles", "same", "sig", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, same binary, sig array<long>, bands array<long>"
+    return docs.select("doc_id", "text", text_digest().alias("digest")).mapInArrow(
+        run, "doc_id long, digest binary, n_shingles long, same binary, sig array<long>, bands array<long>"
     )
 
 
@@ -179,87 +182,6 @@ def _differing(how: Sketching, a: str, b: str) -> Column:
     return total
 
 
-def _may_match(how: Sketching, m: str, n: str) -> Column:
-    """Sizes allow the wanted similarity."""
-    return F.least(m, n) * 100 >= F.greatest(m, n) * how.percent
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * how.percent)
-        .select("a", "b")
-    )
-
-
-#: Members, and shingles of members, of one bucket that one call holds twice at most.
-SLICE_NODES, SLICE_SHINGLES = 1024, 1 << 19
-
-
-def _remaining_links(members: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
-    """Links ``(a, b)`` between members of a bucket that lie in different components so far.
-
-    A bucket is cut into slices by number and size of its sets, and every two slices meet in a
-    group of their own, so no bucket is ever in one task. Inside, each member outside
-    the commonest component is held against all members of others: packed signatures
-    discard, full sets decide. Of the links found only those that join two components leave,
-    fewer than there are members.
-    """
-    words, most = -(-how.minima // 64), how.most_differing
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node").combine_chunks()
-        node, label, n, part = (rows.column(c).to_numpy() for c in ("node", "label", "n_shingles", "slice"))
-        sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), how.bits, words)
-        lists = rows.column("shingles").combine_chunks()
-        starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
-        owner = np.repeat(np.arange(len(node)), np.diff(starts))
-        group = np.unique(label, return_inverse=True)[1]
-        across = key[1].as_py() != key[2].as_py()
-        found: list[tuple[int, int]] = []
-        for y in np.flatnonzero(group != np.argmax(np.bincount(group))):
-            other = (group != group[y]) & (np.minimum(n, n[y]) * 100 >= np.maximum(n, n[y]) * how.percent)
-            if across:
-                other &= part != part[y]
-            to = np.flatnonzero(other)
-            apart = np.bitwise_or.reduce(sig[to] ^ sig[y], axis=1)
-            to = to[np.bitwise_count(apart).sum(axis=1) <= most]
-            if not len(to):
-                continue
-            mine = np.zeros(int(codes.max()) + 1, bool)
-            mine[codes[starts[y] : starts[y + 1]]] = True
-            both = np.bincount(owner, mine[codes], len(node))[to]
-            for x in to[both * 100 >= (n[to] + n[y] - both) * how.percent]:
-                if group[x] != group[y]:
-                    found.append((min(node[x], node[y]), max(node[x], node[y])))
-                    group[group == group[x]] = group[y]
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    counts = members.groupBy("band").agg(
-        F.greatest(
-            F.ceil(F.count("*") / F.lit(SLICE_NODES)), F.ceil(F.sum("n_shingles") / F.lit(SLICE_SHINGLES))
-        ).alias("slices")
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("long")
-    dealt = members.join(counts, "band").withColumn("slice", own)
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    return (
-        met.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")})
-        .select("band", "i", "j", "slice", "node", "label", "same", "n_shingles", "sig")
-        .join(sets, ["node", "same"])
-        .groupBy("band", "i", "j")
-        .applyInArrow(run, "a long, b long")
-        .distinct()
-    )
-
-
 def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -270,16 +192,23 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     1. Rows with equal shingle sets become one node, aggregated before the shuffle.
     2. Nodes that share a band are candidates. Within a bucket all are compared to one pivot
        only, the node with the most partners over all its buckets (of copies edited at random
-       the least edited), so that a bucket of n nodes costs n comparisons.
-    3. Members of a bucket that these links leave in different components are compared with each
-       other (:func:`_remaining_links`), so no link between components is missed by step 2.
-    4. Estimates only discard; links are confirmed on full sets.
+       the least edited), so that a bucket of n nodes costs n comparisons. Estimates discard.
+    3. Members of a bucket that these links leave in different components meet again by prefixes of their rare shingles
+       (:mod:`tapecheck.llm.prefixes`), where similar sets always do and texts that merely share a template do not, so a
+       large bucket of unlike texts costs as much as it has members.
+    4. Links are confirmed on full sets.
 
     Texts without words (NULL, empty) are linked with nothing and stay. Rows without
     ``doc_id`` belong to the component of an equal set if there is one with an id;
     otherwise they have no ``component_id`` and stay. Rows that repeat a ``doc_id`` are one
-    node, linked where any of their texts is. Extra columns are not read; an empty table gives an empty result.
+    node, linked where any of their texts is. Texts of any length are read whole. Extra columns are not read; an empty table
+    gives an empty result.
     """
+    return _marked(docs, how).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, how: Sketching) -> DataFrame:
+    """The rows of :func:`near_duplicates` with the ``digest`` of their text."""
     sketched = materialize(sketch(docs, how))
     nodes = materialize(
         sketched.filter("same IS NOT NULL")
@@ -294,50 +223,31 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     named = nodes.filter("node IS NOT NULL")
     banded = named.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(banded.join(buckets, "band"))
-    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    central = (
-        shared.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", F.col("node").alias("pivot"))).alias("best"))
-    )
-    members = materialize(shared.join(central.select("band", "best.pivot"), "band").select("band", "node", "pivot"))
+    members = materialize(linking.with_pivots(materialize(banded.join(buckets, "band"))))
     involved = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), how))
-    if not sets.groupBy("node", "same").count().filter("count > 1").isEmpty():
-        sets = materialize(sets.dropDuplicates(["node", "same"]))
-    facts = named.select("node", "same", "n_shingles", "sig")
-    star = (
-        members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    sets = linking.one_set_each(shingle_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), how))
+    facts = named.select("node", "n_shingles", "sig")
+    pairs = (
+        linking.star(members)
         .join(facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sig").alias("x")), "a")
         .join(facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sig").alias("y")), "b")
-        .filter(_may_match(how, "m", "n") & (_differing(how, "x", "y") <= how.most_differing))
+        .filter(linking.may_match(how.percent, "m", "n") & (_differing(how, "x", "y") <= how.most_differing))
         .select("a", "b")
         .distinct()
     )
-    links = materialize(_confirmed(star, sets, how))
-    first = materialize(components(links))
-    labelled = (
-        members.join(first, "node", "left")
-        .withColumn("label", F.coalesce("component", "node"))
-        .drop("component")
-    )
-    mixed = (
-        labelled.filter("node != pivot")
-        .groupBy("band")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .filter("lo != hi")
-        .select("band")
-    )
-    apart = labelled.join(mixed, "band", "left_semi").join(facts, "node")
-    late = materialize(_remaining_links(apart, sets, how))
-    final = first
-    if not late.isEmpty():  # else the first components are complete
-        final = components(links.unionByName(late))
+    links = materialize(linking.confirmed(pairs, sets, how.percent))
+    found = materialize(components(links))
+    apart = linking.mixed_members(members, found).select("node").distinct()
+    unsure = materialize(sets.join(apart, "node", "left_semi"))
+    if not unsure.isEmpty():  # else the first components are complete
+        found = linking.completed(signatures(unsure, Prefixes(percent=how.percent)), unsure, how.percent, links)
     return (
-        sketched.select("doc_id", "n_shingles", "same")
+        sketched.select("doc_id", "digest", "n_shingles", "same")
         .join(nodes.select("same", "node"), "same", "left")
-        .join(final, "node", "left")
+        .join(found, "node", "left")
         .select(
             "doc_id",
+            "digest",
             "n_shingles",
             F.coalesce("component", "node", "doc_id").alias("component_id"),
         )
@@ -346,5 +256,18 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
-    """``docs`` with one document of each component, columns unchanged."""
-    return without(docs, near_duplicates(docs, how).filter("NOT kept").select("doc_id"))
+    """``docs`` with one row of each component of :func:`near_duplicates`, columns unchanged.
+
+    The row with the smallest id stays; where rows with that id differ in their text, the one with the least digest.
+    Rows that repeat id and text stay or go together. Texts without words (NULL, empty) stay, and so do rows without id but those
+    whose set equals that of a row with one. Decided by id and text, so a row that shares an id with a copy is no
+    copy itself. An empty table gives an empty result; extra columns may have any name.
+    """
+    marks = materialize(_marked(docs, how).filter("n_shingles > 0 AND component_id IS NOT NULL"))
+    first = (
+        marks.filter("doc_id IS NOT NULL")
+        .groupBy("component_id")
+        .agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+        .select("best.doc_id", "best.digest")
+    )
+    return without_rows(docs, marks.select("doc_id", "digest").join(first, ["doc_id", "digest"], "left_anti"))

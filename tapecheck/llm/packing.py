@@ -7,14 +7,12 @@ from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapecheck.operators.blocks import materialize
+from tapecheck.operators.blocks import materialize, numbered
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Rows of one length are numbered in this many slices.
-SLICES = 256
 
 
 @dataclass(frozen=True)
@@ -182,43 +180,32 @@ def pack(
     pieces of that size and a rest.
 
     Only the counts by length reach the driver, at most one for each length up to the
-    largest capacity. Pieces are numbered within their length slice by slice, so that a
-    length shared by a third of all rows is no single task, and find their bin by joining
-    the plan, whose size is bounded as the counts are.
+    largest capacity. Pieces are numbered within their length by ranges
+    (:func:`tapecheck.operators.blocks.numbered`), so that a length shared by a third of all rows, with ids or without, is
+    no single task, and find their bin by joining the plan, whose size is bounded as the counts are.
 
     Texts without words (NULL, empty) need no place and get no row. Repeated rows are packed
-    as often as they occur; pieces of equal length are numbered by hash and id, so ties have a fixed
-    order; a NULL ``doc_id`` is packed like others. An empty table gives an empty result.
+    as often as they occur; pieces of equal length are numbered by id, those that repeat it in the
+    order they are read; a NULL ``doc_id`` is packed like others. An empty table gives an empty result.
     ``length`` replaces the word count by a column of the caller.
     """
     spark = docs.sparkSession
     pieces = materialize(cut(docs, max(capacities), length))
-    slices = (
-        pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SLICES)))
-    )
-    counts = slices.groupBy("length", "slice").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = counts.select(
-        "length", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("carry")
-    )
     histogram = {
         r["length"]: r["rows"]
         for r in pieces.groupBy("length").agg(F.count("*").alias("rows")).collect()
     }
     plan = plan_bins(histogram, capacities, cost)
-    place = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
-    numbered = (
-        slices.withColumn("rn", F.row_number().over(place) - 1)
-        .join(carried, ["length", "slice"])
-        .select("doc_id", "piece", "start", "length", (F.col("rn") + F.col("carry")).alias("rank"))
-    )
+    # The last column tells rows apart that have no id, so that they too spread over ranges.
+    tied = pieces.withColumn("tie", F.monotonically_increasing_id())
+    ranked = numbered(tied, ["length"], ("doc_id", "piece", "start", "tie"), "rank").drop("tie")
     steps = _rows(
         spark,
         assignments(plan),
         "s_length, s_first, s_count, s_bin, s_per_bin, s_offset, used, capacity",
     )
     nth = F.col("rank") - F.col("s_first")
-    return numbered.join(
+    return ranked.join(
         F.broadcast(steps),
         (F.col("length") == F.col("s_length"))
         & (F.col("rank") >= F.col("s_first"))

@@ -23,7 +23,8 @@ def labelled_sample(
 ) -> DataFrame:
     """``text, n_chars, label`` of at most ``rows`` labelled documents, chosen by a hash of the id.
 
-    The chosen ids are a table of at most ``rows`` narrow rows, hence broadcast. Labels that are
+    The chosen ids are a table of at most ``rows`` narrow rows, hence broadcast. Of rows that share an id the one
+    with the least text counts, so the sample is bounded however often an id is repeated. Labels that are
     NULL, or that are given twice for one id with different values, are left out.
     """
     once = (
@@ -41,7 +42,9 @@ def labelled_sample(
     )
     size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     narrow = docs.select("doc_id", "text", size.alias("n_chars"))
-    return narrow.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "n_chars", "label")
+    found = narrow.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    once = found.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars")).alias("row"), F.first("label").alias("label"))
+    return once.select("row.text", "row.n_chars", "label")
 
 
 def feature_counts(sample: DataFrame, features: Callable[[str], Iterable[int]]) -> DataFrame:

@@ -93,6 +93,28 @@ def sized(docs: DataFrame, slots: int) -> DataFrame:
     )
 
 
+#: Times that a row may repeat id and content before its repeats are dealt over slots.
+REPEATS = 1000
+
+
+def _dealt(rows: DataFrame, slots: int) -> DataFrame:
+    """``rows`` of :func:`sized`, written out; the repeats of rows that occur very often are dealt over all slots.
+
+    Such rows are one key to any hash; they get a slot by a number that every row is given once.
+    """
+    keys = ["doc_id", "size", "text_crc32"]
+    placed = materialize(rows.withColumn("at", F.monotonically_increasing_id()))
+    often = placed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > REPEATS)
+    often = materialize(often.select(*[F.col(c).alias(f"__{c}") for c in keys]))
+    if often.isEmpty():
+        return placed.drop("at")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    marked = placed.join(often, same, "left")
+    spread = F.pmod(F.xxhash64("at"), F.lit(slots)).cast("int")
+    repeated = F.col("__size").isNotNull()
+    return materialize(marked.withColumn("vslot", F.when(repeated, spread).otherwise(F.col("vslot"))).select(*rows.columns))
+
+
 def shard_by_bytes(
     docs: DataFrame, shards: int = 8, slots: int = 4096, store: str | None = None
 ) -> DataFrame:
@@ -108,11 +130,12 @@ def shard_by_bytes(
     Places are numbered inside virtual slots and offset by the counts of earlier ones, so
     no shard is ever ordered in one task; raise ``slots`` with the corpus.
 
-    A NULL text has size 1. Rows without id and repeated rows are dealt like others. An
-    empty table gives an empty result; extra columns are not read.
+    A NULL text has size 1; texts of any length are read whole. Rows without id are dealt like others; those of
+    which more than :data:`REPEATS` have the same id and content are dealt over all slots, for a hash would send them to
+    one. An empty table gives an empty result; extra columns are not read.
     """
     spark = docs.sparkSession
-    rows = materialize(sized(docs, slots))
+    rows = _dealt(sized(docs, slots), slots)
     loads = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     start = SlotMap.even(slots, shards)
     current = start.rebalanced({r["vslot"]: r["bytes"] for r in loads})

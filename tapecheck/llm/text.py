@@ -17,10 +17,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is not among ``dropped`` (one column); NULL keys stay."""
-    gone = dropped.select(F.col(key).alias("__gone")).filter(F.col("__gone").isNotNull()).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+def text_digest() -> Column:
+    """128 bits that tell a row's text from others; NULL counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text are those of ``dropped (doc_id, digest)``, columns unchanged."""
+    gone = dropped.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), text_digest().alias("__digest"))
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__gone_digest"))
+    left = keyed.join(gone, same, "left_anti")
+    return left.select("__row.*")
 
 
 def bodies(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,3 +47,23 @@ def byte_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
         yield start, stop
         start = stop
+
+
+def cut_words(body: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of a run of texts that lie one behind the other, and the text of each.
+
+    ``table`` maps every byte to the one it becomes in a word, or to zero where it ends words.
+    """
+    letters = table[body]
+    inside = letters != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = at[:-1][(at[:-1] < at[1:])]
+    begins[edges] |= inside[edges]  # a text that begins inside a word begins one
+    starts = np.flatnonzero(begins)
+    kept = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int32)
+    words = pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters[inside].tobytes())]
+    )
+    return words.dictionary_encode(), np.searchsorted(at, starts, side="right") - 1

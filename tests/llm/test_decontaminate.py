@@ -100,8 +100,30 @@ def test_odd_rows(spark):
     bench = bench.selectExpr("*", "1 AS seed", "'p' AS passage")
     got = d.mark_contaminated(docs, bench).collect()
     assert len(got) == len(odd_rows())
-    assert sorted(str(r.doc_id) for r in got if r.contaminated) == ["11", "11", "6"] + ["None"] * 3
+    assert sorted(str(r.doc_id) for r in got if r.contaminated) == ["11", "11", "6", "None"]
     left = d.without_contaminated(docs, bench)
-    assert left.columns == docs.columns and {6, 11}.isdisjoint(r.doc_id for r in left.collect())
+    rows = left.collect()
+    assert left.columns == docs.columns and {6, 11}.isdisjoint(r.doc_id for r in rows)
+    assert sorted(str(r.text) for r in rows if r.doc_id is None) == ["None", "One"]  # by id and text, not by id
+    twins = documents(spark, [(1, "call 1 743 555 3824"), (1, "clean text")])
+    assert [r.text for r in d.without_contaminated(twins, bench).collect()] == ["clean text"]
     assert d.mark_contaminated(docs.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in d.mark_contaminated(docs, bench.limit(0)).collect())
+
+
+def test_many_items_cost_little_more_than_few(spark):
+    """Every item shares its common pairs with all others and with all passages; only rare ones are looked for."""
+    import time
+
+    rng = random.Random(9)
+    common = prose(rng, 6)
+    items = [(i, f"{prose(rng, 20)} {common} {prose(rng, 20)}") for i in range(3000)]
+    rows = [(i, f"{prose(rng, 60)} {common} {prose(rng, 60)}") for i in range(400)] + [(1000, items[7][1])]
+    docs = documents(spark, rows)
+    took = []
+    for n in (30, 3000):
+        start = time.time()
+        got = d.contamination(docs, spark.createDataFrame(items[:n], "item_id long, text string")).collect()
+        took.append(time.time() - start)
+        assert {(r.doc_id, r.item_id) for r in got} == {(1000, 7)}
+    assert took[1] < 5 * took[0]

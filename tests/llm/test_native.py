@@ -193,3 +193,23 @@ def test_packing(spark):
     assert sorted(bins) == list(range(len(bins)))
     assert packing.pack(documents(spark, []), capacities).count() == 0
     assert packing.pack(documents(spark, [(1, None)]), capacities).count() == 0
+
+
+def test_equal_rows_without_id_are_spread(spark, monkeypatch):
+    """A third and more of all rows alike: no shard, group or length takes them all."""
+    monkeypatch.setattr(shards, "REPEATS", 50)
+    rows = [(None, "the same text")] * 1200 + [(7, "one id, one text")] * 600 + [(100 + i, "text " * (i % 9 + 1)) for i in range(900)]
+    docs = documents(spark, rows)
+    got = shards.shard_by_bytes(docs, slots=256).collect()
+    size = {s: sum(r.size for r in got if r.shard == s) for s in range(8)}
+    assert len(got) == len(rows) and max(size.values()) - min(size.values()) <= 0.05 * max(size.values())
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    marks = exact.exact_duplicates(docs).collect()
+    assert len(marks) == len(rows) and sum(r.kept for r in marks) == len({t for _, t in rows})
+    left = exact.without_exact_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == sorted({t for _, t in rows})
+    packed = packing.pack(docs, capacities=(8, 16)).collect()
+    assert sum(r.length for r in packed) == sum(len(t.split()) for _, t in rows)
+    cells = [(r.bin_id, r.offset + k) for r in packed for k in range(r.length)]
+    assert len(cells) == len(set(cells))
