@@ -56,6 +56,16 @@ class Positions:
 BY_POSITION = Positions()
 
 
+@dataclass(frozen=True)
+class Stored:
+    """Bars that carry their ``chunk`` and lie clustered by key and chunk (:func:`tapecheck.sources.bars.write_clustered`)."""
+
+    block_bars: int = 256
+
+
+STORED = Stored()
+
+
 def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ("ts",), name: str = "idx") -> DataFrame:
     """Add each row's place in its series, from 0; rows with a NULL key are left out.
 
@@ -87,8 +97,10 @@ def epoch_seconds(ts: Column) -> Column:
     )
 
 
-def with_blocks(bars: DataFrame, layout: Layout | Positions = DAILY, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def with_blocks(bars: DataFrame, layout: Layout | Positions | Stored = DAILY, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Add ``chunk`` and ``blk``; both are monotone in ``ts``."""
+    if isinstance(layout, Stored):
+        return bars.where("ts is not null").withColumn("blk", F.lit(0).cast("bigint"))
     if isinstance(layout, Positions):
         placed = numbered(bars.where("ts is not null"), keys, name="__idx")
         chunk, blk = (F.floor(F.col("__idx") / F.lit(n)) for n in (layout.chunk_rows, layout.block_bars))

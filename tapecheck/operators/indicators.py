@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapecheck.operators.blocks import BY_POSITION, Layout, Positions, span, with_blocks
+from tapecheck.operators.blocks import BY_POSITION, Layout, Positions, Stored, span, with_blocks
 
 # State between two runs: bars so far, and distance and price of the last
 # (``d1``, ``x1``) and the last but one bar (``d2``, ``x2``).
@@ -104,7 +104,7 @@ def ema_panel(
     bars: DataFrame,
     periods: Sequence[int],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | Positions = BY_POSITION,
+    layout: Layout | Positions | Stored = BY_POSITION,
     on_entry: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Rows with ``idx`` (position in the series), ``gap`` (array of ``close - ema``
@@ -115,7 +115,8 @@ def ema_panel(
     with ``r``, the row's place in its chunk.
 
     Chunks are runs of ``layout.chunk_rows`` rows of a series, so that none grows with the density of bars; a
-    :class:`~tapecheck.operators.blocks.Layout` cuts bars of known spacing by time instead and saves an exchange. Blocks are
+    :class:`~tapecheck.operators.blocks.Layout` cuts bars of known spacing by time instead and saves an exchange, and bars
+    that are stored in clusters (:class:`~tapecheck.operators.blocks.Stored`) need none. Blocks are
     runs of ``layout.block_bars`` rows inside a chunk. Times should be unique in a series. Rows without a key or a time have no place in a
     series and are left out here; :func:`ema` returns them, and the quality rules list them.
     """
@@ -126,7 +127,7 @@ def ema_panel(
     series = f"OVER (PARTITION BY {part} ORDER BY ts)"
     run_of = f"OVER (PARTITION BY {part}, blk ORDER BY ts)"
     to_here = f"OVER (PARTITION BY {part}, blk ORDER BY ts ROWS UNBOUNDED PRECEDING)"
-    carried = [c for c in bars.columns if c not in keys]
+    carried = [c for c in bars.columns if c not in (*keys, "chunk")]
 
     local = [
         "0.0D"
@@ -137,11 +138,11 @@ def ema_panel(
     # The joins below would drop rows without a key or a time anyway. Saying so
     # first gives every branch the same filter, so that they share one exchange.
     present = " and ".join(f"`{k}` is not null" for k in [*keys, "chunk"])
+    placed = with_blocks(bars, layout, keys).where(present)
+    if not isinstance(layout, Stored):
+        placed = placed.repartition(*keys, "chunk")
     rows = (
-        with_blocks(bars, layout, keys)
-        .where(present)
-        .repartition(*keys, "chunk")
-        .withColumns({"r": F.expr(f"row_number() {series}"), "lag_close": F.expr(f"lag(close) {series}")})
+        placed.withColumns({"r": F.expr(f"row_number() {series}"), "lag_close": F.expr(f"lag(close) {series}")})
         .withColumn("blk", F.expr(f"(r - 1) div {layout.block_bars}"))
         .withColumns(
             {
@@ -238,7 +239,7 @@ def ema(
     bars: DataFrame,
     periods: Sequence[int],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | Positions = BY_POSITION,
+    layout: Layout | Positions | Stored = BY_POSITION,
 ) -> DataFrame:
     """``keys, ts, close`` and one ``ema_<period>`` column per period.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapecheck.constants import FAST_PERIODS, MAX_CELLS, SLOW_PERIODS
-from tapecheck.operators.blocks import BY_POSITION, Layout, Positions, chunk_window, with_blocks, with_earlier
+from tapecheck.operators.blocks import BY_POSITION, Layout, Positions, Stored, chunk_window, with_blocks, with_earlier
 from tapecheck.operators.indicators import check_period, ema_column, ema_panel
 
 Cell = tuple[int, int]
@@ -66,7 +66,7 @@ def signal_panel(
     bars: DataFrame,
     grid: Sequence[Cell],
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | Positions = BY_POSITION,
+    layout: Layout | Positions | Stored = BY_POSITION,
 ) -> DataFrame:
     """Signals of every cell of ``grid`` on every bar, from one pass over bars.
 
@@ -84,7 +84,8 @@ def signal_panel(
         "one_back": _mask(grid, "entry.x1", "entry.d1", "entry.off - 1"),
         "two_back": _mask(grid, "entry.x2", "entry.d2", "entry.off - 2"),
     }
-    rows = ema_panel(bars.select(*keys, "ts", "open", "close"), _periods(grid), keys, layout, before)
+    stored = ["chunk"] if isinstance(layout, Stored) else []
+    rows = ema_panel(bars.select(*keys, *stored, "ts", "open", "close"), _periods(grid), keys, layout, before)
     series = chunk_window(keys)
     rows = rows.withColumn("sig", F.expr(_mask(grid, "close", "gap", "idx"))).withColumns(
         {
@@ -104,7 +105,7 @@ def crossover_signal(
     fast: int,
     slow: int,
     keys: Sequence[str] = ("symbol",),
-    layout: Layout | Positions = BY_POSITION,
+    layout: Layout | Positions | Stored = BY_POSITION,
 ) -> DataFrame:
     """``fast_ema``, ``slow_ema`` (NULL in warm-up) and ``signal`` 0/1."""
     check_cell(fast, slow)

@@ -854,3 +854,6 @@ ORACLES["divergences_unequal"] = f"""{_TWO_LEDGERS},
     UNION ALL SELECT symbol, 'final_equity', NULL, 'relative difference exceeds 1e-9' FROM e WHERE abs(le - re) / greatest(abs(le), abs(re), 1e-12) > 1e-9
     UNION ALL SELECT symbol, 'total_return', NULL, 'absolute difference exceeds 1e-9' FROM e WHERE abs(le - re) / {INITIAL_CASH} > 1e-9)
   SELECT symbol, 10 AS fast, 30 AS slow, 'baseline' AS scenario, field, ordinal, explanation FROM d"""
+ORACLES["price_medians"] = """SELECT l_returnflag, count(*) AS count, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY l_returnflag"""
+for _name in ("crossover_signal_stored", "crossover_signal_stream"):
+    ORACLES[_name] = _again("crossover_signal", "l_suppkey")

@@ -24,6 +24,7 @@ from tapecheck.operators import (
     intervals,
     ledger,
     metrics,
+    order_statistics,
     quality,
     reconcile,
     revision,
@@ -31,7 +32,7 @@ from tapecheck.operators import (
     signals,
     timeline,
 )
-from tapecheck.operators.blocks import DAILY, Layout, Positions, materialize, new_folder
+from tapecheck.operators.blocks import DAILY, STORED, Layout, Positions, materialize, new_folder
 from tapecheck.plans import workload as w
 from tapecheck.sources import bars as bar_tables
 from tapecheck.sources import catalog as catalogs
@@ -40,6 +41,7 @@ from tapecheck.sources import lineage as lineages
 from tapecheck.sources import pages as page_tables
 from tapecheck.sources import publish as publishing
 from tapecheck.sources import registry as registries
+from tapecheck.streaming.averages import averages_stream
 from tapecheck.streaming.bars import bars_from_ticks
 
 RUN = ("symbol", *ledger.RUN_KEYS)
@@ -449,6 +451,31 @@ def crossover_signal(spark, sf):
     return _round(signals.crossover_signal(_bars(spark, sf), *BASELINE_CELL, layout=DAILY), "fast_ema slow_ema")
 
 
+def crossover_signal_stored(spark, sf):
+    """The same of every supplier, over bars stored in clusters, which are never exchanged."""
+    folder = new_folder(spark)
+    stored = bar_tables.write_clustered(_supplier_bars(spark, sf), f"bars_{folder.rsplit('/', 1)[-1]}", folder, 16, SMALL)
+    return _round(signals.crossover_signal(stored, *BASELINE_CELL, layout=STORED), "fast_ema slow_ema")
+
+
+def crossover_signal_stream(spark, sf):
+    """The same over a stream that delivers the history in four parts, with state kept between them."""
+    folder = new_folder(spark)
+    source, target = f"{folder}/bars", f"{folder}/signals"
+    bars = materialize(_supplier_bars(spark, sf).select("symbol", "ts", "close"))
+    for low, high in ((1990, 1997), (1997, 1999), (1999, 2000), (2000, 2100)):
+        part = bars.where((F.year("ts") >= low) & (F.year("ts") < high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        averages_stream(stream, *BASELINE_CELL).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", f"{folder}/state").option("path", target).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    found = spark.read.parquet(target).where("not late")
+    return _round(found.select("symbol", "ts", "fast_ema", "slow_ema", "signal"), "fast_ema slow_ema")
+
+
 def target_position(spark, sf):
     return signals.per_cell(_panel(spark, sf), [BASELINE_CELL])
 
@@ -624,6 +651,12 @@ def pnl_concentration(spark, sf):
     return _round(metrics.pnl_concentration(eligible), "largest_positive_fraction", "total_positive_pnl")
 
 
+def price_medians(spark, sf):
+    """Median price of all lines by return flag: three groups that hold all rows."""
+    items = w.table(spark, sf, "lineitem")
+    return _round(order_statistics.exact_median(items, "l_extendedprice", ["l_returnflag"]), "", "median")
+
+
 def largest_move(spark, sf):
     panel = signals.signal_panel(_supplier_bars(spark, sf), [BASELINE_CELL], layout=DAILY)
     return _round(metrics.largest_move(panel), "change")
@@ -853,6 +886,7 @@ REGISTERED = {
         window_metrics_by_supplier, aggregate_metrics_by_part, grid_returns_by_part, leave_one_out_by_part,
         ledger_reconcile_unequal, trade_violations, flagship, windows_by_order, split_labels_by_supplier,
         research_rows_by_supplier, equity_before_trades, crossing_trips_by_supplier, table_digests, digest_violations,
-        research_verified, lineage_closure, cutoff_violations, divergences_unequal, registry_batches, published_rows,
+        research_verified, lineage_closure, cutoff_violations, divergences_unequal, crossover_signal_stored,
+        crossover_signal_stream, price_medians, registry_batches, published_rows,
     )
 } | {"bars_from_ticks": bars_from_ticks_query}
