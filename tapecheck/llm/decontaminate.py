@@ -265,15 +265,15 @@ def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> DataFrame:
                 rows = np.flatnonzero(many >= fewest)
                 mine = np.isin(texts, rows)
                 cuts = pa.array(np.concatenate([[0], np.cumsum(many[rows])]).astype(np.int32))
-                part = batch.slice(start, stop - start).take(pa.array(rows))
+                keys = batch.column("key").slice(start, stop - start).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(cuts, pa.array(runs[mine].view(np.int64))),
+                    [keys, pa.ListArray.from_arrays(cuts, pa.array(runs[mine].view(np.int64))),
                      pa.ListArray.from_arrays(cuts, pa.array(places[mine].astype(np.int64)))],
-                    [*batch.schema.names, "runs", "places"],
+                    ["key", "runs", "places"],
                 )
 
-    touched = texts.mapInArrow(touch, "doc_id long, text string, digest binary, runs array<long>, places array<long>")
-    touched = materialize(touched.withColumn("key", _key()).dropDuplicates(["key"]))
+    keyed = texts.withColumn("key", _key())
+    touched = keyed.select("key", "text").mapInArrow(touch, "key binary, runs array<long>, places array<long>")
     hits = touched.select("key", F.inline(F.arrays_zip(F.col("runs").alias("run"), F.col("places").alias("place"))))
     hits = hits.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
     dealt = seeds.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
@@ -285,14 +285,16 @@ def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> DataFrame:
         .where(near)
         .select("key", "form")
     )
+    candidates = materialize(candidates)  # few, against all texts below
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Pairs of one passage, and of one item, come in runs.
         item_of = lru_cache(1024)(lambda text: _Item(raw_words(text), how))
         words_of_text = lru_cache(4)(lambda text: _hashed_words(text))
+        score = lru_cache(4096)(lambda item, text: item_of(item).score(*words_of_text(text)))
         for batch in batches:
             scores = [
-                item_of(item).score(*words_of_text(text))
+                score(item, text)
                 for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())
             ]
             kept = [i for i, s in enumerate(scores) if s]
@@ -302,7 +304,7 @@ def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> DataFrame:
             )
 
     both = (
-        candidates.join(touched.select("key", "doc_id", "digest", "text"), "key")
+        keyed.join(candidates, "key")
         .join(items.select("form", "item_ids", F.col("text").alias("item")), "form")
         .select("doc_id", "digest", "text", "item", "item_ids")
     )
