@@ -51,6 +51,18 @@ def mixed_members(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("band"), "band", "left_semi").select("band", "node", "label")
 
 
+#: Up to how many members a bucket's pairs are listed; each member is in a bounded number of them then.
+FEW = 64
+
+
+def pairs_of_few(mixed: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of members of different components in the small buckets of ``band, node, label, n``."""
+    small = mixed.filter(F.col("n") <= FEW)
+    one = small.select("band", F.col("node").alias("a"), F.col("label").alias("x"))
+    two = small.select("band", F.col("node").alias("b"), F.col("label").alias("y"))
+    return one.join(two, "band").filter("a < b AND x != y").select("a", "b").distinct()
+
+
 #: Members, and shingles of members, of one bucket that one call holds twice at most.
 SLICE_NODES, SLICE_SHINGLES = 1024, 1 << 19
 

@@ -193,9 +193,10 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     2. Nodes that share a band are candidates. Within a bucket all are compared to one pivot
        only, the node with the most partners over all its buckets (of copies edited at random
        the least edited), so that a bucket of n nodes costs n comparisons. Estimates discard.
-    3. Members of a bucket that these links leave in different components meet again by prefixes of their rare shingles
-       (:mod:`tapecheck.llm.prefixes`), where similar sets always do and texts that merely share a template do not, so a
-       large bucket of unlike texts costs as much as it has members.
+    3. Members of a bucket that these links leave in different components are compared in a small bucket, where each has
+       few partners; those of a large one meet again by prefixes of their rare shingles (:mod:`tapecheck.llm.prefixes`),
+       where similar sets always do and texts that merely share a template do not, so a large bucket of unlike texts costs
+       as much as it has members.
     4. Links are confirmed on full sets.
 
     Texts without words (NULL, empty) are linked with nothing and stay. Rows without
@@ -227,19 +228,29 @@ def _marked(docs: DataFrame, how: Sketching) -> DataFrame:
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     sets = linking.one_set_each(shingle_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), how))
     facts = named.select("node", "n_shingles", "sig")
-    pairs = (
-        linking.star(members)
-        .join(facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sig").alias("x")), "a")
-        .join(facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sig").alias("y")), "b")
-        .filter(linking.may_match(how.percent, "m", "n") & (_differing(how, "x", "y") <= how.most_differing))
-        .select("a", "b")
-        .distinct()
-    )
-    links = materialize(linking.confirmed(pairs, sets, how.percent))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose packed signatures and sizes allow the wanted similarity, each once."""
+        return (
+            pairs.join(facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sig").alias("x")), "a")
+            .join(facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sig").alias("y")), "b")
+            .filter(linking.may_match(how.percent, "m", "n") & (_differing(how, "x", "y") <= how.most_differing))
+            .select("a", "b")
+            .distinct()
+        )
+
+    links = materialize(linking.confirmed(likely(linking.star(members)), sets, how.percent))
     found = materialize(components(links))
-    apart = linking.mixed_members(members, found).select("node").distinct()
+    mixed = linking.mixed_members(members, found)
+    mixed = materialize(mixed.join(mixed.groupBy("band").agg(F.count("*").alias("n")), "band"))
+    more = materialize(linking.confirmed(likely(linking.pairs_of_few(mixed)), sets, how.percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = materialize(components(links))
+    large = mixed.filter(F.col("n") > linking.FEW).select("band", "node")
+    apart = linking.mixed_members(large, found).select("node").distinct()
     unsure = materialize(sets.join(apart, "node", "left_semi"))
-    if not unsure.isEmpty():  # else the first components are complete
+    if not unsure.isEmpty():  # else the components are complete
         found = linking.completed(signatures(unsure, Prefixes(percent=how.percent)), unsure, how.percent, links)
     return (
         sketched.select("doc_id", "digest", "n_shingles", "same")
