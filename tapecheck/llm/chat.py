@@ -9,7 +9,7 @@ from tapecheck.operators.blocks import materialize
 
 #: Turn numbers per piece of a conversation; a piece is the unit of ordering and rendering.
 PIECE_TURNS = 1024
-#: Rows and characters from which a piece of a longer conversation is cut into slices, each rendered by itself.
+#: Rows and characters of the slices into which a longer conversation is cut, each rendered by itself.
 SLICE_ROWS = 1024
 SLICE_CHARS = 1 << 26
 
@@ -32,6 +32,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
             _piece().alias("piece"),
             F.xxhash64(F.lit(1), *body).alias("h1"),
             F.xxhash64(F.lit(2), *body).alias("h2"),
+            (F.length(body[1]) + F.length(body[2])).cast("long").alias("chars"),
         )
         .distinct()
     )
@@ -42,7 +43,7 @@ def _total() -> list[Column]:
 
 
 def maximal_conversations(conversations: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, copies``: conversations that no other one continues.
+    """``conv_id, n_turns, n_chars, copies``: conversations that no other one continues.
 
     A conversation is dropped if its turns are the first turns of a longer one. Of equal
     conversations the smallest ``conv_id`` stays and ``copies`` counts them.
@@ -61,7 +62,7 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     an empty result.
     """
     turns = materialize(_turns(conversations))
-    whole = turns.groupBy("conv_id").agg(*_total())
+    whole = turns.groupBy("conv_id").agg(*_total(), F.sum("chars").alias("n_chars"))
     earlier = (
         Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -104,10 +105,10 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
         .distinct()
     )
     distinct = whole.groupBy("x1", "x2", "n").agg(
-        F.min("conv_id").alias("conv_id"), F.count("*").alias("copies")
+        F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"), F.first("n_chars").alias("n_chars")
     )
     return distinct.join(prefixes, ["x1", "x2", "n"], "left_anti").select(
-        "conv_id", F.col("n").alias("n_turns"), "copies"
+        "conv_id", F.col("n").alias("n_turns"), "n_chars", "copies"
     )
 
 
@@ -176,10 +177,10 @@ def render_chats(conversations: DataFrame) -> DataFrame:
     """Render every conversation of :func:`maximal_conversations`.
 
     Returns ``conv_id, part, n_turns, copies, text``. A conversation is one row with ``part``
-    0, unless its turn numbers leave the range of one piece or it has more than ``SLICE_ROWS`` turns:
-    then each piece is a row, or each slice of a piece of more than ``SLICE_ROWS`` turns
-    or ``SLICE_CHARS`` characters, in order of ``part``, whose texts follow one another. So no task gathers a
-    long conversation, also without turn numbers or ``conv_id``. A turn reads ``<|role|>``, a line
+    0, unless its turn numbers leave the range of one piece or it has more than ``SLICE_ROWS`` turns or more than
+    ``SLICE_CHARS`` characters: then it is cut by both, and each slice is a row, in order of ``part``, whose texts follow
+    one another. So no row and no task gathers a long conversation, whether of many turns or of few huge ones, also
+    without turn numbers or ``conv_id``; one turn is never cut. A turn reads ``<|role|>``, a line
     break, its text and ``<|end|>`` with a line break; ``<|`` inside a text becomes ``< |``.
     Turns with one number are ordered by role, then text, NULL first.
     """
@@ -190,19 +191,20 @@ def render_chats(conversations: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
+    brief = (F.col("n_turns") <= SLICE_ROWS) & (F.col("n_chars") <= SLICE_CHARS)
     turns = (
         turns.withColumn("piece", _piece())
         .join(kept, F.col("conv_id").eqNullSafe(F.col("k_conv")))
         .drop("k_conv")
     )
     short = _rendered(
-        turns.filter(F.col("n_turns") <= SLICE_ROWS)
+        turns.filter(brief)
         .repartition("conv_id", "piece")  # by itself, so that a skewed join before it can be split
         .groupBy("conv_id", "piece", "n_turns", "copies")
     ).withColumn("part", F.row_number().over(Window.partitionBy("conv_id").orderBy("piece")) - 1)
     key = ["conv_id", "piece", "slice", "block"]
     long = materialize(
-        _rendered(_sliced(turns.filter(F.col("n_turns") > SLICE_ROWS)).groupBy(*key, "n_turns", "copies"))
+        _rendered(_sliced(turns.filter(~brief)).groupBy(*key, "n_turns", "copies"))
     )
     # Parts are numbered without their texts, which stay spread.
     order = Window.partitionBy("conv_id").orderBy(*key[1:])

@@ -100,8 +100,12 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"https://", "http://"),
     (r"&", " and "),
 )
+#: A line that only names holders and years, also behind the marks of a comment. A holder counts with a year after it, or
+#: as "the ... authors"; a line of the licence itself that happens to begin with the word has neither.
 COPYRIGHT_LINE = (
-    r"(?m)^[ \t]*(?:copyright[ \t,:]*(?:\(c\)|©|[0-9]{4})[^\n]*|(?:©|\(c\))[ \t]*[0-9]{4}[^\n]*|all rights reserved\.?)[ \t]*$"
+    r"(?m)^[ \t#*/;>-]*(?:copyright[ \t,:]*(?:(?:\(c\)|©|[0-9]{4})[^\n]*"
+    r"|[^\n]*[^0-9\n](?:19|20)[0-9]{2}(?:[^0-9\n][^\n]*)?|the [^\n]* (?:authors|contributors)\.?)"
+    r"|(?:©|\(c\))[ \t]*[0-9]{4}[^\n]*|all rights reserved\.?)[ \t]*$"
 )
 PUNCTUATION = r"[!-/:-@\[-`{-~\s“”‘’–—©]+"
 
@@ -135,16 +139,19 @@ def _known_map(found: Mapping[str, str]) -> Column:
 
 
 def scan_licences(
-    docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN
+    docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, texts: DataFrame | None = None
 ) -> DataFrame:
     """Look up every whole text, and every whole line, among the known licences.
 
+    ``known`` are the built-in notices and short licences; longer ones (the whole Apache, GNU or Mozilla licences are not
+    among them) are given as a table ``texts (license, text)`` of any size, which whole texts are looked up in too.
+
     Returns ``doc_id, digest, license, line_licenses, n_license_lines`` for every row:
     the canonical digest of the whole text, the licence with that digest (NULL if none),
     the distinct licences of single lines (sorted, joined by commas, empty if none) and the number of
-    such lines. Texts join the digest table by hash; that table has one row for each known
-    text, so it is broadcast whatever the corpus. Lines are probed in place, hence no row
-    leaves its task and no group can be large.
+    such lines. Texts join the digest table by hash; the table of ``known`` has one row for each, so it is broadcast
+    whatever the corpus, one with ``texts`` is joined as Spark sees fit. Lines are probed in place among ``known``.
+    Texts of any length are read whole.
 
     A NULL or empty text has the digest of the empty string and no licence. Repeated rows are
     repeated; extra columns are not read; an empty table gives an empty result.
@@ -160,7 +167,12 @@ def scan_licences(
         F.md5(canonical(F.col("body"))).alias("digest"),
         F.filter(lines, lambda name: name.isNotNull()).alias("found"),
     )
-    return probed.join(F.broadcast(table), "digest", "left").select(
+    if texts is None:
+        table = F.broadcast(table)
+    else:
+        more = texts.select(F.md5(canonical(F.col("text"))).alias("digest"), "license")
+        table = table.unionByName(more).groupBy("digest").agg(F.min("license").alias("license"))
+    return probed.join(table, "digest", "left").select(
         "doc_id",
         "digest",
         "license",

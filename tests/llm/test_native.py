@@ -213,3 +213,29 @@ def test_equal_rows_without_id_are_spread(spark, monkeypatch):
     assert sum(r.length for r in packed) == sum(len(t.split()) for _, t in rows)
     cells = [(r.bin_id, r.offset + k) for r in packed for k in range(r.length)]
     assert len(cells) == len(set(cells))
+
+
+def test_copyright_lines_and_given_texts(spark):
+    mit = licences.KNOWN[0][1]
+    heads = (
+        "Copyright Jane Doe 2021", "# Copyright (c) 2020 Jane Doe", " * Copyright 2019-2021 The X Authors", "// Copyright The X Authors",
+        "Copyright (C) Jane Doe, 2001\n  All rights reserved.", "(c) 1999 J. Doe",
+    )
+    rows = [(i, f"{h}\n\n{mit}") for i, h in enumerate(heads)]
+    wrapped = mit.replace("above copyright notice and", "above\ncopyright notice and").replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
+    rows += [(50, wrapped), (51, "copyright law of 2021 or so\n" + mit[:200]), (60, "A whole licence, version 9.\nIt is long."), (61, "copyright")]
+    docs = documents(spark, rows)
+    texts = spark.createDataFrame([("LONG-9", "# Copyright 2000 Someone\n# A whole licence, version 9!\n# It is long.")], "license string, text string")
+    got = {r.doc_id: r.license for r in licences.scan_licences(docs, texts=texts).collect()}
+    assert {got[i] for i in range(len(heads))} == {"MIT"} and got[50] == "MIT"
+    assert got[51] is None and got[60] == "LONG-9" and got[61] is None
+
+
+def test_few_huge_turns_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SLICE_CHARS", 3000)
+    rows = [(1, t, "user", f"{t} " + "x" * 1000) for t in range(20)] + [(2, 0, "user", "hi")]
+    got = chat.render_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    parts = sorted((r.part, r.text) for r in got if r.conv_id == 1)
+    assert [p for p, _ in parts] == list(range(len(parts))) and len(parts) >= 5
+    assert max(len(t) for _, t in parts) < 6000
+    assert "".join(t for _, t in parts) == "".join(f"<|user|>\n{x}<|end|>\n" for _, _, _, x in rows[:20])
