@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tapecheck.llm import linking
 from tapecheck.llm.graph import components
-from tapecheck.llm.prefixes import Prefixes, signatures
 from tapecheck.llm.text import text_digest, without_rows
 from tapecheck.operators.blocks import materialize
 
@@ -193,10 +192,9 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     2. Nodes that share a band are candidates. Within a bucket all are compared to one pivot
        only, the node with the most partners over all its buckets (of copies edited at random
        the least edited), so that a bucket of n nodes costs n comparisons. Estimates discard.
-    3. Members of a bucket that these links leave in different components are compared in a small bucket, where each has
-       few partners; those of a large one meet again by prefixes of their rare shingles (:mod:`tapecheck.llm.prefixes`),
-       where similar sets always do and texts that merely share a template do not, so a large bucket of unlike texts costs
-       as much as it has members.
+    3. Members of a bucket that these links leave in different components are compared with each other: as pairs in a small
+       bucket, where each has few partners, and in slices in a large one (:func:`tapecheck.llm.linking.remaining_links`),
+       whose packed signatures discard nearly all at once.
     4. Links are confirmed on full sets.
 
     Texts without words (NULL, empty) are linked with nothing and stay. Rows without
@@ -248,10 +246,11 @@ def _marked(docs: DataFrame, how: Sketching) -> DataFrame:
         links = links.unionByName(more)
         found = materialize(components(links))
     large = mixed.filter(F.col("n") > linking.FEW).select("band", "node")
-    apart = linking.mixed_members(large, found).select("node").distinct()
-    unsure = materialize(sets.join(apart, "node", "left_semi"))
-    if not unsure.isEmpty():  # else the components are complete
-        found = linking.completed(signatures(unsure, Prefixes(percent=how.percent)), unsure, how.percent, links)
+    apart = linking.mixed_members(large, found).join(named.select("node", "same", "n_shingles", "sig"), "node")
+    planes = (how.bits, -(-how.minima // 64), how.most_differing)
+    late = materialize(linking.remaining_links(apart, sets, how.percent, planes))
+    if not late.isEmpty():  # else the components are complete
+        found = components(links.unionByName(late))
     return (
         sketched.select("doc_id", "digest", "n_shingles", "same")
         .join(nodes.select("same", "node"), "same", "left")
