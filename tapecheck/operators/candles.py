@@ -116,7 +116,8 @@ def publishable(decoded: DataFrame, products: DataFrame) -> DataFrame:
     return products.join(bad, "product", "left_anti")
 
 
-def _cast(decoded: DataFrame) -> DataFrame:
+def to_bars(decoded: DataFrame) -> DataFrame:
+    """Canonical columns of accepted candles; :func:`sound_bars` are those that may be used."""
     return accepted(decoded).select(
         F.col("product").alias("symbol"),
         "ts",
@@ -129,13 +130,13 @@ def bar_violations(decoded: DataFrame) -> DataFrame:
 
     A decimal too large for a double is infinite then, one too small is zero.
     """
-    return ohlcv_violations(_cast(decoded))
+    return ohlcv_violations(to_bars(decoded))
 
 
-def to_bars(decoded: DataFrame) -> DataFrame:
-    """Canonical bars of the accepted candles of products whose bars break no rule (:func:`bar_violations`)."""
+def sound_bars(decoded: DataFrame) -> DataFrame:
+    """Bars of the accepted candles of products whose bars break no rule (:func:`bar_violations`)."""
     bad = bar_violations(decoded).select("symbol").distinct()
-    return _cast(decoded).join(bad, "symbol", "left_anti")
+    return to_bars(decoded).join(bad, "symbol", "left_anti")
 
 
 def publish_sound(decoded: DataFrame, root: str) -> DataFrame:
@@ -145,7 +146,7 @@ def publish_sound(decoded: DataFrame, root: str) -> DataFrame:
     status`` as :func:`tapecheck.sources.publish.append_batches` returns them.
     """
     rejected = decoded.where("reject is not null").select(F.col("product").alias("symbol")).distinct()
-    bars = _cast(decoded).withColumn("batch_id", F.col("symbol"))
+    bars = to_bars(decoded).withColumn("batch_id", F.col("symbol"))
 
     def bad(rows: DataFrame) -> DataFrame:
         broken = ohlcv_violations(rows.drop("batch_id")).select("symbol")

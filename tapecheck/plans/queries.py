@@ -367,7 +367,7 @@ def publishable(spark, sf):
 
 
 def canonical_from_pages(spark, sf):
-    return candles.to_bars(_decoded(spark, sf))
+    return candles.sound_bars(materialize(_decoded(spark, sf)))
 
 
 def page_profile(spark, sf):

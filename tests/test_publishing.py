@@ -119,7 +119,7 @@ def test_bars_that_overflow_are_no_bars(spark):
         "first_day string, last_day string, now string, ts string, reject string",
     ).withColumn("ts", F.lit("2020-01-01").cast("timestamp_ntz"))
     assert {(r.symbol, r.rule) for r in candles.bar_violations(df).collect()} >= {("B", "infinite_value"), ("C", "non_positive_price")}
-    assert [r.symbol for r in candles.to_bars(df).collect()] == ["A"]
+    assert [r.symbol for r in candles.sound_bars(df).collect()] == ["A"]
 
 
 def test_lineage_of_any_depth(spark):

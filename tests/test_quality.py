@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from tapecheck.constants import REGISTRY_COLUMNS, REGISTRY_OLD_COLUMNS
 from tapecheck.operators import quality
+from tapecheck.sources.digest import digest_of
 from tapecheck.sources import bars as bar_tables
 from tapecheck.sources import catalog, registry
 
@@ -136,8 +137,9 @@ def test_publish_and_truncate(spark, tmp_path):
     assert back.count() == 6 and set(back.columns) == set(bars.columns)
     with pytest.raises(Exception, match="(?i)exists"):
         bar_tables.write_bars(bars, root, "acme")
-    lineage = bar_tables.derive_research(spark, root, str(tmp_path / "research"), "2025-01-01", "abc").first()
-    assert (lineage.row_count, lineage.last_timestamp, lineage.source_processed_sha256) == (4, "2024-01-04T00:00:00", "abc")
+    _, recorded = digest_of(spark.read.parquet(root))  # a parent that is not the recorded one is refused, see test_publishing
+    lineage = bar_tables.derive_research(spark, root, str(tmp_path / "research"), "2025-01-01", recorded).first()
+    assert (lineage.row_count, lineage.last_timestamp, lineage.source_processed_sha256) == (4, "2024-01-04T00:00:00", recorded)
     published = spark.read.parquet(str(tmp_path / "research"))
     assert published.where("close < 0").count() == 0
     assert bar_tables.cutoff_violations(published, "2025-01-01").count() == 0
