@@ -22,12 +22,12 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def supplier_panel(spark, sf):
     """1,000 symbols at sf0.1, all cells."""
     from tapecheck.operators import signals
-    from tapecheck.operators.blocks import materialize
+    from tapecheck.operators.blocks import DAILY, materialize
     from tapecheck.operators.timeline import research_filter
     from tapecheck.plans import workload
 
     bars = research_filter(workload.bars(spark, sf, "l_suppkey"), workload.SPLITS)
-    return materialize(signals.signal_panel(bars, signals.cells()))
+    return materialize(signals.signal_panel(bars, signals.cells(), layout=DAILY))
 
 
 def grid_returns(spark, sf):
