@@ -18,8 +18,9 @@ from tapecheck.operators.blocks import materialize
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features besides the word itself.
 PREFIXES = (3, 4, 5, 6, 7)
-#: Evidence (hits of words telling for toxicity) from which a toxic text has grade 2, 3.
+#: Variety of evidence (distinct features telling for toxicity) from which a toxic text has grade 2, 3.
 GRADES_FROM = (4, 10)
+LEAST_RATE = 0.5
 SAMPLE_ROWS = 20_000
 FEATURES = 2048
 
@@ -50,7 +51,8 @@ def text_features(text: str) -> set[int]:
 class OrdinalModel:
     """``P(grade > k) = sigmoid(weights . x - thresholds[k])`` with ascending thresholds.
 
-    ``x`` is the logarithm of one plus the count of each feature in ``features`` (sorted ids).
+    ``x`` is the logarithm of one plus how often each of ``features`` (sorted ids) occurs in a thousand words, so a text
+    said twice has the same severity; at least :data:`LEAST_RATE` where it occurs, so that length does not hide it.
     """
 
     features: np.ndarray
@@ -70,8 +72,8 @@ def vectors(texts: list[str], features: np.ndarray) -> tuple[np.ndarray, np.ndar
     active: dict[str, tuple[int, ...]] = {}
     rows, columns, values = [], [], []
     for r, text in enumerate(texts):
-        counts: Counter[int] = Counter()
-        for word, n in Counter(words_of(text)).items():
+        words, counts = Counter(words_of(text)), Counter()
+        for word, n in words.items():
             found = active.get(word)
             if found is None:
                 if len(active) > 200_000:
@@ -79,9 +81,10 @@ def vectors(texts: list[str], features: np.ndarray) -> tuple[np.ndarray, np.ndar
                 active[word] = found = tuple(at[i] for i in _names[word] if i in at)
             for i in found:
                 counts[i] += n
+        total = words.total()
         rows += [r] * len(counts)
         columns += counts.keys()
-        values += counts.values()
+        values += [max(n * 1000 / total, LEAST_RATE) for n in counts.values()]
     return np.array(rows, np.int64), np.array(columns, np.int64), np.log1p(np.array(values, float))
 
 
@@ -116,10 +119,10 @@ def fit(
 ) -> OrdinalModel:
     """Fit on at most ``sample_rows`` labelled documents.
 
-    ``labels.toxic`` is 0 or 1. The grades above 0 are read off the evidence in a toxic text:
-    the number of hits of features that in the sample occur in toxic texts at least ten times as
-    often as in others; from :data:`GRADES_FROM` hits on a text has grade 2, or 3. Larger values of ``toxic`` are
-    taken as given grades. Without labelled rows every text gets grade 0.
+    Values of ``labels.toxic`` above 1 are given grades. Where it is only 0 or 1, the grades above 0 are read off the
+    variety of evidence in a toxic text: how many features it holds that in the sample occur in toxic texts at least ten times as
+    often as in others; from :data:`GRADES_FROM` on a text has grade 2, or 3. How often it repeats them and how long it is
+    does not count. Without labelled rows every text gets grade 0.
     """
     sample = materialize(labelled_sample(docs, labels, "toxic", sample_rows, fits))
     counts = feature_counts(sample, text_features)
@@ -131,29 +134,23 @@ def fit(
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows, columns, values = vectors(texts, chosen)
-            starts = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("label"),
-                    pa.ListArray.from_arrays(pa.array(starts), pa.array(columns)),
-                    pa.ListArray.from_arrays(pa.array(starts), pa.array(values)),
-                ],
-                ["label", "columns", "values"],
-            )
+            starts = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(starts, pa.array(x)) for x in (columns, values))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *lists], ["label", "columns", "values"])
 
     got = sample.mapInArrow(run, "label int, columns array<long>, values array<double>").toArrow().combine_chunks()
     grades = got.column("label").to_numpy().astype(int)
-    lists = got.column("columns").to_pylist()
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    columns = np.array([c for x in lists for c in x], np.int64)
-    values = np.array([v for x in got.column("values").to_pylist() for v in x], float)
+    lists = got.column("columns").combine_chunks()
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    columns = lists.flatten().to_numpy()
+    values = got.column("values").combine_chunks().flatten().to_numpy()
     if grades.max() <= 1:
         toxic = grades > 0
         in_toxic = np.bincount(columns[toxic[rows]], minlength=len(chosen)) / max(toxic.sum(), 1)
         in_clean = np.bincount(columns[~toxic[rows]], minlength=len(chosen)) / max((~toxic).sum(), 1)
         telling = in_toxic >= 10 * in_clean
-        hits = np.bincount(rows[telling[columns]], np.expm1(values[telling[columns]]), len(grades))
-        grades = np.where(toxic, 1 + sum((hits >= n).astype(int) for n in GRADES_FROM), 0)
+        variety = np.bincount(rows[telling[columns]], minlength=len(grades))
+        grades = np.where(toxic, 1 + sum((variety >= n).astype(int) for n in GRADES_FROM), 0)
     weights, thresholds = fit_ordinal((rows, columns, values), grades, len(chosen))
     return OrdinalModel(chosen, weights, thresholds)
 
@@ -162,8 +159,9 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``doc_id, severity, p_toxic, toxic`` for every row, from the whole text.
 
     ``severity`` is the expected grade, the sum of the probabilities to exceed each
-    threshold; ``toxic`` is ``p_toxic >= 0.5``. A NULL or empty text has no features. Repeated
-    rows are repeated; a NULL id is kept; an empty table gives an empty result.
+    threshold; ``toxic`` is ``p_toxic >= 0.5``. A NULL or empty text has no features; a text of any length is
+    read whole, in one row. Repeated rows are repeated and score alike; a NULL id is kept; extra columns are not read;
+    an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +183,11 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """``docs`` without the rows that are toxic by ``model``, columns and their types unchanged."""
+    """``docs`` without the rows that are toxic by ``model``, columns and their types unchanged.
+
+    NULL and empty texts have no features and stay where the model calls that clean; repeated rows stay or go together;
+    rows without id are judged like others. Extra columns may have any name; an empty table gives an empty result.
+    """
     names = docs.columns
     place = names.index("text")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +47,47 @@ def test_ordinal_weights_are_shared_and_thresholds_ordered():
     assert np.allclose(weights, [2, -1, 0], atol=0.2) and np.allclose(thresholds, [0.5, 2], atol=0.2)
 
 
+def graded(rng, n):
+    """Texts whose given grade follows from the worst kind of word they hold, however often and however long they are."""
+    kinds, rows = (["hm"], ["darnit", "blast"], ["vilest", "scumbag"], ["slaughterx", "obliterate"]), []
+    for i in range(n):
+        grade = i % 4
+        words = prose(rng, rng.randint(20, 200)).split()
+        for _ in range(rng.randint(1, 6)):
+            words.insert(rng.randrange(len(words)), rng.choice(kinds[grade]))
+        rows.append((i, " ".join(words), grade))
+    return rows
+
+
+def test_given_grades_and_scores_by_brute_force(spark):
+    rows = graded(random.Random(4), 800)
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.filter("doc_id < 600"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    new = [(got[i], g, t) for i, t, g in rows if i >= 600]
+    assert sum(round(r.severity) == g for r, g, _ in new) >= 0.9 * len(new)
+    assert sum(r.toxic == (g > 0) for r, g, _ in new) >= 0.95 * len(new)
+    for r, _, text in new:  # the same sums, word by word
+        many, words = Counter(), re.findall(r"[^\W\d_]+", text.lower())
+        for w in words:
+            many.update({zlib.crc32(f"={w}".encode()) % 2**20, *(zlib.crc32(f"{w[:k]}*".encode()) % 2**20 for k in range(3, 8) if len(w) >= k)})
+        x = {f: np.log1p(max(1000 * n / len(words), 0.5)) for f, n in many.items()}
+        total = sum(w * x.get(f, 0) for f, w in zip(model.features.tolist(), model.weights.tolist()))
+        p = [1 / (1 + np.exp(-min(max(total - t, -40), 40))) for t in model.thresholds]
+        assert abs(r.severity - sum(p)) < 1e-9 and abs(r.p_toxic - p[0]) < 1e-9
+
+
+def test_severity_does_not_follow_length(given, spark):
+    docs, labels = given
+    model = toxicity.fit(docs, labels)
+    some = docs.join(labels.filter("toxic = 1"), "doc_id").select("doc_id", "text").limit(60)
+    once = {r.doc_id: r.severity for r in toxicity.score(some, model).collect()}
+    five = toxicity.score(some.withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 5)), model).collect()
+    assert all(abs(once[r.doc_id] - r.severity) < 1e-9 for r in five)
+    assert len({round(s) for s in once.values()}) > 1
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark, odd_rows())
     labels = spark.createDataFrame([(7, 1, 0), (11, 1, 1), (None, 1, 1), (4, 0, None), (9, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
@@ -61,6 +105,9 @@ def test_quality_on_held_out_rows(given):
     model = quality.fit(docs, labels)
     rows = quality.score(docs, model).filter("held_out").join(labels, "doc_id").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.98 * len(rows)
+    marks = quality.score(docs, model).select("doc_id", "held_out").collect()
+    assert len(marks) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in marks)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
