@@ -12,7 +12,8 @@ def lineage_closure(catalog: DataFrame) -> DataFrame:
     """``path, root, depth, status`` for every artifact of ``catalog (path, sha256, parent_path, parent_sha256)``.
 
     Pointers double: in every round each artifact takes over the pointer of the one it points to, so a chain of n
-    steps takes log2(n) rounds of one join; a round keeps one narrow row per artifact. ``root`` is the last artifact of the
+    steps takes log2(n) rounds of one join. Artifacts whose chain has ended are only looked up in later rounds, and a round in
+    which none ends leaves rings alone, however large the table is. ``root`` is the last artifact of the
     chain, ``depth`` the steps to it. An artifact whose chain holds a step to a missing artifact is ``parent_missing``, one with
     a step whose recorded hash is not the parent's is ``hash_differs`` (if both, ``parent_missing``), and one whose chain never
     ends, in a ring or leading into one, is a ``cycle``; those have no root. Paths must be unique and not NULL.
@@ -30,26 +31,29 @@ def lineage_closure(catalog: DataFrame) -> DataFrame:
             (has & F.col("__actual").isNotNull() & ~F.col("__actual").eqNullSafe(F.col("parent_sha256"))).alias("differs"),
         )
     ).withColumn("last", F.coalesce("next", "last"))
-    total, reached = pointers.count(), 1
-    while reached <= total:  # a chain without a ring has fewer steps than there are artifacts
-        ahead = pointers.select(
+    done, open_ = pointers.where("next is null"), pointers.where("next is not null")
+    left = open_.count()
+    while left:
+        every = done.unionByName(open_)
+        ahead = every.select(
             F.col("path").alias("next"), F.col("next").alias("__next"), F.col("depth").alias("__depth"),
             F.col("last").alias("__last"), F.col("missing").alias("__missing"), F.col("differs").alias("__differs"),
         )
-        on = F.col("__next").isNotNull() | F.col("__last").isNotNull()
-        pointers = materialize(
-            pointers.join(ahead, "next", "left").select(
+        moved = materialize(
+            open_.join(ahead, "next").select(
                 "path",
                 F.col("__next").alias("next"),
-                (F.col("depth") + F.when(on, F.col("__depth")).otherwise(0)).alias("depth"),
-                F.coalesce("__last", "last").alias("last"),
-                (F.col("missing") | F.coalesce("__missing", F.lit(False))).alias("missing"),
-                (F.col("differs") | F.coalesce("__differs", F.lit(False))).alias("differs"),
+                (F.col("depth") + F.col("__depth")).alias("depth"),
+                F.col("__last").alias("last"),
+                (F.col("missing") | F.col("__missing")).alias("missing"),
+                (F.col("differs") | F.col("__differs")).alias("differs"),
             )
         )
-        reached *= 2
-        if pointers.where("next is not null").isEmpty():
+        done, open_ = done.unionByName(moved.where("next is null")), moved.where("next is not null")
+        before, left = left, open_.count()
+        if left == before:  # round r ends what is 2^(r-1) to 2^r - 1 steps from its end; if nothing is, no longer chain ends
             break
+    pointers = done.unionByName(open_)
     status = (
         F.when(F.col("next").isNotNull(), "cycle").when(F.col("missing"), "parent_missing")
         .when(F.col("differs"), "hash_differs").otherwise("ok")

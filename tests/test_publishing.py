@@ -135,3 +135,16 @@ def test_lineage_of_any_depth(spark):
     assert {got[p] for p in ("c0", "c1", "c2", "c3", "c4", "into", "self")} == {(None, None, "cycle")}
     assert got["gone"] == (None, 1, "parent_missing") and got["after"] == (None, 2, "parent_missing")
     assert got["wrong"] == ("r0", 5, "hash_differs") and got["later"] == ("r0", 6, "hash_differs")
+
+
+def test_rings_do_not_make_lineage_go_on(spark, monkeypatch):
+    """Rounds follow the longest chain that ends, not the size of a table that holds a ring; ended chains do not move again."""
+    moved = []
+    keep = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df: moved.append(keep(df)) or moved[-1])
+    rows = [(f"c{i}-{j}", "s", f"c{i}-{j - 1}" if j else None, "s") for i in range(300) for j in range(10)]
+    rows += [("x", "s", "y", "s"), ("y", "s", "x", "s")]
+    schema = "path string, sha256 string, parent_path string, parent_sha256 string"
+    got = lineage.lineage_closure(spark.createDataFrame(rows, schema))
+    assert got.where("status = 'cycle'").count() == 2 and got.where("depth = 9 and root like '%-0'").count() == 300
+    assert [df.count() for df in moved] == [3002, 2702, 2402, 1802, 602, 2]
