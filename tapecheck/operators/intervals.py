@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from tapecheck.operators.blocks import epoch_seconds, materialize, numbered, with_earlier
 
-#: Into how many parts the rows of one bin are dealt; intervals, of which there are few, are sent to each.
-PARTS = 8
-
 
 def _micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a zone-free timestamp."""
@@ -40,8 +37,11 @@ def interval_join(
 
     An interval lies in at most two bins as wide as the power of two above its length, so it is an equi-join on
     ``keys``, length class and bin with the exact test after; a row is looked up once for every length class
-    that occurs (the classes, at most 64, are read first). A long interval does not make a bin of short ones larger, and
-    the rows of a bin are dealt into parts. Rows or intervals without a key or a time join nothing.
+    that occurs among the intervals of its keys (at most 64), and not at all if there are none. A long interval does not make a bin of
+    short ones larger. Rows or intervals without a key or a time join nothing.
+
+    Spark's size estimates do not see how intervals multiply, so it is told to sort and merge: neither side is ever sent whole
+    through the driver, and Spark may split a large bin.
     """
     keys = list(keys)
     shift = 1 if closed == "right" else 0
@@ -49,16 +49,12 @@ def interval_join(
     width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1))
     level = F.length(F.conv((width - 1).cast("string"), 10, 2))
     spans = materialize(spans.withColumns({"__lo": lo, "__hi": hi}).where("__lo < __hi").withColumn("__level", level))
-    levels = sorted(r[0] for r in spans.select("__level").distinct().collect())  # at most 64
     bin_of = lambda at: F.call_function("shiftright", at, F.col("__level"))
     laid = spans.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__lo")), bin_of(F.col("__hi") - 1))))
-    laid = laid.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
-    at = rows.withColumn("__at", _micros(ts)).withColumn(
-        "__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))
-    )
-    at = at.withColumns({"__bin": bin_of(F.col("__at")), "__salt": F.pmod(F.xxhash64("__at"), F.lit(PARTS)).cast("int")})
-    met = at.join(laid, [*keys, "__level", "__bin", "__salt"]).where("__at >= __lo and __at < __hi")
-    return met.drop("__at", "__lo", "__hi", "__level", "__bin", "__salt")
+    classes = spans.select(*keys, "__level").distinct()
+    at = rows.withColumn("__at", _micros(ts)).join(classes, keys).withColumn("__bin", bin_of(F.col("__at")))
+    met = at.join(laid.hint("merge"), [*keys, "__level", "__bin"]).where("__at >= __lo and __at < __hi")
+    return met.drop("__at", "__lo", "__hi", "__level", "__bin")
 
 
 def rows_in_windows(rows: DataFrame, windows: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
@@ -82,13 +78,18 @@ def allowed_rows(
 def crossing_trips(trips: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Trips next to each window ``keys, window, start, end`` one of whose bounds they hold: entry < bound <= exit.
 
-    The bounds are looked up in the trips, so trips that cross nothing are never laid next to windows.
+    The distinct bounds are looked up in the trips, however many windows share them, so trips that cross nothing are never
+    laid next to windows. A trip that holds both bounds of a window comes once.
     """
     keys = list(keys)
-    bound = F.explode(F.array("start", "end")).alias("__bound")
-    bounds = windows.select(*keys, "window", "start", "end", bound)
+    bounds = windows.select(*keys, F.explode(F.array("start", "end")).alias("__bound")).distinct()
     met = interval_join(bounds, trips, keys, "__bound", "entry_ts", "exit_ts", closed="right")
-    return met.drop("__bound").dropDuplicates([*keys, "window", "start", "end", "entry_ts", "exit_ts"])
+    met = materialize(met.dropDuplicates([*keys, "__bound", "entry_ts", "exit_ts"]))
+    laid = windows.select(*keys, "window", "start", "end").distinct()
+    at = lambda c: laid.withColumn("__bound", F.col(c)).join(met.hint("merge"), [*keys, "__bound"]).drop("__bound")
+    # What holds the start is given there, so the end only adds trips that do not.
+    ends = at("end").where(~((F.col("entry_ts") < F.col("start")) & (F.col("start") <= F.col("exit_ts"))) | F.col("start").isNull())
+    return at("start").unionByName(ends)
 
 
 def as_of(

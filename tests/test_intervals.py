@@ -93,3 +93,28 @@ def test_places_are_without_gaps_at_any_density(spark):
         assert [i for _, i in mine] == list(range(len(mine)))
     chunks = blocks.with_blocks(rows, blocks.Positions(100, 10)).groupBy("symbol", "chunk").count()
     assert chunks.agg(F.max("count")).first()[0] == 100
+
+
+def test_intervals_are_not_broadcast(market):
+    """Their estimated size does not say how they multiply, so even a small table of them is merged."""
+    _, _, rows_df, spans_df = market
+    met = intervals.interval_join(rows_df, spans_df)
+    joins = [x for x in met._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "__bin" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_bounds_of_many_windows_are_looked_up_once(spark, monkeypatch):
+    rng = random.Random(3)
+    windows = [("A", i, at(rng.randint(0, 9)), at(rng.randint(0, 9))) for i in range(500)] + [("A", 500, None, at(5)), ("A", 500, None, at(5))]
+    trips = [("A", at(a), at(a + n)) for a in range(-2, 10) for n in (0, 1, 4)]
+    sent = []
+    join = intervals.interval_join
+    monkeypatch.setattr(intervals, "interval_join", lambda rows, *a, **k: sent.append(rows.count()) or join(rows, *a, **k))
+    out = intervals.crossing_trips(
+        spark.createDataFrame(trips, "symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz"),
+        spark.createDataFrame(windows, "symbol string, window int, start timestamp_ntz, end timestamp_ntz"), ["symbol"],
+    )
+    want = {(n, a, z) for _, n, *bounds in windows for _, a, z in trips if any(b and a < b <= z for b in bounds)}
+    got = [(r.window, r.entry_ts, r.exit_ts) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sent[0] <= 11
