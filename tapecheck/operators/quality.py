@@ -185,22 +185,22 @@ def gap_metadata_violations(meta: DataFrame, keys: Sequence[str] = ("symbol",))
     return meta.select(*keys, _named(rules).alias("rule"))
 
 
-def registry_violations(records: DataFrame) -> DataFrame:
-    """Broken parts of the finalized/dev record contract."""
+def registry_violations(records: DataFrame, keys: Sequence[str] = ("experiment_id",)) -> DataFrame:
+    """Broken parts of the finalized/dev record contract, with the ``keys`` of the record."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     final = F.col("record_status") == "finalized"
     versions = F.col("dependency_versions_json")
     filled = ~blank("dependency_versions_json")
     parsed = whole_document(versions)
-    keys = F.when(parsed.isNotNull(), F.json_object_keys(versions))
+    names = F.when(parsed.isNotNull(), F.json_object_keys(versions))
     rules = {
         "unknown_status": ~F.coalesce(F.col("record_status").isin("finalized", "dev"), F.lit(False)),
         **{f"missing_{c}": final & blank(c) for c in REGISTRY_REQUIRED},
         "working_tree_not_clean": final & ~F.coalesce(F.col("working_tree_clean") == "true", F.lit(False)),
         "versions_not_json": final & filled & parsed.isNull(),
-        "versions_not_object": final & filled & parsed.isNotNull() & keys.isNull(),
+        "versions_not_object": final & filled & parsed.isNotNull() & names.isNull(),
         "versions_key_missing": final
-        & keys.isNotNull()
-        & (F.size(F.array_intersect(keys, F.array(*[F.lit(k) for k in DEPENDENCY_KEYS]))) < len(DEPENDENCY_KEYS)),
+        & names.isNotNull()
+        & (F.size(F.array_intersect(names, F.array(*[F.lit(k) for k in DEPENDENCY_KEYS]))) < len(DEPENDENCY_KEYS)),
     }
-    return records.select("experiment_id", _named(rules).alias("rule"))
+    return records.select(*keys, _named(rules).alias("rule"))

@@ -88,7 +88,9 @@ def append_batches(
         return judged
     token = uuid.uuid4().hex
     staged = f"{root}/data/commit={token}"
-    rows.join(new.select(F.col("batch_id").alias(batch)), batch, "left_semi").select(*rows.columns).write.parquet(staged)
+    # Hashed, not sorted: the rows are wide, and a batch is one narrow row on the other side.
+    wanted = new.select(F.col("batch_id").alias(batch)).hint("shuffle_hash")
+    rows.join(wanted, batch, "left_semi").select(*rows.columns).write.parquet(staged)
     after_stage()
     # What was written is what is judged: a batch whose rows changed on the way is refused with all others.
     found = spark.read.parquet(staged)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 from tapecheck.constants import REGISTRY_COLUMNS
 from tapecheck.operators import candles
+from tapecheck.plans import workload
 from tapecheck.sources import bars as bar_tables
+from tapecheck.plans import workload
 from tapecheck.sources import digest, lineage, publish, registry
 
 ROWS = "k int, text string, batch_id string"
@@ -148,3 +150,22 @@ def test_rings_do_not_make_lineage_go_on(spark, monkeypatch):
     got = lineage.lineage_closure(spark.createDataFrame(rows, schema))
     assert got.where("status = 'cycle'").count() == 2 and got.where("depth = 9 and root like '%-0'").count() == 300
     assert [df.count() for df in moved] == [3002, 2702, 2402, 1802, 602, 2]
+
+
+def test_records_without_a_number_refuse_their_batch(spark, tmp_path):
+    """A broken record is traced by its batch, not by its own number, which may be missing or used in another batch."""
+    good = {c: "x" for c in REGISTRY_COLUMNS} | {
+        "working_tree_clean": "true", "record_status": "finalized", "test_evaluated": "false",
+        "dependency_versions_json": '{"python":"3","pandas":"2","pyarrow":"1","vectorbt":"0"}',
+    }
+    rows = [good | {"batch_id": f"b{i}", "experiment_id": e} for i, e in enumerate(("e", "e", None, "f"))]
+    rows[1]["git_commit"] = rows[2]["git_commit"] = ""
+    df = spark.createDataFrame(rows).select(*REGISTRY_COLUMNS, "batch_id")
+    said = {r.batch_id: r.status for r in registry.append_batches(df, str(tmp_path)).collect()}
+    assert said == {"b0": "appended", "b1": "refused", "b2": "refused", "b3": "appended"}
+
+
+def test_batched_records_are_read_off_the_orders(spark):
+    """No join of wide records with the table they were made of."""
+    plan = workload.batched_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
