@@ -17,6 +17,7 @@ from tapecheck.functions.decimals import (
     is_non_finite_decimal,
     to_double,
 )
+from tapecheck.operators.blocks import materialize
 from tapecheck.operators.quality import ohlcv_violations
 from tapecheck.sources.publish import append_batches
 
@@ -145,11 +146,12 @@ def publish_sound(decoded: DataFrame, root: str) -> DataFrame:
     A product with one of either is refused whole, and one that is in already is not written again: ``batch_id, rows,
     status`` as :func:`tapecheck.sources.publish.append_batches` returns them.
     """
-    rejected = decoded.where("reject is not null").select(F.col("product").alias("symbol")).distinct()
+    rejected = materialize(decoded.where("reject is not null").select(F.col("product").alias("symbol")).distinct())
     bars = to_bars(decoded).withColumn("batch_id", F.col("symbol"))
 
     def bad(rows: DataFrame) -> DataFrame:
-        broken = ohlcv_violations(rows.drop("batch_id")).select("symbol")
+        # Rules are only tried where no reject has decided already.
+        broken = ohlcv_violations(rows.drop("batch_id").join(rejected, "symbol", "left_anti")).select("symbol")
         return broken.unionByName(rejected.join(rows.select("symbol").distinct(), "symbol")).distinct().withColumnRenamed("symbol", "batch_id")
 
     return append_batches(bars, root, bad)

@@ -28,12 +28,13 @@ def averages_stream(bars: DataFrame, fast: int, slow: int) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, close, fast_gap, slow_gap, signal = state.get if state.exists else (0, None, 0.0, 0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        given = list(batches)
+        rows = (given[0] if len(given) == 1 else pd.concat(given)).sort_values("ts", kind="stable")
         out = []
-        for ts, price in zip(rows["ts"], rows["close"]):
-            at = ts.value
+        # Plain numbers: a boxed time a row costs more than the averages.
+        for at, price in zip(rows["ts"].to_numpy("datetime64[ns]").astype("int64").tolist(), rows["close"].tolist()):
             if last is not None and at <= last:
-                out.append((key[0], ts, price, None, None, None, None, True))
+                out.append((None, None, None, None, True))
                 continue
             if n:
                 fast_gap, slow_gap = keep[fast] * (fast_gap + price - close), keep[slow] * (slow_gap + price - close)
@@ -41,11 +42,14 @@ def averages_stream(bars: DataFrame, fast: int, slow: int) -> DataFrame:
             quick = price - fast_gap if n >= fast else None
             calm = price - slow_gap if n >= slow else None
             signal = int(calm is not None and quick > calm)
-            out.append((key[0], ts, price, quick, calm, signal, target, False))
+            out.append((quick, calm, signal, target, False))
         state.update((n, last, close, fast_gap, slow_gap, signal))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "fast_ema", "slow_ema", "signal", "target", "late"]).astype(
-            {"fast_ema": "Float64", "slow_ema": "Float64", "signal": "Int32", "target": "Int32"}
-        )
+        quick, calm, signals, targets, late = zip(*out)
+        yield pd.DataFrame({
+            "symbol": key[0], "ts": rows["ts"].array, "close": rows["close"].array,
+            "fast_ema": pd.array(quick, "Float64"), "slow_ema": pd.array(calm, "Float64"),
+            "signal": pd.array(signals, "Int32"), "target": pd.array(targets, "Int32"), "late": late,
+        })
 
     known = bars.where("symbol is not null and ts is not null and close is not null").select("symbol", "ts", "close")
     return known.groupBy("symbol").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 from walks import random_walk
+from tapecheck.plans import queries, workload
 from tapecheck.operators import order_statistics, signals
 from tapecheck.operators.blocks import STORED, Layout
 from tapecheck.sources import bars as bar_tables
@@ -92,3 +93,12 @@ def test_medians(spark, monkeypatch):
     assert got == {k: (len(v), statistics.median(v)) for k, v in values.items() if v}
     assert order_statistics.exact_median(df, "v").first().median == statistics.median([v for _, v in rows if v is not None])
     assert order_statistics.exact_median(df.limit(0), "v").count() == 0
+
+
+def test_parts_of_the_stream_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """A part of the history is one batch, but not one file: no task writes all of it."""
+    monkeypatch.setattr(queries, "new_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(queries, "_supplier_bars", lambda s, sf: workload.bars(s, sf, "l_suppkey").repartition(3))
+    got = queries.crossover_signal_stream(spark, "/root/testdata/sf0.001")
+    assert got.count() == workload.bars(spark, "/root/testdata/sf0.001", "l_suppkey").count()
+    assert len(spark.read.parquet(f"{tmp_path}/bars").inputFiles()) == 12
