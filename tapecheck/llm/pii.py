@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -14,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapecheck.llm.samples import sigmoid
+from tapecheck.operators.blocks import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 20_000
-#: Most candidates of the sample that the trees are fitted on.
-SAMPLE_SPANS = 40_000
+#: Up to how many different lessons the driver adds up itself (20 MB at most); more are added up in tasks.
+LOCAL_LESSONS = 100_000
+#: Features are cut at the ends of sixteen equal shares of the lessons, values above this counting as this; scores of the
+#: calibration are counted in steps of one part in this many.
+MOST_VALUE, SCORE_STEPS = 100, 4096
 #: Share of the selected spans of the calibration half that must be right.
 PRECISION = 0.98
 
@@ -271,73 +276,166 @@ class BoostedTrees:
         return sigmoid(total)
 
 
-def fit_trees(
-    x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, l2: float = 1.0
-) -> BoostedTrees:
-    """Gradient boosting of the logistic loss; splits maximise the second-order gain over value quantiles."""
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
-    prior = float(np.log(share / (1 - share)))
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[:-1])) if len(x) else np.zeros(1) for f in range(x.shape[1])]
-    inner, score = 2**depth - 1, np.full(len(x), prior)
-    feature, cut, leaf = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
+def _cut_points(values: np.ndarray) -> list[np.ndarray]:
+    """Where to cut each feature, from how many lessons have each of its values (features x values)."""
+    out = []
+    for counts in values:
+        below = np.cumsum(counts)
+        at = np.searchsorted(below, np.arange(16) / 16 * max(below[-1], 1), side="right")
+        out.append(np.unique(np.minimum(at, MOST_VALUE)).astype(float))
+    return out
+
+
+def _value_counts(lessons: "Lessons") -> np.ndarray:
+    n = MOST_VALUE + 1
+    at = np.clip(lessons.x, 0, MOST_VALUE).astype(np.int64)
+    return np.stack([np.bincount(at[:, f], lessons.w, n) for f in range(at.shape[1])])
+
+
+def _gradients(lessons: "Lessons", model: BoostedTrees, tree: int, level: int, cuts: list[np.ndarray]) -> np.ndarray:
+    """Sums of first and second derivatives by node of a level, feature, and number of cuts below the value.
+
+    ``model`` holds the trees before ``tree`` and the levels above ``level`` of it.
+    """
+    p = sigmoid(lessons.raw(model, tree))
+    g, h = lessons.w * (p - lessons.y), lessons.w * p * (1 - p)
+    rows, node = np.arange(len(p)), np.zeros(len(p), np.int64)
+    for _ in range(level):
+        node = 2 * node + 1 + (lessons.x[rows, model.feature[tree, node]] > model.cut[tree, node])
+    node -= 2**level - 1
+    size, nodes = 17, 2**level
+    out = np.zeros((2, nodes, len(cuts), size))
+    for f, points in enumerate(cuts):
+        at = node * size + lessons.place(f, points)
+        for i, d in enumerate((g, h)):
+            out[i, :, f] = np.bincount(at, d, nodes * size).reshape(nodes, size)
+    return out
+
+
+def _score_counts(lessons: "Lessons", model: BoostedTrees) -> np.ndarray:
+    """Lessons and right ones by kind and step of the score."""
+    n = SCORE_STEPS + 1
+    step = np.floor(sigmoid(lessons.raw(model, len(model.leaf))) * SCORE_STEPS).astype(np.int64)
+    at = lessons.x[:, : len(KINDS)].argmax(axis=1) * n + step if len(step) else step
+    return np.stack([np.bincount(at, d, len(KINDS) * n).reshape(len(KINDS), n) for d in (lessons.w, lessons.w * lessons.y)])
+
+
+class Lessons:
+    """Different lessons with the number of times each occurs; trees finished so far are scored once."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
+        self.x, self.y, self.w = x, y, w
+        self._raw, self._done = np.zeros(len(x)), 0
+        self._places: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def of(table: pa.Table | pa.RecordBatch) -> "Lessons":
+        flat = [np.asarray(v, float) for v in table.column("x").to_pylist()]
+        y, w = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "w"))
+        return Lessons(np.array(flat, float).reshape(len(flat), len(FEATURES)), y, w)
+
+    def raw(self, model: BoostedTrees, trees: int) -> np.ndarray:
+        rows = np.arange(len(self.x))
+        for t in range(self._done, trees):
+            at = np.zeros(len(self.x), np.int64)
+            while len(at) and at[0] < model.feature.shape[1]:
+                at = 2 * at + 1 + (self.x[rows, model.feature[t, at]] > model.cut[t, at])
+            self._raw += model.leaf[t, at - model.feature.shape[1]]
+        self._done = trees
+        return self._raw + model.prior
+
+    def place(self, f: int, points: np.ndarray) -> np.ndarray:
+        if f not in self._places:
+            self._places[f] = np.searchsorted(points, self.x[:, f], side="left")
+        return self._places[f]
+
+
+def _adder(rows: DataFrame):
+    """Adds up ``part(lessons, *arguments)`` over the table ``x, y, w``: in the driver if it is small, else in tasks."""
+    if rows.limit(LOCAL_LESSONS + 1).count() <= LOCAL_LESSONS:
+        lessons = Lessons.of(rows.toArrow())
+        return lambda part, *arguments: part(lessons, *arguments)
+
+    def add(part, *arguments) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = part(Lessons.of(batch), *arguments).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["at", "v"])
+
+        summed = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(part(Lessons(np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0)), *arguments).shape)
+        out.ravel()[summed.column("at").to_numpy()] = summed.column("v").to_numpy()
+        return out
+
+    return add
+
+
+def fit_trees(add, share: float, trees: int = 40, depth: int = 3, rate: float = 0.3, l2: float = 1.0) -> BoostedTrees:
+    """Gradient boosting of the logistic loss; splits maximise the second-order gain over value quantiles.
+
+    ``add`` sums over the lessons (:func:`_adder`), so what is held is sums by node, feature and cut, however many there are.
+    """
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    inner = 2**depth - 1
+    model = BoostedTrees(
+        float(np.log(share / (1 - share))), np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf),
+        np.zeros((trees, inner + 1)), (1.0,) * len(KINDS),
+    )
+    cuts = _cut_points(add(_value_counts))
     for t in range(trees):
-        p = sigmoid(score)
-        g, h, at = p - y, p * (1 - p), np.zeros(len(x), np.int64)
-        for node in range(inner):
-            mine = np.flatnonzero(at == node)
-            best = 1e-6
-            for f, values in enumerate(cuts):
-                right = x[mine, f][:, None] > values[None, :]
-                gr, hr = g[mine] @ right, h[mine] @ right
-                gl, hl = g[mine].sum() - gr, h[mine].sum() - hr
-                gain = gr**2 / (hr + l2) + gl**2 / (hl + l2) - g[mine].sum() ** 2 / (h[mine].sum() + l2)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, feature[t, node], cut[t, node] = gain[k], f, values[k]
-            at[mine] = 2 * node + 1 + (x[mine, feature[t, node]] > cut[t, node])
-        for i in range(inner + 1):
-            mine = at == inner + i
-            leaf[t, i] = -rate * g[mine].sum() / (h[mine].sum() + l2)
-        score += leaf[t, at - inner]
-    return BoostedTrees(prior, feature, cut, leaf, (1.0,) * len(KINDS))
-
-
-def calibrated(model: BoostedTrees, x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> BoostedTrees:
-    """For each kind the lowest threshold at which that share of the selected candidates is right."""
-    p, out = model.scores(x), []
+        for level in range(depth):
+            sums = add(_gradients, model, t, level, cuts)
+            for n in range(2**level):
+                g, h = sums[0, n], sums[1, n]
+                whole_g, whole_h = g[0].sum(), h[0].sum()
+                best, node, left = 1e-6, 2**level - 1 + n, (whole_g, whole_h)
+                for f, points in enumerate(cuts):
+                    gl, hl = np.cumsum(g[f])[: len(points)], np.cumsum(h[f])[: len(points)]
+                    gr, hr = whole_g - gl, whole_h - hl
+                    gain = gr**2 / (hr + l2) + gl**2 / (hl + l2) - whole_g**2 / (whole_h + l2)
+                    k = int(np.argmax(gain))
+                    if gain[k] > best:
+                        best, model.feature[t, node], model.cut[t, node], left = gain[k], f, points[k], (gl[k], hl[k])
+                if level == depth - 1:
+                    right = whole_g - left[0], whole_h - left[1]
+                    model.leaf[t, 2 * n : 2 * n + 2] = [-rate * a / (b + l2) for a, b in (left, right)]
+    return model
+
+
+def calibrated(model: BoostedTrees, add, precision: float = PRECISION) -> BoostedTrees:
+    """For each kind the lowest threshold, in steps, at which that share of the selected candidates is right."""
+    found = add(_score_counts, model)
+    counts, right = (np.cumsum(c[:, ::-1], axis=1)[:, ::-1] for c in found)
+    out = []
     for k in range(len(KINDS)):
-        mine = x[:, k] > 0
-        order = np.argsort(-p[mine], kind="stable")
-        scores, right = p[mine][order], np.cumsum(y[mine][order])
-        last = np.append(scores[1:] < scores[:-1], True)[: len(scores)]
-        good = np.flatnonzero(last & (right / np.arange(1, len(scores) + 1) >= precision))
-        out.append(float(scores[good[-1]]) if len(good) else 2.0)
+        good = np.flatnonzero((found[0, k] > 0) & (right[k] >= precision * counts[k]))
+        out.append(float(good[0] / SCORE_STEPS) if len(good) else 2.0)
     return BoostedTrees(model.prior, model.feature, model.cut, model.leaf, tuple(out))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, spans: int = SAMPLE_SPANS) -> BoostedTrees:
-    """Fit on the candidates in at most ``sample_rows`` documents, without hand-made labels.
+def fit(docs: DataFrame, sample_rows: int | None = None) -> BoostedTrees:
+    """Fit on the candidates in all documents, or in ``sample_rows`` of them if that is given, without hand-made labels.
 
     Base spans are right. Each of them also gives examples in looser formats (:func:`lessons`): right ones, and hard wrong
     ones that pass every test but stand where the text says they are something else. Candidates that overlap no base
     span and fail the check of their kind are wrong; those that pass it may be real and nobody knows, so they count
-    neither way. One half of every sort of candidate grows the trees, the other calibrates a threshold for each kind, without
-    base spans: those stay at any threshold. Labels are not read. Without any candidate nothing but base spans is selected.
+    neither way. One half of the candidates, by a hash of what is seen of them, grows the trees, the other calibrates a threshold
+    for each kind, without base spans: those stay at any threshold. Labels are not read. Without any candidate nothing but
+    base spans is selected.
+
+    Lessons that look the same are counted in Spark, so their number follows the variety of formats and contexts.
+    Trees and thresholds need sums over them only.
     """
-    chosen = (
-        docs.filter(F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("__id"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(sample_rows)
-        .distinct()
-    )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    sample = docs.select("text")
+    if sample_rows is not None:
+        chosen = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        sample = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ys, bases, xs = [], [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                text = text or ""
+            seen: Counter = Counter()
+            for text in batch.column("text"):
+                text = text.as_py() or ""
                 found = proposals(text)
                 valid = [span for span, right in found if right]
                 for (k, start, end), right in found:
@@ -347,34 +445,26 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, spans: int = SAMPLE_SPA
                         continue
                     cases = [(float(right), text, (k, start, end)), *(lessons(text, (k, start, end)) if right else ())]
                     for n, (y, body, span) in enumerate(cases):
-                        ids.append(i)
-                        ys.append(y)
-                        bases.append(right and not n)
-                        xs.append(describe(body, span))
+                        _, s, e = span
+                        shown = f"{k}:{n}:{body[max(0, s - 40) : e + 8]}"
+                        grows = zlib.crc32(shown.encode("utf-8", "surrogatepass")) % 2 == 0
+                        x = tuple(min(v, float(MOST_VALUE)) for v in describe(body, span))
+                        seen[grows, right and not n, y, x] += 1
+            grows, base, y, x = zip(*seen) if seen else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
-                    pa.array(ys, pa.float64()),
-                    pa.array(bases, pa.bool_()),
-                    pa.array(xs, pa.list_(pa.float64())),
+                    pa.array(grows, pa.bool_()), pa.array(base, pa.bool_()), pa.array(y, pa.float64()),
+                    pa.array(x, pa.list_(pa.float64())), pa.array(list(seen.values()), pa.int64()),
                 ],
-                ["doc_id", "y", "base", "x"],
-            )
-
-    rows = (
-        sample.mapInArrow(run, "doc_id long, y double, base boolean, x array<double>")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "x", "base")
-        .limit(spans)
-        .collect()
-    )
-    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    y = np.array([r["y"] for r in rows], float)
-    base = np.array([r["base"] for r in rows], bool)
-    sort = x[:, : len(KINDS)] @ np.arange(len(KINDS)) * 4 + y * 2 + base
-    grows = np.zeros(len(rows), bool)
-    for one in np.unique(sort):
-        grows[np.flatnonzero(sort == one)[::2]] = True
-    return calibrated(fit_trees(x[grows], y[grows]), x[~grows & ~base], y[~grows & ~base])
+                ["grows", "base", "y", "x", "w"],
+            )
+
+    counted = sample.mapInArrow(run, "grows boolean, base boolean, y double, x array<double>, w long")
+    counted = materialize(counted.groupBy("grows", "base", "y", "x").agg(F.sum("w").alias("w")))
+    growing = counted.where("grows")
+    total = growing.agg(F.sum("w"), F.sum(F.col("w") * F.col("y"))).first()
+    model = fit_trees(_adder(growing.select("x", "y", "w")), total[1] / total[0] if total[0] else 0.5)
+    return calibrated(model, _adder(counted.where("not grows and not base").select("x", "y", "w")))
 
 
 def spans_of(text: str, model: BoostedTrees) -> tuple[list[Span], list[Span]]:

@@ -237,3 +237,18 @@ def test_trees_weigh_format_and_context(given):
         found = any(pii.KINDS[k] == kind and s <= start < e for k, s, e in pii.spans_of(text, model)[1])
         right, wrong, missed = right + (found and real), wrong + (found and not real), missed + (real and not found)
     assert right >= 0.95 * (right + missed) and right >= 0.95 * (right + wrong), (right, wrong, missed)
+
+
+def test_every_document_teaches(spark, monkeypatch):
+    """Twice the documents are twice the lessons, and sums in tasks give the trees that sums in the driver give."""
+    text = "call +1 415 555 {0} now or write to u{0}@mail.example, order 4111.1111.1111.{0}"
+    rows = [(i, text.format(1000 + i)) for i in range(300)]
+    counted, keep = [], pii._adder
+    monkeypatch.setattr(pii, "_adder", lambda r: counted.append(r.agg(F.sum("w")).first()[0]) or keep(r))
+    here = pii.fit(documents(spark, rows))
+    pii.fit(documents(spark, rows + [(1000 + i, t) for i, t in rows]))
+    assert counted[2:] == [2 * n for n in counted[:2]] and sum(counted) > 3 * 2 * len(rows)
+    monkeypatch.setattr(pii, "LOCAL_LESSONS", 0)
+    far = pii.fit(documents(spark, rows))
+    assert np.array_equal(here.feature, far.feature) and np.array_equal(here.cut, far.cut)
+    assert np.allclose(here.leaf, far.leaf) and here.threshold == far.threshold
