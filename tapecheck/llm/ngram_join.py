@@ -38,12 +38,19 @@ def _name(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True) or 1
 
 
-def _least(size: int, how: Joining) -> int:
-    """How many of the first shingles of a set a similar one must have among its own (see :func:`_marks`)."""
+def _shown(size: int, how: Joining) -> int:
+    """The ``r`` of a set of this size (see :func:`_marks`); it does not fall with the size. 0 if only equal sets are similar."""
     slack = size - how.prefixes.least_shared(size)
+    if not slack:  # all must be shared, but a similar set may have more
+        return int(size * 100 // how.percent > size)
     return min(slack, size - slack)
 
 
+def _least(size: int, how: Joining) -> int:
+    """How many of the first shingles of a set every similar one has among its own: what the smallest of those shows."""
+    return _shown(how.prefixes.least_shared(size), how)
+
+
 def _sized(docs: DataFrame, how: Joining) -> DataFrame:
     """``doc_id, n_shingles, same, name, least``; texts without words have no ``same``."""
 
@@ -128,7 +135,7 @@ def _marks(docs: DataFrame, how: Joining, parts: int) -> DataFrame:
         for batch in batches:
             for text in batch.column("text"):
                 found = shingle_set(split_words(text.as_py()), how.words)
-                r = _least(len(found), how)
+                r = _shown(len(found), how)
                 if r:
                     head = found[: len(found) - how.prefixes.least_shared(len(found)) + r]
                     tokens.append(head)
@@ -164,7 +171,7 @@ def _marks(docs: DataFrame, how: Joining, parts: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, nodes: DataFrame, how: Joining) -> DataFrame:
     """Full sets ``node, same, shingles`` of the nodes that enough of whose first shingles others hold too."""
-    able = nodes.filter("node IS NOT NULL AND least > 0")  # smaller sets are linked with equal ones only
+    able = nodes.filter("node IS NOT NULL AND least > 0")  # others are linked with equal ones only
     total = able.agg(F.sum(F.col("least") * 2)).first()[0] or 0
     marks = _marks(docs, how, max(64, total // CHUNK))
     likely = marks.join(able, "name").filter("n >= least")

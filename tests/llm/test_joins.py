@@ -90,3 +90,28 @@ def test_odd_rows(spark):
     assert {by[20 + i].component_id for i in range(5)} == {20}
     assert [r.component_id for r in got if r.doc_id is None and r.n_shingles == 1].count(4) == 1
     assert ngram_join.ngram_classes(documents(spark, [])).count() == 0
+
+
+def test_a_set_inside_a_slightly_larger_one_is_linked(spark):
+    """Nine shingles of which a text of ten has all: at 90 percent, with nothing to spare on the smaller side."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(5, " ".join(words[:12])), (3, " ".join(words[:11])), (7, " ".join(words[1:12])), (1, " ".join(words[20:31]))], "doc_id long, text string")
+    got = ngram_join.ngram_classes(docs, ngram_join.Joining(words=3, prefixes=Prefixes(percent=90)))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == {(5, 10, 3), (3, 9, 3), (7, 9, 3), (1, 9, 1)}
+
+
+def test_the_screen_marks_both_of_similar_sets():
+    """By counting, for all sizes: what either shows of the shared shingles covers what the other asks for."""
+    for percent in (50, 66, 80, 90, 95):
+        how = ngram_join.Joining(words=3, prefixes=Prefixes(percent=percent))
+        least = [ngram_join._least(n, how) for n in range(400)]
+        r = [ngram_join._shown(n, how) for n in range(400)]
+        head = [n - how.prefixes.least_shared(n) + r[n] if r[n] else 0 for n in range(400)]
+        for m in range(1, 200):
+            for n in range(m, m * 100 // percent + 1):
+                c = -(-percent * (m + n) // (100 + percent))
+                if m == n == c:
+                    continue
+                for shared in range(c, m + (m < n)):
+                    seen = min(head[m] - (m - shared), head[n] - (n - shared))
+                    assert seen >= max(least[m], least[n]) > 0, (percent, m, n, shared)
