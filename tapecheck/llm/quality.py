@@ -44,10 +44,12 @@ STRUCTURE = (
 _STOPS = np.array([ord(x) for x in ".,;:?'\"()-_"], np.uint32)
 
 
-def word_features(text: str) -> set[int]:
-    """Hashes of the words and of their last three characters."""
-    words = set(text.lower().split())
-    return {feature_id(w) for w in words} | {feature_id(f"*{w[-3:]}") for w in words}
+def word_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of texts and hashes of the words that each has and of their last three characters, every pair once."""
+    for row, text in enumerate(column.to_pylist()):
+        words = set((text or "").lower().split())
+        ids = {feature_id(w) for w in words} | {feature_id(f"*{w[-3:]}") for w in words}
+        yield np.full(len(ids), row), np.fromiter(ids, np.int64)
 
 
 class _Words(dict):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,14 @@ def feature_id(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) & (SPACE - 1)
 
 
+def feature_ids(mark: str, names: pa.Array, end: str = "") -> np.ndarray:
+    """:func:`feature_id` of all ``names`` between ``mark`` and ``end``; equal names are hashed once."""
+    found = pc.binary_join_element_wise(mark, names, end, "").dictionary_encode()
+    hashes = map(zlib.crc32, found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))
+    known = np.fromiter(hashes, np.int64, len(found.dictionary)) & (SPACE - 1)
+    return known[found.indices.to_numpy()]
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, fits: Column | None = None
 ) -> DataFrame:
@@ -47,18 +56,22 @@ def labelled_sample(
     return once.select("row.text", "row.n_chars", "label")
 
 
-def feature_counts(sample: DataFrame, features: Callable[[str], Iterable[int]]) -> DataFrame:
+def feature_counts(
+    sample: DataFrame, features: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
+) -> DataFrame:
     """``feature, n0, n1``: in how many texts of either label each hashed feature occurs.
 
-    Every task adds up in two arrays of the hash space and sends what is not zero.
+    ``features`` gives texts of a column, by number, and the features that each has, every pair once. Every task adds
+    up in two arrays of the hash space and sends what is not zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, SPACE), np.int64)
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                ids = np.fromiter(features(text.as_py() or ""), np.int64)
-                seen[int(label > 0), np.unique(ids)] += 1
+            high = batch.column("label").to_numpy() > 0
+            for texts, ids in features(batch.column("text")):
+                for k in (0, 1):
+                    seen[k] += np.bincount(ids[high[texts] == k], minlength=SPACE)
         used = np.flatnonzero(seen.sum(axis=0))
         for at in range(0, len(used), 50_000):
             some = used[at : at + 50_000]

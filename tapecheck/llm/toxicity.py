@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapecheck.llm.samples import Adam, feature_counts, feature_id, labelled_sample, sigmoid, telling_features
+from tapecheck.llm.samples import SPACE, Adam, feature_counts, feature_ids, labelled_sample, sigmoid, telling_features
+from tapecheck.llm.text import distinct, word_slices
 from tapecheck.operators.blocks import materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -23,28 +24,54 @@ GRADES_FROM = (4, 10)
 LEAST_RATE = 0.5
 SAMPLE_ROWS = 20_000
 FEATURES = 2048
-
-
-class _Names(dict):
-    """Feature ids of a word: of the whole and of its beginnings. Emptied when full."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        ids = {feature_id(f"={word}"), *(feature_id(f"{word[:n]}*") for n in PREFIXES if len(word) >= n)}
-        self[word] = value = tuple(ids)
-        return value
-
-
-_names = _Names()
+#: ASCII letters become small, other ASCII ends a word; what else a word holds is looked at once it is cut.
+_KEPT = np.array([c if c >= 128 else ord(chr(c).lower()) * chr(c).isalpha() for c in range(256)], np.uint8)
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def text_features(text: str) -> set[int]:
-    return {i for word in set(words_of(text)) for i in _names[word]}
+def _words(column: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """For slices ``start, stop`` of a column of texts: words, and of every place in them the number of its word and text.
+
+    They are :func:`words_of` every text, but equal runs of letters are looked at once a slice.
+    """
+    column = column.cast(pa.large_string())
+    if pc.any(pc.match_substring(column, "Σ")).as_py():  # becomes what the letters around it demand
+        column = pa.array([t.lower() if t and "Σ" in t else t for t in column.to_pylist()], pa.large_string())
+    for start, stop, runs, text in word_slices(column, _KEPT):
+        known, many = [], np.ones(len(runs.dictionary), np.int64)
+        for i, run in enumerate(runs.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False)):
+            if (low := run.lower()).isalpha():
+                known.append(low)
+            else:
+                known += (parts := words_of(low))
+                many[i] = len(parts)
+        run = runs.indices.to_numpy()
+        times = many[run]
+        before = np.cumsum(times) - times
+        word = np.arange(times.sum()) + np.repeat((np.cumsum(many) - many)[run] - before, times)
+        yield start, stop, pa.array(known, pa.string()), word, np.repeat(text, times)
+
+
+def _features(words: pa.Array) -> Iterator[np.ndarray]:
+    """Feature ids of the whole words, then of their beginnings of every length; -1 where a word has none or has it already."""
+    sizes, layers = pc.utf8_length(words).to_numpy(), []
+    for n in (None, *PREFIXES):
+        ids = feature_ids("", pc.utf8_slice_codeunits(words, 0, n), "*") if n else feature_ids("=", words)
+        again = [ids == x for x in layers]
+        layers.append(np.where(np.logical_or.reduce([sizes < (n or 0), *again]), -1, ids))
+        yield layers[-1]
+
+
+def text_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of texts and the ids of their features, every pair once."""
+    for start, _, words, word, text in _words(column):
+        text, word = np.divmod(distinct(text * len(words) + word), max(len(words), 1))
+        pairs = [text[ids[word] >= 0] * SPACE + ids[word][ids[word] >= 0] for ids in _features(words)]
+        text, ids = np.divmod(distinct(np.concatenate(pairs)), SPACE)
+        yield start + text, ids
 
 
 @dataclass(frozen=True)
@@ -59,33 +86,29 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def exceeding(self, texts: list[str]) -> np.ndarray:
+    def exceeding(self, texts: pa.Array) -> np.ndarray:
         """For every text the probabilities that its grade exceeds 0, 1, ..."""
         rows, columns, values = vectors(texts, self.features)
         score = np.bincount(rows, values * self.weights[columns], len(texts)) if len(rows) else np.zeros(len(texts))
         return sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def vectors(texts: list[str], features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def vectors(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows over the chosen features: row numbers, positions and values."""
-    at = {int(f): i for i, f in enumerate(features)}
-    active: dict[str, tuple[int, ...]] = {}
-    rows, columns, values = [], [], []
-    for r, text in enumerate(texts):
-        words, counts = Counter(words_of(text)), Counter()
-        for word, n in words.items():
-            found = active.get(word)
-            if found is None:
-                if len(active) > 200_000:
-                    active.clear()
-                active[word] = found = tuple(at[i] for i in _names[word] if i in at)
-            for i in found:
-                counts[i] += n
-        total = words.total()
-        rows += [r] * len(counts)
-        columns += counts.keys()
-        values += [max(n * 1000 / total, LEAST_RATE) for n in counts.values()]
-    return np.array(rows, np.int64), np.array(columns, np.int64), np.log1p(np.array(values, float))
+    place = np.full(SPACE + 1, -1)  # the last is for the id -1
+    place[features] = np.arange(len(features))
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for start, stop, words, word, text in _words(texts):
+        total, cells = np.bincount(text, minlength=stop - start), []
+        for ids in _features(words):
+            at = place[ids][word]
+            hit = np.flatnonzero(at >= 0)
+            cells.append(text[hit] * len(features) + at[hit])
+        cells, counts = np.unique(np.concatenate(cells), return_counts=True)
+        row, column = np.divmod(cells, max(len(features), 1))
+        parts.append((start + row, column, np.maximum(counts * 1000 / total[row], LEAST_RATE)))
+    rows, columns, values = map(np.concatenate, zip(*parts))
+    return rows, columns, np.log1p(values)
 
 
 def fit_ordinal(
@@ -132,9 +155,8 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows, columns, values = vectors(texts, chosen)
-            starts = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32))
+            rows, columns, values = vectors(batch.column("text"), chosen)
+            starts = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = (pa.ListArray.from_arrays(starts, pa.array(x)) for x in (columns, values))
             yield pa.RecordBatch.from_arrays([batch.column("label"), *lists], ["label", "columns", "values"])
 
@@ -166,7 +188,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.exceeding([t or "" for t in batch.column("text").to_pylist()])
+            p = model.exceeding(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -193,7 +215,7 @@ def without_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.exceeding([t or "" for t in batch.column(place).to_pylist()])
+            p = model.exceeding(batch.column(place))
             yield batch.filter(pa.array(p[:, 0] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
