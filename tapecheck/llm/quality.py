@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import operator
-from collections import Counter
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapecheck.llm.samples import Adam, feature_counts, feature_id, labelled_sample, sigmoid, telling_features
+from tapecheck.llm.samples import SPACE, Adam, feature_counts, feature_ids, labelled_sample, sigmoid, telling_features
+from tapecheck.llm.text import SLICE_BYTES, bodies, byte_slices, distinct
 from tapecheck.operators.blocks import materialize
 
 SAMPLE_ROWS = 6_000
@@ -41,75 +42,96 @@ STRUCTURE = (
 )
 
 
-_STOPS = np.array([ord(x) for x in ".,;:?'\"()-_"], np.uint32)
+#: Kind of a character by its first byte: nothing (later bytes too), small and other letters, capitals, digits, marks, stops.
+_NOTHING, _LETTER, _CAPITAL, _DIGIT, _MARK, _STOP = range(6)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[:33], _KIND[128:192], _KIND[0xC3:] = _NOTHING, _NOTHING, _LETTER
+for _kind, _characters in ((_LETTER, string.ascii_lowercase), (_CAPITAL, string.ascii_uppercase), (_DIGIT, string.digits), (_STOP, ".,;:?'\"()-_")):
+    _KIND[list(_characters.encode())] = _kind
+#: Rows of a vector table at most.
+ROWS = 2000
 
 
-def word_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of texts and hashes of the words that each has and of their last three characters, every pair once."""
-    for row, text in enumerate(column.to_pylist()):
-        words = set((text or "").lower().split())
-        ids = {feature_id(w) for w in words} | {feature_id(f"*{w[-3:]}") for w in words}
-        yield np.full(len(ids), row), np.fromiter(ids, np.int64)
+def _words(column: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """For slices ``start, stop`` of a column of texts: distinct words, and of every place in them the number of its word and text."""
+    _, at = bodies(column)
+    for start, stop in byte_slices(at, SLICE_BYTES):
+        for first in range(start, stop, ROWS):
+            part = pc.fill_null(column.slice(first, min(ROWS, stop - first)), "")
+            lists = pc.utf8_split_whitespace(part)
+            words = lists.flatten().dictionary_encode()
+            word, text = words.indices.to_numpy(), np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+            there = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[word]  # blanks at an end leave an empty word
+            yield first, first + len(part), words.dictionary, word[there], text[there]
 
 
-class _Words(dict):
-    """Facts of a word: length, whether long, ending in a mark or shouted, and its places in a vector.
+def _features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of their last three characters, in small letters."""
+    low = pa.array([w.lower() for w in words.to_numpy(zero_copy_only=False)], pa.string())
+    return feature_ids("", low), feature_ids("*", pc.utf8_slice_codeunits(low, -3))
 
-    Emptied when full, so memory stays bounded.
-    """
 
-    def __init__(self, chosen: np.ndarray):
-        self.at = {int(f): i + len(STRUCTURE) for i, f in enumerate(chosen)}
+def word_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of texts and the features of the words that each has, every pair once."""
+    for start, _, words, word, text in _words(column):
+        text, ids = np.divmod(distinct(np.concatenate([text * SPACE + ids[word] for ids in _features(words)])), SPACE)
+        yield start + text, ids
+
 
-    def __missing__(self, word: str) -> tuple:
-        if len(self) > 200_000:
-            self.clear()
-        low, end = word.lower(), word[-1]
-        places = [self.at[i] for i in (feature_id(low), feature_id(f"*{low[-3:]}")) if i in self.at]
-        marked = not end.isalnum() and end not in ".,;:?!"
-        self[word] = facts = (len(word), len(word) > 15, marked, len(word) > 1 and word.isupper(), places)
-        return facts
+def _marked(words: pa.Array) -> np.ndarray:
+    """Whether words end in a character that neither letters and digits nor sentences end in."""
+    ends = pc.utf8_slice_codeunits(words, -1).dictionary_encode()
+    odd = [not end.isalnum() and end not in ".,;:?!" for end in ends.dictionary.to_pylist()]
+    return np.array(odd, bool)[ends.indices.to_numpy()]
 
 
-def describe(text: str, stated: int | None, facts: _Words, out: np.ndarray) -> None:
-    """Fill one zero row: shares and sizes of a whole text, then the shares of chosen words.
+def vectors(column: pa.Array, stated: pa.Array, chosen: np.ndarray) -> Iterator[np.ndarray]:
+    """A row for each text, in slices: shares and sizes of a whole text, then the shares of chosen words.
 
-    ``stated`` is the size that the metadata gives; without it the real one is used.
+    ``stated`` are the sizes that the metadata gives; without one the real one is used.
     """
-    n, words, lines = len(text), text.split(), [x for x in text.split("\n") if x.strip()]
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    capital, digit = (c >= 65) & (c <= 90), (c >= 48) & (c <= 57)
-    letter = capital | ((c >= 97) & (c <= 122)) | (c >= 192)
-    stop = np.isin(c, _STOPS)
-    mark = ~(letter | digit | stop | (c <= 32))
-    counts, many = Counter(words), max(len(words), 1)
-    length = long = marked = shouted = 0
-    for word, times in counts.items():
-        size, is_long, is_marked, is_shouted, places = facts[word]
-        length += size * times
-        long += is_long * times
-        marked += is_marked * times
-        shouted += is_shouted * times
-        for place in places:
-            out[place] += times
-    k = len(STRUCTURE)
-    out[k:] = np.log1p(out[k:] * (100 / many)) / 3
-    out[:k] = [
-        *(x.sum() / max(n, 1) for x in (letter, capital, digit, mark, stop)),
-        min(length / many / 20, 1),
-        long / many,
-        marked / many,
-        shouted / many,
-        len(counts) / many,
-        max(counts.values(), default=0) / many,
-        sum(map(operator.eq, words, words[1:])) / many,
-        min(n / max(len(lines), 1) / 500, 1),
-        len(set(lines)) / max(len(lines), 1),
-        np.log1p(len(words)) / 10,
-        np.log1p(n) / 12,
-        np.log1p(max(n if stated is None else stated, 0)) / 12,
-        float(not words),
-    ]
+    place = np.full(SPACE, -1)
+    place[chosen] = np.arange(len(chosen))
+    for start, stop, words, word, text in _words(column):
+        n, texts = stop - start, column.slice(start, stop - start)
+        body, at = bodies(texts)
+        kinds = np.bincount(np.repeat(np.arange(n) * 6, np.diff(at)) + _KIND[body], minlength=n * 6).reshape(n, 6)
+        size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy()
+        given = pc.coalesce(stated.slice(start, n), pa.array(size, pa.int64())).to_numpy()
+        lines = [[x for x in t.split("\n") if x.strip()] if t else [] for t in texts.to_pylist()]
+        n_lines = np.maximum([len(x) for x in lines], 1)
+
+        lengths = pc.utf8_length(words).to_numpy()
+        shouts = np.array([w.isupper() for w in words.to_numpy(zero_copy_only=False)], bool) & (lengths > 1)
+        n_words = np.bincount(text, minlength=n)
+        many = np.maximum(n_words, 1)
+        again = (word[1:] == word[:-1]) & (text[1:] == text[:-1])
+        of_text, times = np.unique(text * len(words) + word, return_counts=True)
+        of_text, word_of = np.divmod(of_text, max(len(words), 1))
+        commonest = np.zeros(n, np.int64)
+        np.maximum.at(commonest, of_text, times)
+
+        shares = np.zeros(n * len(chosen))
+        for ids in _features(words):
+            column_of = place[ids][word_of]
+            hit = np.flatnonzero(column_of >= 0)
+            shares += np.bincount(of_text[hit] * len(chosen) + column_of[hit], times[hit], len(shares))
+        structure = [
+            *(x / np.maximum(size, 1) for x in (kinds[:, _LETTER] + kinds[:, _CAPITAL], *kinds[:, _CAPITAL:].T)),
+            np.minimum(np.bincount(text, lengths[word], n) / many / 20, 1),
+            *(np.bincount(text[x[word]], minlength=n) / many for x in (lengths > 15, _marked(words), shouts)),
+            np.bincount(of_text, minlength=n) / many,
+            commonest / many,
+            np.bincount(text[1:][again], minlength=n) / many,
+            np.minimum(size / n_lines / 500, 1),
+            np.array([len(set(x)) for x in lines]) / n_lines,
+            np.log1p(n_words) / 10,
+            np.log1p(size) / 12,
+            np.log1p(np.maximum(given, 0)) / 12,
+            n_words == 0,
+        ]
+        shares = np.log1p(shares.reshape(n, -1) * (100 / many)[:, None]) / 3
+        yield np.column_stack([*structure, shares])
 
 
 @dataclass(frozen=True)
@@ -127,13 +149,6 @@ class FactorisationMachine:
         return sigmoid(self.bias + x @ self.linear + pairs)
 
 
-def vectors(texts: list[str], stated: list[int | None], facts: _Words) -> np.ndarray:
-    out = np.zeros((len(texts), len(STRUCTURE) + len(facts.at)))
-    for row, text, size in zip(out, texts, stated):
-        describe(text, size, facts, row)
-    return out
-
-
 def fit_machine(
     x: np.ndarray, y: np.ndarray, words: np.ndarray, factors: int = FACTORS, steps: int = 200, l2: float = 1e-4
 ) -> FactorisationMachine:
@@ -169,16 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, word
     chosen = telling_features(feature_counts(sample, word_features), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = _Words(chosen)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                x = vectors([t or "" for t in part.column("text").to_pylist()], part.column("n_chars").to_pylist(), facts)
+            at = 0
+            for x in vectors(batch.column("text"), batch.column("n_chars"), chosen):
                 offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("label"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel().astype(np.float32)))],
+                    [batch.column("label").slice(at, len(x)), pa.ListArray.from_arrays(offsets, pa.array(x.ravel().astype(np.float32)))],
                     ["label", "x"],
                 )
+                at += len(x)
 
     got = sample.mapInArrow(run, "label int, x array<float>").toArrow().combine_chunks()
     width = len(STRUCTURE) + len(chosen)
@@ -199,14 +213,9 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = _Words(model.words)
         for batch in batches:
-            texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-            values = [np.empty(0)]
-            for at in range(0, len(texts), 500):
-                x = vectors([t or "" for t in texts[at : at + 500]], sizes[at : at + 500], facts)
-                values.append(model.scores(x))
-            score = np.concatenate(values)
+            parts = [model.scores(x) for x in vectors(batch.column("text"), batch.column("n_chars"), model.words)]
+            score = np.concatenate([np.empty(0), *parts])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),

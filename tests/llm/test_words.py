@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tapecheck.llm import samples, text, toxicity
+from tapecheck.llm import quality, samples, text, toxicity
 
 #: Every letter, mark and blank there is, inside words and between them, in many short texts.
 ANY = [f"a{chr(c)}Bcd{chr(c)} {chr(c)}" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
@@ -53,3 +53,48 @@ def test_toxic_words_are_hashed_once_a_slice(monkeypatch):
     once, often = (pa.array(TEXTS[:50] * n) for n in (1, 20))
     few = hashes(monkeypatch, lambda: toxicity.vectors(once, chosen))
     assert 0 < few == hashes(monkeypatch, lambda: toxicity.vectors(often, chosen))
+
+
+def quality_row(body: str, stated: int | None, chosen: dict[int, int]) -> list[float]:
+    words, lines, n = body.split(), [x for x in body.split("\n") if x.strip()], max(len(body), 1)
+    many, counts, shares = max(len(words), 1), Counter(words), [0] * len(chosen)
+    for word in words:
+        for name in (word.lower(), f"*{word.lower()[-3:]}"):
+            place = chosen.get(zlib.crc32(name.encode()) % 2**20)
+            if place is not None:
+                shares[place] += 1
+    small, capital, digit, stop = (sum(x in some for x in body) for some in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:?'\"()-_"))
+    letter = small + capital + sum(ord(x) >= 192 for x in body)
+    return [
+        letter / n, capital / n, digit / n, (len(body) - letter - digit - stop - sum(x <= " " for x in body)) / n, stop / n,
+        min(sum(map(len, words)) / many / 20, 1),
+        sum(len(w) > 15 for w in words) / many,
+        sum(not w[-1].isalnum() and w[-1] not in ".,;:?!" for w in words) / many,
+        sum(len(w) > 1 and w.isupper() for w in words) / many,
+        len(counts) / many, max(counts.values(), default=0) / many,
+        sum(a == b for a, b in zip(words, words[1:])) / many,
+        min(len(body) / max(len(lines), 1) / 500, 1), len(set(lines)) / max(len(lines), 1),
+        np.log1p(len(words)) / 10, np.log1p(len(body)) / 12, np.log1p(max(len(body) if stated is None else stated, 0)) / 12,
+        float(not words), *(np.log1p(100 * x / many) / 3 for x in shares),
+    ]
+
+
+def test_quality_vectors_are_those_of_every_text(monkeypatch):
+    monkeypatch.setattr(quality, "SLICE_BYTES", 1 << 14)
+    monkeypatch.setattr(quality, "ROWS", 7)
+    bodies = [*TEXTS, "\nAB AB Ab\n\nx x\nx x\n", "Ω" * 30, "\u3000a\u2003b\x1cc\x85d\u200be", "(well) ALL, caps!"]
+    want = [{zlib.crc32(n.encode()) % 2**20 for w in (t or "").lower().split() for n in (w, f"*{w[-3:]}")} for t in bodies]
+    got = [x.tolist() for x in map(np.concatenate, zip(*quality.word_features(pa.array(bodies))))]
+    assert sorted(zip(*got)) == sorted((row, i) for row, ids in enumerate(want) for i in ids)
+    chosen = np.unique([i for ids in want for i in ids])[::400]
+    stated = [None if i % 3 == 0 else i - 5 for i in range(len(bodies))]
+    rows = np.concatenate([*quality.vectors(pa.array(bodies), pa.array(stated, pa.int64()), chosen)])
+    at = {int(f): i for i, f in enumerate(chosen)}
+    assert np.allclose(rows, [quality_row(t or "", n, at) for t, n in zip(bodies, stated)], rtol=0, atol=1e-12)
+
+
+def test_quality_words_are_hashed_once_a_slice(monkeypatch):
+    chosen = np.arange(0, 2**20, 2048)
+    tables = [(pa.array(TEXTS[:50] * n), pa.nulls(50 * n, pa.int64())) for n in (1, 20)]
+    few, as_few = (hashes(monkeypatch, lambda: [*quality.vectors(*table, chosen)]) for table in tables)
+    assert 0 < few == as_few
