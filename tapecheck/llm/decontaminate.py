@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapecheck.llm.near import run_hashes
-from tapecheck.llm.text import bodies, byte_slices, cut_words, text_digest, without_rows
+from tapecheck.llm.text import text_digest, without_rows, word_slices
 from tapecheck.operators.blocks import materialize
 
 #: ASCII characters that are no letter, digit or underscore end a word; the rest stays.
@@ -23,8 +23,6 @@ _KEPT = np.array([c if c >= 128 or chr(c).isalnum() or c == 95 else 0 for c in r
 _BREAKS = bytes(c or 32 for c in _KEPT.tolist())
 #: Bits of the table that rules out word pairs of no item: 8 MB at any number of items.
 FILTER_BITS = 1 << 26
-#: Bytes of text that a task cuts into words at once.
-SLICE_BYTES = 4 << 20
 #: Parts into which the places of one word pair are dealt.
 PARTS = 8
 
@@ -69,10 +67,22 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode("utf-8", "replace") for w in raw_words(text)]
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+def _hashes(words: Sequence[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _cut(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices ``start, stop`` of a column of texts: distinct words, and of every place in them the number of its word and text."""
+    lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    for start, stop, words, text in word_slices(lowered, _KEPT):
+        yield start, stop, words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy(), text
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """``np.isin`` for a few sorted numbers, in a ninth of its time."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def smith_waterman(item: list[str], window: list[str], how: Alignment) -> float:
     """Best local alignment of two word lists, as a share of the item's alignment with itself.
 
@@ -104,6 +114,7 @@ class _Item:
         pairs = how.least_pairs(len(words))
         self.need, self.size = (pairs, 2) if pairs > 0 else (self.matches, 1)
         self.runs = run_hashes(self.hashes, self.size)
+        self.known, self.known_runs = np.sort(self.hashes), np.sort(self.runs)
 
     def least_seeds(self) -> int:
         """How many of its seeds a copy has at least: the rest of what it needs may be left to common runs."""
@@ -125,7 +136,7 @@ class _Item:
         """Best alignment with any stretch of a text that counts, 0 if none does; ``each`` is the hash of every word."""
         if len(each) < self.size:
             return 0.0
-        place = np.flatnonzero(np.isin(run_hashes(each, self.size), self.runs))
+        place = np.flatnonzero(_among(run_hashes(each, self.size), self.known_runs))
         last = np.arange(len(place)) + self.need - 1
         at = np.flatnonzero(last < len(place))
         at = at[place[last[at]] - place[at] <= self.reach]
@@ -138,18 +149,13 @@ class _Item:
         for one, two in zip([0, *cut], [*cut, len(low)]):
             first = max(0, int(low[one] - self.reach))
             end = int(high[two - 1] + self.reach) + 2
-            known = np.cumsum(np.concatenate([[0], np.isin(each[first:end], self.hashes)]))
+            known = np.cumsum(np.concatenate([[0], _among(each[first:end], self.known)]))
             width = min(self.reach, len(known) - 1)
             if (known[width:] - known[: len(known) - width]).max() >= self.matches:
                 best = max(best, smith_waterman(self.words, words[first:end], self.how))
         return best if best >= self.how.least else 0.0
 
 
-def _hashed_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    words = raw_words(text)
-    return words, _hashes(words)
-
-
 def _items(benchmark: DataFrame, how: Alignment) -> DataFrame:
     """``form, item_ids, text, size, runs``: items with equal words are one form."""
 
@@ -189,13 +195,8 @@ def _passing(table: np.ndarray, runs: np.ndarray) -> np.ndarray:
 
 def _places(column: pa.Array, sizes: list[int], table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices ``first, end`` of a column of texts: the text, place and hash of every run in the table."""
-    lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-    body, at = bodies(lowered)
-    for start, stop in byte_slices(at, SLICE_BYTES):
-        part = at[start : stop + 1]
-        words, text = cut_words(body[part[0] : part[-1]], part - part[0], _KEPT)
-        known = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-        each = known[words.indices.to_numpy()]
+    for start, stop, known, word, text in _cut(column):
+        each = _hashes(known)[word]
         first = np.searchsorted(text, np.arange(stop - start))
         found = []
         for size in sizes:
@@ -210,19 +211,6 @@ def _places(column: pa.Array, sizes: list[int], table: np.ndarray) -> Iterator[t
         yield start, stop, texts[order], places[order], runs[order]
 
 
-def _document_counts(docs: DataFrame, sizes: list[int], table: np.ndarray) -> DataFrame:
-    """``run, docs``: in how many texts each run of an item stands, added up in every task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for *_, texts, _, runs in _places(batch.column("text"), sizes, table):
-                once = np.unique(np.stack([runs, texts.astype(np.uint64)]), axis=1)[0]
-                found, many = np.unique(once, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], ["run", "docs"])
-
-    return docs.select("text").mapInArrow(run, "run long, docs long").groupBy("run").agg(F.sum("docs").alias("docs"))
-
-
 def _seeds(items: DataFrame, counts: DataFrame, how: Alignment) -> DataFrame:
     """``run, form, least, reach``: the seeds of every item, how many a copy has and how close together."""
     runs = items.select("form", F.explode("runs").alias("run")).join(counts, "run")
@@ -247,33 +235,58 @@ def _key() -> Column:
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex("digest"))))
 
 
-def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> DataFrame:
-    """``doc_id, digest, item_id, score``: one row per text with its id, and item."""
-    items = materialize(_items(benchmark, how))
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 and 2 at most
+def _keyed(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest"))
-    of_items = items.select(F.explode("runs").alias("run")).distinct()
-    counts = materialize(_document_counts(texts, sizes, _filter(of_items)))
+    return texts.withColumn("key", _key())
+
+
+def _lists(cuts: np.ndarray, *columns: np.ndarray) -> list[pa.ListArray]:
+    return [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for x in columns]
+
+
+def _scanned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, key, runs, places``: every row with the runs of items that stand in it, by place; texts are cut this once."""
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 and 2 at most
+    table = _filter(items.select(F.explode("runs").alias("run")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, texts, places, runs in _places(batch.column("text"), sizes, table):
+                cuts = np.searchsorted(texts, np.arange(stop - start + 1))
+                rows = batch.slice(start, stop - start).select(["doc_id", "key"])
+                lists = _lists(cuts, runs.view(np.int64), places.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *lists], ["doc_id", "key", "runs", "places"])
+
+    schema = "doc_id long, key binary, runs array<long>, places array<int>"
+    return materialize(_keyed(docs).select("doc_id", "key", "text").mapInArrow(run, schema))
+
+
+def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, digest, item_id, score``: one row per text with its id, and item; and all rows as in :func:`_scanned`."""
+    items = materialize(_items(benchmark, how))
+    scanned = _scanned(docs, items)
+    held = scanned.select(F.explode(F.array_distinct("runs")).alias("run"))
+    counts = materialize(held.groupBy("run").agg(F.count("*").alias("docs")))
     seeds = materialize(_seeds(items, counts, how))
     table = _filter(seeds.select("run").distinct())
     fewest = seeds.agg(F.min("least")).first()[0] or 1
 
     def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, texts, places, runs in _places(batch.column("text"), sizes, table):
-                many = np.bincount(texts, minlength=stop - start)
-                rows = np.flatnonzero(many >= fewest)
-                mine = np.isin(texts, rows)
-                cuts = pa.array(np.concatenate([[0], np.cumsum(many[rows])]).astype(np.int32))
-                keys = batch.column("key").slice(start, stop - start).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.ListArray.from_arrays(cuts, pa.array(runs[mine].view(np.int64))),
-                     pa.ListArray.from_arrays(cuts, pa.array(places[mine].astype(np.int64)))],
-                    ["key", "runs", "places"],
-                )
-
-    keyed = texts.withColumn("key", _key())
-    touched = keyed.select("key", "text").mapInArrow(touch, "key binary, runs array<long>, places array<long>")
+            lists = batch.column("runs")
+            runs, places = lists.flatten().to_numpy(), batch.column("places").flatten().to_numpy()
+            text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            hit = _passing(table, runs.view(np.uint64))
+            many = np.bincount(text[hit], minlength=len(lists))
+            rows = np.flatnonzero(many >= fewest)
+            hit = hit[many[text[hit]] >= fewest]
+            cuts = np.concatenate([[0], np.cumsum(many[rows])])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(rows)), *_lists(cuts, runs[hit], places[hit])], ["key", "runs", "places"]
+            )
+
+    schema = "key binary, runs array<long>, places array<int>"
+    touched = scanned.where("size(runs) > 0").select("key", "runs", "places").mapInArrow(touch, schema)
     hits = touched.select("key", F.inline(F.arrays_zip(F.col("runs").alias("run"), F.col("places").alias("place"))))
     hits = hits.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
     dealt = seeds.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
@@ -288,15 +301,20 @@ def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> DataFrame:
     candidates = materialize(candidates)  # few, against all texts below
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Pairs of one passage, and of one item, come in runs.
         item_of = lru_cache(1024)(lambda text: _Item(raw_words(text), how))
-        words_of_text = lru_cache(4)(lambda text: _hashed_words(text))
-        score = lru_cache(4096)(lambda item, text: item_of(item).score(*words_of_text(text)))
         for batch in batches:
-            scores = [
-                score(item, text)
-                for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())
-            ]
+            # Equal texts are cut once, pairs of equal texts and items aligned once.
+            texts, items_of = (batch.column(c).dictionary_encode() for c in ("text", "item"))
+            pairs = texts.indices.to_numpy() * np.int64(len(items_of.dictionary)) + items_of.indices.to_numpy()
+            pairs, pair_of = np.unique(pairs, return_inverse=True)
+            text_of, item_at = np.divmod(pairs, max(len(items_of.dictionary), 1))
+            named, of_pair = items_of.dictionary.to_pylist(), np.zeros(len(pairs))
+            for start, stop, known, word, text in _cut(texts.dictionary):
+                each = _hashes(known)[word]
+                for i in range(*np.searchsorted(text_of, [start, stop])):
+                    a, b = np.searchsorted(text, [text_of[i] - start, text_of[i] - start + 1])
+                    of_pair[i] = item_of(named[item_at[i]]).score(known[word[a:b]].tolist(), each[a:b])
+            scores = of_pair[pair_of].tolist()
             kept = [i for i, s in enumerate(scores) if s]
             part = batch.select(["doc_id", "digest", "item_ids"]).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -304,12 +322,13 @@ def _copies(docs: DataFrame, benchmark: DataFrame, how: Alignment) -> DataFrame:
             )
 
     both = (
-        keyed.join(candidates, "key")
+        _keyed(docs)
+        .join(candidates, "key")
         .join(items.select("form", "item_ids", F.col("text").alias("item")), "form")
         .select("doc_id", "digest", "text", "item", "item_ids")
     )
     schema = "doc_id long, digest binary, item_ids array<struct<item_id: bigint>>, score double"
-    return both.mapInArrow(align, schema).select("doc_id", "digest", F.inline("item_ids"), "score")
+    return both.mapInArrow(align, schema).select("doc_id", "digest", F.inline("item_ids"), "score"), scanned
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignment()) -> DataFrame:
@@ -320,7 +339,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignm
     edits that a number of pairs of neighbouring words must be left in it
     (:meth:`Alignment.least_pairs`; of items too short for that a number of single words).
 
-    1. It is counted how many passages hold each word pair of the items. The rarest pairs of an item are its
+    1. Every passage is cut once, and the word pairs of items in it are kept with their places, 12 bytes each. It is
+       counted how many passages hold each pair. The rarest pairs of an item are its
        seeds; the commonest are left out, as many as a copy could still do without having two seeds.
     2. Seeds and the places where they stand in passages meet in a join, dealt into parts so that a seed in very many
        passages spreads out. A fixed table of bits keeps what is no seed from being sent.
@@ -331,7 +351,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignm
     length is read whole; NULL ids are kept, equal pairs are merged, with the best score. An empty benchmark or table
     gives an empty result; extra columns are not read.
     """
-    return _copies(docs, benchmark, how).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    return _copies(docs, benchmark, how)[0].groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, how: Alignment = Alignment()) -> DataFrame:
@@ -341,16 +361,15 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, how: Alignment = Al
     score are NULL for clean documents. Marks go by id and text, so of rows that share an id only those that hold a copy
     are marked. An empty table gives an empty result.
     """
+    copies, scanned = _copies(docs, benchmark, how)
     by_row = (
-        _copies(docs, benchmark, how)
-        .groupBy(_key().alias("key"))
+        copies.groupBy(_key().alias("key"))
         .agg(
             F.count("*").alias("n_items"),
             F.min(F.struct((-F.col("score")).alias("minus"), "item_id")).alias("best"),
         )
     )
-    rows = docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"))
-    return rows.withColumn("key", _key()).join(by_row, "key", "left").select(
+    return scanned.select("doc_id", "key").join(by_row, "key", "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -365,4 +384,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, how: Alignment =
     Decided by id and text: a clean row that shares its id with a copy stays, and a copy without id goes. NULL and empty
     texts stay. An empty table gives an empty result; extra columns may have any name.
     """
-    return without_rows(docs, _copies(docs, benchmark, how).select("doc_id", "digest"))
+    return without_rows(docs, _copies(docs, benchmark, how)[0].select("doc_id", "digest"))
